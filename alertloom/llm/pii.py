@@ -4,6 +4,7 @@ High-recall generators propose spans that may overlap: the four strict formats (
 with a plus) and loose ones (other digit groups, account numbers, spelled-out addresses). Strict spans whose checks
 hold (part range, Luhn, digit count) are certain. Every loose candidate is described by format and context features
 and scored by boosted trees, compiled to CASE expressions; a threshold calibrated for precision selects redactions.
+A loose candidate that overlaps a certain span adds nothing and is left out.
 
 The trees are fitted on the driver in about a second, on labelled candidates written by a seeded generator
 (TRAINING_ROWS rows); no document is read for that.
@@ -217,5 +218,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         f = F.struct(*[x.cast("double").alias(n) for n, x in zip(FEATURES, features_of(c["value"], c["left"]), strict=True)])
         return F.struct(c["start"].alias("start"), c["value"].alias("value"), f.alias("f"))
 
-    added = [F.transform(F.filter(F.transform(k, described), lambda c: boosted(c["f"]) >= threshold), span).alias(k) for k in ADDED_KINDS]
-    return out.select("doc_id", *base, *added)
+    out = out.select("doc_id", *base, *ADDED_KINDS)
+    taken = F.concat(*BASE_KINDS)
+
+    def loose(kind: str) -> Column:
+        """Candidates apart from the certain spans that the trees choose."""
+        free = F.filter(kind, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["start"] + F.length(c["value"])) & (c["start"] < b["end"])))
+        return F.transform(F.filter(F.transform(free, described), lambda c: boosted(c["f"]) >= threshold), span).alias(kind)
+
+    return out.select("doc_id", *BASE_KINDS, *[loose(k) for k in ADDED_KINDS])

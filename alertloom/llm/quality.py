@@ -1,8 +1,8 @@
 """Quality rules as weak supervision.
 
 Each rule votes good, bad or abstains on a document. The counts of the vote patterns over all documents (at most
-3**rules rows) are all that expectation-maximisation needs: it estimates, for either class, how often each rule
-gives each vote, and the posterior of a pattern replaces an all-must-pass filter.
+3**rules rows) are all that expectation-maximisation needs: it estimates how often each rule's votes are right,
+and the posterior of a pattern replaces an all-must-pass filter.
 
 Null and blank texts have no words and fail the base rule. Ties and repeated rows count as rows of their own; an
 empty table gives an empty result. Texts are read whole.
@@ -21,21 +21,21 @@ from . import bytekernel as bk
 from .common import Scratch, small_batches
 
 SYMBOLS = b"#*$%&|<>"
-#: (name, bad at or above, good at or below); ratios between abstain.
+#: (name, votes bad at or above, votes good at or below); between, or where a bound is None, the rule abstains.
 RULES = (
-    ("symbols", 0.10, 0.02),
-    ("repeats", 0.30, 0.12),
-    ("dup_lines", 0.30, 0.10),
-    ("long_words", 12.0, 9.0),
-    ("short_words", -2.5, -3.0),
-    ("capitals", 0.30, 0.12),
-    ("exclaims", 0.10, 0.03),
+    ("symbols", 0.10, None),
+    ("repeats", 0.30, None),
+    ("dup_lines", 0.30, None),
+    ("long_words", 12.0, None),
+    ("capitals", 0.30, None),
+    ("exclaims", 0.10, None),
+    ("unlettered", 0.25, 0.10),
 )
 GOOD, BAD, ABSTAIN = 0, 1, 2
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaims")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ascii", "n_exclaims", "n_letters")
 
 
 def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -69,6 +69,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     out[:, 2] = _sums(_IS_SYMBOL[data], off)
     lower, upper = (data >= 97) & (data <= 122), (data >= 65) & (data <= 90)
     out[:, 6], out[:, 7], out[:, 8] = _sums(upper, off), _sums(upper | lower, off), _sums(data == 33, off)
+    out[:, 9] = _sums(upper | lower | (data >= 0xC0), off)
 
     breaks = np.flatnonzero(data == 10)
     row_of = np.searchsorted(off, breaks, "right") - 1
@@ -104,11 +105,16 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def votes(f: np.ndarray) -> np.ndarray:
     """A code per text: its rules' votes as digits base 3, the first rule lowest."""
-    words, lines, letters = np.maximum(f[:, 0], 1), np.maximum(f[:, 5], 1), np.maximum(f[:, 7], 1)
-    values = (f[:, 2] / words, f[:, 4] / words, f[:, 3] / lines, f[:, 1] / words, -f[:, 1] / words, f[:, 6] / letters, f[:, 8] / words)
+    words, lines, ascii_ = np.maximum(f[:, 0], 1), np.maximum(f[:, 5], 1), np.maximum(f[:, 7], 1)
+    chars = np.maximum(f[:, 1], 1)
+    values = (f[:, 2] / words, f[:, 4] / words, f[:, 3] / lines, f[:, 1] / words, f[:, 6] / ascii_, f[:, 8] / words, 1 - f[:, 9] / chars)
     code = np.zeros(len(f), np.int64)
     for k, ((_, bad, good), v) in enumerate(zip(RULES, values, strict=True)):
-        vote = np.where(v >= bad, BAD, np.where(v <= good, GOOD, ABSTAIN))
+        vote = np.full(len(f), ABSTAIN)
+        if good is not None:
+            vote[v <= good] = GOOD
+        if bad is not None:
+            vote[v >= bad] = BAD
         code += np.where(f[:, 0] > 0, vote, ABSTAIN) * 3**k
     return code
 
@@ -120,11 +126,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(5)), pa.array(votes(f))], names=["doc_id", *FEATURES[:5], "votes"])
 
 
-def fit_votes(counts: dict[int, int], rounds: int = 200, prior_weight: float = 0.02) -> dict[int, float]:
+def fit_votes(counts: dict[int, int], rounds: int = 500, prior_weight: float = 1.0) -> dict[int, float]:
     """Posterior chance of good quality for each vote pattern, from the patterns' counts.
 
-    Prior: documents are good with 0.8; a good one gets (good, bad, abstain) votes by 0.85, 0.02, 0.13, a bad one
-    by 0.6, 0.25, 0.15, with a weight of `prior_weight` of all rows. This names the classes; the data set the rates.
+    Model: a vote is right with its rule's accuracy, abstaining says nothing. Priors (a share of 0.85 is good, a rule is
+    right with 0.9) weigh `prior_weight` times the rows or votes they are about: with rules that seldom meet on a
+    document, the data alone would settle on "all is good and every such rule is wrong".
     """
     codes = sorted(counts)
     total = sum(counts.values())
@@ -132,21 +139,20 @@ def fit_votes(counts: dict[int, int], rounds: int = 200, prior_weight: float = 0
         return {}
     n = np.array([counts[c] for c in codes], float)
     v = np.array([[c // 3**k % 3 for k in range(len(RULES))] for c in codes])
-    hot = np.eye(3)[v]  # pattern, rule, vote
-    post = np.where((v == BAD).any(1), 0.1, 0.95)
-    base = np.array([[0.85, 0.02, 0.13], [0.60, 0.25, 0.15]])
-    w = prior_weight * total + 1
+    sign = np.where(v == GOOD, 1.0, np.where(v == BAD, -1.0, 0.0))
+    cast = (n[:, None] * (sign != 0)).sum(0)
+    share, right = 0.85, np.full(len(RULES), 0.9)
+    post = np.zeros(len(codes))
     for _ in range(rounds):
-        weight = np.stack([n * post, n * (1 - post)])
-        share = (weight.sum(1) + w * np.array([0.8, 0.2])) / (total + w)
-        rate = np.einsum("yp,pkv->ykv", weight, hot) + w * base[:, None, :]
-        rate /= rate.sum(2, keepdims=True)
-        score = np.log(share)[:, None] + np.einsum("ykv,pkv->yp", np.log(rate), hot)
-        new = 1 / (1 + np.exp(np.clip(score[1] - score[0], -500, 500)))
-        if np.abs(new - post).max() < 1e-10:
-            post = new
-            break
+        score = np.log(share / (1 - share)) + sign @ np.log(right / (1 - right))
+        new = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+        done = np.abs(new - post).max() < 1e-10
         post = new
+        if done:
+            break
+        share = (n @ post + prior_weight * total * 0.85) / (total * (1 + prior_weight))
+        agree = (n[:, None] * np.where(sign > 0, post[:, None], np.where(sign < 0, 1 - post[:, None], 0))).sum(0)
+        right = np.clip((agree + (prior_weight * cast + 1) * 0.9) / (cast * (1 + prior_weight) + 1), 0.5, 0.995)
     return dict(zip(codes, post.tolist(), strict=True))
 
 

@@ -235,7 +235,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, most_ca
         best = max(gain, key=lambda s: (gain[s] * min(weight[s], 5.0), len(s), s))
         if gain[best] < max(2, least // 2):
             break
-        chosen[best] = min(3.0, max(1.3, weight[best] / 2.5))
+        # a stem of little support needs a second match
+        chosen[best] = min(3.0, max(1.3, weight[best] / 2.5)) * min(1.0, gain[best] / 12)
         toxic = [x for x in toxic if best not in x]
     return Lexicon(chosen, min(0.3, (len(toxic) + 0.5) / (n_neg + len(toxic) + 25)))
 
