@@ -21,15 +21,15 @@ from . import bytekernel as bk
 from .common import Scratch, small_batches
 
 SYMBOLS = b"#*$%&|<>"
-#: (name, votes bad at or above, votes good at or below); between, or where a bound is None, the rule abstains.
+#: (name, votes bad at or above, votes good at or below, prior accuracy); between, or where a bound is None, it abstains.
 RULES = (
-    ("symbols", 0.10, None),
-    ("repeats", 0.30, None),
-    ("dup_lines", 0.30, None),
-    ("long_words", 12.0, None),
-    ("capitals", 0.30, None),
-    ("exclaims", 0.10, None),
-    ("unlettered", 0.25, 0.10),
+    ("symbols", 0.10, None, 0.97),
+    ("repeats", 0.30, None, 0.90),
+    ("dup_lines", 0.30, None, 0.90),
+    ("long_words", 12.0, None, 0.90),
+    ("capitals", 0.30, None, 0.90),
+    ("exclaims", 0.10, None, 0.90),
+    ("unlettered", 0.25, 0.10, 0.90),
 )
 GOOD, BAD, ABSTAIN = 0, 1, 2
 _IS_SYMBOL = np.zeros(256, bool)
@@ -109,7 +109,7 @@ def votes(f: np.ndarray) -> np.ndarray:
     chars = np.maximum(f[:, 1], 1)
     values = (f[:, 2] / words, f[:, 4] / words, f[:, 3] / lines, f[:, 1] / words, f[:, 6] / ascii_, f[:, 8] / words, 1 - f[:, 9] / chars)
     code = np.zeros(len(f), np.int64)
-    for k, ((_, bad, good), v) in enumerate(zip(RULES, values, strict=True)):
+    for k, ((_, bad, good, _), v) in enumerate(zip(RULES, values, strict=True)):
         vote = np.full(len(f), ABSTAIN)
         if good is not None:
             vote[v <= good] = GOOD
@@ -130,7 +130,7 @@ def fit_votes(counts: dict[int, int], rounds: int = 500, prior_weight: float = 1
     """Posterior chance of good quality for each vote pattern, from the patterns' counts.
 
     Model: a vote is right with its rule's accuracy, abstaining says nothing. Priors (a share of 0.85 is good, a rule is
-    right with 0.9) weigh `prior_weight` times the rows or votes they are about: with rules that seldom meet on a
+    right as RULES says) weigh `prior_weight` times the rows or votes they are about: with rules that seldom meet on a
     document, the data alone would settle on "all is good and every such rule is wrong".
     """
     codes = sorted(counts)
@@ -141,7 +141,8 @@ def fit_votes(counts: dict[int, int], rounds: int = 500, prior_weight: float = 1
     v = np.array([[c // 3**k % 3 for k in range(len(RULES))] for c in codes])
     sign = np.where(v == GOOD, 1.0, np.where(v == BAD, -1.0, 0.0))
     cast = (n[:, None] * (sign != 0)).sum(0)
-    share, right = 0.85, np.full(len(RULES), 0.9)
+    before = np.array([r[3] for r in RULES])
+    share, right = 0.85, before
     post = np.zeros(len(codes))
     for _ in range(rounds):
         score = np.log(share / (1 - share)) + sign @ np.log(right / (1 - right))
@@ -152,7 +153,7 @@ def fit_votes(counts: dict[int, int], rounds: int = 500, prior_weight: float = 1
             break
         share = (n @ post + prior_weight * total * 0.85) / (total * (1 + prior_weight))
         agree = (n[:, None] * np.where(sign > 0, post[:, None], np.where(sign < 0, 1 - post[:, None], 0))).sum(0)
-        right = np.clip((agree + (prior_weight * cast + 1) * 0.9) / (cast * (1 + prior_weight) + 1), 0.5, 0.995)
+        right = np.clip((agree + (prior_weight * cast + 1) * before) / (cast * (1 + prior_weight) + 1), 0.5, 0.995)
     return dict(zip(codes, post.tolist(), strict=True))
 
 
