@@ -29,13 +29,14 @@ RULES = (
     ("long_words", 12.0, None, 0.90),
     ("capitals", 0.30, None, 0.90),
     ("exclaims", 0.10, None, 0.90),
+    ("wordless", 0.20, None, 0.90),
     ("unlettered", 0.25, 0.10, 0.90),
 )
 GOOD, BAD, ABSTAIN = 0, 1, 2
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ascii", "n_exclaims", "n_letters")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ascii", "n_exclaims", "n_letters", "n_wordless")
 
 
 def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -69,7 +70,11 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     out[:, 2] = _sums(_IS_SYMBOL[data], off)
     lower, upper = (data >= 97) & (data <= 122), (data >= 65) & (data <= 90)
     out[:, 6], out[:, 7], out[:, 8] = _sums(upper, off), _sums(upper | lower, off), _sums(data == 33, off)
-    out[:, 9] = _sums(upper | lower | (data >= 0xC0), off)
+    letter = upper | lower | (data >= 0xC0)
+    out[:, 9] = _sums(letter, off)
+    c = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(letter, out=c[1:])
+    out[:, 10] = np.bincount(rows[c[ends] == c[starts]], minlength=n)
 
     breaks = np.flatnonzero(data == 10)
     row_of = np.searchsorted(off, breaks, "right") - 1
@@ -107,7 +112,7 @@ def votes(f: np.ndarray) -> np.ndarray:
     """A code per text: its rules' votes as digits base 3, the first rule lowest."""
     words, lines, ascii_ = np.maximum(f[:, 0], 1), np.maximum(f[:, 5], 1), np.maximum(f[:, 7], 1)
     chars = np.maximum(f[:, 1], 1)
-    values = (f[:, 2] / words, f[:, 4] / words, f[:, 3] / lines, f[:, 1] / words, f[:, 6] / ascii_, f[:, 8] / words, 1 - f[:, 9] / chars)
+    values = (f[:, 2] / words, f[:, 4] / words, f[:, 3] / lines, f[:, 1] / words, f[:, 6] / ascii_, f[:, 8] / words, f[:, 10] / words, 1 - f[:, 9] / chars)
     code = np.zeros(len(f), np.int64)
     for k, ((_, bad, good, _), v) in enumerate(zip(RULES, values, strict=True)):
         vote = np.full(len(f), ABSTAIN)
