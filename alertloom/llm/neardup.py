@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bloc
     members = members.select("node", "component", "parts").unionByName(blocks.join(large, "component").select("node", "component", "parts"))
     # only class heads carry sets; equal texts of other rows add nothing
     heads = members.select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "parts")
-    sets = src.join(heads, "doc_id").select(F.col("doc_id").alias("node"), "block", "parts", "text")
+    # a sort-merge join at every size: whether the heads would fit a broadcast must not decide the plan
+    sets = src.hint("merge").join(heads, "doc_id").select(F.col("doc_id").alias("node"), "block", "parts", "text")
     sets = sets.mapInArrow(_sets, "node long, block long, parts int, shingles binary, sig binary").filter("length(shingles) > 0")
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))))
