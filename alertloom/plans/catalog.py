@@ -1,4 +1,555 @@
 """Queries over the driver's tables, by name, and the SQL each must equal."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from alertloom.functions import chunk, net
+from alertloom.functions import patterns as P
+from alertloom.functions import text as T
+from alertloom.operators import alerts as A
+from alertloom.operators import analytics as N
+from alertloom.operators import corpus as C
+from alertloom.operators import reports as R
+from alertloom.operators import rules as D
+from alertloom.operators import search as S
+from alertloom.plans.alert_view import ALERTS_SQL, alerts, enriched
+from alertloom.streaming import monitor as M
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, alert_view: bool = False):
+    """Register a query, and the SQL it must equal if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {ALERTS_SQL} {sql}" if alert_view else sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# --- breakdowns and counters -----------------------------------------------------------------------------------
+@query("SELECT severity, count(*) AS n FROM enriched GROUP BY severity", True)
+def severity_breakdown(spark, sf_dir):
+    return N.breakdown(enriched(spark, sf_dir), "severity", "severity")
+
+
+@query("SELECT coalesce(rule_description, 'Unknown') AS rule, count(*) AS n FROM enriched GROUP BY 1", True)
+def rule_breakdown(spark, sf_dir):
+    return N.breakdown(enriched(spark, sf_dir), "rule_description", "rule")
+
+
+@query("SELECT coalesce(proto, 'Unknown') AS proto, count(*) AS n FROM enriched GROUP BY 1", True)
+def proto_breakdown(spark, sf_dir):
+    return N.breakdown(enriched(spark, sf_dir), "proto", "proto")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (is_infrastructure_alert) AS infrastructure,
+  count(*) FILTER (NOT is_infrastructure_alert AND is_internal_threat) AS internal,
+  count(*) FILTER (NOT is_infrastructure_alert AND is_external_threat) AS external,
+  count(*) FILTER (threat_direction = 'inbound') AS inbound, count(*) FILTER (threat_direction = 'outbound') AS outbound,
+  count(*) FILTER (threat_direction = 'lateral') AS lateral FROM enriched""", True)
+def threat_counters(spark, sf_dir):
+    return N.counters(enriched(spark, sf_dir))
+
+
+@query("SELECT src_context, dest_context, count(*) AS n, min(event_id) AS first_event FROM enriched GROUP BY ALL", True)
+def ip_context(spark, sf_dir):
+    return enriched(spark, sf_dir).groupBy("src_context", "dest_context").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT event_id, threat_direction, confidence, is_infrastructure_alert, is_internal_threat, is_external_threat FROM enriched", True)
+def direction_confidence(spark, sf_dir):
+    return enriched(spark, sf_dir).select("event_id", "threat_direction", "confidence", "is_infrastructure_alert", "is_internal_threat", "is_external_threat")
+
+
+TOP_SQL = """SELECT src_ip, count(*) AS n, min(event_id) AS first_seen FROM enriched WHERE NOT is_infrastructure_alert
+  AND src_ip IS NOT NULL AND src_context IN ({}) GROUP BY src_ip ORDER BY n DESC, first_seen LIMIT 10"""
+
+
+@query(TOP_SQL.format("'external'"), True)
+def top_external_sources(spark, sf_dir):
+    return N.top_values(enriched(spark, sf_dir), "src_ip", ~F.col("is_infrastructure_alert") & (F.col("src_context") == "external"), 10)
+
+
+@query(TOP_SQL.format("'internal', 'owned'"), True)
+def top_internal_sources(spark, sf_dir):
+    return N.top_values(enriched(spark, sf_dir), "src_ip", ~F.col("is_infrastructure_alert") & F.col("src_context").isin("internal", "owned"), 10)
+
+
+@query("""SELECT label, n FROM (SELECT src_ip AS label, count(*) AS n, min(event_id) AS f FROM enriched WHERE NOT is_infrastructure_alert
+  AND src_ip IS NOT NULL GROUP BY src_ip ORDER BY n DESC, f LIMIT 10) UNION ALL
+  SELECT 'Others', sum(n)::BIGINT FROM (SELECT count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(event_id)) AS i FROM enriched
+  WHERE NOT is_infrastructure_alert AND src_ip IS NOT NULL GROUP BY src_ip) WHERE i > 10 HAVING sum(n) > 0""", True)
+def top_with_others(spark, sf_dir):
+    return N.top_with_others(enriched(spark, sf_dir), "src_ip", ~F.col("is_infrastructure_alert"), 10)
+
+
+@query("SELECT threat_direction AS label, count(*) AS n FROM enriched WHERE threat_direction IN ('inbound', 'outbound', 'lateral', 'external') GROUP BY 1", True)
+def chart_directions(spark, sf_dir):
+    return enriched(spark, sf_dir).filter(F.col("threat_direction").isin("inbound", "outbound", "lateral", "external")).groupBy(F.col("threat_direction").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT upper(proto) AS label, count(*) AS n FROM enriched WHERE NOT is_infrastructure_alert GROUP BY 1 ORDER BY n DESC LIMIT 6", True)
+def chart_protocols(spark, sf_dir):
+    return N.top_with_others(enriched(spark, sf_dir).withColumn("proto", F.upper("proto")), "proto", ~F.col("is_infrastructure_alert"), 6)
+
+
+@query("SELECT event_id, ts, rule_level FROM enriched WHERE rule_level > 0 AND ts IS NOT NULL", True)
+def chart_timeline(spark, sf_dir):
+    return N.timeline(enriched(spark, sf_dir))
+
+
+#: (lo, hi, country) of the lookups below.
+GEO = ((167772160, 167772223, "AA"), (167772224, 167772415, "BB"), (3325256704, 3325256775, "CC"), (3325256776, 3325256959, "DD"), (3221225984, 3221226239, "EE"))
+GEO_SQL = "geo AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, '{c}')" for a, b, c in GEO) + ") g(lo, hi, country))"
+
+
+def _located(spark, sf_dir):
+    geo = spark.createDataFrame([(a, b, c) for a, b, c in GEO], "lo long, hi long, country string")
+    return N.geo_lookup(N.geo_lookup(enriched(spark, sf_dir), geo, "src_ip", "src_country"), geo, "dest_ip", "dest_country")
+
+
+@query(f"""SELECT country, count(*) AS total, count(*) FILTER (rule_level >= 8) AS high FROM (WITH {GEO_SQL} SELECT e.*, g.country FROM enriched e
+  JOIN geo g ON e.src_n BETWEEN g.lo AND g.hi) WHERE NOT is_infrastructure_alert GROUP BY country""", True)
+def level_by_country(spark, sf_dir):
+    return N.severity_by_country(_located(spark, sf_dir))
+
+
+@query(f"""SELECT label, count(*) AS n FROM (WITH {GEO_SQL} SELECT 'src_' || g.country AS label FROM enriched e JOIN geo g ON e.src_n BETWEEN g.lo AND g.hi
+  WHERE NOT is_infrastructure_alert UNION ALL SELECT 'dest_' || g.country FROM enriched e JOIN geo g ON e.dest_n BETWEEN g.lo AND g.hi
+  WHERE NOT is_infrastructure_alert) GROUP BY label""", True)
+def geo_summary(spark, sf_dir):
+    return N.geo_summary(_located(spark, sf_dir))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS label, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def value_histogram(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'click'")
+    return e.groupBy(F.get_json_object("props", "$.k").alias("label")).agg(F.count("*").alias("n"))
+
+
+# --- selection, identity, paging -------------------------------------------------------------------------------
+@query("""SELECT event_id, rule_level, src_ip, dest_ip FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, lower(rule_description), coalesce(src_ip, ''),
+  coalesce(dest_ip, '') ORDER BY rule_level DESC, ts DESC, event_id) AS i FROM enriched) WHERE i = 1 ORDER BY rule_level DESC, ts DESC, event_id LIMIT 12""", True)
+def representative_alerts(spark, sf_dir):
+    return A.representatives(enriched(spark, sf_dir)).select("event_id", "rule_level", "src_ip", "dest_ip")
+
+
+@query("SELECT event_id, rule_level, severity FROM (SELECT * FROM enriched WHERE rule_level >= 5 ORDER BY event_id DESC OFFSET 50 LIMIT 50)", True)
+def live_page(spark, sf_dir):
+    rows = A.page(alerts(spark, sf_dir), 2, 50, min_severity=5)
+    return rows.select("event_id", "rule_level", net.severity(F.col("rule_level")).alias("severity"))
+
+
+UUID_SQL = "md5(concat_ws('|', CAST(rule_id AS VARCHAR), lower(trim(rule_description)), lower(trim(coalesce(src_ip, ''))), lower(trim(coalesce(dest_ip, ''))), strftime(ts, '%Y-%m-%d %H:%M:%S')))"
+
+
+@query(f"SELECT event_id, {UUID_SQL} AS uuid FROM alerts", True)
+def alert_uuid(spark, sf_dir):
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    return alerts(spark, sf_dir).select("event_id", A.alert_uuid(F.col("rule_id"), F.col("rule_description"), F.col("src_ip"), F.col("dest_ip"), stamp).alias("uuid"))
+
+
+HASH_SQL = "md5(concat_ws('|', CAST(rule_id AS VARCHAR), coalesce(src_ip, ''), coalesce(dest_ip, ''), rule_description, strftime(ts, '%Y-%m-%d %H:%M')))"
+
+
+@query(f"SELECT event_id, h AS alert_hash FROM (SELECT event_id, h, row_number() OVER (PARTITION BY h ORDER BY event_id) AS i FROM (SELECT *, {HASH_SQL} AS h FROM alerts)) WHERE i = 1", True)
+def dedupe_first_seen(spark, sf_dir):
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    rows = alerts(spark, sf_dir).withColumn("alert_hash", A.dedupe_hash(F.col("rule_id"), F.col("src_ip"), F.col("dest_ip"), F.col("rule_description"), stamp))
+    return A.first_seen(rows, "alert_hash", ["event_id"]).select("event_id", "alert_hash")
+
+
+@query("SELECT e.event_id, e.src_ip, p.severity FROM alerts e LEFT JOIN enriched p ON p.event_id = e.event_id AND p.rule_level >= 12", True)
+def page_lookup(spark, sf_dir):
+    processed = enriched(spark, sf_dir).filter("rule_level >= 12").select("event_id", "severity")
+    return alerts(spark, sf_dir).select("event_id", "src_ip").join(processed, "event_id", "left")
+
+
+FOCUS_SQL = """SELECT event_id, CASE WHEN threat_direction = 'infrastructure' THEN 'Monitoring/noise infrastructure source; treat as low-priority unless corroborated by protected-asset activity.'
+  WHEN threat_direction = 'outbound' THEN 'Protected asset initiated external communication under alert level ' || rule_level || '; investigate possible compromise, C2, or exfiltration.'
+  WHEN threat_direction = 'inbound' THEN 'External source targeted a protected asset under alert level ' || rule_level || '; assess exploit attempt and exposed service risk.'
+  WHEN threat_direction = 'lateral' THEN 'Internal-to-internal alert under level ' || rule_level || '; investigate post-compromise movement or policy violation.'
+  WHEN threat_direction = 'external' THEN 'External-to-external traffic with no configured protected asset involvement; lower relevance unless rule context proves impact.'
+  ELSE 'Insufficient IP direction context; rely on rule, signature, and IoC evidence for priority.' END AS reason FROM enriched"""
+
+
+@query(FOCUS_SQL, True)
+def priority_reason(spark, sf_dir):
+    return enriched(spark, sf_dir).select("event_id", A.priority_reason(F.col("threat_direction"), F.col("is_infrastructure_alert"), F.col("rule_level")).alias("reason"))
+
+
+@query()
+def response_focus(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    service = A.service_text(F.lit(None), F.col("proto"), F.lit(None).cast("string"), "service")
+    tags = A.behavior_tags(F.concat_ws(" ", "rule_description", "proto"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("threat_direction"))
+    focus = A.response_focus(F.col("threat_direction"), F.col("is_infrastructure_alert"), F.col("tags"), F.col("src_ip"), F.col("dest_ip"), service)
+    aim = A.directional_focus(F.col("threat_direction"), F.col("is_infrastructure_alert"), F.col("src_ip"), F.col("dest_ip"), service)
+    return e.withColumn("tags", tags).select("event_id", "tags", focus.alias("focus"), aim.alias("aim"))
+
+
+# --- time --------------------------------------------------------------------------------------------------------
+SNAP_SQL = "SELECT date_trunc('hour', ts) AS period, count(*) AS n, count(*) FILTER (rule_level >= 8) AS high, count(*) FILTER (rule_level >= 12) AS critical FROM alerts GROUP BY 1"
+
+
+@query(SNAP_SQL, True)
+def severity_snapshot_hourly(spark, sf_dir):
+    return N.snapshots(alerts(spark, sf_dir)).withColumn("period", F.col("period").cast("timestamp_ntz"))
+
+
+@query(f"""SELECT period, count(*) OVER w AS snapshots, round(avg(n) OVER w, 6) AS avg_n, CAST(sum(high) OVER w AS BIGINT) AS high, CAST(sum(critical) OVER w AS BIGINT) AS critical,
+  max(n) OVER w AS max_n, n AS latest FROM ({SNAP_SQL}) WINDOW w AS (ORDER BY period RANGE BETWEEN INTERVAL 23 HOURS PRECEDING AND CURRENT ROW)""", True)
+def trend_24h(spark, sf_dir):
+    t = N.trend(N.snapshots(alerts(spark, sf_dir)), 24)
+    return t.withColumns({"period": F.col("period").cast("timestamp_ntz"), "avg_n": F.round("avg_n", 6)})
+
+
+@query("""SELECT user_id, event_id, value, min(value) OVER w AS run_min, max(value) OVER w AS run_max, round(avg(value) OVER w * count(*) OVER w, 2) AS run_sum FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_metrics(spark, sf_dir):
+    r = N.running(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "value", "event_id")
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    return r.withColumn("run_sum", F.round(F.col("run_avg") * n, 2)).drop("run_avg")
+
+
+@query("""SELECT t.total, t.ok, r.recent, round(r.a, 6) AS avg_recent, r.mi AS min_recent, r.ma AS max_recent, round(t.ok * 100.0 / t.total, 6) AS success_rate FROM
+  (SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS ok FROM events) t,
+  (SELECT count(*) AS recent, avg(value) AS a, min(value) AS mi, max(value) AS ma FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 100)) r""")
+def report_metrics(spark, sf_dir):
+    m = N.run_metrics(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", F.col("event_type") != "error", "event_id")
+    return m.withColumns({"avg_recent": F.round("avg_recent", 6), "success_rate": F.round("success_rate", 6)}).select("total", "ok", "recent", "avg_recent", "min_recent", "max_recent", "success_rate")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS i FROM conversations) WHERE i <= 3")
+def ring_last_turns(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
+    return N.last_rows(rows, "conv_id", ["turn", "role"], 3)
+
+
+# --- rules and correlation -------------------------------------------------------------------------------------
+DETECTED_SQL = "detected AS (SELECT event_id, ts, src_ip, [100010, 100011, 100012, 100013, 100020, 100030, 100031, 100032][event_id % 8 + 1] AS rule_id FROM alerts)"
+
+
+def _detected(spark, sf_dir):
+    ids = F.array(*[F.lit(x) for x in (100010, 100011, 100012, 100013, 100020, 100030, 100031, 100032)])
+    return alerts(spark, sf_dir).select("event_id", "ts", "src_ip", F.element_at(ids, (F.col("event_id") % 8 + 1).cast("int")).alias("rule_id"))
+
+
+def _correlation_sql() -> str:
+    parts = [
+        f"""SELECT event_id, {n} AS correlation_id, {level} AS correlation_level, hits FROM (SELECT event_id, count(*) OVER (PARTITION BY src_ip ORDER BY ts
+        RANGE BETWEEN INTERVAL {s} SECONDS PRECEDING AND CURRENT ROW) AS hits FROM detected WHERE src_ip IS NOT NULL AND rule_id IN ({", ".join(map(str, members))})) WHERE hits >= {hits}"""
+        for n, members, hits, s, level, _ in D.CORRELATION
+    ]
+    return f"SELECT * FROM (WITH {DETECTED_SQL} {' UNION ALL '.join(parts)})"
+
+
+@query(_correlation_sql(), True)
+def correlate_same_source(spark, sf_dir):
+    return D.correlate(_detected(spark, sf_dir)).select("event_id", "correlation_id", "correlation_level", "hits")
+
+
+SIGNATURES = ("ET TROJAN Beacon", "ET EXPLOIT kit", "ET WEB_SERVER SQL probe", "ET POLICY User Agent", "ET SCAN sweep", "ET TOR node", "ET P2P share", "ET INFO other")
+
+
+@query("""SELECT event_id, rule_id, level FROM (SELECT event_id, event_id % 8 AS s, event_id % 3 + 1 AS sev FROM events), LATERAL (SELECT
+  CASE WHEN s = 0 AND sev = 1 THEN 100010 WHEN s = 1 AND sev = 1 THEN 100012 WHEN s = 2 AND sev = 2 THEN 100020 WHEN s = 3 AND sev = 2 THEN 100023
+       WHEN s = 5 AND sev = 1 THEN 100004 WHEN s = 5 THEN 100042 WHEN s = 4 AND sev = 3 THEN 100031
+       WHEN s = 3 AND sev = 3 THEN 100030 WHEN s = 6 AND sev = 3 THEN 100044 WHEN sev = 1 THEN 100004 WHEN sev = 2 THEN 100003 ELSE 100005 END AS rule_id,
+  CASE WHEN s = 0 AND sev = 1 THEN 16 WHEN s = 1 AND sev = 1 THEN 15 WHEN s = 2 AND sev = 2 THEN 12 WHEN s = 3 AND sev = 2 THEN 10
+       WHEN s = 5 AND sev = 1 THEN 10 WHEN s = 5 THEN 9 WHEN s = 4 AND sev = 3 THEN 7
+       WHEN s = 3 AND sev = 3 THEN 6 WHEN s = 6 AND sev = 3 THEN 6 WHEN sev = 1 THEN 10 WHEN sev = 2 THEN 8 ELSE 5 END AS level)""")
+def classify_rules(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    sig = F.element_at(F.array(*[F.lit(s) for s in SIGNATURES]), (F.col("event_id") % 8 + 1).cast("int"))
+    e = e.withColumn("r", D.classify((F.col("event_id") % 3 + 1).cast("int"), sig, F.lit(None).cast("long")))
+    return e.select("event_id", "r.rule_id", "r.level")
+
+
+# --- indicators in text ----------------------------------------------------------------------------------------
+TOKENS = "[\\p{L}\\p{N}_.]+"
+IP_OK = "list_filter(string_split(t, '.'), lambda p: (length(p) = 1 OR p[1] <> '0') AND TRY_CAST(p AS INT) <= 255)"
+
+
+@query(f"""SELECT doc_id, ip, min(pos) AS pos FROM (SELECT doc_id, t AS ip, pos FROM (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS pos FROM
+  (SELECT doc_id, list_filter(regexp_extract_all(text, '{TOKENS}'), lambda t: regexp_full_match(t, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') AND len({IP_OK}) = 4) AS x FROM documents)) ) GROUP BY doc_id, ip""")
+def artifact_ips(spark, sf_dir):
+    found = F.filter(F.regexp_extract_all("text", F.lit(T.UNICODE + P.IPV4), F.lit(0)), lambda x: net.ip_number(x).isNotNull())
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(found).alias("p", "ip"))
+    return rows.groupBy("doc_id", "ip").agg((F.min("p") + 1).cast("long").alias("pos"))
+
+
+@query("SELECT doc_id, e AS email FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,63}'))) AS e FROM documents)")
+def artifact_emails(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(T.emails(F.col("text"))).alias("email"))
+
+
+@query("""SELECT DISTINCT doc_id, lower(h) AS hash FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS h FROM documents)
+  WHERE regexp_full_match(h, '[A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64}')""")
+def artifact_hashes(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(T.hashes(F.col("text"))).alias("hash"))
+
+
+@query()
+def artifact_counts(spark, sf_dir):
+    found = documents(spark, sf_dir).select("doc_id", T.counts(T.artifacts(F.col("text"))).alias("c")).select("doc_id", "c.*")
+    return found.filter("ips + domains + urls + emails + hashes > 0")
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages")
+def url_hosts(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = T.urls(F.col("url"))
+    host = F.lower(F.regexp_extract(F.get(found, F.lit(0)), "^https?://([^/?#:]+)", 1))
+    return p.select("page_id", host.alias("host"))
+
+
+@query("SELECT page_id, url AS refanged FROM pages")
+def refang(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    defanged = F.replace(F.regexp_replace("url", "^http", "hxxp"), F.lit("."), F.lit("[.]"))
+    return p.select("page_id", T.refang(defanged).alias("refanged"))
+
+
+@query()
+def context_labels(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.context_labels(F.col("text")).alias("labels"), T.behavior_tags(F.col("text")).alias("tags")).filter((F.size("labels") > 0) | (F.size("tags") > 0))
+
+
+@query()
+def artifact_dispositions(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.slice(T.ips(F.col("text")), 1, 30)).alias("ip"))
+    return d.select("doc_id", "ip", T.disposition(F.col("text"), F.col("ip"), "ips").alias("disposition"))
+
+
+@query()
+def extraction_quality(spark, sf_dir):
+    q = T.extraction_quality(F.col("text"), F.lit(2))
+    return documents(spark, sf_dir).select("doc_id", q.alias("q")).select("doc_id", "q.quality", "q.words", "q.characters", F.array_join("q.warnings", ",").alias("warnings"))
+
+
+# --- chunks ----------------------------------------------------------------------------------------------------
+@query("""SELECT doc_id, i AS chunk_index, trim(substr(text, i * 450 + 1, 500), E' \\t\\n\\r') AS chunk FROM (SELECT doc_id, text,
+  unnest(range(0, greatest(0, CAST(ceil((length(text) - 500) / 450.0) AS INT)) + 1)) AS i FROM documents) WHERE trim(substr(text, i * 450 + 1, 500), E' \\t\\n\\r') <> ''""")
+def char_chunks(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunk.window_chunks(F.col("text"))).alias("p", "chunk")).select("doc_id", F.col("p").cast("long").alias("chunk_index"), "chunk")
+
+
+@query()
+def sentence_chunks(spark, sf_dir):
+    return chunk.chunk_documents(documents(spark, sf_dir), "sentences").select("doc_id", "chunk_index", "chunk_count", "text")
+
+
+@query()
+def section_chunks(spark, sf_dir):
+    return chunk.chunk_documents(documents(spark, sf_dir), "sections")
+
+
+# --- corpus ------------------------------------------------------------------------------------------------------
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY text")
+def content_dedupe(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(C.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id, h AS content_hash, row_number() OVER (PARTITION BY h ORDER BY doc_id) > 1 OR h IN (SELECT sha256(text) FROM documents WHERE source = 'src0') AS duplicate FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE source <> 'src0')")
+def duplicate_uploads(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "source", C.content_hash(F.col("text")).alias("content_hash"))
+    up = d.filter("source <> 'src0'").withColumn("name", F.col("doc_id"))
+    return C.duplicate_uploads(up, d.filter("source = 'src0'")).select("doc_id", "content_hash", "duplicate")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def embedding_pending(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT source, count(*) AS n_rows, count(quality) AS labelled, count(DISTINCT coalesce(nullif(lang, ''), source)) AS langs FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def status_counts(spark, sf_dir):
+    d = documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left")
+    return d.groupBy("source").agg(F.count("*").alias("n_rows"), F.count("quality").alias("labelled"), F.count_distinct(F.coalesce(F.nullif("lang", F.lit("")), "source")).alias("langs"))
+
+
+@query("SELECT event_id FROM alerts WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS", True)
+def retention(spark, sf_dir):
+    rows = alerts(spark, sf_dir).withColumns({"event_timestamp": F.col("ts").cast("timestamp"), "created_at": F.col("ts").cast("timestamp")})
+    return C.retained(rows, 7, F.to_timestamp(F.lit("2024-01-31"))).select("event_id")
+
+
+# --- search ------------------------------------------------------------------------------------------------------
+def _vectors(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lit("archive").alias("source"), F.col("vec_id").alias("id"), F.concat(F.lit("vector "), F.col("vec_id")).alias("content"), F.col("embedding").alias("vector"), F.lit(None).cast("timestamp").alias("ts"), F.col("label").alias("severity"))
+
+
+def _vector_queries(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.lit("").alias("query"), F.col("embedding").alias("vector"))
+
+
+VECTOR_SQL = "SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings c, embeddings q WHERE q.vec_id < 5"
+
+
+@query(f"SELECT query_id, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS i FROM ({VECTOR_SQL}) WHERE s >= 0.2) WHERE i <= 10")
+def vector_topk(spark, sf_dir):
+    return S.semantic(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, count(*) AS n FROM ({VECTOR_SQL}) WHERE s >= 0.1 GROUP BY query_id")
+def vector_threshold(spark, sf_dir):
+    return S.semantic(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 1 << 30, 0.1).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT label, id, round(s, 6) AS score FROM (SELECT e.label, v.id, v.s, row_number() OVER (PARTITION BY e.label ORDER BY v.s DESC, v.id) AS i FROM ({VECTOR_SQL}) v JOIN embeddings e ON e.vec_id = v.id WHERE v.query_id = 0) WHERE i <= 3")
+def topk_per_label(spark, sf_dir):
+    q = S.small(_vector_queries(spark, sf_dir).filter("query_id = 0").select(F.col("vector").alias("q")))
+    rows = _vectors(spark, sf_dir).join(q).withColumn("s", S.cosine(F.col("vector"), F.col("q")))
+    n = F.row_number().over(W.partitionBy("severity").orderBy(F.desc("s"), "id"))
+    return rows.withColumn("i", n).filter("i <= 3").select(F.col("severity").alias("label"), "id", F.round("s", 6).alias("score"))
+
+
+LEX = ("of and the", "que de la", "der die und", "est les pour")
+
+
+def _lexical_queries(spark):
+    return spark.createDataFrame([(i, q) for i, q in enumerate(LEX)], "query_id long, query string")
+
+
+def _docs_corpus(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.lit("custom_document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).alias("severity"), F.lit(None).cast("array<float>").alias("vector"))
+
+
+@query("SELECT q.query_id, count(*) AS n, min(doc_id) AS first_doc FROM (VALUES " + ", ".join(f"({i}, {q.split(' ')!r})" for i, q in enumerate(LEX)) + ") q(query_id, lex), documents d WHERE list_has_all(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]+'), q.lex) GROUP BY q.query_id")
+def lexical_all_terms(spark, sf_dir):
+    found = S.lexical(_docs_corpus(spark, sf_dir), _lexical_queries(spark), 1 << 30)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("first_doc"))
+
+
+@query("SELECT token, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_.:/-]{4,}'))) AS token FROM documents) GROUP BY token HAVING count(DISTINCT doc_id) >= 20")
+def token_counts(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("token").agg(F.count_distinct("doc_id").alias("docs")).filter("docs >= 20")
+
+
+@query(f"""SELECT DISTINCT doc_id FROM (SELECT doc_id, t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKENS}')) AS t FROM documents)
+  WHERE regexp_full_match(t, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') AND len({IP_OK}) = 4 AND t IN (SELECT min(t) FROM (SELECT unnest(regexp_extract_all(text, '{TOKENS}')) AS t FROM documents)
+  WHERE regexp_full_match(t, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') AND len({IP_OK}) = 4))""")
+def exact_term_semijoin(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.explode(T.ips(F.col("text"))).alias("ip"))
+    wanted = d.agg(F.min("ip").alias("ip"))
+    return d.join(F.broadcast(wanted), "ip", "left_semi").select("doc_id").distinct()  # wanted: one row
+
+
+def _hybrid(spark, sf_dir):
+    q = _lexical_queries(spark).withColumn("vector", F.lit(None).cast("array<float>"))
+    first = documents(spark, sf_dir).select(F.explode(T.emails(F.col("text"))).alias("e")).agg(F.min("e").alias("e"))
+    terms = F.array(F.struct(F.lit("emails").alias("type"), F.col("e").alias("term")))
+    return q.join(F.broadcast(first)).withColumn("terms", terms).drop("e")  # first: one row
+
+
+@query()
+def hybrid_merge(spark, sf_dir):
+    found = S.hybrid_search([_docs_corpus(spark, sf_dir)], _hybrid(spark, sf_dir), 10)
+    return found.select("query_id", "rank", "source", "id", F.round("score", 6).alias("score"), "match_types", "match_evidence")
+
+
+@query(f"""SELECT query_id, id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, s DESC, source, id) AS rank FROM (SELECT *, CAST(row_number() OVER
+  (PARTITION BY query_id, source ORDER BY s DESC, source, id) > 7 AS INT) AS late FROM (SELECT query_id, id, round(s, 6) AS s, CASE WHEN id % 7 = 0 THEN 'custom_document' ELSE 'archive' END AS source FROM ({VECTOR_SQL})))) WHERE rank <= 10""")
+def source_diversity(spark, sf_dir):
+    rows = S.semantic(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 1 << 30, -2.0)
+    rows = rows.withColumns({"source": F.when(F.col("id") % 7 == 0, "custom_document").otherwise("archive"), "score": F.round("score", 6)})
+    return S.diversify(rows, 10).select("query_id", "id", "source", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 2.0 ELSE 0 END + 0.18 * least(doc_id % 13, 10) + 1.2 * least(greatest((doc_id % 20) / 10.0::DOUBLE, 0), 1.5)
+  + 0.15 * least(doc_id % 8, 5) + CASE WHEN doc_id % 17 >= 12 THEN 0.5 WHEN doc_id % 17 >= 8 THEN 0.25 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0.25 ELSE 0.1 END
+  + 0.35 * least(doc_id % 4, 3) - CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 0.45 ELSE 0 END, 3)::DOUBLE AS score FROM documents""")
+def rerank_score(spark, sf_dir):
+    i = F.col("doc_id")
+    types = F.when(i % 5 == 0, F.array(F.lit("exact"))).otherwise(F.array(F.lit("semantic")))
+    score = S.context_rank(types, i % 13, (i % 20) / 10, i % 8, i % 17, F.when(i % 2 == 0, "custom_document").otherwise("archive"), i % 4, i % 3 == 0)
+    return documents(spark, sf_dir).select("doc_id", score.alias("score"))
+
+
+@query("""SELECT doc_id, CASE WHEN (e AND o > 0 AND NOT na) OR (mal AND o > 0) THEN 'high' WHEN e OR o >= 2 OR (l AND o > 0) THEN 'medium' ELSE 'low' END AS strength FROM
+  (SELECT doc_id, doc_id % 3 = 0 AS e, doc_id % 3 = 1 AS l, doc_id % 4 AS o, doc_id % 5 = 0 AS na, doc_id % 7 = 0 AS mal FROM documents)""")
+def evidence_strength(spark, sf_dir):
+    i = F.col("doc_id")
+    types = F.array(F.element_at(F.array(F.lit("exact"), F.lit("lexical"), F.lit("semantic")), (i % 3 + 1).cast("int")))
+    return documents(spark, sf_dir).select("doc_id", S.evidence_strength(types, i % 4, i % 7 == 0, i % 5 == 0).alias("strength"))
+
+
+@query("""SELECT a.doc_id, list_sort(list_intersect(a.x, b.x)) AS shared, list_sort(list_filter(a.x, lambda v: NOT list_contains(b.x, v))) AS only_here FROM
+  (SELECT doc_id, list_distinct(string_split(source || ' ' || lang, ' ')) AS x FROM documents) a JOIN (SELECT doc_id, list_distinct(string_split(source || ' ' || lang, ' ')) AS x FROM documents) b ON b.doc_id = a.doc_id + 1""")
+def overlap_by_type(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.array("source", "lang").alias("x"))
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
+    j = d.join(b, "doc_id")
+    return j.select("doc_id", F.array_sort(S.overlap(F.col("y"), F.col("x"))).alias("shared"), F.array_sort(S.historical_only(F.col("y"), F.col("x"))).alias("only_here"))
+
+
+@query()
+def report_round_trip(spark, sf_dir):
+    d = documents(spark, sf_dir).filter("doc_id >= 0").select(F.col("doc_id").cast("string").alias("report_id"), F.concat(F.lit("# Report\n\n## Executive Summary\n"), F.left("text", F.lit(200)), F.lit("\n\n## Key Findings\n- one\n- two\n\n## Immediate Actions Required\n1. Block it\n\n**Analysis Complete**\n")).alias("markdown"))
+    parsed = R.parse_reports(d)
+    return parsed.select("report_id", "threat_level", F.size("key_findings").alias("findings"), F.size(R.errors_of()).alias("errors"), F.length(R.serialise()).alias("length"))
+
+
+@query("SELECT doc_id, CAST(floor(length(text) / 3) AS INT) AS tokens FROM documents")
+def token_estimates(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", R.token_estimate(F.col("text")).alias("tokens"))
+
+
+# --- streaming ---------------------------------------------------------------------------------------------------
+def _stream(spark, sf_dir):
+    """The alert view as a stream over the folder's events file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return M.event_time(raw.select("event_id", "ts", (k % 17).alias("rule_level"), (k + 100000).alias("rule_id"), F.col("event_type").alias("rule_description"), F.concat(F.lit("10.0.0."), F.col("user_id") % 250 + 1).alias("src_ip"), F.lit("192.0.2.1").alias("dest_ip")), delay="40 days")
+
+
+@query("""SELECT count(*) AS n, CAST(sum(rule_level) AS BIGINT) AS levels FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type, user_id % 250 AS u, date_trunc('minute', ts) AS m, CAST(json_extract_string(props, '$.k') AS INT) % 17 AS rule_level FROM events)""")
+def stream_dedupe_window(spark, sf_dir):
+    import uuid
+
+    name = f"dedupe_{uuid.uuid4().hex[:12]}"
+    out = M.run_to_table(M.dedupe(_stream(spark, sf_dir)), name, _checkpoint(spark, name))
+    return out.agg(F.count("*").alias("n"), F.sum("rule_level").alias("levels"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS INT) % 17 >= 8) AS high, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS INT) % 17 >= 12) AS critical FROM events GROUP BY 1")
+def stream_snapshots(spark, sf_dir):
+    import uuid
+
+    name = f"snapshots_{uuid.uuid4().hex[:12]}"
+    out = M.run_to_table(M.snapshots(_stream(spark, sf_dir)), name, _checkpoint(spark, name), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "high", "critical")
+
+
+def _checkpoint(spark, name: str) -> str:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="alertloom-stream-")
+    return f"{folder.rstrip('/')}/{name}"
+
+
+# --- engine smoke: the reference has no star joins ---------------------------------------------------------------
+@query("SELECT n_name, CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def revenue_by_nation(spark, sf_dir):
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
