@@ -8,16 +8,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from alertloom.functions import chunk
 from alertloom.functions import text as X
 
-ARCHIVE = T.StructType.fromDDL("alert_hash string, content string, vector array<float>, metadata string, source string, severity int, created_at timestamp, event_timestamp timestamp, event_date date")
-CHUNKS = T.StructType.fromDDL("doc_hash string, filename string, content string, vector array<float>, metadata string, chunk_index int, created_at timestamp")
+ARCHIVE = "alert_hash string, content string, vector array<float>, metadata string, source string, severity int, created_at timestamp, event_timestamp timestamp, event_date date"
+CHUNKS = "doc_hash string, filename string, content string, vector array<float>, metadata string, chunk_index int, created_at timestamp"
 
 
-def create_store(spark: SparkSession, path: str, schema: T.StructType) -> None:
+def create_store(spark: SparkSession, path: str, schema: str) -> None:
     """An empty table with the declared schema, if there is none."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

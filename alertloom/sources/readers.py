@@ -69,7 +69,10 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path, length, content, content_hash, error): files with the reason of refusal, NULL for a good one."""
+    """(name, path, length, content, content_hash, error): files with the reason of refusal, NULL for a good one.
+
+    Spark's binary source leaves empty files out of its listing on some stores; where they show up they are refused.
+    """
     f = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
