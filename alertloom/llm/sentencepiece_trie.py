@@ -45,7 +45,6 @@ class PieceModel:
     def __init__(self, pieces: list[tuple[str, float]], kind: str, bytes_at: dict[int, int], specials: set[int], unknown: int, dummy_prefix: bool = True):
         self.pieces, self.kind, self.bytes_at, self.unknown, self.dummy_prefix = pieces, kind, bytes_at, unknown, dummy_prefix
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if i not in specials and i not in bytes_at.values()}
-        self.longest = max((len(p) for p in self.ids), default=1)
         self.pairs: dict[int, bool] = {}
         self.runs: dict[int, list[int]] = {}
         self.specials = specials
@@ -58,6 +57,7 @@ class PieceModel:
             self.raw[i] = bytes([b])
         for p, i in self.ids.items():
             self.raw[i] = p.replace(MARK, " ").encode()
+        self._prepare()
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -76,12 +76,39 @@ class PieceModel:
         kind = {1: "unigram", 2: "bpe"}[proto.trainer_spec.model_type]
         return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in range(n)], kind, at, special, sp.unk_id(), spec.add_dummy_prefix)
 
+    def _prepare(self) -> None:
+        """Pieces the forward pass may use, their order of merging, and where each was last joined."""
+        if self.kind == "bpe":
+            order = sorted(self.ids.values(), key=lambda i: -self.pieces[i][1])
+            self.rank = [-1] * len(self.pieces)
+            for r, i in enumerate(order):
+                if len(self.pieces[i][0]) > 1:
+                    self.rank[i] = r
+            self.left, self.right = [-1] * len(self.pieces), [-1] * len(self.pieces)
+            self.usable = {}
+            for p, i in self.ids.items():
+                if len(p) > 1:
+                    parts = self.merge(p, stop=2)
+                    if len(parts) != 2 or parts[0] + parts[1] != p or len(self.merge(p)) != 1:
+                        continue  # merging never makes this piece
+                    self.left[i], self.right[i] = self.ids[parts[0]], self.ids[parts[1]]
+                self.usable[p] = i
+        else:
+            self.usable = self.ids
+        ends: dict[str, set[int]] = {}
+        for p in self.usable:
+            if len(p) >= 3:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        #: Last three characters -> lengths of the pieces that end so, longest first.
+        self.ends = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
+
     # --- the model's merge rule on a short string
-    def merge(self, text: str) -> list[str]:
-        """BPE by definition: join the neighbours whose concatenation scores best, leftmost on ties."""
+    def merge(self, text: str, stop: int = 1) -> list[str]:
+        """BPE by definition: join the neighbours whose concatenation scores best, leftmost on ties, down to `stop` parts."""
         parts: list[str | None] = list(text)
         nxt, prv = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str, str]] = []
+        left = len(parts)
 
         def offer(i: int) -> None:
             j = nxt[i]
@@ -90,11 +117,12 @@ class PieceModel:
 
         for i in range(len(parts) - 1):
             offer(i)
-        while heap:
+        while heap and left > stop:
             _, i, a, b = heapq.heappop(heap)
             if parts[i] != a or (j := nxt[i]) >= len(parts) or parts[j] != b:
                 continue
             parts[i], parts[j] = a + b, None
+            left -= 1
             nxt[i] = nxt[j]
             if nxt[j] < len(parts):
                 prv[nxt[j]] = i
@@ -104,58 +132,71 @@ class PieceModel:
         return [p for p in parts if p is not None]
 
     def stays(self, a: int, b: int) -> bool:
-        """Whether merging the two pieces' text gives just these two pieces."""
-        key = a * len(self.pieces) + b
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            x, y = self.pieces[a][0], self.pieces[b][0]
-            got = self.pairs[key] = self.merge(x + y) == [x, y]
-        return got
+        """Whether merging the two pieces' text gives just these two pieces.
+
+        Their joins are undone, the later one first; they part if at some point a join across the border would have
+        come before the join just undone (on a tie, the one further left comes first).
+        """
+        rank, ids, pieces = self.rank, self.ids, self.pieces
+        limit = len(pieces)
+        while True:
+            k = ids.get(pieces[a][0] + pieces[b][0])
+            if k is not None and rank[k] < limit:
+                return False
+            x, y = rank[a], rank[b]
+            if x > y:
+                limit, a = x, self.right[a]
+            elif y >= 0:
+                limit, b = y + 1, self.left[b]
+            else:
+                return True
 
     # --- the forward pass
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct marked words; a word is one MARK (or none) and other characters."""
         out: dict[str, list[int]] = {}
-        ids, pieces, longest, bpe = self.ids, self.pieces, self.longest, self.kind == "bpe"
+        usable, ends, pieces, bpe = self.usable, self.ends, self.pieces, self.kind == "bpe"
+        pairs, size, short = self.pairs, len(self.pieces), (2, 1)
+        if len(pairs) > CACHE_PAIRS:
+            pairs.clear()
         before = ""
-        # state of each prefix: (start of its last piece, id of that piece or -1, score)
-        states: list[tuple[int, int, float]] = [(0, -2, 0.0)]
+        # of each prefix of the word: start and id (-1: none, -2: at the beginning) of its last piece, and the score
+        starts, last, scores = [0], [-2], [0.0]
         for word in sorted(words):
-            same = 0
-            for x, y in zip(before, word):  # noqa: B905
-                if x != y:
-                    break
+            same, most = 0, min(len(before), len(word))
+            while same < most and before[same] == word[same]:
                 same += 1
-            del states[same + 1 :]
+            del starts[same + 1 :], last[same + 1 :], scores[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                best = None
-                if bpe:
-                    for start in range(max(0, end - longest), end):
-                        piece = ids.get(word[start:end])
-                        if piece is None:
-                            continue
-                        last = states[start][1]
-                        if last < 0 or self.stays(last, piece):
-                            # the piece itself must be what its text merges to
-                            if start == end - 1 or self.whole(piece):
-                                best = (start, piece, 0.0)
-                                break
-                else:
-                    for start in range(max(0, end - longest), end):
-                        piece = ids.get(word[start:end])
-                        if piece is not None:
-                            score = states[start][2] + pieces[piece][1]
-                            if best is None or score > best[2]:
-                                best = (start, piece, score)
-                if best is None or best[1] < 0:
-                    best = (end - 1, -1, states[end - 1][2] - 1e3)
-                states.append(best)
+                at, found, score = end - 1, -1, scores[end - 1] - 1e3
+                for n in (*ends.get(word[end - 3 : end], ()), *short) if end >= 3 else short:
+                    start = end - n
+                    if start < 0:
+                        continue
+                    piece = usable.get(word[start:end])
+                    if piece is None:
+                        continue
+                    if bpe:
+                        p = last[start]
+                        if p >= 0:
+                            key = p * size + piece
+                            ok = pairs.get(key)
+                            if ok is None:
+                                ok = pairs[key] = self.stays(p, piece)
+                            if not ok:
+                                continue
+                        at, found, score = start, piece, 0.0
+                        break
+                    here = scores[start] + pieces[piece][1]
+                    if found < 0 or here > score:
+                        at, found, score = start, piece, here
+                starts.append(at)
+                last.append(found)
+                scores.append(score)
             got: list[int] = []
             end = len(word)
             while end:
-                start, piece, _ = states[end]
+                start, piece = starts[end], last[end]
                 if piece < 0:
                     got += [self.bytes_at[b] for b in reversed(word[start:end].encode("utf-8", "replace"))]
                 else:
@@ -165,10 +206,6 @@ class PieceModel:
             before = word
         return out
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
-    def whole(self, piece: int) -> bool:
-        return len(self.merge(self.pieces[piece][0])) == 1
-
     def run(self, n: int) -> list[int]:
         """Ids of n marks in a row."""
         if n not in self.runs:
@@ -180,7 +217,7 @@ class PieceModel:
 
     def _best_run(self, n: int) -> list[str]:
         """Viterbi over marks alone."""
-        sizes = [k for k in range(1, self.longest + 1) if MARK * k in self.ids]
+        sizes = [len(p) for p in self.ids if not p.strip(MARK)]
         best: list[tuple[float, int]] = [(0.0, 0)]
         for i in range(1, n + 1):
             best.append(max((best[i - k][0] + self.pieces[self.ids[MARK * k]][1], k) for k in sizes if k <= i))
@@ -230,7 +267,7 @@ def _loaded(path: str) -> PieceModel:
 
 
 class _Cache:
-    """Units seen so far, with their ids in one flat array."""
+    """Units seen so far by this worker, with their ids in one flat array."""
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -238,20 +275,31 @@ class _Cache:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start: list[int] = []
-        self.size: list[int] = []
+        self.flat = np.zeros(1 << 20, np.int32)
+        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.used = 0
 
     def add(self, units: set[str]) -> None:
-        for u, ids in self.model.encode_units([u for u in units if u not in self.code]).items():
-            n = len(ids)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + n] = ids
-            self.code[u] = len(self.start)
-            self.start.append(self.used)
-            self.size.append(n)
-            self.used += n
+        if not units:
+            return
+        known = self.model.encode_units(list(units))
+        sizes = np.fromiter(map(len, known.values()), np.int64, len(known))
+        ids = np.fromiter((i for x in known.values() for i in x), np.int32, int(sizes.sum()))
+        n, used = len(self.code), self.used
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(known) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[used : used + len(ids)] = ids
+        self.start[n : n + len(known)] = used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(known)] = sizes
+        self.code.update(zip(known, range(n, n + len(known)), strict=True))
+        self.used += len(ids)
+
+
+@lru_cache(maxsize=2)
+def _cache(path: str) -> _Cache:
+    return _Cache(_loaded(path))
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -268,8 +316,7 @@ def encode_rows(docs: DataFrame, model_path: str | None = None, id_col: str = "d
     path = model_path or default_model()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(path)
-        cache = _Cache(model)
+        model, cache = _loaded(path), _cache(path)
         lengths = np.array([len(x) for x in model.raw])
         starts = np.cumsum(lengths) - lengths
         table = np.frombuffer(b"".join(model.raw), np.uint8)
@@ -288,10 +335,10 @@ def encode_rows(docs: DataFrame, model_path: str | None = None, id_col: str = "d
                 cache.add({u for x in units for u in x} - cache.code.keys())
                 code = cache.code
                 codes = np.fromiter((code[u] for x in units for u in x), np.int64, sum(map(len, units)))
-                begin, sizes = np.array(cache.start, np.int64), np.array(cache.size, np.int64)
-                ids = _gather(cache.flat, begin[codes], sizes[codes])
+                sizes = cache.size[codes]
+                ids = _gather(cache.flat, cache.start[codes], sizes)
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in units])])
-                total = np.concatenate([[0], np.cumsum(sizes[codes])])[cut]
+                total = np.concatenate([[0], np.cumsum(sizes)])[cut]
                 decoded = _gather(table, starts[ids], lengths[ids]).tobytes()
                 ends = np.concatenate([[0], np.cumsum(lengths[ids])])[total]
                 lead = 1 if model.dummy_prefix else 0
