@@ -6,7 +6,7 @@
    goes to its nearest centroid's shard and, as overlap, to the next ones in reach. Oversized shards are dealt
    into parts by hash, and every two parts meet in one task.
 3. In each shard, near neighbours are pruned robustly (a neighbour is dropped if a kept one is nearer to it than
-   the vertex by factor `alpha`), which gives bounded adjacency lists; lists of a vertex are united over its shards.
+   the vertex by factor `alpha`); edges count both ways, and the lists of a vertex are united over its shards.
 4. Range-expanding greedy search on the united graph: from the shard's medoid a beam walks to each vertex's own
    neighbourhood, then the frontier of vertices in range expands until no neighbour in range is new.
    Every hit is verified by the double-precision cosine.
@@ -60,7 +60,7 @@ def robust_prune(x: np.ndarray, degree: int, pool: int, alpha: float, rows: np.n
         order = np.argsort(-np.take_along_axis(sims, near, 1), 1, kind="stable")
         near = np.take_along_axis(near, order, 1)
         dist = 1 - np.take_along_axis(sims, near, 1)
-        between = 1 - np.einsum("qad,qbd->qab", x[near], x[near])
+        between = 1 - x[near] @ x[near].transpose(0, 2, 1)
         alive = np.ones(near.shape, bool)
         kept = np.zeros(near.shape, bool)
         count = np.zeros(len(part), int)
@@ -108,25 +108,41 @@ def greedy(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, beam: in
     return found
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
-    """For each query row of x, the other rows with cosine >= threshold that the expanding search reaches."""
+def reversed_lists(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """For each vertex, those that have it in their list; at most as many as the shard has rows."""
+    head = np.repeat(np.arange(len(lists)), [len(a) for a in lists])
+    tail = np.concatenate(lists).astype(np.int64) if lists else head
+    order = np.argsort(tail, kind="stable")
+    return np.split(head[order], np.searchsorted(tail[order], np.arange(1, len(lists)))) if lists else []
+
+
+def range_search(x: np.ndarray, lists: list[np.ndarray], back: list[np.ndarray], queries: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
+    """For each query row of x, the other rows with cosine >= threshold that the expanding search reaches.
+
+    The greedy walk follows the bounded lists; the expansion follows edges both ways.
+    """
     begin = greedy(x, lists, queries, beam)
+    both = [np.concatenate(ab) for ab in zip(lists, back, strict=True)]
+    seen = np.zeros(len(x), bool)
     out = []
     for q, ids in zip(queries.tolist(), begin, strict=True):
-        seen = {q, *(i for i in ids.tolist() if i >= 0)}
-        first = np.array(sorted(seen), np.int64)
-        hit = first[x[first] @ x[q] >= threshold]
-        hits, frontier = set(hit.tolist()) | {q}, set(hit.tolist()) | {q}
-        while frontier:
-            near = {j for i in frontier for j in lists[i].tolist()} - seen
-            if not near:
+        near = np.unique(np.append(ids[ids >= 0], q))
+        touched, hits = [near], []
+        seen[near] = True
+        while len(near):
+            inside = near[(x[near] @ x[q] >= threshold) | (near == q)]
+            hits.append(inside)
+            if not len(inside):
                 break
-            seen |= near
-            near = np.fromiter(near, np.int64, len(near))
-            frontier = set(near[x[near] @ x[q] >= threshold].tolist())
-            hits |= frontier
-        hits.discard(q)
-        out.append(np.array(sorted(hits), np.int64))
+            near = np.concatenate([both[i] for i in inside])
+            near = near[~seen[near]]
+            seen[near] = True
+            near = np.unique(near)
+            touched.append(near)
+        for t in touched:
+            seen[t] = False
+        found = np.sort(np.concatenate(hits))
+        out.append(found[found != q])
     return out
 
 
@@ -227,20 +243,22 @@ def _search(classes: DataFrame, centres: dict, scratch: Scratch, threshold: floa
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = robust_prune(_matrix(pdf.u), degree, pool, alpha)
         ids = pdf.node.to_numpy()
-        return pd.DataFrame({"node": ids, "near": [ids[a].tolist() for a in lists]})
+        return pd.DataFrame({"node": ids, "near": [ids[a].tolist() for a in lists], "back": [ids[a].tolist() for a in reversed_lists(lists)]})
 
-    lists = dealt.groupBy(*keys).applyInPandas(build, "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most degree for each shard
+    lists = dealt.groupBy(*keys).applyInPandas(build, "node long, near array<long>, back array<long>")
+    unite = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    united = lists.groupBy("node").agg(unite("near"), unite("back"))  # bounded by the sizes of a vertex's shards
     united = scratch.save(united)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, copies = _matrix(pdf.u), pdf.node.to_numpy(), pdf.copies.to_numpy()
         at = {v: i for i, v in enumerate(ids.tolist())}
-        lists = [np.array([at[j] for j in near if j in at], np.int64) for near in pdf.near]
+        local = lambda column: [np.array([at[j] for j in near if j in at], np.int64) for near in column]
+        lists, back = local(pdf.near), local(pdf.back)
         queries = np.flatnonzero(pdf.home.to_numpy())
         own, low, high = pdf.part.to_numpy(), pdf.low.iloc[0], pdf.high.iloc[0]
         forest, links = Forest(len(ids)), np.zeros(len(queries), np.int64)
-        for k, (q, hits) in enumerate(zip(queries.tolist(), range_search(x, lists, queries, threshold, beam), strict=True)):
+        for k, (q, hits) in enumerate(zip(queries.tolist(), range_search(x, lists, back, queries, threshold, beam), strict=True)):
             # pairs inside a part are met by every task of the part; one of them counts them
             mine = low == high or (own[q] == high and low == high - 1) or (own[q] == low == 0 and high == 1)
             links[k] = copies[hits if mine else hits[own[hits] != own[q]]].sum()
