@@ -70,7 +70,8 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...]
 
     def typed(texts: Column) -> Column:
         def of(kind: str) -> Column:
-            found = F.flatten(F.transform(texts, T.EXTRACTORS[kind]))
+            # kinds without a pattern of their own (rule numbers, signatures) are compared as tokens
+            found = F.flatten(F.transform(texts, T.EXTRACTORS.get(kind, T.tokens)))
             return F.transform(F.array_distinct(F.transform(found, F.lower)), _typed(kind))
 
         return F.concat(*[of(kind) for kind in kinds])
@@ -133,8 +134,11 @@ def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse:
     """Three branches on each corpus, merged; k rows per query."""
     take = max(k * MULTIPLIER, k)
     found = None
+    kinds = [r.type for r in queries.select(F.explode("terms.type").alias("type")).distinct().limit(100).collect() if r.type]  # the few kinds asked for
     for corpus in corpora:
-        for name, rows in (("semantic", semantic(corpus, queries, take)), ("exact", exact(corpus, queries, take)), ("lexical", lexical(corpus, queries, take))):
+        for name, rows in (("semantic", semantic(corpus, queries, take)), ("exact", exact(corpus, queries, take, tuple(kinds)) if kinds else None), ("lexical", lexical(corpus, queries, take))):
+            if rows is None:
+                continue
             for c, kind in (("semantic_score", "double"), ("lexical_score", "double"), ("match_evidence", "array<string>")):
                 if c not in rows.columns:
                     rows = rows.withColumn(c, F.lit(None).cast(kind))

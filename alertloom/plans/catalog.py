@@ -14,6 +14,7 @@ from alertloom.functions import text as T
 from alertloom.operators import alerts as A
 from alertloom.operators import analytics as N
 from alertloom.operators import corpus as C
+from alertloom.operators import reporting as G
 from alertloom.operators import reports as R
 from alertloom.operators import rules as D
 from alertloom.operators import search as S
@@ -511,6 +512,47 @@ def token_estimates(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", R.token_estimate(F.col("text")).alias("tokens"))
 
 
+# --- reporting ---------------------------------------------------------------------------------------------------
+@query("SELECT rule_id, event_id FROM (SELECT rule_id, event_id, row_number() OVER (PARTITION BY rule_id ORDER BY event_id DESC) AS i FROM alerts) WHERE i = 1 AND rule_id % 10 = 3", True)
+def selected_alerts(spark, sf_dir):
+    a = alerts(spark, sf_dir)
+    return G.selected(a, a.filter("rule_id % 10 = 3"), "rule_id").select("rule_id", "event_id")
+
+
+@query("""WITH top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, lower(rule_description), coalesce(src_ip, ''), coalesce(dest_ip, '')
+  ORDER BY rule_level DESC, ts DESC, event_id) AS i FROM alerts) WHERE i = 1 ORDER BY rule_level DESC, ts DESC, event_id LIMIT 12)
+  SELECT DISTINCT * FROM (SELECT 'ips' AS type, src_ip AS term FROM top UNION ALL SELECT 'ips', dest_ip FROM top UNION ALL SELECT 'rule_ids', CAST(rule_id AS VARCHAR) FROM top) WHERE term IS NOT NULL""".replace("WITH top AS", ", top AS"), True)
+def exact_terms(spark, sf_dir):
+    return G.exact_terms(alerts(spark, sf_dir))
+
+
+@query()
+def focused_queries(spark, sf_dir):
+    return G.focused_queries(alerts(spark, sf_dir))
+
+
+@query("""SELECT kind, count(DISTINCT v) AS n FROM (SELECT 'ips' AS kind, src_ip AS v FROM alerts UNION ALL SELECT 'ips', dest_ip FROM alerts UNION ALL SELECT 'rule_ids', CAST(rule_id AS VARCHAR) FROM alerts) GROUP BY kind""", True)
+def current_artifacts(spark, sf_dir):
+    c = G.current_artifacts(alerts(spark, sf_dir), cap=100_000)
+    return c.select(F.explode(F.array(F.struct(F.lit("ips").alias("kind"), F.size("ips").cast("long").alias("n")), F.struct(F.lit("rule_ids").alias("kind"), F.size("rule_ids").cast("long").alias("n")))).alias("x")).select("x.kind", "x.n")
+
+
+@query("""SELECT 'severity' AS section, severity AS label, count(*) AS n FROM enriched GROUP BY 2 UNION ALL SELECT 'direction', threat_direction, count(*) FROM enriched GROUP BY 2
+  UNION ALL SELECT * FROM (SELECT 'source', src_ip, count(*) AS n FROM enriched WHERE NOT is_infrastructure_alert AND src_ip IS NOT NULL GROUP BY 2 ORDER BY n DESC, min(event_id) LIMIT 5)
+  UNION ALL SELECT 'timeline', 'points', count(*) FROM enriched WHERE rule_level > 0 AND ts IS NOT NULL HAVING count(*) > 5""", True)
+def visual_summary(spark, sf_dir):
+    return G.visual_summary(enriched(spark, sf_dir))
+
+
+@query()
+def annotated_context(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    a = alerts(spark, sf_dir).withColumns({"rule_description": F.lit("the of and"), "src_ip": none, "dest_ip": none, "proto": none})
+    add = lambda q: q.withColumn("vector", F.lit(None).cast("array<float>"))
+    out = G.context([_docs_corpus(spark, sf_dir)], a, add, 5, ["possible_c2"])
+    return out.select("source", "id", "evidence_strength", "source_reliability", F.col("context_rank_score").alias("rank_score"), "retrieval_cautions")
+
+
 # --- streaming ---------------------------------------------------------------------------------------------------
 def _stream(spark, sf_dir):
     """The alert view as a stream over the folder's events file."""
