@@ -29,11 +29,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def small(queries: DataFrame) -> DataFrame:
-    """The query batch, marked for broadcast after its size was checked."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+def bounded(queries: DataFrame) -> DataFrame:
+    """The query batch as a local relation: computed once, its size checked."""
+    rows = queries.limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries in a batch; split it")
-    return F.broadcast(queries)
+    return queries.sparkSession.createDataFrame(rows, queries.schema)
+
+
+def small(queries: DataFrame) -> DataFrame:
+    """A query batch marked for broadcast after its size was checked."""
+    return F.broadcast(bounded(queries))
 
 
 def top_per_query(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -78,8 +84,8 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...]
 
     texts = F.array_distinct(F.array(F.col("content"), T.refang(F.col("content"))))
     left = corpus.withColumn("__a", F.explode(T.let(texts, typed))).select("source", "id", "content", "ts", F.col("__a.type").alias("type"), F.col("__a.value").alias("value"))
-    terms = queries.select("query_id", F.explode("terms").alias("t")).select("query_id", F.col("t.type").alias("type"), F.lower(F.trim(T.refang(F.col("t.term")))).alias("value"), F.col("t.term").alias("term")).distinct()
-    hits = left.join(small(terms), ["type", "value"]).groupBy("query_id", "source", "id").agg(F.first("content").alias("content"), F.first("ts").alias("ts"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "type", "term"))), 1, 6).alias("match_evidence"))
+    terms = bounded(queries.select("query_id", "terms")).select("query_id", F.explode("terms").alias("t")).select("query_id", F.col("t.type").alias("type"), F.lower(F.trim(T.refang(F.col("t.term")))).alias("value"), F.col("t.term").alias("term")).distinct()
+    hits = left.join(F.broadcast(terms), ["type", "value"]).groupBy("query_id", "source", "id").agg(F.first("content").alias("content"), F.first("ts").alias("ts"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "type", "term"))), 1, 6).alias("match_evidence"))
     hits = top_per_query(hits, k, F.desc_nulls_last("ts"), F.asc("id"))
     score = F.when(F.col("source") == "archive", EXACT_SCORE["archive"]).otherwise(EXACT_SCORE["custom_document"])
     return hits.select("query_id", "source", "id", "content", score.alias("score"), "match_evidence")
@@ -133,7 +139,7 @@ def diversify(results: DataFrame, k: int) -> DataFrame:
 def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse: bool = True) -> DataFrame:
     """Three branches on each corpus, merged; k rows per query."""
     take = max(k * MULTIPLIER, k)
-    found = None
+    found, queries = None, bounded(queries)
     kinds = [r.type for r in queries.select(F.explode("terms.type").alias("type")).distinct().limit(100).collect() if r.type]  # the few kinds asked for
     for corpus in corpora:
         for name, rows in (("semantic", semantic(corpus, queries, take)), ("exact", exact(corpus, queries, take, tuple(kinds)) if kinds else None), ("lexical", lexical(corpus, queries, take))):
