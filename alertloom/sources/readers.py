@@ -103,7 +103,7 @@ def strip_markdown(text: Column) -> Column:
 def looks_tabular(text: Column) -> Column:
     """A page that names a table and has two aligned or two delimited lines."""
     lines = F.split(text, "\n")
-    aligned = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"\S\s{2,}\S")) >= 2))
+    aligned = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"\S(?=\s{2,}\S)")) >= 2))
     delimited = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"[|\t;]")) >= 2))
     return text.rlike(r"(?i)\b(?:table|indicator|hash|domain|address|port)s?\b") & ((aligned >= 2) | (delimited >= 2))
 
