@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step handles; a longer single text is still handled whole.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)

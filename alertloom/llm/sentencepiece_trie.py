@@ -7,7 +7,8 @@ scores of whole segmentations don't define the result; there a path is allowed w
 are exactly what merging their concatenation gives, which singles out the library's own segmentation, so the forward
 state holds the one last piece of each prefix. Both give the ids of the sentencepiece library for the same model.
 
-Runs of spaces are merged by the model's rules and cached by length; characters outside the vocabulary fall back to
+Words part further where no piece of the vocabulary could join (a letter and the punctuation after it), so "word," costs
+no entry of its own. Runs of spaces are merged by the model's rules and cached by length; characters outside the vocabulary fall back to
 bytes. Null texts have null ids; empty texts have none. Rows are encoded one by one, so repeated rows repeat and
 other columns are never read. The word cache is bounded by `CACHE_WORDS` and refilled when full.
 """
@@ -30,7 +31,6 @@ from .common import small_batches
 MARK = "▁"
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 2_000_000
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 def default_model() -> str:
@@ -99,8 +99,15 @@ class PieceModel:
         for p in self.usable:
             if len(p) >= 3:
                 ends.setdefault(p[-3:], set()).add(len(p))
-        #: Last three characters -> lengths of the pieces that end so, longest first.
-        self.ends = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
+        #: Last three characters -> lengths of the pieces that may end so, longest first.
+        self.ends = {e: (*sorted(n, reverse=True), 2, 1) for e, n in ends.items()}
+        # where no piece has a character after a letter or digit, and around a line break that no piece has, words part
+        joined = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalnum()}  # noqa: B905
+        apart = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined))
+        line = r"\n" if not any("\n" in p for p in self.ids) else ""
+        w, o = r"[^\W_]", rf"(?:[^\w{MARK}{line}]|_)"
+        rest = rf"(?:{w}+(?:(?:[^\w{MARK}{line}{apart}]|_){o}*{w}*)*)"
+        self.unit = re.compile(rf"{MARK}+{o}*{rest}?|{o}+{rest}?|{rest}" + (r"|\n" if line else ""))
 
     # --- the model's merge rule on a short string
     def merge(self, text: str, stop: int = 1) -> list[str]:
@@ -156,7 +163,7 @@ class PieceModel:
         """Ids of distinct marked words; a word is one MARK (or none) and other characters."""
         out: dict[str, list[int]] = {}
         usable, ends, pieces, bpe = self.usable, self.ends, self.pieces, self.kind == "bpe"
-        pairs, size, short = self.pairs, len(self.pieces), (2, 1)
+        pairs, size, short, no_score = self.pairs, len(self.pieces), (2, 1), 0.0
         if len(pairs) > CACHE_PAIRS:
             pairs.clear()
         before = ""
@@ -168,8 +175,8 @@ class PieceModel:
                 same += 1
             del starts[same + 1 :], last[same + 1 :], scores[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                at, found, score = end - 1, -1, scores[end - 1] - 1e3
-                for n in (*ends.get(word[end - 3 : end], ()), *short) if end >= 3 else short:
+                at, found, score = end - 1, -1, no_score if bpe else scores[end - 1] - 1e3
+                for n in ends.get(word[end - 3 : end], short) if end > 2 else short:
                     start = end - n
                     if start < 0:
                         continue
@@ -185,7 +192,7 @@ class PieceModel:
                                 ok = pairs[key] = self.stays(p, piece)
                             if not ok:
                                 continue
-                        at, found, score = start, piece, 0.0
+                        at, found = start, piece
                         break
                     here = scores[start] + pieces[piece][1]
                     if found < 0 or here > score:
@@ -249,7 +256,7 @@ class PieceModel:
         """Units of a text, the dummy prefix included."""
         if not text:
             return []
-        return _UNIT.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
+        return self.unit.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
 
     def encode(self, text: str) -> list[int]:
         units = self.split(text)
