@@ -52,7 +52,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", "n_rows", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most_epochs: int = 2, seed: str = "mix", bin_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most_epochs: int = 2, seed: str = "mix", bin_rows: int = 5_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): one row per input row; `taken` words, repeats counted."""
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
