@@ -6,7 +6,8 @@ and whether the clause reports speech; its arcs scale the weight of the insult o
 clauses are scored, not words alone: "not an idiot" and "they said: idiot" weigh less than "you idiot".
 
 Insult stems and weights are learned from labelled rows: word beginnings (and whole words) that are frequent in
-toxic texts and absent from others, chosen greedily by how many unexplained toxic texts they explain. A short
+toxic texts and rare in others, chosen greedily by how many unexplained toxic texts they explain; a logistic fit on the
+stems' counts gives their weights and the intercept, so stems that clean texts hold now and then need company. A short
 seed list stands in where labels are few. At most `sample_rows` labelled rows, those of the smallest hash, are used.
 
 Null and empty texts get the score of a text without matches. Repeated rows get equal scores. Texts are read whole;
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,8 @@ SEED_THREATS = "kill hurt destroy strangle stab shoot beat murder".split()
 TARGETS = "you your yourself u ur they them he she him her tu toi vous du dich ihr euch usted vosotros".split()
 NEGATIONS = "not no never nobody nor isn aren wasn don doesn didn pas jamais nicht kein keine nie nunca jamas".split()
 REPORTS = "said says quoted wrote writes claimed called reported cites cited dit sagte dijo".split()
-SEED_WEIGHT, THREAT_WEIGHT = 1.4, 1.5
+#: Log-odds of a text that holds one seed insult, or one threat at a target.
+SEED_ODDS = 1.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
@@ -131,23 +134,32 @@ class Lexicon:
         return self._auto
 
     def __getstate__(self):
-        return {"stems": self.stems, "base": self.base, "_auto": None}
+        return self.__dict__ | {"_auto": None}
+
+    def __post_init__(self):
+        self.intercept = math.log(self.base / (1 - self.base))
 
     def weigh(self, word: str) -> tuple[int, float]:
-        best = self.stems.get(f"^{word}$", 0.0)
-        for n in _PREFIXES:
-            if len(word) >= n:
-                best = max(best, self.stems.get(f"^{word[:n]}", 0.0))
-        if best:
-            return INSULT, best
+        stem = self.stem(word)
+        if stem:
+            return INSULT, self.stems[stem]
         if word in _FIXED:
             return _FIXED[word], 0.0
         if word in _SEED_SET:
-            return INSULT, SEED_WEIGHT
+            return INSULT, SEED_ODDS - self.intercept
         if word in _THREAT_SET:
-            return THREAT, THREAT_WEIGHT
+            return THREAT, SEED_ODDS - self.intercept
         return OTHER, 0.0
 
+    def stem(self, word: str) -> str | None:
+        """The heaviest, then longest, stem of a word."""
+        keys = [f"^{word}$", *(f"^{word[:n]}" for n in reversed(_PREFIXES) if n <= len(word))]
+        return max((k for k in keys if k in self.stems), key=self.stems.__getitem__, default=None)
+
+    def tally(self, text: str | None) -> Counter:
+        """How often each stem occurs in a text."""
+        return Counter(k for w in _WORD.findall((text or "").lower()) if (k := self.stem(w)))
+
     def clause(self, words: list[str]) -> float:
         state, total, pending = START, 0.0, 0.0
         for w in words:
@@ -176,7 +188,7 @@ class Lexicon:
                 b = end.start() if end else len(low)
                 got = self.clause(_WORD.findall(low, max(a, done), b))
                 raw, matched, done = raw + got, matched + (got > 0), b
-        return 1 - (1 - self.base) * math.exp(-raw), matched
+        return 1 / (1 + math.exp(-min(30.0, self.intercept + raw))), matched
 
 
 _SEED_SET, _THREAT_SET = set(SEED_INSULTS), set(SEED_THREATS)
@@ -217,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, most_ca
     least = max(3, round(0.004 * n_pos))
     counts = sample.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1)))
-    good = counts.withColumn("odds", odds).filter((F.col("pos") >= least) & (F.col("odds") > 2.5) & (20 * F.col("neg") <= F.col("pos")))
+    good = counts.withColumn("odds", odds).filter((F.col("pos") >= least) & (F.col("odds") > 2.5) & (4 * F.col("neg") <= F.col("pos")))
     rows = good.orderBy(F.col("pos").desc(), "neg", "stem").limit(most_candidates).collect()
     weight = {r["stem"]: r["odds"] for r in rows}
 
@@ -227,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, most_ca
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["stems"])
 
     toxic = [set(r["stems"]) for r in sample.filter("toxic = 1").select("text").distinct().mapInArrow(hits, "stems array<string>").collect()]
-    chosen: dict[str, float] = {}
+    chosen: list[str] = []
     while toxic:
         gain = Counter(s for x in toxic for s in x)
         if not gain:
@@ -235,10 +247,46 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, most_ca
         best = max(gain, key=lambda s: (gain[s] * min(weight[s], 5.0), len(s), s))
         if gain[best] < max(2, least // 2):
             break
-        # a stem of little support needs a second match
-        chosen[best] = min(3.0, max(1.3, weight[best] / 2.5)) * min(1.0, gain[best] / 12)
+        chosen.append(best)
         toxic = [x for x in toxic if best not in x]
-    return Lexicon(chosen, min(0.3, (len(toxic) + 0.5) / (n_neg + len(toxic) + 25)))
+    if not chosen:
+        return Lexicon({}, (n_pos + 0.5) / (n_pos + n_neg + 25))
+
+    first = Lexicon(dict.fromkeys(chosen, 1.0))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [first.tally(t.as_py()) for t in b.column(0)]
+            keys, counts = [list(x) for x in found], [list(x.values()) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(keys, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["toxic", "stems", "counts"])
+
+    seen = sample.mapInArrow(tally, "toxic int, stems array<string>, counts array<long>").collect()  # at most sample_rows texts' hits
+    at = {s: i for i, s in enumerate(chosen)}
+    x = np.zeros((len(seen), len(chosen)))
+    for i, r in enumerate(seen):
+        for s, n in zip(r["stems"], r["counts"], strict=True):
+            x[i, at[s]] = min(n, 3)
+    weights, intercept = logistic(x, np.array([r["toxic"] for r in seen], float))
+    stems = {s: float(w) for s, w in zip(chosen, weights, strict=True) if w > 0}
+    return Lexicon(stems, float(np.clip(1 / (1 + math.exp(-intercept)), 0.001, 0.3)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Weights (none below 0) and intercept of a ridge-penalised logistic fit, by Newton steps."""
+    z = np.column_stack([x, np.ones(len(x))])
+    penalty = np.full(z.shape[1], ridge)
+    penalty[-1] = 1e-3
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ (y - p) - penalty * w
+        curve = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        step = np.linalg.solve(curve, grad)
+        w = w + np.clip(step, -2, 2)
+        w[:-1] = np.maximum(w[:-1], 0)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1])
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------
