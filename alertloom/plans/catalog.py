@@ -526,7 +526,10 @@ def exact_terms(spark, sf_dir):
     return G.exact_terms(alerts(spark, sf_dir))
 
 
-@query()
+@query("""SELECT query_id, query FROM (SELECT row_number() OVER (ORDER BY i) - 1 AS query_id, query FROM (SELECT arg_min(q, i) AS query, min(i) AS i FROM (SELECT * FROM
+  (WITH top AS (SELECT *, row_number() OVER (ORDER BY rule_level DESC, ts DESC, event_id) AS i, rule_description || ' ' || proto || ' ' || concat_ws(' ', src_ip, dest_ip) AS q FROM
+  (SELECT *, row_number() OVER (PARTITION BY rule_id, lower(rule_description), coalesce(src_ip, ''), coalesce(dest_ip, '') ORDER BY rule_level DESC, ts DESC, event_id) AS n FROM alerts)
+  WHERE n = 1 ORDER BY i LIMIT 12) SELECT 0 AS i, string_agg(q, ' ' ORDER BY i) AS q FROM top UNION ALL SELECT i, q FROM top)) GROUP BY lower(q))) WHERE query_id < 5""", True)
 def focused_queries(spark, sf_dir):
     return G.focused_queries(alerts(spark, sf_dir))
 
