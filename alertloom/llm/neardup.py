@@ -2,8 +2,10 @@
 
 1. One pass over the texts gives each document its shingle-set size, a 128-bit digest of the set and band keys of
    its MinHash signature. Documents with equal sets form a class; the class is named by its smallest doc_id.
-2. Classes that share a band key are joined in stars (member, smallest member of the bucket), whose connected
-   components are blocks: no candidate pair crosses two blocks, and the number of star edges is linear.
+2. Band rows carry a sketch (one byte of SKETCH signature slots). Within a bucket the first batch of the Bayesian test
+   runs on sketches: members whose posterior chance of being similar is above `miss` are joined, as a spanning forest of
+   the bucket. Connected components of the forests are blocks: no surviving candidate pair crosses two blocks, and
+   documents that merely share a passage seldom survive, so blocks stay near the size of true groups.
 3. Only texts of classes in blocks of two or more are read again; set and signature go once to the block's task.
    There the banded candidates are compared in batches of signature slots. After each batch the posterior
    chance (uniform prior) that the similarity reaches the threshold is bounded; pairs below `miss` are pruned,
@@ -18,7 +20,7 @@ shingle size give the whole sequence as one shingle. Equal doc_ids are one verte
 one component. An empty table gives an empty result. Other columns are never read.
 
 Missed pairs: a pair at similarity 0.85 shares no band with chance (1 - 0.85**6)**21 = 5e-5, and is pruned with
-chance `miss` a batch at most.
+chance `miss` a batch at most (the sketch's bytes agree by chance in 1 of 256 slots, which only keeps more pairs).
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ from .components import components
 BANDS, ROWS = 21, 6
 SLOTS = 128
 BATCH = 16
+SKETCH = 32
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
 _MUL = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,6 +62,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return bk.mix((part * bk.MULTIPLIERS[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
+def sketch(sig: np.ndarray) -> bytes:
+    return (sig[:: SLOTS // SKETCH] & 0xFF).astype(np.uint8).tobytes()
+
+
 @lru_cache(maxsize=None)
 def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     """For 16, 32, ... compared slots: the fewest matches at which P(similarity >= threshold | matches) > miss."""
@@ -75,15 +82,17 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, texts = b.column(0), b.column(1)
-        sizes, h1, h2, bands = [], [], [], []
+        sizes, h1, h2, bands, sketches = [], [], [], [], []
         for _, _, data, off in bk.steps(texts):
             for s in bk.shingle_sets(data, off):
                 sizes.append(len(s))
                 t = bk.mix(s ^ np.uint64(0x5851F42D4C957F2D))
                 h1.append(int((s.sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64)))
                 h2.append(int(t.sum(dtype=np.uint64).view(np.int64)))
-                bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+                sig = signature(s) if len(s) else None
+                bands.append(None if sig is None else band_keys(sig).view(np.int64))
+                sketches.append(None if sig is None else sketch(sig))
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +125,62 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def bucket_forest(nodes: np.ndarray, sketches: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """Spanning forest of a bucket's pairs with at least `need` equal sketch bytes.
+
+    Members go to the first hub they resemble; then those outside the largest group are compared with all others, so no
+    pair is missed, and a bucket of one group costs about its size.
+    """
+    nodes, at = np.unique(nodes, return_index=True)
+    sketches = sketches[at]
+    edges: list[tuple[int, int]] = []
+    forest, rest = Forest(len(nodes)), np.arange(len(nodes))
+    group = np.zeros(len(nodes), np.int64)
+    while len(rest):
+        near = (sketches[rest] == sketches[rest[0]]).sum(1) >= need
+        near[0] = True
+        group[rest[near]] = rest[0]
+        for j in rest[near][1:].tolist():
+            forest.union(int(rest[0]), j)
+            edges.append((int(rest[0]), j))
+        rest = rest[~near]
+    names, counts = np.unique(group, return_counts=True)
+    for a in np.flatnonzero(group != names[counts.argmax()]).tolist() if len(names) > 1 else ():
+        for j in np.flatnonzero((sketches == sketches[a]).sum(1) >= need).tolist():
+            if forest.root(a) != forest.root(j):
+                forest.union(a, j)
+                edges.append((a, j))
+    return [(int(nodes[i]), int(nodes[j])) for i, j in edges]
+
+
+def _bucket_edges(need: int):
+    """Forests of all buckets of a partition that is sorted by band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, node, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8)
+
+        def out(end: int) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.diff(band[:end])) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [end]])
+            found = [e for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1 for e in bucket_forest(node[a:b], flat[a:b], need)]
+            u, v = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            raw = b.column(2).cast(pa.binary())
+            got = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, SKETCH)
+            band, node, flat = np.concatenate([band, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()]), np.concatenate([flat, got])
+            # the last bucket may go on in the next batch
+            end = int(np.searchsorted(band, band[-1], "left")) if len(band) else 0
+            if end:
+                yield out(end)
+                band, node, flat = band[end:], node[end:], flat[end:]
+        if len(band):
+            yield out(len(band))
+
+    return run
+
+
 def link_block(nodes: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, percent: int, miss: float) -> list[tuple[int, int]]:
     """Spanning forest (node, node) of the links among one block's members."""
     need = least_matches(percent / 100, miss)
@@ -191,16 +256,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bloc
     small_batches(spark)
     scratch = Scratch(spark, "neardup")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = scratch.save(src.mapInArrow(_features, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+    feats = scratch.save(src.mapInArrow(_features, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"))
 
     some = feats.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
     classes = scratch.save(classes)
-    # distinct vertices that share a doc_id meet in one block through a key of their own
-    keyed = classes.select("node", F.explode("bands").alias("band")).unionByName(classes.select("node", F.xxhash64(F.lit("id"), "node").alias("band")))
-    least = keyed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail").select("band", "head")
-    stars = keyed.join(least, "band").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    blocks = scratch.save(components(stars, scratch))
+    keyed = classes.select(F.explode("bands").alias("band"), "node", "sketch").repartition("band").sortWithinPartitions("band")
+    need = least_matches(percent / 100, miss)[SKETCH // BATCH - 1]
+    blocks = scratch.save(components(keyed.mapInArrow(_bucket_edges(need), "u long, v long"), scratch))
 
     sizes = blocks.groupBy("component").count()
     members = blocks.join(sizes.filter(f"count <= {block_rows}"), "component", "left_semi").withColumn("parts", F.lit(1))

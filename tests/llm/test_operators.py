@@ -166,6 +166,33 @@ def test_posterior_bounds_are_safe():
     assert all(n < 0.85 * neardup.BATCH * (i + 1) for i, n in enumerate(need)) and need[-1] > 64
 
 
+@pytest.mark.parametrize("cut", [1, 7, 50, 1000])
+def test_bucket_forests_connect_all_surviving_pairs(cut):
+    import pyarrow as pa
+
+    g = np.random.default_rng(cut)
+    centres = g.integers(0, 256, (6, neardup.SKETCH), dtype=np.uint8)
+    band = np.sort(g.integers(0, 12, 160))
+    node = g.integers(0, 90, 160)
+    rows = centres[node % 6].copy()
+    noise = g.random(rows.shape) < 0.35
+    rows[noise] = g.integers(0, 256, int(noise.sum()))
+    need = 16
+    batches = [pa.RecordBatch.from_arrays([pa.array(band[i : i + cut]), pa.array(node[i : i + cut]), pa.array([r.tobytes() for r in rows[i : i + cut]], pa.binary())], names=["b", "n", "s"]) for i in range(0, 160, cut)]
+    found = [(u, v) for b in neardup._bucket_edges(need)(batches) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    forest = neardup.Forest(90)
+    for u, v in found:
+        forest.union(u, v)
+    for b in range(12):
+        at = np.flatnonzero(band == b)
+        first = {int(node[i]): i for i in at[::-1]}  # a vertex repeated in a bucket counts once, by its first row
+        for i in first.values():
+            for j in first.values():
+                if (rows[i] == rows[j]).sum() >= need:
+                    assert forest.root(int(node[i])) == forest.root(int(node[j]))
+    assert len(found) < 160
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5)] + [(300, 300 + i) for i in range(50)]
     got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
