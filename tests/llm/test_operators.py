@@ -8,7 +8,6 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import *  # noqa: F403
 from pyspark.sql import functions as F
 
 from alertloom.llm import chat, components, embed_dedup, mixing, neardup, pii, quality, secrets, sharding, toxicity
