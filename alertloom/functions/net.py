@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 NON_PUBLIC = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
 PUBLIC_INSIDE = ("192.0.0.9/32", "192.0.0.10/32")
 
-_OCTET = "(0|[1-9][0-9]{0,2})"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
@@ -28,11 +28,8 @@ class Assets:
 
 def ip_number(ip: Column) -> Column:
     """IPv4 text as a long; NULL where it isn't a dotted quad of values up to 255 without leading zeros."""
-    ok = ip.rlike(IPV4)
-    parts = F.split(ip, r"\.")
-    part = lambda k: F.get(parts, F.lit(k)).try_cast("long")
-    fits = (part(0) <= 255) & (part(1) <= 255) & (part(2) <= 255) & (part(3) <= 255)
-    return F.when(ok & fits, part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
+    part = lambda k: F.substring_index(F.substring_index(ip, ".", k), ".", -1).try_cast("long")
+    return F.when(ip.rlike(IPV4), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
 
 
 def bounds(cidr: str) -> tuple[int, int] | None:
@@ -56,9 +53,12 @@ def is_public(ip: Column) -> Column:
     return n.isNotNull() & (~in_blocks(n, NON_PUBLIC) | in_blocks(n, PUBLIC_INSIDE))
 
 
-def ip_context(ip: Column, assets: Assets) -> Column:
-    """infrastructure, owned, internal or external; unknown for an empty value, external for one that doesn't parse."""
-    n = ip_number(ip)
+def ip_context(ip: Column, assets: Assets, number: Column | None = None) -> Column:
+    """infrastructure, owned, internal or external; unknown for an empty value, external for one that doesn't parse.
+
+    number: ip_number(ip), where a plan has it as a column already.
+    """
+    n = ip_number(ip) if number is None else number
     return (
         F.when(F.coalesce(ip, F.lit("")) == "", "unknown")
         .when(in_blocks(n, assets.infrastructure), "infrastructure")

@@ -75,7 +75,8 @@ def clean(raw: DataFrame, assets: net.Assets, json_col: str = "json") -> DataFra
         s = F.struct(*[_path(j, *f[1:]).alias(f[0]) for f in fields])
         contexts[f"{name}_context"] = F.when(F.coalesce(*[s[f[0]] for f in fields]).isNotNull(), s)
     out = out.withColumns(contexts).drop("__body")
-    out = out.withColumns({"src_ip_context": net.ip_context(F.col("src_ip"), assets), "dest_ip_context": net.ip_context(F.col("dest_ip"), assets)})
+    out = out.withColumns({"__src": net.ip_number(F.col("src_ip")), "__dest": net.ip_number(F.col("dest_ip"))})
+    out = out.withColumns({"src_ip_context": net.ip_context(F.col("src_ip"), assets, F.col("__src")), "dest_ip_context": net.ip_context(F.col("dest_ip"), assets, F.col("__dest"))}).drop("__src", "__dest")
     return out.withColumn("threat_classification", net.threat(F.col("src_ip_context"), F.col("dest_ip_context"), F.col("rule_level")))
 
 

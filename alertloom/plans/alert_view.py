@@ -45,8 +45,11 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts with address contexts, direction, confidence and severity."""
     a = alerts(spark, sf_dir)
-    a = a.withColumn("src_context", net.ip_context(F.col("src_ip"), ASSETS)).withColumn("dest_context", net.ip_context(F.col("dest_ip"), ASSETS))
-    return a.withColumn("t", net.threat(F.col("src_context"), F.col("dest_context"), F.col("rule_level"))).select("*", "t.*", net.severity(F.col("rule_level")).alias("severity")).drop("t")
+    # a generator holds filters above it back, which would otherwise repeat the parsing for every use of a context
+    numbers = F.struct(net.ip_number(F.col("src_ip")).alias("src_n"), net.ip_number(F.col("dest_ip")).alias("dest_n"))
+    a = a.select("*", F.inline(F.array(numbers)))
+    a = a.withColumns({f"{s}_context": net.ip_context(F.col(f"{s}_ip"), ASSETS, F.col(f"{s}_n")) for s in ("src", "dest")})
+    return a.withColumn("t", net.threat(F.col("src_context"), F.col("dest_context"), F.col("rule_level"))).select("*", "t.*", net.severity(F.col("rule_level")).alias("severity")).drop("t", "src_n", "dest_n")
 
 
 ALERTS_SQL = """

@@ -44,17 +44,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- breakdowns and counters -----------------------------------------------------------------------------------
 @query("SELECT severity, count(*) AS n FROM enriched GROUP BY severity", True)
 def severity_breakdown(spark, sf_dir):
-    return N.breakdown(enriched(spark, sf_dir), "severity", "severity")
+    return N.breakdown(alerts(spark, sf_dir).withColumn("severity", net.severity(F.col("rule_level"))), "severity", "severity")
 
 
 @query("SELECT coalesce(rule_description, 'Unknown') AS rule, count(*) AS n FROM enriched GROUP BY 1", True)
 def rule_breakdown(spark, sf_dir):
-    return N.breakdown(enriched(spark, sf_dir), "rule_description", "rule")
+    return N.breakdown(alerts(spark, sf_dir), "rule_description", "rule")
 
 
 @query("SELECT coalesce(proto, 'Unknown') AS proto, count(*) AS n FROM enriched GROUP BY 1", True)
 def proto_breakdown(spark, sf_dir):
-    return N.breakdown(enriched(spark, sf_dir), "proto", "proto")
+    return N.breakdown(alerts(spark, sf_dir), "proto", "proto")
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (is_infrastructure_alert) AS infrastructure,
@@ -110,7 +110,7 @@ def chart_protocols(spark, sf_dir):
 
 @query("SELECT event_id, ts, rule_level FROM enriched WHERE rule_level > 0 AND ts IS NOT NULL", True)
 def chart_timeline(spark, sf_dir):
-    return N.timeline(enriched(spark, sf_dir))
+    return N.timeline(alerts(spark, sf_dir))
 
 
 #: (lo, hi, country) of the lookups below.
@@ -146,7 +146,7 @@ def value_histogram(spark, sf_dir):
 @query("""SELECT event_id, rule_level, src_ip, dest_ip FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, lower(rule_description), coalesce(src_ip, ''),
   coalesce(dest_ip, '') ORDER BY rule_level DESC, ts DESC, event_id) AS i FROM enriched) WHERE i = 1 ORDER BY rule_level DESC, ts DESC, event_id LIMIT 12""", True)
 def representative_alerts(spark, sf_dir):
-    return A.representatives(enriched(spark, sf_dir)).select("event_id", "rule_level", "src_ip", "dest_ip")
+    return A.representatives(alerts(spark, sf_dir)).select("event_id", "rule_level", "src_ip", "dest_ip")
 
 
 @query("SELECT event_id, rule_level, severity FROM (SELECT * FROM enriched WHERE rule_level >= 5 ORDER BY event_id DESC OFFSET 50 LIMIT 50)", True)
