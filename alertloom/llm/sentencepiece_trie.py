@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 2_000_000
 
 
@@ -52,6 +52,7 @@ class PieceModel:
             raise ValueError("pieces that join words are not supported")
         if kind == "bpe" and any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("a piece has a character that is no piece")
+        self.length = [len(p) for p, _ in pieces]
         self.raw = [b""] * len(pieces)
         for b, i in bytes_at.items():
             self.raw[i] = bytes([b])
@@ -162,57 +163,70 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct marked words; a word is one MARK (or none) and other characters."""
         out: dict[str, list[int]] = {}
-        usable, ends, pieces, bpe = self.usable, self.ends, self.pieces, self.kind == "bpe"
-        pairs, size, short, no_score = self.pairs, len(self.pieces), (2, 1), 0.0
-        if len(pairs) > CACHE_PAIRS:
-            pairs.clear()
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        extend = self._extend_bpe if self.kind == "bpe" else self._extend_best
         before = ""
-        # of each prefix of the word: start and id (-1: none, -2: at the beginning) of its last piece, and the score
-        starts, last, scores = [0], [-2], [0.0]
+        # of each prefix of the word: the id of its last piece (-1: a character without one, -2: the beginning), and the score
+        last, scores = [-2], [0.0]
+        length = self.length
         for word in sorted(words):
             same, most = 0, min(len(before), len(word))
             while same < most and before[same] == word[same]:
                 same += 1
-            del starts[same + 1 :], last[same + 1 :], scores[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                at, found, score = end - 1, -1, no_score if bpe else scores[end - 1] - 1e3
-                for n in ends.get(word[end - 3 : end], short) if end > 2 else short:
-                    start = end - n
-                    if start < 0:
-                        continue
-                    piece = usable.get(word[start:end])
-                    if piece is None:
-                        continue
-                    if bpe:
-                        p = last[start]
-                        if p >= 0:
-                            key = p * size + piece
-                            ok = pairs.get(key)
-                            if ok is None:
-                                ok = pairs[key] = self.stays(p, piece)
-                            if not ok:
-                                continue
-                        at, found = start, piece
-                        break
-                    here = scores[start] + pieces[piece][1]
-                    if found < 0 or here > score:
-                        at, found, score = start, piece, here
-                starts.append(at)
-                last.append(found)
-                scores.append(score)
+            del last[same + 1 :], scores[same + 1 :]
+            extend(word, same + 1, last, scores)
             got: list[int] = []
             end = len(word)
             while end:
-                start, piece = starts[end], last[end]
+                piece = last[end]
                 if piece < 0:
-                    got += [self.bytes_at[b] for b in reversed(word[start:end].encode("utf-8", "replace"))]
+                    got += [self.bytes_at[b] for b in reversed(word[end - 1].encode("utf-8", "replace"))]
+                    end -= 1
                 else:
                     got.append(piece)
-                end = start
-            out[word] = got[::-1]
+                    end -= length[piece]
+            got.reverse()
+            out[word] = got
             before = word
         return out
 
+    def _extend_bpe(self, word: str, first: int, last: list[int], scores: list[float]) -> None:
+        """Forward states of the prefixes from `first` characters on: the one piece that may end each."""
+        usable, ends, pairs, stays = self.usable.get, self.ends.get, self.pairs, self.stays
+        size, short = len(self.pieces), (2, 1)
+        for end in range(first, len(word) + 1):
+            found = -1
+            for n in ends(word[end - 3 : end], short) if end > 2 else short:
+                if n > end:
+                    continue
+                piece = usable(word[end - n : end])
+                if piece is not None:
+                    p = last[end - n]
+                    if p >= 0:
+                        key = p * size + piece
+                        ok = pairs.get(key)
+                        if ok is None:
+                            ok = pairs[key] = stays(p, piece)
+                        if not ok:
+                            continue
+                    found = piece
+                    break
+            last.append(found)
+
+    def _extend_best(self, word: str, first: int, last: list[int], scores: list[float]) -> None:
+        """Viterbi scores and last pieces of the prefixes from `first` characters on."""
+        for end in range(first, len(word) + 1):
+            found, score = -1, scores[end - 1] - 1e3
+            for n in self.ends.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                piece = self.usable.get(word[end - n : end]) if n <= end else None
+                if piece is not None:
+                    here = scores[end - n] + self.pieces[piece][1]
+                    if found < 0 or here > score:
+                        found, score = piece, here
+            last.append(found)
+            scores.append(score)
+
     def run(self, n: int) -> list[int]:
         """Ids of n marks in a row."""
         if n not in self.runs:
@@ -236,20 +250,18 @@ class PieceModel:
 
     def encode_units(self, units: list[str]) -> dict[str, list[int]]:
         """Ids of units: any number of marks, then other characters."""
-        marks = {u: len(u) - len(u.lstrip(MARK)) for u in units}
-        base = {u: u[max(0, k - 1) :] for u, k in marks.items()}
-        words = self.encode_words([w for w in set(base.values()) if w.strip(MARK)])
-        alone, out = self.ids.get(MARK), {}
-        for u, k in marks.items():
-            w = words.get(base[u])
-            if w is None:
-                out[u] = self.run(k)
-            elif k < 2:
-                out[u] = w
-            elif w[0] == alone:
-                out[u] = self.run(k) + w[1:]
-            else:
-                out[u] = self.run(k - 1) + w
+        # most units have one mark or none and are words as they are
+        several = [u for u in units if u.startswith(MARK * 2) or u == MARK]
+        rests = {u: u.lstrip(MARK) for u in several}
+        words = set(units)
+        words.difference_update(several)
+        words.update(MARK + r for r in rests.values() if r)
+        out = self.encode_words(list(words))
+        alone = self.ids.get(MARK)
+        for u, r in rests.items():
+            k = len(u) - len(r)
+            w = out[MARK + r] if r else []
+            out[u] = self.run(k) + w[1:] if not r or w[0] == alone else self.run(k - 1) + w
         return out
 
     def split(self, text: str) -> list[str]:
