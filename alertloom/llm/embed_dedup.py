@@ -2,16 +2,18 @@
 
 1. Vectors that can be compared (label not null, components finite, norm above zero) are normalised in double
    precision; equal vectors of a label form one class, named by its smallest vec_id, with a count of copies.
-2. Labels above `shard_rows` classes are cut by centroids fitted on a bounded sample (`sample_rows`); every class
-   goes to its nearest centroid's shard and, as overlap, to the next ones in reach. Oversized shards are dealt
-   into parts by hash, and every two parts meet in one task.
+2. Labels above `shard_rows` classes are cut by centroids fitted on a bounded sample (`sample_rows`); centroids too
+   near to part linked vectors share a shard. Every class goes to its nearest centroid's shard, its home, and to every
+   shard that may be the home of a class in range (see reach()), however many these are, so both classes of a link meet
+   in both homes. A label stays in one shard if its shards would cost more. Oversized shards are dealt into parts by
+   hash, and every two parts meet in one task.
 3. In each shard, near neighbours are pruned robustly (a neighbour is dropped if a kept one is nearer to it than
    the vertex by factor `alpha`); edges count both ways, and the lists of a vertex are united over its shards.
 4. Range-expanding greedy search on the united graph: from the shard's medoid a beam walks to each vertex's own
    neighbourhood, then the frontier of vertices in range expands until no neighbour in range is new.
    Every hit is verified by the double-precision cosine.
 5. Recall is audited on `audit_rows` classes against brute force over all rows; below `recall` the search is run again
-   with a wider beam, longer lists and more overlap, and an error says so if that does not help.
+   with a wider beam and longer lists, and an error says so if that does not help.
 
 A shard task returns counts and a spanning forest, never all pairs. Null, zero and non-finite vectors, null labels
 and vectors of other lengths link with nothing. Repeated vec_ids are one vertex for components, and rows of their own
@@ -43,6 +45,48 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     return c
 
 
+def reach(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For unit rows x: the nearest of the centroids c, and which cells may hold a vector with cosine >= threshold.
+
+    Let p have its home at f and q at c, so q(c - f) >= 0. The sine of the angle between p and the plane between the
+    cells, p(f - c) / |f - c|, is then at most that of the angle between p and q.
+    """
+    s = x @ c.T
+    first = s.argmax(1)
+    gap = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T, 0))
+    return first, s[np.arange(len(x)), first][:, None] - s <= sine(threshold) * gap[first] + 1e-7
+
+
+def sine(threshold: float) -> float:
+    """Of the largest angle whose cosine is at least the threshold; 1 from a right angle on."""
+    return float(np.sqrt(1 - min(threshold, 1.0) ** 2)) if threshold > 0 else 1.0
+
+
+def leaders(c: np.ndarray, threshold: float) -> np.ndarray:
+    """The shard of each centroid: those within twice the margin of an earlier one share its shard."""
+    shard, heads = np.zeros(len(c), np.int64), []
+    for j in range(len(c)):
+        near = [k for k, h in enumerate(heads) if np.linalg.norm(c[j] - c[h]) <= 2 * sine(threshold)]
+        shard[j] = near[0] if near else len(heads)
+        heads += [] if near else [j]
+    return shard
+
+
+def members(x: np.ndarray, c: np.ndarray, shard: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home shard of each row of x, rows x shards: where it has to be)."""
+    first, cells = reach(x, c, threshold)
+    inside = np.zeros((len(x), shard.max() + 1), bool)
+    for j, k in enumerate(shard.tolist()):
+        inside[:, k] |= cells[:, j]
+    return shard[first], inside
+
+
+def work(sizes: np.ndarray, shard_rows: int) -> float:
+    """Compared pairs of shards of these sizes; every two parts of a large shard meet, which doubles them."""
+    sizes = np.asarray(sizes, float)
+    return float((sizes**2 * np.where(sizes > 4 * shard_rows, 2, 1)).sum())
+
+
 def robust_prune(x: np.ndarray, degree: int, pool: int, alpha: float, rows: np.ndarray | None = None) -> list[np.ndarray]:
     """Adjacency lists of the unit vectors `rows` of x: from the `pool` nearest, at most `degree` that don't shadow each other."""
     n = len(x)
@@ -150,7 +194,7 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int = 1500, sample_rows: int = 20_000, degree: int = 32, pool: int = 64, alpha: float = 1.2, beam: int = 16, overlap: float = 0.12, audit_rows: int = 200, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int = 1500, sample_rows: int = 20_000, degree: int = 32, pool: int = 64, alpha: float = 1.2, beam: int = 16, audit_rows: int = 200, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall): one row per input row; see the module's text."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -172,7 +216,11 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows
     centres = {}
     for name, part in sample.toPandas().groupby("label") if counted else ():
         if name in counted:
-            centres[name] = kmeans(_matrix(part.u), -(-counted[name] * 2 // shard_rows))
+            x, n = _matrix(part.u), counted[name]
+            c = kmeans(x, -(-n * 2 // shard_rows))
+            shard = leaders(c, threshold)
+            if work(members(x, c, shard, threshold)[1].mean(0) * n, shard_rows) < work([n], shard_rows):
+                centres[name] = c, shard
 
     audit = classes.orderBy(F.xxhash64("node", F.lit(9))).limit(audit_rows).select("node", "label", "u").toPandas()
     questions = {name: (part.node.to_numpy(), _matrix(part.u)) for name, part in audit.groupby("label")} if len(audit) else {}
@@ -193,7 +241,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows
     measured = 1.0
     for attempt in range(3):
         wide = 2**attempt
-        searched = _search(classes, centres, scratch, threshold, shard_rows, degree * wide, pool * wide, alpha, beam * wide, overlap * wide)
+        searched = _search(classes, centres, scratch, threshold, shard_rows, degree * wide, pool * wide, alpha, beam * wide)
         links = searched.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
         if not truth:
             break
@@ -212,23 +260,20 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(float(measured)))
 
 
-def _search(classes: DataFrame, centres: dict, scratch: Scratch, threshold: float, shard_rows: int, degree: int, pool: int, alpha: float, beam: int, overlap: float) -> DataFrame:
+def _search(classes: DataFrame, centres: dict, scratch: Scratch, threshold: float, shard_rows: int, degree: int, pool: int, alpha: float, beam: int) -> DataFrame:
     """(node, links, other): a count row (other null) and forest edges of every class."""
 
     def deal(batches):
         for pdf in batches:
-            shard, home, take = [], [], []
-            for i, (name, u) in enumerate(zip(pdf.label, pdf.u, strict=True)):
-                c = centres.get(name)
-                if c is None:
-                    take.append(i), shard.append(0), home.append(True)
+            out = []
+            for name, part in pdf.groupby("label"):
+                if name not in centres:
+                    out.append(part.assign(shard=0, home=True))
                     continue
-                s = c @ np.asarray(u)
-                first = int(s.argmax())
-                for j in np.flatnonzero(s >= s[first] - overlap)[np.argsort(-s[s >= s[first] - overlap], kind="stable")][:4].tolist():
-                    take.append(i), shard.append(j), home.append(j == first)
-            out = pdf.iloc[take].reset_index(drop=True)
-            out["shard"], out["home"] = np.array(shard, "int64"), np.array(home, bool)
+                home, inside = members(_matrix(part.u), *centres[name], threshold)
+                row, shard = np.nonzero(inside)
+                out.append(part.iloc[row].assign(shard=shard, home=home[row] == shard))
+            out = pd.concat(out) if out else pdf.assign(shard=0, home=True)
             yield out[["label", "shard", "home", "node", "copies", "u"]]
 
     dealt = scratch.save(classes.select("label", "node", "copies", "u").mapInPandas(deal, "label string, shard long, home boolean, node long, copies long, u array<double>"))

@@ -329,6 +329,29 @@ def test_embedding_links(spark, shard_rows):
         assert [got[i] for i in range(len(rows))] == want
 
 
+def test_embedding_group_over_many_centroids(spark):
+    g = np.random.default_rng(4)
+    wide = g.normal(size=(300, 16))
+    near = g.normal(size=16) + g.normal(size=(300, 16)) * 0.09
+    rows = [[i, v.tolist(), 1] for i, v in enumerate(np.concatenate([wide, near]))]
+    want = brute.embedding_links(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embed_dedup.embedding_duplicates(df, shard_rows=30, audit_rows=0).collect()}
+    assert sum(n for n, _ in want) > 40_000 and [got[i] for i in range(len(rows))] == want
+
+
+def test_embedding_links_meet_in_both_homes():
+    g = np.random.default_rng(5)
+    x = np.concatenate([g.normal(size=(400, 12)), g.normal(size=12) + g.normal(size=(400, 12)) * 0.1, g.normal(size=(20, 1, 12)).repeat(20, 1).reshape(400, 12) + g.normal(size=(400, 12)) * 0.12])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = embed_dedup.kmeans(x, 60)
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    for shard in (np.arange(len(c)), embed_dedup.leaders(c, 0.98)):
+        home, inside = embed_dedup.members(x, c, shard, 0.98)
+        assert len(a) > 10_000 and inside[a, home[b]].all()
+        assert inside.sum(1).max() > 4 and inside.sum() < inside.size
+
+
 def test_embeddings_empty(spark):
     assert embed_dedup.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
