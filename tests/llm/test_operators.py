@@ -352,6 +352,19 @@ def test_embedding_links_meet_in_both_homes():
         assert inside.sum(1).max() > 4 and inside.sum() < inside.size
 
 
+def test_embedding_audit_counts_links_between_classes(spark, monkeypatch):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(300, 16))
+    x = np.concatenate([x, x[:20] + 0.01, x[200:]])  # 20 pairs of one link each, and 100 exact copies
+    df = spark.createDataFrame([[i, v.tolist(), 1] for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {r.audited_recall for r in embed_dedup.embedding_duplicates(df).collect()} == {1.0}
+    none = embed_dedup.embedding_duplicates(df.filter("vec_id < 300 or vec_id >= 320"))
+    assert {r.audited_recall for r in none.collect()} == {None}
+    monkeypatch.setattr(embed_dedup, "range_search", lambda x, lists, back, queries, threshold, beam: [np.zeros(0, np.int64)] * len(queries))
+    with pytest.raises(RuntimeError, match="recall 0.000"):
+        embed_dedup.embedding_duplicates(df)
+
+
 def test_embeddings_empty(spark):
     assert embed_dedup.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
