@@ -56,13 +56,13 @@ class Transducer:
 
 
 class Recent(Transducer):
-    """Scales by `factor` for `span` words after `symbol`."""
+    """Scales `scaled` by `factor` for `span` words after `symbol`."""
 
-    def __init__(self, symbol: int, span: int, factor: float):
-        self.symbol, self.span, self.factor = symbol, span, factor
+    def __init__(self, symbol: int, span: int, factor: float, scaled: tuple[int, ...] = (INSULT, THREAT)):
+        self.symbol, self.span, self.factor, self.scaled = symbol, span, factor, scaled
 
     def step(self, state, symbol):
-        factor = self.factor if state and symbol in (INSULT, THREAT) else 1.0
+        factor = self.factor if state and symbol in self.scaled else 1.0
         return (self.span if symbol == self.symbol else max(0, state - 1)), factor
 
 
@@ -77,14 +77,17 @@ class Throughout(Transducer):
 
 
 class Aimed(Transducer):
-    """A threat counts only where a target follows within `span` words: the arc that reads the target completes it."""
+    """A threat counts only where a target follows within `span` words: the arc that reads the target completes it.
+
+    The arc that reads the threat has the factors of negation and reported speech; its scaled weight is pending.
+    """
 
     def __init__(self, span: int):
         self.span = span
 
     def step(self, state, symbol):
         if symbol == THREAT:
-            return self.span, 0.0
+            return self.span, 1.0
         if symbol == TARGET and state:
             return 0, -1.0  # completes the pending threat
         return max(0, state - 1), 1.0
@@ -112,7 +115,7 @@ def compose(parts: list[Transducer]) -> tuple[list[list[tuple[int, float]]], int
     return rows, 0
 
 
-GRAMMAR, START = compose([Recent(TARGET, 4, 1.3), Recent(NEGATION, 2, 0.4), Throughout(REPORT, 0.5), Aimed(4)])
+GRAMMAR, START = compose([Recent(TARGET, 4, 1.3, (INSULT,)), Recent(NEGATION, 2, 0.4), Throughout(REPORT, 0.5), Aimed(4)])
 _FIXED = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS}
 
 
@@ -166,7 +169,7 @@ class Lexicon:
             symbol, weight = self.weigh(w)
             state, factor = GRAMMAR[state][symbol]
             if symbol == THREAT:
-                pending = weight
+                pending = weight * factor
             elif factor < 0:
                 total += pending * -factor
             elif weight:

@@ -276,6 +276,17 @@ def test_learned_stems_hold_out(spark):
     assert all(got[i] == bool(y) for i, y in labels if i >= 400)
 
 
+def test_negated_and_reported_threats():
+    lex = toxicity.Lexicon({}, 0.02)
+    seed = toxicity.SEED_ODDS - lex.intercept
+    assert lex.clause("i will kill you".split()) == lex.clause("they will kill you".split()) == pytest.approx(seed)
+    assert lex.clause("i will not kill you".split()) == pytest.approx(0.4 * seed)
+    assert lex.clause("he said i will kill you".split()) == pytest.approx(0.5 * seed)
+    assert lex.clause("they said it would not kill you".split()) == pytest.approx(0.2 * seed)
+    assert lex.score("They said it would not kill you")[0] < 0.7 <= lex.score("It would kill you")[0]
+    assert lex.clause("it would not kill the engine".split()) == lex.clause("not kill".split()) == 0
+
+
 def test_toxicity_edges(spark):
     lex = toxicity.learn(documents(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_rows(documents(spark, awkward()), lex, score_col="tox").count() == 9
