@@ -502,7 +502,7 @@ def overlap_by_type(spark, sf_dir):
 
 @query()
 def report_round_trip(spark, sf_dir):
-    d = documents(spark, sf_dir).filter("doc_id >= 0").select(F.col("doc_id").cast("string").alias("report_id"), F.concat(F.lit("# Report\n\n## Executive Summary\n"), F.left("text", F.lit(200)), F.lit("\n\n## Key Findings\n- one\n- two\n\n## Immediate Actions Required\n1. Block it\n\n**Analysis Complete**\n")).alias("markdown"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("report_id"), F.concat(F.lit("# Report\n\n## Executive Summary\n"), "text", F.lit("\n\n## Key Findings\n- one\n- two\n\n## Immediate Actions Required\n1. Block it\n\n**Analysis Complete**\n")).alias("markdown"))
     parsed = R.parse_reports(d)
     return parsed.select("report_id", "threat_level", F.size("key_findings").alias("findings"), F.size(R.errors_of()).alias("errors"), F.length(R.serialise()).alias("length"))
 

@@ -50,3 +50,33 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["value_histogram"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan
     assert "ReadSchema: struct<event_type:string,props:string>" in plan
+
+
+def test_reports_of_whole_texts(spark, tmp_path):
+    from collections import Counter
+
+    words = "word " * 100
+    table = "| Indicator | Severity | Count |\n|---|---|---|\n| 198.51.100.7 | CRITICAL | 3 |"
+    texts = [(1, f"{words}\nThreat Level: HIGH\nlast"), (2, f"{words}\n{table}"), (3, f"{words}\n## Technical Summary\nnot kept"), (-4, "short"), (None, "no id"), (5, "- x"), (5, "- y\n- z")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = "| 198.51.100.7 | External |  | Inbound |  | CRITICAL | High | 3 |\n"
+    head = "## Top Priority Threats\n\n| IP Address | Type | Country | Direction | Activity | Severity | Confidence | Count |\n|------------|------|---------|-----------|----------|----------|------------|-------|\n"
+
+    def report(doc_id, summary, level="MEDIUM", threats="", actions=2):
+        text = f"#  Security Operations Center - Threat Analysis Report\n**Threat Level:** {level} | **Total Alerts:** 0\n\n---\n\n## Executive Summary\n\n{summary}\n\n## Key Findings\n\n- one\n- two\n\n{threats}"
+        text += f"## Immediate Actions Required\n\n1. Block it\n\n---\n\n**Analysis Complete**\nThreat level: {level}\nPriority actions: {actions} identified\n"
+        return doc_id, level, 2, 0, len(text)
+
+    w = words.strip()
+    want = [report("1", f"{w}\nThreat Level: HIGH\nlast", "HIGH"), report("2", w, "CRITICAL", head + row + "\n"), report("3", w), report("-4", "short"), report(None, "no id"), report("5", "- x", actions=3), report("5", "- y\n- z", actions=4)]
+    assert Counter(map(tuple, catalog.QUERIES["report_round_trip"](spark, str(tmp_path)).collect())) == Counter(want)
+
+
+def test_long_line_of_a_report_is_read_in_linear_time():
+    import time
+
+    from alertloom.operators import reports
+
+    began = time.process_time()
+    assert reports.section_of("word " * 20_000) == ("", "") and reports.section_of("word " * 20_000 + "mitre attack")[0] == "mitre"
+    assert time.process_time() - began < 2
