@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,32 +119,36 @@ def behavior_tags(text: Column, most: int = 6) -> Column:
 
 
 def refang(text: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "[​﻿]", "")
-    out = F.regexp_replace(out, r"(?iU)\s*(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\})\s*", ".")
-    out = F.regexp_replace(out, r"(?iU)\s*(?:\[:\]|\[colon\]|\(colon\)|\{colon\})\s*", ":")
-    out = F.regexp_replace(out, r"(?iU)\bhxxps(?=://)", "https")
-    return F.regexp_replace(out, r"(?iU)\bhxxp(?=://)", "http")
+    return reduce(lambda x, swap: F.regexp_replace(x, FOLDED + swap[0], swap[1]), P.REFANG, F.coalesce(text, F.lit("")))
 
 
 def variants(value: str, most: int = 24) -> list[str]:
-    """Defanged spellings of one indicator, itself first, case-insensitively distinct."""
-    import re
-
-    clean = re.sub("[​﻿]", "", value.strip())
-    clean = re.sub(r"(?i)\s*(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\})\s*", ".", clean)
-    clean = re.sub(r"(?i)\s*(?:\[:\]|\[colon\]|\(colon\)|\{colon\})\s*", ":", clean)
-    clean = re.sub(r"(?i)\bhxxp(s?)(?=://)", r"http\1", clean)
-    bases = list(dict.fromkeys(x for x in (value.strip(), clean) if x))
-    out = list(bases)
-    for b in bases:
-        out += [b.replace(".", t) for t in ("[.]", "(.)", "{.}", "[dot]") if "." in b]
-        schemes = [b] + ([re.sub("(?i)^http", "hxxp", b)] if re.match("(?i)https?://", b) else [])
-        out += [schemes[0].replace("://", f"{t}//") for t in ("[:]", "[colon]") if "://" in b]
-        out += [y for s in schemes[1:] for y in (s, *(s.replace("://", f"{t}//") for t in ("[:]", "[colon]")))]
+    """Defanged spellings of one indicator, itself and its plain form first, case-insensitively distinct.
+
+    A spelling is a choice of scheme, of what stands for its colon, and of what stands for the dots; only one of the
+    last two is disguised at a time, and dots only where the scheme is plain.
+    """
+
+    def spellings(plain: str) -> Iterator[str]:
+        head, mark, tail = plain.partition("://")
+        yield from (plain.replace(".", dot) for dot in P.DOTS if "." in plain)
+        web = head.lower() in ("http", "https")
+        for scheme in (head, "hxxp" + head[4:]) if mark else ():
+            if scheme == head or web:
+                yield from (f"{scheme}{colon}//{tail}" for colon in ((":",) if scheme != head else ()) + P.COLONS)
+
+    given = value.strip()
+    plain = reduce(lambda x, swap: re.sub("(?i)" + swap[0], swap[1], x), P.REFANG, given)
+    bases = _first_of_each(x for x in (given, plain) if x)
+    return _first_of_each([*bases, *(x for b in bases for x in spellings(b))])[:most]
+
+
+def _first_of_each(values: Iterable[str]) -> list[str]:
+    """The first spelling of each case-folded value, in order."""
     kept: dict[str, str] = {}
-    for x in out:
+    for x in values:
         kept.setdefault(x.lower(), x)
-    return list(kept.values())[:most]
+    return list(kept.values())
 
 
 def contains_term(text: Column, term: Column, kind: str) -> Column:
