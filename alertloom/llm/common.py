@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records of an Arrow batch handed to Python; texts are long, so batches stay small.
-ARROW_RECORDS = "1000"
+#: Records and bytes of an Arrow batch handed to Python; texts are long, so batches stay small.
+ARROW_RECORDS, ARROW_BYTES = 1000, 64 << 20
+#: A key with over one in HOT_SHARES rows of a table is hot; a table has fewer than HOT_SHARES such keys.
+HOT_SHARES = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,7 +55,31 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_RECORDS)
+    """Lower the session's bounds on Arrow batches; they count when a plan runs, so they stay."""
+    for key, most in (("maxRecordsPerBatch", ARROW_RECORDS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).upper().rstrip("B")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def join_each(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """left joined with right, which has one row a key and in column n the number of left's `total` rows that hold it.
+
+    Hot keys, at most HOT_SHARES of them, go by broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    hot = F.col(n) * HOT_SHARES > F.lit(total)
+    few = F.broadcast(right.filter(hot).drop(n))
+    rest = left.join(few.select(*keys), keys, "left_anti").join(right.filter(~hot).drop(n), keys)
+    return left.join(few, keys).unionByName(rest)
+
+
+def free_name(wanted: str, *taken: DataFrame) -> str:
+    """`wanted`, with underscores appended until no column of the frames has the name."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

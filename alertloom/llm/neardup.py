@@ -11,13 +11,18 @@
    chance (uniform prior) that the similarity reaches the threshold is bounded; pairs below `miss` are pruned,
    survivors are verified on the full sets in integers. Pairs already connected need no test, so a bucket costs
    about its size once its members have met. A task returns a spanning forest, never all pairs.
-   Blocks above `block_rows` are dealt into chunks and every two chunks meet in one task: memory stays bounded
-   and no candidate is dropped.
-4. Components of those forests are the result.
+4. Large groups. A bucket above `bucket_rows` is joined whole, without the sketches, by edges to one member: a larger
+   block than need be, nothing lost, and no task holds the bucket. A block above `block_rows` is dealt into parts by
+   hash; each part is linked together with the block's hubs, the members most typical of the groups found in a first
+   part, which connects a family of any size at about its size. What then lies outside a block's largest component meets
+   all of the block, in chunks of which every two meet: no candidate is dropped, memory stays bounded, and the cost beyond
+   the block's size is that of its outsiders.
+5. Components of those forests are the result.
 
 Defined cases. Null, empty and blank texts have no shingles, link with nothing and are kept. Fewer words than the
 shingle size give the whole sequence as one shingle. Equal doc_ids are one vertex, so rows that share one are in
-one component. An empty table gives an empty result. Other columns are never read.
+one component. An empty table gives an empty result. Other columns are never read, whatever their names.
+distinct_documents() takes rows, not ids, for vertices: rows that share an id are told apart.
 
 Missed pairs: a pair at similarity 0.85 shares no band with chance (1 - 0.85**6)**21 = 5e-5, and is pruned with
 chance `miss` a batch at most (the sketch's bytes agree by chance in 1 of 256 slots, which only keeps more pairs).
@@ -32,14 +37,16 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekernel as bk
-from .common import Scratch, small_batches
+from .common import Scratch, free_name, join_each, small_batches
 from .components import components
 
 BANDS, ROWS = 21, 6
+#: Hubs of a large block, and how many of them a group found in the first part gives at most.
+HUBS, HUBS_OF_GROUP = 48, 16
 SLOTS = 128
 BATCH = 16
 SKETCH = 32
@@ -96,14 +103,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, block, parts, text) -> (node, block, part, other, shingles, sig)."""
+    """(node, block, size, text) -> (node, block, size, shingles, sig)."""
     for b in batches:
         sets, sigs = [], []
         for _, _, data, off in bk.steps(b.column(3)):
             for s in bk.shingle_sets(data, off):
                 sets.append(s.tobytes())
                 sigs.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["node", "block", "parts", "shingles", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["node", "block", "size", "shingles", "sig"])
 
 
 class Forest:
@@ -153,41 +160,68 @@ def bucket_forest(nodes: np.ndarray, sketches: np.ndarray, need: int) -> list[tu
     return [(int(nodes[i]), int(nodes[j])) for i, j in edges]
 
 
-def _bucket_edges(need: int):
-    """Forests of all buckets of a partition that is sorted by band."""
+def _bucket_edges(need: int, bucket_rows: int = 10_000):
+    """Forests of all buckets of a partition that is sorted by band; a bucket above bucket_rows becomes a star, in passing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, node, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8)
+        key, held, size, hub = None, [], 0, None  # the open bucket: its pieces, or its hub once it is too large
 
-        def out(end: int) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.diff(band[:end])) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [end]])
-            found = [e for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1 for e in bucket_forest(node[a:b], flat[a:b], need)]
-            u, v = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        def batch(u, v) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(u, np.int64)), pa.array(np.asarray(v, np.int64))], names=["u", "v"])
+
+        def close() -> list[tuple[int, int]]:
+            return bucket_forest(*(np.concatenate(x) for x in zip(*held, strict=True)), need) if hub is None and size > 1 else []
 
         for b in batches:
-            raw = b.column(2).cast(pa.binary())
-            got = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, SKETCH)
-            band, node, flat = np.concatenate([band, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()]), np.concatenate([flat, got])
-            # the last bucket may go on in the next batch
-            end = int(np.searchsorted(band, band[-1], "left")) if len(band) else 0
-            if end:
-                yield out(end)
-                band, node, flat = band[end:], node[end:], flat[end:]
-        if len(band):
-            yield out(len(band))
+            band, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            flat = np.frombuffer(b"".join(b.column(2).cast(pa.binary()).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(band)) + 1, [len(band)]]).tolist()
+            edges: list[tuple[int, int]] = []
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if at == end:
+                    continue
+                if band[at] != key:
+                    edges += close()
+                    key, held, size, hub = band[at], [], 0, None
+                size += end - at
+                if hub is None:
+                    held.append((node[at:end], flat[at:end]))
+                    if size <= bucket_rows:
+                        continue
+                    hub, members = held[0][0][0], np.concatenate([x for x, _ in held])
+                    held = []
+                else:
+                    members = node[at:end]
+                members = members[members != hub]
+                yield batch(members, np.full(len(members), hub))
+            if edges:
+                yield batch(*zip(*edges, strict=True))
+        if edges := close():
+            yield batch(*zip(*edges, strict=True))
 
     return run
 
 
-def link_block(nodes: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, percent: int, miss: float) -> list[tuple[int, int]]:
-    """Spanning forest (node, node) of the links among one block's members."""
+def _candidate_edges(classes: DataFrame, need: int, bucket_rows: int) -> DataFrame:
+    """(u, v) edges that connect all candidates that survive the sketches."""
+    keyed = classes.select(F.explode("bands").alias("band"), "node", "sketch")
+    total = classes.count()
+    counts = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
+    # every class has BANDS keys: of buckets with over a hundredth of the classes there are at most 100 * BANDS
+    hot = F.broadcast(counts.filter((F.col("n") > bucket_rows) & (F.col("n") * 100 > total)).select("band", "hub"))
+    star = keyed.join(hot, "band").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    cold = keyed.join(hot.select("band"), "band", "left_anti").repartition("band").sortWithinPartitions("band")
+    return star.unionByName(cold.mapInArrow(_bucket_edges(need, bucket_rows), "u long, v long"))
+
+
+def link_block(nodes: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, percent: int, miss: float, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the links among one block's members, as pairs of nodes, or of groups if known already."""
+    groups = nodes if groups is None else groups
     need = least_matches(percent / 100, miss)
     forest, sizes = Forest(len(sets)), np.array([len(s) for s in sets])
-    # one vertex for equal node ids
+    # one vertex for equal node ids, and for what is connected already
     first: dict[int, int] = {}
-    for i, v in enumerate(nodes.tolist()):
+    for i, v in enumerate(groups.tolist()):
         forest.union(first.setdefault(v, i), i)
     failed: set[int] = set()
 
@@ -239,15 +273,102 @@ def link_block(nodes: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, perc
             for a in bucket[roots != names[counts.argmax()]].tolist():
                 roots = forest.roots(bucket)
                 test(a, bucket[roots != forest.root(a)])
-    out = []
+    out = set()
     for i in range(len(sets)):
         r = forest.root(i)
-        if nodes[r] != nodes[i]:
-            out.append((int(nodes[i]), int(nodes[r])))
-    return out
+        if groups[r] != groups[i]:
+            out.add((int(groups[i]), int(groups[r])))
+    return sorted(out)
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    return pdf.node.to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf.shingles], np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(-1, SLOTS)
+
+
+def hubs_of(nodes: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, percent: int, miss: float) -> np.ndarray:
+    """Positions of the members most typical of the linked groups, the largest groups first, at most HUBS."""
+    at = {v: i for i, v in enumerate(nodes.tolist())}
+    forest = Forest(len(nodes))
+    for u, v in link_block(nodes, sets, sigs, percent, miss):
+        forest.union(at[u], at[v])
+    roots = forest.roots(np.arange(len(nodes)))
+    names, counts = np.unique(roots, return_counts=True)
+    out: list[int] = []
+    for name in names[np.argsort(-counts, kind="stable")][: HUBS // 2].tolist():
+        group = np.flatnonzero(roots == name)
+        agree = np.zeros(len(group), np.int64)
+        for column in sigs[group].T:
+            values, inverse, n = np.unique(column, return_inverse=True, return_counts=True)
+            agree += inverse == n.argmax()
+        out += group[np.argsort(-agree, kind="stable")[:HUBS_OF_GROUP]].tolist()
+        if len(out) >= HUBS:
+            break
+    return np.array(out[:HUBS], np.int64)
+
+
+def _deal(count: Column, most: float) -> tuple[Column, Column]:
+    """(number of parts for `count` rows, a row's part by its node)."""
+    parts = F.ceil(count / F.lit(most)).cast("int")
+    return parts, F.pmod(F.xxhash64("node", F.lit("part")), parts).cast("int")
+
+
+def _numbers(parts: Column) -> Column:
+    return F.sequence(F.lit(0), parts - 1)
+
 
+def _linked(rows: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(u, v): forests of rows(block, low, high, node, shingles, sig, comp) by (block, low, high); comp: connected already."""
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, block_rows: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["node", "shingles"]).sort_values("node", kind="stable")
+        found = link_block(*_arrays(pdf), percent, miss, pdf.comp.to_numpy())
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return rows.groupBy("block", "low", "high").applyInPandas(work, "u long, v long")
+
+
+def _block_forests(sets: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int, miss: float, block_rows: int) -> DataFrame:
+    """(u, v) forests of the links in all blocks; sets(node, block, size, shingles, sig), sizes(block, size)."""
+    parts, part = _deal(F.col("size"), block_rows)
+    cells = sets.select("block", part.alias("low"), part.alias("high"), "node", "shingles", "sig", F.col("node").alias("comp"))
+    large = sizes.filter(F.col("size") > block_rows)
+    if large.isEmpty():
+        return scratch.save(_linked(cells, percent, miss))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node", kind="stable")
+        return pdf.iloc[hubs_of(*_arrays(pdf), percent, miss)][["block", "node", "shingles", "sig"]]
+
+    sample = sets.filter((F.col("size") > block_rows) & (part == 0)).select("block", "node", "shingles", "sig")
+    hubs = sample.groupBy("block").applyInPandas(choose, "block long, node long, shingles binary, sig binary")
+    hubs = scratch.save(hubs.join(large, "block"))
+    spread = hubs.withColumn("low", F.explode(_numbers(parts))).select("block", "low", F.col("low").alias("high"), "node", "shingles", "sig", F.col("node").alias("comp"))
+    first = scratch.save(_linked(cells.unionByName(spread), percent, miss))
+
+    # members of large blocks with their component so far; outsiders are those beyond a block's largest component
+    total = large.agg(F.sum("size")).first()[0]
+    known = components(first, scratch)
+    rows = sets.filter(F.col("size") > block_rows).join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    rows = scratch.save(rows.select("block", "node", "shingles", "sig", "comp"))
+    groups = rows.groupBy("block", "comp").agg(F.count("*").alias("n"))
+    main = groups.groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"))
+    main = scratch.save(main.select("block", "main", (F.col("size") - F.col("most")).alias("outside"), F.col("most"), F.col("size").alias("n")))
+    rows = join_each(rows, main, ["block"], "n", total).filter("outside > 0")
+    beyond, within = F.col("comp") != F.col("main"), F.col("comp") == F.col("main")
+    o_parts, o_part = _deal(F.col("outside"), block_rows / 2)
+    m_parts, m_part = _deal(F.col("most"), block_rows / 2)
+    columns = ("block", "low", "high", "node", "shingles", "sig", "comp")
+    # every two chunks of outsiders meet (low, high >= 0), and every chunk of outsiders meets every other chunk (high < 0)
+    out = rows.filter(beyond).withColumn("part", o_part)
+    mates = F.when(o_parts == 1, F.array(F.lit(0))).otherwise(F.filter(_numbers(o_parts), lambda k: k != F.col("part")))
+    pairs = out.withColumn("other", F.explode(mates)).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    cross = out.withColumn("low", F.col("part")).withColumn("mate", F.explode(_numbers(m_parts))).withColumn("high", -1 - F.col("mate"))
+    inner = rows.filter(within).withColumn("high", -1 - m_part).withColumn("low", F.explode(_numbers(o_parts)))
+    dealt = pairs.select(*columns).unionByName(cross.select(*columns)).unionByName(inner.select(*columns))
+    return first.unionByName(scratch.save(_linked(dealt, percent, miss)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, block_rows: int = 1500, bucket_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept): one row per input row; see the module's text.
 
     Documents with 100 * intersection >= percent * union of their 5-word shingle sets are linked.
@@ -261,34 +382,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bloc
     some = feats.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
     classes = scratch.save(classes)
-    keyed = classes.select(F.explode("bands").alias("band"), "node", "sketch").repartition("band").sortWithinPartitions("band")
     need = least_matches(percent / 100, miss)[SKETCH // BATCH - 1]
-    blocks = scratch.save(components(keyed.mapInArrow(_bucket_edges(need), "u long, v long"), scratch))
-
-    sizes = blocks.groupBy("component").count()
-    members = blocks.join(sizes.filter(f"count <= {block_rows}"), "component", "left_semi").withColumn("parts", F.lit(1))
-    large = sizes.filter(f"count > {block_rows}").select("component", F.ceil(F.col("count") / (block_rows / 2)).cast("int").alias("parts"))
-    members = members.select("node", "component", "parts").unionByName(blocks.join(large, "component").select("node", "component", "parts"))
+    blocks = scratch.save(components(_candidate_edges(classes, need, bucket_rows), scratch).select("node", F.col("component").alias("block")))
+    sizes = scratch.save(blocks.groupBy("block").agg(F.count("*").alias("size")))
+    n_blocked = sizes.agg(F.sum("size")).first()[0] or 0
     # only class heads carry sets; equal texts of other rows add nothing
-    heads = members.select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "parts")
+    heads = join_each(blocks, sizes.withColumn("n", F.col("size")), ["block"], "n", n_blocked).withColumnRenamed("node", "doc_id")
     # a sort-merge join at every size: whether the heads would fit a broadcast must not decide the plan
-    sets = src.hint("merge").join(heads, "doc_id").select(F.col("doc_id").alias("node"), "block", "parts", "text")
-    sets = sets.mapInArrow(_sets, "node long, block long, parts int, shingles binary, sig binary").filter("length(shingles) > 0")
-    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))))
-    dealt = sets.withColumn("part", part).withColumn("other", other).select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "shingles", "sig")
+    sets = src.hint("merge").join(heads, "doc_id").select(F.col("doc_id").alias("node"), "block", "size", "text")
+    sets = scratch.save(sets.mapInArrow(_sets, "node long, block long, size long, shingles binary, sig binary").filter("length(shingles) > 0"))
+    final = components(_block_forests(sets, sizes, scratch, percent, miss, block_rows), scratch)
+
+    classed = classes.select("h1", "h2", "node", "copies").join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"), "copies")
+    classed = scratch.save(classed)
+    n_rows = classed.agg(F.sum("copies")).first()[0] or 0
+    out = join_each(some.select("doc_id", "n_shingles", "h1", "h2"), classed, ["h1", "h2"], "copies", n_rows).select("doc_id", "n_shingles", "component_id")
+    rest = feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["node", "shingles"]).sort_values("node", kind="stable")
-        arrays = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
-        sigs = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(-1, SLOTS)
-        found = link_block(pdf.node.to_numpy(), arrays, sigs, percent, miss)
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    forests = scratch.save(dealt.groupBy("block", "low", "high").applyInPandas(work, "u long, v long"))
-    final = components(forests, scratch)
+def distinct_documents(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but for each group of near-duplicates only that of the smallest id.
 
-    classed = classes.select("h1", "h2", "node").join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    out = some.select("doc_id", "n_shingles", "h1", "h2").join(classed, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    rest = feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    Rows are compared as they stand: rows that share an id but not a text stay, repeated rows are copies of each other,
+    and of rows with the same id the one read first stays; a null id comes last. Texts without words are no copies.
+    """
+    scratch = Scratch(docs.sparkSession, "distinct")
+    row, one = free_name("row_number", docs), free_name("component", docs)
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, percent, id_col=row, text_col=text_col).select(F.col("doc_id").alias(row), F.col("component_id").alias(one))
+    named = scratch.save(rows.select(row, F.col(id_col).cast("long").alias("id")).join(found, row))
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", row))
+    groups = named.groupBy(one).agg(first.alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    groups = scratch.save(groups.select(one, F.col(f"kept.{row}").alias("kept"), "n"))
+    n_rows = groups.agg(F.sum("n")).first()[0] or 0
+    copies = join_each(named.select(row, one), groups, [one], "n", n_rows).filter(F.col(row) != F.col("kept")).select(row)
+    return rows.join(copies, row, "left_anti").drop(row)

@@ -151,6 +151,42 @@ def test_near_duplicates(spark, block_rows):
     assert got == brute.near_duplicates(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize(("block_rows", "bucket_rows"), [(6, 3), (40, 1), (1500, 2)])
+def test_large_blocks_and_buckets_lose_no_link(spark, block_rows, bucket_rows):
+    texts = variants(11, 4, 60) + [f"w{i} " * 6 for i in range(20)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(documents(spark, texts), block_rows=block_rows, bucket_rows=bucket_rows).collect()}
+    assert got == brute.near_duplicates(list(enumerate(texts)))
+
+
+def test_hubs_are_members_of_the_largest_groups():
+    r = np.random.default_rng(2)
+    base = r.integers(1, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i : 270 + i], r.integers(1, 1 << 62, 10, dtype=np.uint64)])) for i in range(20)] + [r.integers(1, 1 << 62, 280, dtype=np.uint64) for _ in range(15)]
+    found = neardup.hubs_of(np.arange(35), sets, np.stack([neardup.signature(x) for x in sets]), 85, 1e-6)
+    assert len(found) <= neardup.HUBS and set(found[: neardup.HUBS_OF_GROUP].tolist()) <= set(range(20))
+
+
+def test_distinct_documents_are_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, "another text altogether"), (1, "another text altogether"), (None, text), (None, "x"), (None, "x"), (2, text + " end"), (3, None), (3, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    for c in ["row_number", "component", "kept", "__id", "__rows", "n", "id"]:
+        df = df.withColumn(c, F.lit("x"))
+    out = neardup.distinct_documents(df)
+    assert out.columns == df.columns
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([(1, text), (1, "another text altogether"), (None, "x"), (3, None), (3, None), (3, "")], key=str)
+    assert neardup.distinct_documents(df.limit(0)).count() == 0
+
+
+def test_hot_keys_join_like_others(spark):
+    from alertloom.llm import common
+
+    left = spark.createDataFrame([(1, i) for i in range(3000)] + [(k, 0) for k in range(2, 50)] + [(99, 0)], "k long, x long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("y", F.col("k") * 2).filter("k <> 99")
+    out = common.join_each(left, right, ["k"], "n", 3049)
+    assert out.columns == ["k", "x", "y"] and out.count() == 3048 and out.filter("y <> 2 * k").count() == 0
+
+
 def test_near_duplicates_edges(spark):
     df = documents(spark, [(7, "same text here"), (7, "same text here"), (9, "same text here"), (None, "same text here"), (3, None)])
     got = sorted(((x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(df).collect()), key=str)
