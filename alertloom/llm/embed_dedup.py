@@ -11,7 +11,9 @@
    the vertex by factor `alpha`); edges count both ways, and the lists of a vertex are united over its shards.
 4. Range-expanding greedy search on the united graph: from the shard's medoid a beam walks to each vertex's own
    neighbourhood, then the frontier of vertices in range expands until no neighbour in range is new.
-   Every hit is verified by the double-precision cosine.
+   Every hit is verified by the double-precision cosine. A pair is decided in one task, that of the smaller home (and
+   of its two parts), whichever end finds the other, and counts for both ends. `exact` compares all pairs of a
+   task instead of searching: the yardstick of the search, and the way to take where the audit fails.
 5. Recall is audited on up to `audit_rows` classes that have links, against brute force over all rows: found over true
    links to other classes, without a class and its copies. Such classes are looked for among samples of growing size, up
    to `sample_rows` classes; the audited recall is null if none is among them. Below `recall` the search is run again with
@@ -19,7 +21,7 @@
 
 A shard task returns counts and a spanning forest, never all pairs. Null, zero and non-finite vectors, null labels
 and vectors of other lengths link with nothing. Repeated vec_ids are one vertex for components, and rows of their own
-for counts. An empty table gives an empty result.
+for counts. An empty table gives an empty result; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,18 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
 from .components import components
-from .neardup import Forest
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Unit centroids by cosine."""
-    k = min(k, len(x))
+    """Unit centroids by cosine; one centroid for ten vectors at most."""
+    k = max(1, min(k, len(x) // 10 or 1))
     c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
-        for j in range(k):
-            if (near == j).any():
-                c[j] = x[near == j].mean(0)
+        count = np.bincount(near, minlength=k)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(count[:, None] > 0, total, c)
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
@@ -192,11 +194,23 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], back: list[np.ndarray],
     return out
 
 
+def groups_of(pairs: np.ndarray) -> np.ndarray:
+    """The smallest row each row reaches in a symmetric matrix of pairs."""
+    roots = np.full(len(pairs), -1)
+    for i in range(len(pairs)):
+        front = np.array([i]) if roots[i] < 0 else np.zeros(0, np.int64)
+        roots[front] = i
+        while len(front):
+            front = np.flatnonzero(pairs[front].any(0) & (roots < 0))
+            roots[front] = i
+    return roots
+
+
 def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int = 1500, sample_rows: int = 20_000, degree: int = 32, pool: int = 64, alpha: float = 1.2, beam: int = 16, audit_rows: int = 200, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int = 1500, sample_rows: int = 20_000, degree: int = 32, pool: int = 64, alpha: float = 1.2, beam: int = 16, audit_rows: int = 200, recall: float = 0.97, exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall): one row per input row; see the module's text."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -214,7 +228,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows
     # labels that need centroids are those above shard_rows; their sample is bounded
     big = classes.groupBy("label").count().filter(f"count > {shard_rows}")
     sample = classes.join(big, "label", "left_semi").orderBy(F.xxhash64("node", F.lit(5))).limit(sample_rows).select("label", "u")
-    counted = {r["label"]: r["count"] for r in big.orderBy(F.col("count").desc()).limit(4096).collect()}
+    named = F.broadcast(sample.select("label").distinct())  # at most sample_rows labels
+    counted = {r["label"]: r["count"] for r in big.join(named, "label", "left_semi").collect()}
     centres = {}
     for name, part in sample.toPandas().groupby("label") if counted else ():
         if name in counted:
@@ -236,7 +251,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows
     measured = None
     for attempt in range(3):
         wide = 2**attempt
-        searched = _search(classes, centres, scratch, threshold, shard_rows, degree * wide, pool * wide, alpha, beam * wide)
+        searched = _search(classes, centres, scratch, threshold, shard_rows, degree * wide, pool * wide, alpha, beam * wide, exact)
         links = searched.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
         if not truth:
             break
@@ -282,23 +297,23 @@ def _true_links(classes: DataFrame, size: int, threshold: float) -> dict[int, in
     return {i: true[i] for i in audit.node.tolist() if i in true}
 
 
-def _search(classes: DataFrame, centres: dict, scratch: Scratch, threshold: float, shard_rows: int, degree: int, pool: int, alpha: float, beam: int) -> DataFrame:
-    """(node, links, other): a count row (other null) and forest edges of every class."""
+def _search(classes: DataFrame, centres: dict, scratch: Scratch, threshold: float, shard_rows: int, degree: int, pool: int, alpha: float, beam: int, exact: bool = False) -> DataFrame:
+    """(node, links, other): count rows (other null) and forest edges of every class."""
 
     def deal(batches):
         for pdf in batches:
             out = []
             for name, part in pdf.groupby("label"):
                 if name not in centres:
-                    out.append(part.assign(shard=0, home=True))
+                    out.append(part.assign(shard=0, home=0))
                     continue
                 home, inside = members(_matrix(part.u), *centres[name], threshold)
                 row, shard = np.nonzero(inside)
-                out.append(part.iloc[row].assign(shard=shard, home=home[row] == shard))
-            out = pd.concat(out) if out else pdf.assign(shard=0, home=True)
+                out.append(part.iloc[row].assign(shard=shard, home=home[row]))
+            out = pd.concat(out) if out else pdf.assign(shard=0, home=0)
             yield out[["label", "shard", "home", "node", "copies", "u"]]
 
-    dealt = scratch.save(classes.select("label", "node", "copies", "u").mapInPandas(deal, "label string, shard long, home boolean, node long, copies long, u array<double>"))
+    dealt = scratch.save(classes.select("label", "node", "copies", "u").mapInPandas(deal, "label string, shard long, home long, node long, copies long, u array<double>"))
     # a shard beyond four times the aim is dealt into parts, and every two of them meet
     sizes = dealt.groupBy("label", "shard").count().select("label", "shard", F.when(F.col("count") > 4 * shard_rows, F.ceil(F.col("count") / (2 * shard_rows))).otherwise(1).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
@@ -312,29 +327,43 @@ def _search(classes: DataFrame, centres: dict, scratch: Scratch, threshold: floa
         ids = pdf.node.to_numpy()
         return pd.DataFrame({"node": ids, "near": [ids[a].tolist() for a in lists], "back": [ids[a].tolist() for a in reversed_lists(lists)]})
 
-    lists = dealt.groupBy(*keys).applyInPandas(build, "node long, near array<long>, back array<long>")
-    unite = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    united = lists.groupBy("node").agg(unite("near"), unite("back"))  # bounded by the sizes of a vertex's shards
-    united = scratch.save(united)
+    none = F.expr("cast(array() as array<long>)")
+    if exact:
+        joined = dealt.withColumns({"near": none, "back": none})
+    else:
+        lists = dealt.groupBy(*keys).applyInPandas(build, "node long, near array<long>, back array<long>")
+        unite = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        united = scratch.save(lists.groupBy("node").agg(unite("near"), unite("back")))  # bounded by the sizes of a vertex's shards
+        joined = dealt.join(united, "node")
+
+    def found(pdf: pd.DataFrame, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Pairs of rows in range, both ways; at least one of each pair is a query."""
+        x = _matrix(pdf.u)
+        pairs = np.zeros((len(ids), len(ids)), bool)  # a task holds at most 4 * shard_rows rows
+        if exact:
+            for at in range(0, len(queries), 512):
+                pairs[queries[at : at + 512]] = x[queries[at : at + 512]] @ x.T >= threshold
+        else:
+            at = {v: i for i, v in enumerate(ids.tolist())}
+            local = lambda column: [np.array([at[j] for j in near if j in at], np.int64) for near in column]
+            for q, hits in zip(queries.tolist(), range_search(x, local(pdf.near), local(pdf.back), queries, threshold, beam), strict=True):
+                pairs[q, hits] = True
+        pairs |= pairs.T
+        np.fill_diagonal(pairs, False)
+        return pairs
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, copies = _matrix(pdf.u), pdf.node.to_numpy(), pdf.copies.to_numpy()
-        at = {v: i for i, v in enumerate(ids.tolist())}
-        local = lambda column: [np.array([at[j] for j in near if j in at], np.int64) for near in column]
-        lists, back = local(pdf.near), local(pdf.back)
-        queries = np.flatnonzero(pdf.home.to_numpy())
-        own, low, high = pdf.part.to_numpy(), pdf.low.iloc[0], pdf.high.iloc[0]
-        forest, links = Forest(len(ids)), np.zeros(len(queries), np.int64)
-        for k, (q, hits) in enumerate(zip(queries.tolist(), range_search(x, lists, back, queries, threshold, beam), strict=True)):
-            # pairs inside a part are met by every task of the part; one of them counts them
-            mine = low == high or (own[q] == high and low == high - 1) or (own[q] == low == 0 and high == 1)
-            links[k] = copies[hits if mine else hits[own[hits] != own[q]]].sum()
-            for j in hits.tolist():
-                forest.union(q, j)
-        roots = forest.roots(np.arange(len(ids)))
-        joined = np.flatnonzero(roots != np.arange(len(ids)))
-        other = pd.array([None] * len(queries) + ids[roots[joined]].tolist(), "Int64")
-        return pd.DataFrame({"node": np.concatenate([ids[queries], ids[joined]]), "links": np.concatenate([links, np.zeros(len(joined), np.int64)]), "other": other})
-
-    joined = dealt.join(united, "node")
+        ids, home, own = pdf.node.to_numpy(), pdf.home.to_numpy(), pdf.part.to_numpy()
+        shard, low, high = pdf["shard"].iloc[0], pdf.low.iloc[0], pdf.high.iloc[0]
+        pairs = found(pdf, ids, np.flatnonzero(home == shard))
+        roots = groups_of(pairs)
+        # a pair counts in the smaller of its homes, and one inside a part in one of the part's tasks
+        pairs &= np.minimum(home[:, None], home) == shard
+        once = np.array([low == high or (p == high and low == high - 1) or (p == low == 0 and high == 1) for p in own])
+        pairs &= (own[:, None] != own) | once[:, None]
+        links = pairs @ pdf.copies.to_numpy()
+        linked, joined = np.flatnonzero(links), np.flatnonzero(roots != np.arange(len(ids)))
+        other = pd.array([None] * len(linked) + ids[roots[joined]].tolist(), "Int64")
+        return pd.DataFrame({"node": np.concatenate([ids[linked], ids[joined]]), "links": np.concatenate([links[linked], np.zeros(len(joined), np.int64)]), "other": other})
+
     return scratch.save(joined.groupBy(*keys).applyInPandas(search, "node long, links long, other long"))

@@ -412,6 +412,29 @@ def test_embedding_audit_counts_links_between_classes(spark, monkeypatch):
         embed_dedup.embedding_duplicates(df)
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_embedding_links_count_at_both_ends(spark, exact):
+    g = np.random.default_rng(14)
+    x = np.concatenate([g.normal(size=(500, 12)), g.normal(size=(8, 1, 12)).repeat(40, 1).reshape(320, 12) + g.normal(size=(320, 12)) * 0.1, g.normal(size=(30, 12))])
+    x[-30:] = x[500:530]  # copies
+    rows = [[i, v.tolist(), i % 2] for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("shard", F.lit("x"))
+    want = brute.embedding_links(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_duplicates(df, shard_rows=40, exact=exact).collect()}
+    found, true = sum(n for n, _ in got.values()), sum(n for n, _ in want)
+    assert true > 2000 and found % 2 == 0 and (found == true if exact else found >= 0.97 * true)
+    assert all(n <= want[i][0] and (n > 0 or c == i) for i, (n, c) in got.items())
+    if exact:
+        assert [got[i] for i in range(len(rows))] == want
+
+
+def test_groups_of_pairs():
+    pairs = np.zeros((7, 7), bool)
+    for i, j in ((0, 3), (3, 5), (2, 6)):
+        pairs[i, j] = pairs[j, i] = True
+    assert embed_dedup.groups_of(pairs).tolist() == [0, 1, 2, 0, 4, 0, 2]
+
+
 def test_embeddings_empty(spark):
     assert embed_dedup.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
