@@ -18,8 +18,9 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    every = F.filter("secrets", lambda s: s["confirmed"] | s["kind"].isin(*secrets.BASE_KINDS))
     confirmed = F.size(F.filter("secrets", lambda s: s["confirmed"])).cast("long").alias("n_confirmed")
-    return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"), confirmed)
+    return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"), confirmed)
 
 
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Secret scan with structural confirmation.
 
 Lexical kinds (kept as found): assignments, access-key ids and long hex runs. Confirmed kinds are added only when
-the decoded bytes hold together: PEM and bare DER keys must parse as nested lengths that fill the value exactly,
-OpenSSH blobs as length-prefixed fields, and signed tokens as a JSON header that names an algorithm.
+the decoded bytes are a private key or a signed token: DER whose nested lengths fill the value exactly and whose fields
+are those of a private key (PKCS#1, PKCS#8 plain or encrypted, SEC1, DSA), OpenSSH private blobs read field by field,
+PEM blocks of these (or of the older encrypted form, by its cipher and block length), and tokens whose header is JSON that
+names an algorithm. Certificates and public keys are no secrets: DER ones are not reported, and a length-prefixed
+public SSH key is reported as not confirmed, which redaction and the query's spans leave out.
 
 Spans are code points, end exclusive, sorted by start and then by the order of KINDS. Null or empty texts have no
-spans; repeated rows repeat their result; a text of any length is scanned whole in time linear in its length.
+spans; repeated rows repeat their result; an empty table gives an empty result; other columns are never read, whatever
+their names. A text of any length is scanned whole in time linear in its length.
 """
 
 from __future__ import annotations
@@ -50,59 +54,125 @@ def decode64(s: str) -> bytes | None:
         return None
 
 
-def der_fits(b: bytes, depth: int = 0) -> bool:
+#: Universal tags of DER values that are not constructed.
+_PLAIN_TAGS = frozenset((0, 1, 2, 3, 4, 5, 6, 9, 10, 12, 19, 20, 22, 23, 24))
+SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
+EXPLICIT = frozenset(range(0xA0, 0xC0))
+
+
+def der_fields(b: bytes) -> list[tuple[int, bytes, list]] | None:
+    """The one DER value of b as [(tag, content, fields)], or None where a length, nested to any depth, doesn't fit."""
+    top: list = []
+    todo = [(0, len(b), top)]
+    while todo:
+        at, end, out = todo.pop()
+        while at < end:
+            if end - at < 2:
+                return None
+            tag, n, at = b[at], b[at + 1], at + 2
+            if n >= 0x80:
+                k = n & 0x7F
+                if not 1 <= k <= 4 or at + k > end:
+                    return None
+                n, at = int.from_bytes(b[at : at + k], "big"), at + k
+                if n < 0x80:
+                    return None
+            if at + n > end or not tag & 0x20 and not tag & 0xC0 and tag & 0x1F not in _PLAIN_TAGS:
+                return None
+            fields: list = []
+            out.append((tag, b[at : at + n] if not tag & 0x20 else b"", fields))
+            if tag & 0x20:
+                todo.append((at, at + n, fields))
+            at += n
+    return top if len(top) == 1 else None
+
+
+def der_fits(b: bytes) -> bool:
     """Whether b is one DER value whose length, and all nested lengths, fill it exactly."""
-    return bool(b) and _der_end(b, 0, len(b), depth) == len(b)
-
-
-def _der_end(b: bytes, at: int, end: int, depth: int) -> int:
-    """End of the value at `at`, or -1."""
-    if end - at < 2 or depth > 12:
-        return -1
-    tag, n, at = b[at], b[at + 1], at + 2
-    if n == 0x80:
-        return -1
-    if n > 0x80:
-        k = n & 0x7F
-        if k > 4 or at + k > end:
-            return -1
-        n, at = int.from_bytes(b[at : at + k], "big"), at + k
-        if n < 0x80:
-            return -1
-    if at + n > end:
-        return -1
-    if tag & 0x20:
-        i = at
-        while i < at + n:
-            i = _der_end(b, i, at + n, depth + 1)
-            if i < 0:
-                return -1
-    elif tag & 0x1F not in (1, 2, 3, 4, 5, 6, 9, 10, 12, 19, 20, 22, 23, 24, 0) and not tag & 0xC0:
-        return -1
-    return at + n
+    return bool(b) and der_fields(b) is not None
 
 
 def der_key(b: bytes) -> bool:
-    """A DER SEQUENCE of at least 32 bytes that starts with an INTEGER or a SEQUENCE: private and public key forms."""
-    if len(b) < 32 or b[0] != 0x30 or not der_fits(b):
+    """A DER private key of at least 32 bytes."""
+    value = der_fields(b) if len(b) >= 32 and b[0] == SEQUENCE else None
+    if not value:
         return False
-    first = 2 + (b[1] & 0x7F if b[1] & 0x80 else 0)
-    return b[first] in (0x02, 0x30)
+    fields = value[0][2]
+    tags = [t for t, *_ in fields]
+    version = fields[0][1] if tags[:1] == [INTEGER] else None
+    named = lambda f: f[0] == SEQUENCE and [t for t, *_ in f[2]][:1] == [OID]
+    optional = set(tags[3:]) <= EXPLICIT | {0x81}
+    if version in (b"\0", b"\1") and len(fields) >= 3 and named(fields[1]) and tags[2] == OCTETS and optional:
+        return True  # PKCS#8
+    if version in (b"\0", b"\1") and len(tags) >= 9 and set(tags[:9]) == {INTEGER} and set(tags[9:]) <= {SEQUENCE}:
+        return True  # PKCS#1
+    if version == b"\0" and tags == [INTEGER] * 6:
+        return True  # DSA
+    if version == b"\1" and tags[1:2] == [OCTETS] and set(tags[2:]) <= EXPLICIT:
+        return True  # SEC1
+    return tags == [SEQUENCE, OCTETS] and named(fields[0]) and len(fields[1][1]) >= 16  # PKCS#8, encrypted
+
+
+def _prefixed(b: bytes, at: int) -> tuple[bytes, int] | None:
+    """The length-prefixed field at `at` and its end."""
+    n = int.from_bytes(b[at : at + 4], "big")
+    return (b[at + 4 : at + 4 + n], at + 4 + n) if at + 4 <= len(b) and at + 4 + n <= len(b) else None
+
+
+def ssh_private(b: bytes) -> bool:
+    """An OpenSSH private blob: cipher, key derivation, its options, the number of keys, public keys, private part."""
+    if not b.startswith(b"openssh-key-v1\0"):
+        return False
+    at, head = 15, []
+    for _ in range(3):
+        field = _prefixed(b, at)
+        if field is None:
+            return False
+        head.append(field[0])
+        at = field[1]
+    n, at = int.from_bytes(b[at : at + 4], "big"), at + 4
+    if not 1 <= n <= len(b) // 4:
+        return False
+    for k in range(n + 1):
+        field = _prefixed(b, at)
+        if field is None or k < n and not ssh_public(field[0]):
+            return False
+        body, at = field
+    plain = head[0] == b"none"
+    # the private part is whole cipher blocks and, unencrypted, begins with the same check number twice
+    return at == len(b) and len(body) >= 16 and len(body) % 8 == 0 and plain == (head[1] == b"none") and (not plain or body[:4] == body[4:8])
 
 
-def ssh_key(b: bytes) -> bool:
-    """An OpenSSH private blob, or length-prefixed fields that fill the value and begin with a key type."""
-    if b.startswith(b"openssh-key-v1\0"):
-        return True
+def ssh_public(b: bytes) -> bool:
+    """Length-prefixed fields that fill the value and begin with a key type."""
     at, fields = 0, 0
-    while at + 4 <= len(b):
-        n = int.from_bytes(b[at : at + 4], "big")
-        if at + 4 + n > len(b):
+    while at < len(b):
+        field = _prefixed(b, at)
+        if field is None or fields == 0 and not re.match(rb"(ssh|ecdsa|sk)-", field[0]):
             return False
-        if fields == 0 and not re.match(rb"(ssh|ecdsa|sk)-", b[4 : 4 + n]):
-            return False
-        at, fields = at + 4 + n, fields + 1
-    return at == len(b) and fields >= 2
+        at, fields = field[1], fields + 1
+    return fields >= 2
+
+
+def pem_key(kind: str, block: str) -> bool:
+    """Whether the lines between the marks of a PEM block hold the private key that `kind` announces."""
+    lines = block.split()
+    head = " ".join(x for x in block.splitlines() if ":" in x)
+    cipher = re.search(r"DEK-Info:\s*([A-Za-z0-9-]+),([0-9A-Fa-f]+)", head)
+    named = {w for line in block.splitlines() if ":" in line for w in line.split()}
+    raw = decode64("".join(x for x in lines if x not in named))
+    if not raw:
+        return False
+    if "ENCRYPTED" in head and cipher:
+        return len(cipher[2]) in (16, 32) and len(raw) >= 32 and len(raw) % (len(cipher[2]) // 2) == 0
+    if kind.startswith("ENCRYPTED"):
+        return der_key(raw) and raw[der_start(raw)] == SEQUENCE
+    return der_key(raw) or ssh_private(raw)
+
+
+def der_start(b: bytes) -> int:
+    """Where the content of the DER value begins."""
+    return 2 + (b[1] & 0x7F if b[1] & 0x80 else 0)
 
 
 def signed_header(token: str) -> bool:
@@ -127,7 +197,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, bool]]:
     for m in _HEX.finditer(text):
         h = m.group()
         raw = bytes.fromhex(h) if len(h) % 2 == 0 else b""
-        key = der_key(raw) or ssh_key(raw)
+        key = der_key(raw) or ssh_private(raw)
         out.append(("hex", *m.span(), key))
         if key:
             out.append(("hexkey", *m.span(), True))
@@ -135,11 +205,8 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, bool]]:
     for k, m in enumerate(heads):
         tail = f"-----END {m.group(1)}-----"
         end = text.find(tail, m.end(), heads[k + 1].start() if k + 1 < len(heads) else len(text))
-        if end >= 0:
-            body = "".join(x for x in text[m.end() : end].split() if ":" not in x and not x.endswith(","))
-            raw = decode64(body)
-            if raw and (der_fits(raw) or ssh_key(raw) or "ENCRYPTED" in m.group(1)):
-                out.append(("pem", m.start(), end + len(tail), True))
+        if end >= 0 and pem_key(m.group(1), text[m.end() : end]):
+            out.append(("pem", m.start(), end + len(tail), True))
     for m in _TOKEN.finditer(text):
         if signed_header(m.group()):
             out.append(("jwt", *m.span(), True))
@@ -148,8 +215,8 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, bool]]:
         if raw:
             if der_key(raw):
                 out.append(("der", *m.span(), True))
-            elif ssh_key(raw):
-                out.append(("ssh", *m.span(), True))
+            elif ssh_private(raw) or ssh_public(raw):
+                out.append(("ssh", *m.span(), ssh_private(raw)))
     return sorted(out, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 
@@ -173,12 +240,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with each secret span of the text replaced by `mark`; overlaps merge."""
+    """The same rows and columns with each lexical or confirmed span of the text replaced by `mark`; overlaps merge."""
     small_batches(docs.sparkSession)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def clean(text: str | None) -> str | None:
-        spans = find_secrets(text)
+        spans = [s for s in find_secrets(text) if s[0] in BASE_KINDS or s[3]]
         if not spans:
             return text
         out, end = [], 0

@@ -1,26 +1,37 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word: insults, threats, targets, negation and reported speech. Their
-composition is one deterministic machine whose state holds how long ago a target, a negation or a threat was read
-and whether the clause reports speech; its arcs scale the weight of the insult or threat they complete. Matched
-clauses are scored, not words alone: "not an idiot" and "they said: idiot" weigh less than "you idiot".
+Five small transducers read a clause word by word: insults, threats at targets, aim (a target shortly before), negation
+and reported speech. Their composition is one deterministic machine whose state holds how long ago a target, a negation
+or a threat was read and whether the clause reports speech. Its arcs say whether they complete an insult or a threat and
+which of aim, negation and report scale its weight. Matched clauses are scored, not words alone: "not an idiot" and "they
+said: idiot" weigh less than "you idiot". A learned stem that is also a threat word has its learned weight by itself and
+the rest of a threat's where a target follows.
 
 Insult stems and weights are learned from labelled rows: word beginnings (and whole words) that are frequent in
 toxic texts and rare in others, chosen greedily by how many unexplained toxic texts they explain; a logistic fit on the
-stems' counts gives their weights and the intercept, so stems that clean texts hold now and then need company. A short
-seed list stands in where labels are few. At most `sample_rows` labelled rows, those of the smallest hash, are used.
+stems' counts gives their weights and the intercept, so stems that clean texts hold now and then need company. The
+factors of aim, negation and report are then fitted on the matched clauses, from their declared values, which weigh as
+PRIOR_MATCHES matches do. A short seed list stands in where labels are few. At most `sample_rows` labelled rows, those of
+the smallest hash, are used, with all their stems.
 
-Null and empty texts get the score of a text without matches. Repeated rows get equal scores. Texts are read whole;
-only clauses that hold a learned or seed word are walked, each once, so the time is linear in the text.
+Of one stem or threat word a text's MOST_REPEATS heaviest matches count, in learning as in scoring, so the length of a
+text or its repetition makes nothing toxic by itself.
+
+Null and empty texts get the score of a text without matches. Repeated rows get equal scores; an empty table gives an
+empty result; other columns are handed on, whatever their names, but for the score's own. Texts are read whole; only
+clauses that hold a learned or seed word are walked, each once, so the time is linear in the text.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import ahocorasick
 import numpy as np
@@ -39,6 +50,11 @@ NEGATIONS = "not no never nobody nor isn aren wasn don doesn didn pas jamais nic
 REPORTS = "said says quoted wrote writes claimed called reported cites cited dit sagte dijo".split()
 #: Log-odds of a text that holds one seed insult, or one threat at a target.
 SEED_ODDS = 1.5
+MOST_REPEATS = 3
+#: What an arc may say, as bits: an insult or a threat is complete; aim, negation and report scale it.
+INSULTED, THREATENED, AIMED, NEGATED, REPORTED = 1, 2, 4, 8, 16
+FACTORS = {AIMED: 1.3, NEGATED: 0.4, REPORTED: 0.5}
+PRIOR_MATCHES = 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
@@ -47,7 +63,7 @@ _PREFIXES = (4, 5, 6, 7, 8)
 
 # --- the grammar -----------------------------------------------------------------------------------------------
 class Transducer:
-    """step(state, symbol) -> (state, factor on the weight of an insult or threat completed by this symbol)."""
+    """step(state, symbol) -> (state, bits that the arc says)."""
 
     start = 0
 
@@ -55,67 +71,66 @@ class Transducer:
         raise NotImplementedError
 
 
-class Recent(Transducer):
-    """Scales `scaled` by `factor` for `span` words after `symbol`."""
-
-    def __init__(self, symbol: int, span: int, factor: float, scaled: tuple[int, ...] = (INSULT, THREAT)):
-        self.symbol, self.span, self.factor, self.scaled = symbol, span, factor, scaled
+class Insult(Transducer):
+    """Every insult is complete by itself."""
 
     def step(self, state, symbol):
-        factor = self.factor if state and symbol in self.scaled else 1.0
-        return (self.span if symbol == self.symbol else max(0, state - 1)), factor
+        return 0, INSULTED if symbol == INSULT else 0
 
 
-class Throughout(Transducer):
-    """Scales by `factor` in the rest of the clause after `symbol`."""
+class Aimed(Transducer):
+    """A threat is complete where a target follows within `span` words; its weight is pending until then."""
 
-    def __init__(self, symbol: int, factor: float):
-        self.symbol, self.factor = symbol, factor
+    def __init__(self, span: int):
+        self.span = span
 
     def step(self, state, symbol):
-        return int(state or symbol == self.symbol), self.factor if state and symbol in (INSULT, THREAT) else 1.0
+        if symbol == THREAT:
+            return self.span, 0
+        if symbol == TARGET and state:
+            return 0, THREATENED
+        return max(0, state - 1), 0
 
 
-class Aimed(Transducer):
-    """A threat counts only where a target follows within `span` words: the arc that reads the target completes it.
+class Recent(Transducer):
+    """Says `bit` on `scaled` symbols for `span` words after `symbol`."""
 
-    The arc that reads the threat has the factors of negation and reported speech; its scaled weight is pending.
-    """
+    def __init__(self, symbol: int, span: int, bit: int, scaled: tuple[int, ...] = (INSULT, THREAT)):
+        self.symbol, self.span, self.bit, self.scaled = symbol, span, bit, scaled
 
-    def __init__(self, span: int):
-        self.span = span
+    def step(self, state, symbol):
+        return (self.span if symbol == self.symbol else max(0, state - 1)), self.bit if state and symbol in self.scaled else 0
+
+
+class Throughout(Transducer):
+    """Says `bit` in the rest of the clause after `symbol`."""
+
+    def __init__(self, symbol: int, bit: int):
+        self.symbol, self.bit = symbol, bit
 
     def step(self, state, symbol):
-        if symbol == THREAT:
-            return self.span, 1.0
-        if symbol == TARGET and state:
-            return 0, -1.0  # completes the pending threat
-        return max(0, state - 1), 1.0
+        return int(state or symbol == self.symbol), self.bit if state and symbol in (INSULT, THREAT) else 0
 
 
-def compose(parts: list[Transducer]) -> tuple[list[list[tuple[int, float]]], int]:
-    """The reachable product machine as rows of (next state, factor) by symbol. A negative factor completes a threat."""
+def compose(parts: list[Transducer]) -> tuple[list[list[tuple[int, int]]], int]:
+    """The reachable product machine as rows of (next state, bits) by symbol."""
     first = tuple(p.start for p in parts)
     known, todo, rows = {first: 0}, [first], []
     while todo:
         state = todo.pop(0)
         row = []
         for symbol in range(6):
-            nxt, factor = [], 1.0
-            for p, s in zip(parts, state, strict=True):
-                t, f = p.step(s, symbol)
-                nxt.append(t)
-                factor *= f
-            key = tuple(nxt)
+            steps = [p.step(s, symbol) for p, s in zip(parts, state, strict=True)]
+            key = tuple(t for t, _ in steps)
             if key not in known:
                 known[key] = len(known)
                 todo.append(key)
-            row.append((known[key], factor))
+            row.append((known[key], reduce(or_, (bits for _, bits in steps))))
         rows.append(row)
     return rows, 0
 
 
-GRAMMAR, START = compose([Recent(TARGET, 4, 1.3, (INSULT,)), Recent(NEGATION, 2, 0.4), Throughout(REPORT, 0.5), Aimed(4)])
+GRAMMAR, START = compose([Insult(), Aimed(4), Recent(TARGET, 4, AIMED, (INSULT,)), Recent(NEGATION, 2, NEGATED), Throughout(REPORT, REPORTED)])
 _FIXED = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS}
 
 
@@ -125,6 +140,7 @@ class Lexicon:
 
     stems: dict[str, float]
     base: float = 0.02
+    factors: dict[int, float] = field(default_factory=lambda: dict(FACTORS))
     _auto: object = field(default=None, repr=False)
 
     def automaton(self):
@@ -142,55 +158,72 @@ class Lexicon:
     def __post_init__(self):
         self.intercept = math.log(self.base / (1 - self.base))
 
-    def weigh(self, word: str) -> tuple[int, float]:
+    def weigh(self, word: str) -> tuple[int, str, float]:
+        """(symbol, name, weight); a threat's weight is that of the threat."""
         stem = self.stem(word)
+        if word in _THREAT_SET:
+            return THREAT, stem or word, max(SEED_ODDS - self.intercept, self.stems.get(stem, 0.0))
         if stem:
-            return INSULT, self.stems[stem]
+            return INSULT, stem, self.stems[stem]
         if word in _FIXED:
-            return _FIXED[word], 0.0
-        if word in _SEED_SET:
-            return INSULT, SEED_ODDS - self.intercept
-        if word in _THREAT_SET:
-            return THREAT, SEED_ODDS - self.intercept
-        return OTHER, 0.0
+            return _FIXED[word], word, 0.0
+        return (INSULT, word, SEED_ODDS - self.intercept) if word in _SEED_SET else (OTHER, word, 0.0)
 
     def stem(self, word: str) -> str | None:
         """The heaviest, then longest, stem of a word."""
         keys = [f"^{word}$", *(f"^{word[:n]}" for n in reversed(_PREFIXES) if n <= len(word))]
         return max((k for k in keys if k in self.stems), key=self.stems.__getitem__, default=None)
 
-    def tally(self, text: str | None) -> Counter:
-        """How often each stem occurs in a text."""
-        return Counter(k for w in _WORD.findall((text or "").lower()) if (k := self.stem(w)))
-
-    def clause(self, words: list[str]) -> float:
-        state, total, pending = START, 0.0, 0.0
+    def matches(self, words: list[str]) -> Iterator[tuple[str, float, int]]:
+        """(name, weight, scaling bits) of the insults and threats that a clause completes."""
+        state, pending = START, ("", 0.0, 0)
         for w in words:
-            symbol, weight = self.weigh(w)
-            state, factor = GRAMMAR[state][symbol]
+            symbol, name, weight = self.weigh(w)
+            state, bits = GRAMMAR[state][symbol]
+            scaled = bits & ~(INSULTED | THREATENED)
+            if bits & INSULTED:
+                yield name, weight, scaled
             if symbol == THREAT:
-                pending = weight * factor
-            elif factor < 0:
-                total += pending * -factor
-            elif weight:
-                total += weight * factor
-        return total
+                own = self.stems.get(name, 0.0)
+                pending = name, weight - own, scaled
+                if own:
+                    yield name, own, scaled
+            elif bits & THREATENED and pending[1] > 0:
+                yield f"{pending[0]} at", pending[1], pending[2]
+
+    def scale(self, bits: int) -> float:
+        return math.prod(f for bit, f in self.factors.items() if bits & bit)
+
+    def clause(self, words: list[str]) -> float:
+        return sum(weight * self.scale(bits) for _, weight, bits in self.matches(words))
+
+    def clauses(self, text: str | None) -> Iterator[list[tuple[str, float, int]]]:
+        """Matches of each clause that has any."""
+        low, done = (text or "").lower(), 0
+        for last, stem in self.automaton().iter(low) if low else ():
+            at = last - len(stem) + 1
+            if at < done or at and low[at - 1].isalpha():
+                continue
+            a = max(low.rfind(c, done, at) for c in ".!?;\n") + 1
+            end = _CLAUSE_END.search(low, last + 1)
+            b = end.start() if end else len(low)
+            found = list(self.matches(_WORD.findall(low, max(a, done), b)))
+            done = b
+            if found:
+                yield found
 
     def score(self, text: str | None) -> tuple[float, int]:
         """(score, matched clauses)."""
-        raw, matched = 0.0, 0
-        if text:
-            low = text.lower()
-            done = 0
-            for last, stem in self.automaton().iter(low):
-                at = last - len(stem) + 1
-                if at < done or at and low[at - 1].isalpha():
-                    continue
-                a = max(low.rfind(c, done, at) for c in ".!?;\n") + 1
-                end = _CLAUSE_END.search(low, last + 1)
-                b = end.start() if end else len(low)
-                got = self.clause(_WORD.findall(low, max(a, done), b))
-                raw, matched, done = raw + got, matched + (got > 0), b
+        best: dict[str, list[float]] = {}
+        matched = 0
+        for found in self.clauses(text):
+            matched += 1
+            for name, weight, bits in found:
+                heap = best.setdefault(name, [])
+                heapq.heappush(heap, weight * self.scale(bits))
+                if len(heap) > MOST_REPEATS:
+                    heapq.heappop(heap)
+        raw = sum(map(sum, best.values()))
         return 1 / (1 + math.exp(-min(30.0, self.intercept + raw))), matched
 
 
@@ -216,8 +249,8 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([by[1][s] for s in stems], pa.int64()), pa.array([by[0][s] for s in stems], pa.int64())], names=["stem", "pos", "neg"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, most_candidates: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Fit the lexicon on labels(doc_id, toxic) of `docs`; at most `sample_rows` labelled rows and `most_candidates` stems."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+    """Fit the lexicon on labels(doc_id, toxic) of `docs`; at most `sample_rows` labelled rows."""
     spark = docs.sparkSession
     small_batches(spark)
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
@@ -233,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, most_ca
     counts = sample.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1)))
     good = counts.withColumn("odds", odds).filter((F.col("pos") >= least) & (F.col("odds") > 2.5) & (4 * F.col("neg") <= F.col("pos")))
-    rows = good.orderBy(F.col("pos").desc(), "neg", "stem").limit(most_candidates).collect()
+    rows = good.collect()  # each stands for `least` of the sample's toxic rows or more
     weight = {r["stem"]: r["odds"] for r in rows}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,19 +292,48 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, most_ca
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [first.tally(t.as_py()) for t in b.column(0)]
-            keys, counts = [list(x) for x in found], [list(x.values()) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(keys, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["toxic", "stems", "counts"])
+            found = [Counter((name, bits) for c in first.clauses(t.as_py()) for name, _, bits in c if name in first.stems) for t in b.column(0)]
+            parts = [[[name for name, _ in x] for x in found], [[bits for _, bits in x] for x in found], [list(x.values()) for x in found]]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(parts[0], pa.list_(pa.string())), pa.array(parts[1], pa.list_(pa.int64())), pa.array(parts[2], pa.list_(pa.int64()))], names=["toxic", "stems", "bits", "counts"])
 
-    seen = sample.mapInArrow(tally, "toxic int, stems array<string>, counts array<long>").collect()  # at most sample_rows texts' hits
+    seen = sample.mapInArrow(tally, "toxic int, stems array<string>, bits array<long>, counts array<long>").collect()  # at most sample_rows texts' hits
+    y = np.array([r["toxic"] for r in seen], float)
+    hits = [list(zip(r["stems"], r["bits"], r["counts"], strict=True)) for r in seen]
     at = {s: i for i, s in enumerate(chosen)}
-    x = np.zeros((len(seen), len(chosen)))
-    for i, r in enumerate(seen):
-        for s, n in zip(r["stems"], r["counts"], strict=True):
-            x[i, at[s]] = min(n, 3)
-    weights, intercept = logistic(x, np.array([r["toxic"] for r in seen], float))
+    weights, intercept = logistic(_design(hits, at, {}), y)
+    factors = fit_factors(hits, y, at, weights, intercept)
+    weights, intercept = logistic(_design(hits, at, factors), y)
     stems = {s: float(w) for s, w in zip(chosen, weights, strict=True) if w > 0}
-    return Lexicon(stems, float(np.clip(1 / (1 + math.exp(-intercept)), 0.001, 0.3)))
+    return Lexicon(stems, float(np.clip(1 / (1 + math.exp(-intercept)), 0.001, 0.3)), factors)
+
+
+def _design(hits: list[list[tuple[str, int, int]]], at: dict[str, int], factors: dict[int, float]) -> np.ndarray:
+    """For each text and stem, the sum of the factors of its MOST_REPEATS heaviest matches."""
+    x = np.zeros((len(hits), len(at)))
+    for i, found in enumerate(hits):
+        left = dict.fromkeys((s for s, *_ in found), MOST_REPEATS)
+        scaled = sorted(((math.prod(f for bit, f in factors.items() if bits & bit), s, n) for s, bits, n in found), reverse=True)
+        for f, s, n in scaled:
+            x[i, at[s]] += f * min(n, left[s])
+            left[s] -= min(n, left[s])
+    return x
+
+
+def fit_factors(hits: list, y: np.ndarray, at: dict[str, int], weights: np.ndarray, intercept: float) -> dict[int, float]:
+    """Each factor by a search over its logarithm, the likelihood of the texts it touches plus a prior at FACTORS."""
+    factors = dict(FACTORS)
+    touched = {bit: [i for i, found in enumerate(hits) if any(bits & bit for _, bits, _ in found)] for bit in FACTORS}
+    for bit, rows in touched.items():
+        if rows:
+            some, labels = [hits[i] for i in rows], y[rows]
+
+            def loss(log: float, some=some, labels=labels, bit=bit) -> float:
+                z = np.clip(intercept + _design(some, at, factors | {bit: math.exp(log)}) @ weights, -30, 30)
+                return float(np.logaddexp(0, z).sum() - labels @ z + PRIOR_MATCHES / 2 * (log - math.log(FACTORS[bit])) ** 2)
+
+            grid = math.log(FACTORS[bit]) + np.linspace(-1.2, 1.2, 13)
+            factors[bit] = math.exp(min(grid.tolist(), key=loss))
+    return factors
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, rounds: int = 30) -> tuple[np.ndarray, float]:

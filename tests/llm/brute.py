@@ -111,3 +111,31 @@ def embedding_links(rows, threshold=0.98):
                 r, s = root(a), root(b)
                 up[max(r, s)] = min(r, s)
     return [(links[i], root(rows[i][0])) for i in range(n)]
+
+
+def toxicity(lex, text):
+    """Raw score of a text by looking back from each word of each clause; lex gives stems, weights and factors."""
+    from alertloom.llm import toxicity as tox
+
+    aim, negated, reported = (lex.factors[b] for b in (tox.AIMED, tox.NEGATED, tox.REPORTED))
+    found = {}
+    for clause in re.split(r"[.!?;\n]", (text or "").lower()):
+        w = re.findall(r"[^\W\d_]+", clause)
+        symbols = [lex.weigh(x) for x in w]
+        kind = [s for s, *_ in symbols]
+        last = None
+        for i, (symbol, name, weight) in enumerate(symbols):
+            f = (negated if tox.NEGATION in kind[max(0, i - 2) : i] else 1) * (reported if tox.REPORT in kind[:i] else 1)
+            if symbol == tox.INSULT:
+                found.setdefault(name, []).append(weight * f * (aim if tox.TARGET in kind[max(0, i - 4) : i] else 1))
+            elif symbol == tox.THREAT:
+                own = lex.stems.get(name, 0)
+                if own:
+                    found.setdefault(name, []).append(own * f)
+                last = (i, name, (weight - own) * f)
+            elif symbol == tox.TARGET and last and i - last[0] <= 4:
+                if last[2] > 0:
+                    found.setdefault(name + last[1], []).append(0)
+                    found.setdefault((last[1],), []).append(last[2])
+                last = None
+    return sum(sum(sorted(v, reverse=True)[:3]) for v in found.values())

@@ -76,6 +76,88 @@ def test_secret_rows(spark):
     assert secrets.scan_secrets(documents(spark, [])).count() == 0
 
 
+def _der_int(n):
+    return _der(0x02, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+def _ssh(*fields):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in fields)
+
+
+RSA = _der(0x30, _der(0x02, b"\0") + b"".join(_der_int(3**k) for k in range(60, 68)))
+NAMED = _der(0x30, _der(0x06, b"\x2a\x86\x48") + _der(0x05, b""))
+SSH_PUBLIC = _ssh(b"ssh-ed25519", bytes(32))
+SSH_PRIVATE = b"openssh-key-v1\0" + _ssh(b"none", b"none", b"") + b"\0\0\0\1" + _ssh(SSH_PUBLIC, b"abcdabcd" + bytes(range(56)))
+PRIVATE = {
+    "rsa": RSA,
+    "dsa": _der(0x30, b"".join(_der_int(n) for n in (0, 5**30, 7**20, 3**40, 2**70, 11**9))),
+    "sec1": _der(0x30, _der(0x02, b"\1") + _der(0x04, bytes(32)) + _der(0xA0, _der(0x06, b"\x2a"))),
+    "pkcs8": KEY,
+    "encrypted": _der(0x30, NAMED + _der(0x04, bytes(48))),
+    "openssh": SSH_PRIVATE,
+}
+NOT_PRIVATE = {
+    "certificate": _der(0x30, _der(0x30, _der_int(5) + NAMED + bytes(0)) + NAMED + _der(0x03, bytes(64))),
+    "public": _der(0x30, NAMED + _der(0x03, bytes(64))),
+    "rsa public": _der(0x30, _der_int(3**200) + _der_int(65537)),
+    "magic and junk": b"openssh-key-v1\0" + bytes(range(80)),
+    "cut": SSH_PRIVATE[:-1],
+    "unlike checks": SSH_PRIVATE.replace(b"abcdabcd", b"abcdabce"),
+    "two values": RSA + b"\x05\0",
+}
+
+
+def test_only_private_keys_are_confirmed():
+    b64 = lambda b: base64.b64encode(b).decode()
+    confirmed = lambda t: {k for k, *_, sure in secrets.find_secrets(t) if sure}
+    for name, b in PRIVATE.items():
+        assert confirmed(b64(b)) == {"ssh" if name == "openssh" else "der"}, name
+        assert "hexkey" in confirmed(b.hex()), name
+        assert "pem" in confirmed(f"-----BEGIN PRIVATE KEY-----\n{b64(b)}\n-----END PRIVATE KEY-----"), name
+    for name, b in NOT_PRIVATE.items():
+        assert not confirmed(b64(b)) and not confirmed(b.hex()), name
+        assert not confirmed(f"-----BEGIN PRIVATE KEY-----\n{b64(b)}\n-----END PRIVATE KEY-----"), name
+    pem = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n{}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert not confirmed(pem.format(b64(b"hello world"))) and confirmed(pem.format(b64(PRIVATE["encrypted"]))) >= {"pem"} and not confirmed(pem.format(b64(PRIVATE["encrypted"][:-2]))) & {"pem"}
+    old = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: {},{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert "pem" in confirmed(old.format("AES-128-CBC", "0A" * 16, b64(bytes(64)))) and "pem" not in confirmed(old.format("AES-128-CBC", "0A" * 16, b64(bytes(63))))
+    deep = b"\x04\0"
+    for _ in range(40):
+        deep = _der(0x30, deep)
+    assert secrets.der_fits(deep) and not secrets.der_fits(deep[:-1])
+
+
+def test_added_spans_are_found_where_they_were_put(spark):
+    """Every way of writing a planted key, by its known place; the public ones are left alone."""
+    r = random.Random(12)
+    b64 = lambda b: base64.b64encode(b).decode()
+    texts, want = [], []
+    for i in range(60):
+        name, b = r.choice([*PRIVATE.items(), *NOT_PRIVATE.items()])
+        good = name in PRIVATE
+        form = r.choice(["raw", "hex", "pem"])
+        body = {"raw": b64(b), "hex": b.hex(), "pem": f"-----BEGIN PRIVATE KEY-----\n{b64(b)[:50]}\n{b64(b)[50:]}\n-----END PRIVATE KEY-----"}[form]
+        before = "é word " * r.randint(0, 4) + "see: "
+        texts.append(f"{before}{body} end")
+        kind = {"raw": "ssh" if name == "openssh" else "der", "hex": "hexkey", "pem": "pem"}[form]
+        want.append({(kind, len(before), len(before) + len(body))} if good else set())
+    for x in secrets.scan_secrets(documents(spark, texts)).collect():
+        got = {(s.kind, s.start, s.end) for s in x.secrets if s.confirmed and s.kind in secrets.ADDED_KINDS}
+        assert {s for s in got if s[0] in {k for k, *_ in want[x.doc_id]} or not want[x.doc_id]} == want[x.doc_id], texts[x.doc_id]
+    public = base64.b64encode(SSH_PUBLIC).decode()
+    out = secrets.redact_secrets(documents(spark, [f"key {public} end", f"key {base64.b64encode(SSH_PRIVATE).decode()} end"])).orderBy("doc_id").collect()
+    assert [x.text for x in out] == [f"key {public} end", "key [SECRET] end"]
+
+
+def test_secrets_in_very_long_runs():
+    import time
+
+    for t in ["QUFB" * 500_000, "-----BEGIN PRIVATE KEY-----\n" * 30_000, "0123456789abcdef" * 100_000, "eyJ" + "a" * 10**6 + "." * 10, "-----BEGIN PRIVATE KEY-----\n" + "QUFB\n" * 200_000 + "-----END PRIVATE KEY-----"]:
+        began = time.perf_counter()
+        secrets.find_secrets(t)
+        assert time.perf_counter() - began < 10
+
+
 # --- sharding --------------------------------------------------------------------------------------------------
 def test_shards(spark):
     r = random.Random(1)
@@ -323,6 +405,39 @@ def test_negated_and_reported_threats():
     assert lex.clause("it would not kill the engine".split()) == lex.clause("not kill".split()) == 0
 
 
+def test_scores_equal_a_plain_restatement():
+    r = random.Random(13)
+    lex = toxicity.Lexicon({"^idio": 0.8, "^fool$": 0.6, "^kill": 1.1, "^stupi": 0.3}, 0.02, {toxicity.AIMED: 1.7, toxicity.NEGATED: 0.3, toxicity.REPORTED: 0.6})
+    words = "you not said idiot idiots fool fools kill killing hurt stupid the engine word never they she Idiot".split()
+    for _ in range(3000):
+        t = "".join(r.choice(words) + r.choice([" ", " ", " ", " ", ", ", ". ", "\n", "! "]) for _ in range(r.randint(0, 25)))
+        raw = min(30.0, lex.intercept + brute.toxicity(lex, t))
+        assert lex.score(t)[0] == pytest.approx(1 / (1 + np.exp(-raw))), t
+
+
+def test_repetition_and_length_make_nothing_toxic():
+    lex = toxicity.Lexicon({"^mild": 0.4}, 0.02)
+    once, thrice = lex.score("a mild word. ")[0], lex.score("a mild word. " * 3)[0]
+    assert once < thrice == lex.score("a mild word. " * 100)[0] == lex.score("a mild word. " * 20_000)[0] < 0.1
+    assert lex.score("i will kill you. ")[0] < lex.score("i will kill you. " * 3)[0] == lex.score("i will kill you. " * 100)[0]
+
+
+def test_a_learned_stem_can_still_be_a_threat():
+    lex = toxicity.Lexicon({"^kill": 0.5}, 0.02)
+    seed = toxicity.SEED_ODDS - lex.intercept
+    assert lex.clause(["kill", "it"]) == pytest.approx(0.5) and lex.clause("i kill you".split()) == pytest.approx(seed)
+    assert toxicity.Lexicon({"^kill": 9.0}, 0.02).clause("i kill you".split()) == 9.0
+
+
+def test_factors_are_learned_from_matches():
+    """Negated insults of clean texts lower the negation's factor; untouched factors keep their declared value."""
+    hits = [[("^bad", 0, 3)]] * 60 + [[("^bad", toxicity.NEGATED, 3)]] * 60 + [[]] * 60
+    got = toxicity.fit_factors(hits, np.array([1.0] * 60 + [0.0] * 120), {"^bad": 0}, np.array([2.0]), -3.0)
+    assert got[toxicity.NEGATED] < 0.3 and got[toxicity.AIMED] == 1.3 and got[toxicity.REPORTED] == 0.5
+    more = toxicity.fit_factors(hits[60:120], np.ones(60), {"^bad": 0}, np.array([2.0]), -3.0)
+    assert more[toxicity.NEGATED] > 0.6
+
+
 def test_toxicity_edges(spark):
     lex = toxicity.learn(documents(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_rows(documents(spark, awkward()), lex, score_col="tox").count() == 9
