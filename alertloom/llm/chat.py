@@ -8,7 +8,8 @@ first character, one more than there are already, which is undone exactly on rea
 Null texts and null roles count as empty. Turns are ordered by turn, then role, then text, so ties and repeated rows
 have a fixed order. Rows with a null conv_id form one conversation with id null. An out-of-order or unknown role is
 formatted like any other and flagged: valid_order is false for its conversation, which stays whole. An empty table
-gives an empty result. Turns are formatted one by one and joined in blocks before the conversation's own group, so
+gives an empty result; other columns are never read, whatever their names; a text of any length is escaped whole. Turns
+are formatted one by one and joined in blocks before the conversation's own group, so
 a conversation with a third of all turns is built from many small pieces.
 """
 

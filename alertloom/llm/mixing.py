@@ -9,7 +9,8 @@ budget: the document on the cut gives only its first words.
 Bins are equal ranges of a uniform hash, as many as the source needs for `bin_rows` rows each, so a source with a
 third of all rows is spread over many tasks. Null sources are a source of their own, sorted last. Null and empty
 texts have size 0 and take 0. Equal doc_ids share a key and are ordered by size; equal rows are interchangeable.
-An empty table gives an empty result, and a corpus without words takes nothing.
+An empty table gives an empty result, and a corpus without words takes nothing. Texts are counted whole, however long;
+other columns are never read, whatever their names. The sources themselves, one row each, meet in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     rows = scratch.save(rows.withColumn("mix_key", key))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     plan = scratch.save(targets(sources, weights, share, most_epochs))
-    plan = plan.withColumn("n_bins", F.least(F.ceil(F.col("n_rows") / bin_rows), F.lit(65536)).cast("int"))
+    plan = plan.withColumn("n_bins", F.ceil(F.col("n_rows") / bin_rows).cast("int"))
     plan = plan.withColumn("budget", F.round("target").cast("long"))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
@@ -85,8 +86,8 @@ def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Da
 
     One plan per doc_id: rows that share a doc_id are repeated alike. Documents without words stay as they are.
     """
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
-    plan = mixed.select(F.col("doc_id").alias("__mix_id"), times.alias("__mix_times")).groupBy("__mix_id").agg(F.max("__mix_times").alias("__mix_times")).filter("__mix_times > 0")
-    out = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col("__mix_id")))
-    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    key, times, copy = (free_name(n, docs) for n in ("mix_id", "mix_times", "mix_copy"))
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
+    plan = mixed.select(F.col("doc_id").alias(key), whole.alias(times)).groupBy(key).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
+    out = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)

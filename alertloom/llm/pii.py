@@ -9,8 +9,8 @@ A loose candidate that overlaps a certain span adds nothing and is left out.
 The trees are fitted on the driver in about a second, on labelled candidates written by a seeded generator
 (TRAINING_ROWS rows); no document is read for that.
 
-Spans are code points, end exclusive. Null or empty texts have no spans; repeated rows repeat their result. Patterns
-use possessive quantifiers and anchors at the start of a run, so a text of any length is scanned in one pass each.
+Spans are code points, end exclusive. Null or empty texts have no spans; repeated rows repeat their result; an empty
+table gives an empty result; other columns are never read, whatever their names. Patterns use possessive quantifiers and anchors at the start of a run, so a text of any length is scanned in one pass each.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ Each rule votes good, bad or abstains on a document. The counts of the vote patt
 and the posterior of a pattern replaces an all-must-pass filter.
 
 Null and blank texts have no words and fail the base rule. Ties and repeated rows count as rows of their own; an
-empty table gives an empty result. Texts are read whole.
+empty table gives an empty result; other columns are never read, whatever their names. Texts are read whole.
 """
 
 from __future__ import annotations

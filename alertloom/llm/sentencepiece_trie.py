@@ -10,7 +10,7 @@ state holds the one last piece of each prefix. Both give the ids of the sentence
 Words part further where no piece of the vocabulary could join (a letter and the punctuation after it), so "word," costs
 no entry of its own. Runs of spaces are merged by the model's rules and cached by length; characters outside the vocabulary fall back to
 bytes. Null texts have null ids; empty texts have none. Rows are encoded one by one, so repeated rows repeat and
-other columns are never read. The word cache is bounded by `CACHE_WORDS` and refilled when full.
+other columns are never read, whatever their names; an empty table gives an empty result. The word cache is bounded by `CACHE_WORDS` and refilled when full.
 """
 
 from __future__ import annotations

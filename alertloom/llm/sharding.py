@@ -7,7 +7,7 @@ counts of the ranges and a running sum inside each then give every row its place
 its shard and slot follow. Equal texts share a crc, but their doc_ids differ, so a group of copies that holds a third
 of all rows is cut like any other stretch of keys.
 
-Null texts have size `overhead`, no crc and come first. Equal keys are interchangeable. An empty table gives an
+Texts are measured whole, however long; other columns are never read, whatever their names. Null texts have size `overhead`, no crc and come first. Equal keys are interchangeable. An empty table gives an
 empty result. Only the boundaries and the ranges' counts (at most `most_ranges`) reach the driver.
 """
 

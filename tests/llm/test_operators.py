@@ -621,3 +621,33 @@ def test_votes_separate_good_from_bad():
     post = quality.fit_votes({code(): 850, code("symbols", "unlettered"): 40, code("symbols", "wordless"): 40, code("capitals", "exclaims"): 30})
     assert post[code()] > 0.9 and all(p < 0.5 for c, p in post.items() if c != code())
     assert quality.fit_votes({}) == {}
+
+
+# --- empty tables, long texts, clashing names ----------------------------------------------------------------------
+def test_empty_tables(spark):
+    assert pii.find_pii(documents(spark, [])).count() == 0
+    assert sp_trie.encode_rows(documents(spark, [])).count() == 0
+    assert sp_trie.decode_rows(sp_trie.encode_rows(documents(spark, []))).count() == 0
+    assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_long_turn(spark):
+    m = chat.TEMPLATE.reserved[0]
+    text = (m + " long é ") * 60_000
+    df = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat.format_chat(df).withColumn("read", chat.read_chat(F.col("formatted"))).first()
+    assert got.read[1].text == text
+
+
+def test_long_toxic_and_clean_texts():
+    lex = toxicity.Lexicon({"^idio": 6.0}, 0.02)
+    filler = "plain words go on and on. " * 100_000
+    assert lex.score(filler)[0] == pytest.approx(0.02) and lex.score(filler + "you idiot")[0] > 0.7
+
+
+def test_materialise_with_clashing_names(spark):
+    df = documents(spark, ["a b c", "d e", "", None])
+    for c in ["mix_id", "mix_times", "mix_copy", "__mix_id", "taken"]:
+        df = df.withColumn(c, F.lit("x"))
+    out = mixing.materialise(df, mixing.mix(df))
+    assert out.columns == df.columns and out.count() >= 4
