@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm import mixing, neardup, secrets, sentencepiece_trie, toxicity
-from alertloom.llm.common import Scratch, table
+from alertloom.llm.common import Scratch, free_name, table
 
 TOXIC_AT = 0.7
 
@@ -18,20 +18,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores at TOXIC_AT or more go; labels of held-out rows are not learned."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held))
-    name = "__toxicity"
+    name = free_name("toxicity", docs)
     return toxicity.score_rows(docs, lexicon, score_col=name).filter(F.col(name) < TOXIC_AT).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id; of repeated ids, one row."""
-    found = neardup.near_duplicates(docs, percent=85)
-    ids = found.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    ids = Scratch(spark, "kept").save(ids)
-    out = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    once = out.filter("__rows = 1")
-    again = out.filter("__rows > 1 and __id is not null").dropDuplicates(["__id"])
-    unknown = out.filter("__rows > 1 and __id is null")
-    return once.unionByName(again).unionByName(unknown).select(*[F.col(c) for c in docs.columns])
+    """One document of each group of near-duplicates stays, that of the smallest doc_id. Rows are compared, not ids: of
+    rows that share a doc_id, copies go and differing texts stay."""
+    return neardup.distinct_documents(docs, percent=85)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
