@@ -57,3 +57,15 @@ def test_repeated_and_odd_rows(spark):
     empty = df.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_shared_ids_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long, "en", "s", 5), (1, "quite another text", "en", "s", 5), (2, long, "en", "s", 5), (2, long + " end", "en", "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ["__id", "__rows", "__toxicity", "toxicity", "__mix_id", "__mix_times", "row_number", "component", "mix_id"]:
+        df = df.withColumn(c, F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, SF).columns == df.columns
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "quite another text"), (1, long)]
