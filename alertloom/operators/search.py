@@ -8,6 +8,9 @@ is checked before it is broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +40,13 @@ def bounded(queries: DataFrame) -> DataFrame:
     return queries.sparkSession.createDataFrame(rows, queries.schema)
 
 
+def blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries in local relations of bounded size, however many there are."""
+    rows = iter(queries.toLocalIterator())
+    while block := list(islice(rows, MOST_QUERIES)):
+        yield queries.sparkSession.createDataFrame(block, queries.schema)
+
+
 def small(queries: DataFrame) -> DataFrame:
     """A query batch marked for broadcast after its size was checked."""
     return F.broadcast(bounded(queries))
@@ -58,13 +68,18 @@ def metadata_filter(corpus: DataFrame, min_severity: int | None = None, since: C
 def semantic(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
     """(query_id, source, id, content, score, semantic_score): the nearest rows of each query above the threshold.
 
-    Every query meets every row in blocks of rows (a stated query set against all rows); only the best k per task
-    and query leave a task.
+    Every query meets every row in blocks (a stated query set against all rows): each block of queries is broadcast, and
+    only the best k per task and query leave a task.
     """
-    rows = corpus.filter(F.col("vector").isNotNull()).join(small(queries.select("query_id", F.col("vector").alias("__q"))))
-    rows = rows.withColumn("semantic_score", cosine(F.col("vector"), F.col("__q"))).filter(F.col("semantic_score") >= threshold)
-    rows = top_per_query(rows, k, F.desc("semantic_score"), F.asc("id"))
-    return rows.select("query_id", "source", "id", "content", F.col("semantic_score").alias("score"), "semantic_score")
+    there = corpus.filter(F.col("vector").isNotNull())
+    found = None
+    for block in blocks(queries.select("query_id", F.col("vector").alias("__q"))):
+        rows = there.join(F.broadcast(block)).withColumn("semantic_score", cosine(F.col("vector"), F.col("__q"))).filter(F.col("semantic_score") >= threshold)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = there.limit(0).withColumns({"query_id": F.lit(None).cast(queries.schema["query_id"].dataType), "semantic_score": F.lit(None).cast("double")})
+    found = top_per_query(found, k, F.desc("semantic_score"), F.asc("id"))
+    return found.select("query_id", "source", "id", "content", F.col("semantic_score").alias("score"), "semantic_score")
 
 
 def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...] = tuple(T.EXTRACTORS)) -> DataFrame:

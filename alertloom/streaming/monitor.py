@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -46,10 +48,28 @@ def snapshots(rows: DataFrame, length: str = "1 hour", slide: str | None = None)
 
 
 def correlated(rows: DataFrame, members: tuple[int, ...], hits: int, seconds: int) -> DataFrame:
-    """Sources with enough hits of some rules in a sliding window."""
+    """(ts, src_ip, hits): the alerts at which a source has enough hits of some rules within the `seconds` up to the alert.
+
+    Windows are twice as long as that and start every `seconds`, so each alert lies in the second half of just one window,
+    which holds all it looks back on. A window keeps the times of one source's alerts, and ends with the watermark.
+    """
+    span = seconds * 1_000_000
+
+    def trailing(times: pd.Series, starts: pd.Series) -> pd.Series:
+        out = []
+        for t, start in zip(times, starts, strict=True):
+            t = np.sort(np.asarray(t, np.int64))
+            n = np.searchsorted(t, t, "right") - np.searchsorted(t, t - span, "left")
+            fired = np.flatnonzero((n >= hits) & (t >= start + span))
+            out.append([{"at": int(t[i]), "hits": int(n[i])} for i in fired])
+        return pd.Series(out)
+
+    trailing.__annotations__ = {"times": pd.Series, "starts": pd.Series, "return": pd.Series}
     kept = rows.filter(F.col("rule_id").isin(*members) & F.col("src_ip").isNotNull())
-    w = F.window("ts", f"{seconds} seconds", f"{max(1, seconds // 5)} seconds")
-    return kept.groupBy(w.alias("w"), "src_ip").agg(F.count("*").alias("hits")).filter(F.col("hits") >= hits).select(F.col("w.start").alias("window_start"), "src_ip", "hits")
+    w = F.window("ts", f"{2 * seconds} seconds", f"{seconds} seconds")
+    by = kept.groupBy(w.alias("w"), "src_ip").agg(F.collect_list(F.unix_micros("ts")).alias("times")).filter(F.size("times") >= hits)
+    found = F.pandas_udf(trailing, "array<struct<at:long,hits:long>>")(F.col("times"), F.unix_micros(F.col("w.start")))
+    return by.select("src_ip", F.explode(found).alias("f")).select(F.timestamp_micros("f.at").alias("ts"), "src_ip", "f.hits")
 
 
 def trigger_record(batch: DataFrame, threshold: int = 8) -> DataFrame:
