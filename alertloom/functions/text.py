@@ -16,7 +16,9 @@ UNICODE, FOLDED = "(?U)", "(?iU)"
 
 
 def _all(text: Column, pattern: str, flags: str = FOLDED) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(flags + pattern), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(flags + P.AHEAD.get(pattern, "") + pattern), F.lit(0))
+    need = P.NEEDED.get(pattern)
+    return found if need is None else F.when(F.contains(text, F.lit(need)), found).otherwise(F.array().cast("array<string>"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,15 +26,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: White space that is cut from both ends of a value.
+BLANK = " \t\n\r\x0b\x0c"
+
+
+def _filled(values: Column) -> Column:
+    return F.filter(F.transform(values, lambda v: F.btrim(v, F.lit(BLANK))), lambda v: v != "")
+
+
 def unique(values: Column) -> Column:
     """Trimmed, non-empty values, the first of each case-folded one, in order."""
 
-    def first(pair: Column) -> Column:
-        kept = F.transform(pair["v"], lambda v, i: F.when(F.array_position(pair["k"], F.lower(v)) == i + 1, v))
-        return F.filter(kept, lambda v: v.isNotNull())
+    def first(rows: Column) -> Column:
+        kept = F.filter(rows, lambda r, j: (j == 0) | (F.get(rows, j - 1)["k"] != r["k"]))
+        return F.transform(F.array_sort(F.transform(kept, lambda r: F.struct(r["i"].alias("i"), r["v"].alias("v")))), lambda r: r["v"])
 
-    trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-    return let(trimmed, lambda t: let(F.struct(t.alias("v"), F.transform(t, F.lower).alias("k")), first))
+    keyed = F.transform(_filled(values), lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v")))
+    return let(F.array_sort(keyed), first)
+
+
+def unique_folded(values: Column) -> Column:
+    """The same for values of one case."""
+    return F.array_distinct(_filled(values))
 
 
 def urls(text: Column) -> Column:
@@ -40,33 +55,37 @@ def urls(text: Column) -> Column:
 
 
 def ips(text: Column) -> Column:
-    return unique(F.filter(_all(text, P.IPV4, UNICODE), lambda x: net.ip_number(x).isNotNull()))
+    return unique_folded(F.filter(_all(text, P.IPV4, UNICODE), lambda x: net.ip_number(x).isNotNull()))
 
 
 def emails(text: Column) -> Column:
-    return unique(F.transform(_all(text, P.EMAIL, UNICODE), F.lower))
+    return unique_folded(F.transform(_all(text, P.EMAIL, UNICODE), F.lower))
 
 
 def hashes(text: Column) -> Column:
-    return unique(F.transform(_all(text, P.HASH, UNICODE), F.lower))
+    return unique_folded(F.transform(_all(text, P.HASH, UNICODE), F.lower))
 
 
 def cves(text: Column) -> Column:
-    return unique(F.transform(_all(text, P.CVE), F.upper))
+    return unique_folded(F.transform(_all(text, P.CVE), F.upper))
 
 
 def techniques(text: Column) -> Column:
-    return unique(F.transform(_all(text, P.TECHNIQUE), F.upper))
+    return unique_folded(F.transform(_all(text, P.TECHNIQUE), F.upper))
 
 
 def actors(text: Column) -> Column:
-    return unique(F.transform(_all(text, P.ACTOR), F.upper))
+    return unique_folded(F.transform(_all(text, P.ACTOR), F.upper))
 
 
-def domains(text: Column) -> Column:
-    """Hosts of URLs and bare domains; exact domains of e-mail addresses, file names and addresses are left out."""
-    hosts = F.transform(urls(text), lambda u: F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)))
-    found = F.transform(_all(text, P.DOMAIN_AHEAD + P.DOMAIN, UNICODE), F.lower)
+def domains(text: Column, found_urls: Column | None = None, found_emails: Column | None = None) -> Column:
+    """Hosts of URLs and bare domains; exact domains of e-mail addresses, file names and addresses are left out.
+
+    The URLs and addresses of the text may be given where they are known.
+    """
+    known_urls, known_emails = urls(text) if found_urls is None else found_urls, emails(text) if found_emails is None else found_emails
+    hosts = F.transform(known_urls, lambda u: F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)))
+    found = F.array_distinct(F.transform(_all(text, P.DOMAIN, UNICODE), F.lower))
 
     def bare(both: Column) -> Column:
         def keep(d: Column) -> Column:
@@ -77,8 +96,8 @@ def domains(text: Column) -> Column:
 
         return F.filter(both["found"], keep)
 
-    mail = F.transform(emails(text), lambda e: F.substring_index(e, "@", -1))
-    return unique(F.concat(hosts, let(F.struct(found.alias("found"), mail.alias("mail")), bare)))
+    mail = F.array_distinct(F.transform(known_emails, lambda e: F.substring_index(e, "@", -1)))
+    return unique_folded(F.concat(hosts, let(F.struct(found.alias("found"), mail.alias("mail")), bare)))
 
 
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {"ips": ips, "domains": domains, "urls": urls, "emails": emails, "hashes": hashes, "cves": cves, "mitre_techniques": techniques, "threat_actors": actors}
@@ -86,13 +105,15 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {"ips": ips, "domains": doma
 
 def artifacts(text: Column, cap: int = 100) -> Column:
     """struct of the indicator lists, public and other addresses apart; at most `cap` of each, as the reports show."""
-    every = F.struct(*[f(text).alias(k) for k, f in EXTRACTORS.items()])
+    first = F.struct(*[f(text).alias(k) for k, f in EXTRACTORS.items() if f is not domains])
+    hosts = let(first, lambda e: F.struct(e.alias("e"), domains(text, e["urls"], e["emails"]).alias("domains")))
 
-    def split(e: Column) -> Column:
-        lists = {k: e[k] for k in EXTRACTORS} | {"public_ips": F.filter(e["ips"], net.is_public), "non_public_ips": F.filter(e["ips"], lambda x: ~net.is_public(x))}
+    def split(h: Column) -> Column:
+        e = h["e"]
+        lists = {k: h[k] if k == "domains" else e[k] for k in EXTRACTORS} | {"public_ips": F.filter(e["ips"], net.is_public), "non_public_ips": F.filter(e["ips"], lambda x: ~net.is_public(x))}
         return F.struct(*[F.slice(v, 1, cap).alias(k) for k, v in lists.items()])
 
-    return let(every, split)
+    return let(hosts, split)
 
 
 def for_context(found: Column) -> Column:
@@ -119,7 +140,11 @@ def behavior_tags(text: Column, most: int = 6) -> Column:
 
 
 def refang(text: Column) -> Column:
-    return reduce(lambda x, swap: F.regexp_replace(x, FOLDED + swap[0], swap[1]), P.REFANG, F.coalesce(text, F.lit("")))
+    """Disguised spellings undone; text without a bracket, an invisible mark or a disguised scheme is as it was."""
+    given = F.coalesce(text, F.lit(""))
+    plain = reduce(lambda x, swap: F.regexp_replace(x, FOLDED + swap[0], swap[1]), P.REFANG, given)
+    marked = (F.translate(given, "[({\u200b\ufeff", "") != given) | F.contains(F.lower(given), F.lit("hxxp"))
+    return F.when(marked, plain).otherwise(given)
 
 
 def variants(value: str, most: int = 24) -> list[str]:

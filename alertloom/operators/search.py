@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from alertloom.functions import text as T
 EXACT_SCORE = {"archive": 1.25, "custom_document": 1.15}
 LEXICAL_SCORE = {"archive": (0.35, 1.1), "custom_document": (0.30, 1.05)}
 MULTIPLIER, THRESHOLD = 4, 0.2
-MOST_QUERIES = 1000
+MOST_QUERIES, MOST_LEXEMES = 1000, 20_000
 STRONG = ("high", "medium")
 
 
@@ -110,26 +110,57 @@ def _typed(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"))
 
 
-def lexical_rank(content: Column, lexemes: Column) -> Column:
-    """Share of the text's words that are query lexemes, a stand-in for a cover-density rank: 0.1 per hit and 1 + log2 words."""
-    found = F.regexp_extract_all(F.lower(content), F.lit(r"(?U)[\w]+"), F.lit(0))
-    hits = F.size(F.filter(found, lambda w: F.array_contains(lexemes, w)))
-    return 0.1 * hits / (1 + F.log2(F.greatest(F.size(found), F.lit(1))))
+def lexeme_blocks(queries: DataFrame) -> Iterator[list[Row]]:
+    """Blocks of (query_id, lexemes, anchor) of bounded size; the longest lexeme is the anchor a query is joined on."""
+    lexemes = T.words(F.col("query"))
+    rows = queries.select("query_id", lexemes.alias("lexemes")).filter(F.size("lexemes") > 0)
+    anchor = F.array_max(F.transform("lexemes", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    block, held = [], 0
+    for row in rows.withColumn("anchor", anchor).toLocalIterator():
+        if block and (len(block) >= MOST_QUERIES or held + len(row.lexemes) > MOST_LEXEMES):
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += len(row.lexemes)
+    if block:
+        yield block
+
+
+def _lexical_block(corpus: DataFrame, block: list[Row], query_type: str) -> DataFrame:
+    """A text is tokenised once and cut to the words some query asks for; it meets the queries whose anchor it holds.
+
+    The rank stands in for a cover-density rank: 0.1 per word that is a lexeme of the query, over 1 + log2 of the words.
+    """
+    wanted, anchors = sorted({w for r in block for w in r.lexemes}), sorted({r.anchor for r in block})
+    words = F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(r"(?U)[\w]+"), F.lit(0))
+    cut = T.let(words, lambda t: F.struct(F.size(t).alias("n_words"), F.filter(t, lambda w: w.isin(wanted)).alias("asked")))
+    # a generator holds what is above it back, which would otherwise repeat the tokenising
+    texts = corpus.select("source", "id", "content", F.inline(F.array(cut)))
+    held = F.filter(F.array_distinct("asked"), lambda w: w.isin(anchors))
+    texts = texts.select("*", F.explode(held).alias("anchor"))
+    q = corpus.sparkSession.createDataFrame(block, f"query_id {query_type}, lexemes array<string>, anchor string")
+    rows = texts.join(F.broadcast(q), "anchor").filter(F.size(F.array_except("lexemes", "asked")) == 0)
+    hits = F.size(F.filter("asked", lambda w: F.array_contains("lexemes", w)))
+    return rows.select("query_id", "source", "id", "content", (0.1 * hits / (1 + F.log2(F.greatest("n_words", F.lit(1))))).alias("lexical_score"))
 
 
 def lexical(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Rows that hold every lexeme of the query, best rank first."""
-    q = queries.select("query_id", T.words(F.col("query")).alias("__lex")).filter(F.size("__lex") > 0)
-    rows = corpus.withColumn("__w", T.words(F.col("content"))).join(small(q), F.size(F.array_except("__lex", "__w")) == 0)
-    rows = rows.withColumn("lexical_score", lexical_rank(F.col("content"), F.col("__lex")))
-    rows = top_per_query(rows, k, F.desc("lexical_score"), F.asc("id"))
+    """Rows that hold every lexeme of the query, best rank first; queries without a lexeme find nothing."""
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    found = None
+    for block in lexeme_blocks(queries):
+        rows = _lexical_block(corpus, block, query_type)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = corpus.limit(0).select(F.lit(None).cast(query_type).alias("query_id"), "source", "id", "content", F.lit(None).cast("double").alias("lexical_score"))
+    rows = top_per_query(found, k, F.desc("lexical_score"), F.asc("id"))
     a, c = LEXICAL_SCORE["archive"], LEXICAL_SCORE["custom_document"]
     score = F.when(F.col("source") == "archive", F.least(F.lit(a[1]), a[0] + F.col("lexical_score"))).otherwise(F.least(F.lit(c[1]), c[0] + F.col("lexical_score")))
     return rows.select("query_id", "source", "id", "content", score.alias("score"), "lexical_score")
 
 
 def merge(candidates: DataFrame) -> DataFrame:
-    """One row per (query, source, id, content): best scores, sorted match types, distinct evidence (8 at most)."""
+    """One row per (query, source, id, content): best scores, sorted match types, distinct evidence (the first 8 in order)."""
     key = ["query_id", "source", "id", F.sha2("content", 256).alias("content_hash")]
     return candidates.groupBy(*key).agg(
         F.first("content").alias("content"),
@@ -137,7 +168,7 @@ def merge(candidates: DataFrame) -> DataFrame:
         F.max("semantic_score").alias("semantic_score"),
         F.max("lexical_score").alias("lexical_score"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("match_types")))).alias("match_types"),
-        F.slice(F.array_distinct(F.flatten(F.collect_list("match_evidence"))), 1, 8).alias("match_evidence"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("match_evidence")))), 1, 8).alias("match_evidence"),
     )
 
 
@@ -174,7 +205,7 @@ def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse:
 
 def merge_queries(found: DataFrame) -> DataFrame:
     """Results of several focused queries as one list: one row per (source, id, content), best score, its queries (3 at most)."""
-    return found.groupBy("source", "id", "content_hash").agg(F.first("content").alias("content"), F.max("score").alias("score"), F.array_join(F.slice(F.array_sort(F.collect_set(F.col("query_id").cast("string"))), 1, 3), " || ").alias("queries"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("match_types")))).alias("match_types"), F.slice(F.array_distinct(F.flatten(F.collect_list("match_evidence"))), 1, 8).alias("match_evidence"))
+    return found.groupBy("source", "id", "content_hash").agg(F.first("content").alias("content"), F.max("score").alias("score"), F.array_join(F.slice(F.array_sort(F.collect_set(F.col("query_id").cast("string"))), 1, 3), " || ").alias("queries"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("match_types")))).alias("match_types"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("match_evidence")))), 1, 8).alias("match_evidence"))
 
 
 # --- re-ranking and evidence -------------------------------------------------------------------------------------

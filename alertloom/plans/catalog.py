@@ -307,7 +307,8 @@ def artifact_hashes(spark, sf_dir):
 
 @query()
 def artifact_counts(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", T.counts(T.artifacts(F.col("text"))).alias("c")).select("doc_id", "c.*")
+    # a generator holds the filter back, which would otherwise repeat the extraction
+    found = documents(spark, sf_dir).select("doc_id", F.inline(F.array(T.counts(T.artifacts(F.col("text"))))))
     return found.filter("ips + domains + urls + emails + hashes > 0")
 
 
