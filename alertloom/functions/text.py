@@ -105,15 +105,16 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {"ips": ips, "domains": doma
 
 def artifacts(text: Column, cap: int = 100) -> Column:
     """struct of the indicator lists, public and other addresses apart; at most `cap` of each, as the reports show."""
-    first = F.struct(*[f(text).alias(k) for k, f in EXTRACTORS.items() if f is not domains])
-    hosts = let(first, lambda e: F.struct(e.alias("e"), domains(text, e["urls"], e["emails"]).alias("domains")))
+    def every(t: Column) -> Column:
+        first = F.struct(*[f(t).alias(k) for k, f in EXTRACTORS.items() if f is not domains])
+        return let(first, lambda e: F.struct(e.alias("e"), domains(t, e["urls"], e["emails"]).alias("domains")))
 
     def split(h: Column) -> Column:
         e = h["e"]
         lists = {k: h[k] if k == "domains" else e[k] for k in EXTRACTORS} | {"public_ips": F.filter(e["ips"], net.is_public), "non_public_ips": F.filter(e["ips"], lambda x: ~net.is_public(x))}
         return F.struct(*[F.slice(v, 1, cap).alias(k) for k, v in lists.items()])
 
-    return let(hosts, split)
+    return let(let(text, every), split)
 
 
 def for_context(found: Column) -> Column:

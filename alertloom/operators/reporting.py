@@ -51,13 +51,14 @@ def observed(alerts: DataFrame) -> Column:
     return F.struct(*[_values(alerts, k).alias(k) for k in OBSERVED])
 
 
-def current_artifacts(alerts: DataFrame, cap: int = 50) -> DataFrame:
+def current_artifacts(alerts: DataFrame, cap: int = 50, order: str = "event_id") -> DataFrame:
     """One row: what all current alerts observed, by kind, first seen first, at most `cap` shown of each."""
-    rows = alerts.select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("kind"), _values(alerts, k).alias("values")) for k in OBSERVED])).alias("p", "o"))
-    rows = rows.select("o.kind", F.explode("o.values").alias("value"))
-    rows = rows.groupBy("kind", F.lower("value").alias("key")).agg(F.min("value").alias("value"), F.count("*").alias("n"))
-    w = W.partitionBy("kind").orderBy(F.desc("n"), "key")
-    rows = rows.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= cap)
+    seen = F.array(*[F.struct(F.lit(k).alias("kind"), _values(alerts, k).alias("values")) for k in OBSERVED])
+    rows = alerts.select(F.col(order).alias("at"), F.explode(seen).alias("o")).select("at", "o.kind", F.posexplode("o.values").alias("p", "value"))
+    first = F.min(F.struct("at", "p", "value"))
+    rows = rows.groupBy("kind", F.lower("value").alias("key")).agg(first.alias("first"))
+    w = W.partitionBy("kind").orderBy("first.at", "first.p", "key")
+    rows = rows.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= cap).select("kind", "i", "first.value")
     return rows.agg(*[F.coalesce(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("i", "value")))), lambda s: s["value"]), F.expr("cast(array() as array<string>)")).alias(k) for k in OBSERVED])
 
 
@@ -157,7 +158,7 @@ def context(corpora: list[DataFrame], alerts: DataFrame, vectors: Callable[[Data
     queries = queries.join(F.broadcast(terms))
     found = S.merge_queries(S.hybrid_search(corpora, queries, 2 * limit))
     found = found.withColumns({"severity": F.lit(0), "human_validated": F.lit(False)})
-    ranked = annotate(found, current_artifacts(alerts), tags or [])
+    ranked = annotate(found, current_artifacts(alerts, order=order), tags or [])
     order_by = [F.desc("context_rank_score"), F.desc("score"), F.asc("source"), F.asc("id")]
     return S.quality_cap(ranked.orderBy(*order_by).limit(limit), limit, order_by)
 

@@ -33,7 +33,7 @@ def archive_days(base: str, past_days: int, today: date | None = None) -> list[s
 
 
 def read_archives(spark: SparkSession, base: str, past_days: int, today: date | None = None) -> DataFrame:
-    """Rows of the days' plain files, or of a day's .gz file where the plain one is missing; days without files are skipped."""
+    """Rows of the days' plain files, or of a day's .gz file where the plain one is missing or has no rows; days without files are skipped."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
 
@@ -41,7 +41,13 @@ def read_archives(spark: SparkSession, base: str, past_days: int, today: date |
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(conf).exists(p)
 
-    paths = [q for d in archive_days(base, past_days, today) for q in [next((x for x in (d, f"{d}.gz") if there(x)), None)] if q]
+    def of_day(day: str) -> str | None:
+        plain, packed = there(day), there(f"{day}.gz")
+        if plain and not (packed and read_ndjson(spark, day).isEmpty()):
+            return day
+        return f"{day}.gz" if packed else None
+
+    paths = [q for d in archive_days(base, past_days, today) if (q := of_day(d))]
     if not paths:
         return spark.createDataFrame([], "json string, archive_source string")
     return read_ndjson(spark, paths)
