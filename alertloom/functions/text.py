@@ -178,14 +178,28 @@ def _first_of_each(values: Iterable[str]) -> list[str]:
 
 
 def contains_term(text: Column, term: Column, kind: str) -> Column:
-    """Whether the raw or refanged text holds the refanged term as an indicator of this kind."""
-    want = F.lower(F.trim(refang(term)))
-    pick = EXTRACTORS.get(kind)
-    if pick is None:
-        quoted = F.concat(F.lit(r"(?iU)(?<![\w./:-])\Q"), want, F.lit(r"\E(?![\w./:-])"))
-        return F.regexp_like(text, quoted) | F.regexp_like(refang(text), quoted)
-    either = lambda t: F.array_contains(F.transform(pick(t), F.lower), want)
-    return F.coalesce(either(text) | either(refang(text)), F.lit(False))
+    """Whether the raw or refanged text holds the refanged term as an indicator of this kind.
+
+    A term without an extractor of its own that is an address or a domain is looked up among those; another one of identifier
+    characters must stand alone, and any other is found anywhere.
+    """
+    want = F.lower(F.btrim(refang(term), F.lit(BLANK)))
+    listed = lambda pick, value: lambda t: F.array_contains(F.transform(pick(t), F.lower), value)
+    either = lambda test: test(text) | test(refang(text))
+    domain = F.btrim(want, F.lit("."))
+    if kind == "domains":
+        found = either(listed(domains, domain))
+    elif kind == "urls":
+        found = either(listed(urls, F.regexp_replace(want, P.URL_TRAIL, "")))
+    elif kind in EXTRACTORS:
+        found = either(listed(EXTRACTORS[kind], want))
+    else:
+        edges = want.rlike("^[a-z0-9_.:/-]+$")
+        alone = F.concat(F.lit(r"(?iU)(?<![\w./:-])\Q"), want, F.lit(r"\E(?![\w./:-])"))
+        is_domain = ~F.contains(want, F.lit("/")) & F.regexp_like(domain, F.lit(f"(?U)^(?:{P.DOMAIN})$"))
+        words = F.when(edges, either(lambda t: F.regexp_like(t, alone))).otherwise(either(lambda t: F.contains(F.lower(t), want)))
+        found = F.when(net.ip_number(want).isNotNull(), either(listed(ips, want))).when(is_domain, either(listed(domains, domain))).otherwise(words)
+    return F.coalesce((want != "") & found, F.lit(False))
 
 
 def tokens(text: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,29 +15,11 @@ from alertloom.operators import reporting as G
 from alertloom.operators import reports as R
 from alertloom.operators import rules as D
 from alertloom.operators import search as S
-from alertloom.plans.alert_view import ALERTS_SQL, alerts, enriched
+from alertloom.plans import planted  # noqa: F401  registers its queries
+from alertloom.plans.alert_view import alerts, enriched
+from alertloom.plans.registry import ORACLE_SQL, QUERIES, documents, query, shared_folder  # noqa: F401
 from alertloom.streaming import monitor as M
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, alert_view: bool = False):
-    """Register a query, and the SQL it must equal if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {ALERTS_SQL} {sql}" if alert_view else sql
-        return f
-
-    return add
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 # --- breakdowns and counters -----------------------------------------------------------------------------------
 @query("SELECT severity, count(*) AS n FROM enriched GROUP BY severity", True)
 def severity_breakdown(spark, sf_dir):
@@ -344,46 +323,6 @@ def extraction_quality(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", q.alias("q")).select("doc_id", "q.quality", "q.words", "q.characters", F.array_join("q.warnings", ",").alias("warnings"))
 
 
-# --- texts planted by document id, so that the answers are known by construction --------------------------------
-def _planted(spark, sf_dir, *sentences: str):
-    """(doc_id, text): the sentence of doc_id modulo their number, {a} an address and {i} the id."""
-    i = F.col("doc_id")
-    said = F.element_at(F.array(*[F.lit(s) for s in sentences]), (i % len(sentences) + 1).cast("int"))
-    address = F.concat(F.lit("198.51.100."), (i % 250 + 1).cast("string"))
-    return documents(spark, sf_dir).select("doc_id", F.replace(F.replace(said, F.lit("{a}"), address), F.lit("{i}"), i.cast("string")).alias("text"))
-
-
-@query("""SELECT doc_id, x.kind AS kind, x.value AS value FROM (SELECT doc_id, unnest([{'kind': 'ips', 'value': '198.51.100.' || (doc_id % 250 + 1)}, {'kind': 'domains', 'value': 'site' || doc_id || '.badnet.org'},
-  {'kind': 'urls', 'value': 'https://site' || doc_id || '.badnet.org/a' || doc_id}, {'kind': 'emails', 'value': 'mail' || doc_id || '@post.badnet.org'}, {'kind': 'hashes', 'value': md5(CAST(doc_id AS VARCHAR))},
-  {'kind': 'cves', 'value': 'CVE-2024-' || (10000 + doc_id % 10000)}, {'kind': 'mitre_techniques', 'value': 'T1059.' || (100 + doc_id % 900)}, {'kind': 'threat_actors', 'value': 'APT' || (doc_id % 40 + 1)}]) AS x FROM documents)""")
-def planted_indicators(spark, sf_dir):
-    i = F.col("doc_id")
-    parts = F.concat(F.lit(", hash "), F.md5(i.cast("string").cast("binary")), F.lit(", cve-2024-"), 10000 + i % 10000, F.lit(" by T1059."), 100 + i % 900, F.lit(" of apt"), i % 40 + 1)
-    plain = F.concat("text", parts)
-    disguised = F.replace(F.replace(plain, F.lit("https"), F.lit("hxxps")), F.lit("."), F.lit("[.]"))
-    rows = _planted(spark, sf_dir, "Address {a} spoke to https://site{i}.badnet.org/a{i} and mail{i}@post.badnet.org").select("doc_id", F.when(i % 2 == 0, plain).otherwise(disguised).alias("text"))
-    found = rows.select("doc_id", F.inline(F.array(F.struct(T.artifacts(T.refang(F.col("text"))).alias("a")))))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"a.{k}").alias("values")) for k in T.EXTRACTORS])
-    return found.select("doc_id", F.explode(kinds).alias("x")).select("doc_id", "x.kind", F.explode("x.values").alias("value"))
-
-
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'analysis_environment' WHEN 1 THEN 'remediation,ioc_listing,vulnerability' WHEN 2 THEN 'ttp_behavior' ELSE '' END AS labels,
-  CASE doc_id % 4 WHEN 1 THEN 'web_or_exploit_attempt' WHEN 2 THEN 'lateral_movement_candidate,credential_attack' ELSE '' END AS tags FROM documents""")
-def planted_labels(spark, sf_dir):
-    rows = _planted(spark, sf_dir, "The sandbox detonation of the sample.", "Block the malicious ip and patch the exploit.", "Lateral movement over smb and rdp, then a stolen credential.", "Nothing of note.")
-    return rows.select("doc_id", F.array_join(T.context_labels(F.col("text")), ",").alias("labels"), F.array_join(T.behavior_tags(F.col("text")), ",").alias("tags"))
-
-
-@query("""SELECT doc_id, kind, CASE WHEN kind = 'ips' THEN '198.51.100.' || (doc_id % 250 + 1) ELSE 'host' || doc_id || '.badnet.org' END AS value, CASE doc_id % 4 WHEN 0 THEN 'malicious' WHEN 1 THEN 'victim'
-  WHEN 2 THEN 'analysis_environment' ELSE 'unknown' END AS disposition FROM documents, (VALUES ('ips'), ('domains')) k(kind)""")
-def planted_dispositions(spark, sf_dir):
-    rows = _planted(spark, sf_dir, *[f"{said.format('{a}')}\n{said.format('host{i}.badnet.org')}" for said in ("The C2 server {} is malicious", "The victim {} was reached", "A sandbox run used {} here", "Please see {} there")])
-    found = rows.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), f(F.col("text")).alias("values")) for k, f in (("ips", T.ips), ("domains", T.domains))])).alias("x"))
-    found = found.select("doc_id", "text", "x.kind", F.explode("x.values").alias("value"))
-    role = F.when(F.col("kind") == "ips", T.disposition(F.col("text"), F.col("value"), "ips")).otherwise(T.disposition(F.col("text"), F.col("value"), "domains"))
-    return found.select("doc_id", "kind", "value", role.alias("disposition"))
-
-
 # --- chunks ----------------------------------------------------------------------------------------------------
 @query("""SELECT doc_id, i AS chunk_index, trim(substr(text, i * 450 + 1, 500), E' \\t\\n\\r') AS chunk FROM (SELECT doc_id, text,
   unnest(range(0, greatest(0, CAST(ceil((length(text) - 500) / 450.0) AS INT)) + 1)) AS i FROM documents) WHERE trim(substr(text, i * 450 + 1, 500), E' \\t\\n\\r') <> ''""")
@@ -611,7 +550,7 @@ def stream_dedupe_window(spark, sf_dir):
     import uuid
 
     name = f"dedupe_{uuid.uuid4().hex[:12]}"
-    out = M.run_to_table(M.dedupe(_stream(spark, sf_dir)), name, _checkpoint(spark, name))
+    out = M.run_to_table(M.dedupe(_stream(spark, sf_dir)), name, shared_folder(spark, name))
     return out.agg(F.count("*").alias("n"), F.sum("rule_level").alias("levels"))
 
 
@@ -620,19 +559,10 @@ def stream_snapshots(spark, sf_dir):
     import uuid
 
     name = f"snapshots_{uuid.uuid4().hex[:12]}"
-    out = M.run_to_table(M.snapshots(_stream(spark, sf_dir)), name, _checkpoint(spark, name), "complete")
+    out = M.run_to_table(M.snapshots(_stream(spark, sf_dir)), name, shared_folder(spark, name), "complete")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "high", "critical")
 
 
-def _checkpoint(spark, name: str) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="alertloom-stream-")
-    return f"{folder.rstrip('/')}/{name}"
-
-
 # --- engine smoke: the reference has no star joins ---------------------------------------------------------------
 @query("SELECT n_name, CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def revenue_by_nation(spark, sf_dir):
