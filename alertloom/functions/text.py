@@ -291,3 +291,36 @@ def capped(values: Column, n: int) -> Column:
     """The first n values, and "... k more" where there are more."""
     more = F.size(values) - n
     return F.when(more > 0, F.concat(F.slice(values, 1, n), F.array(F.concat(F.lit("... "), more.cast("string"), F.lit(" more"))))).otherwise(values)
+
+
+#: Wording and order of the one-line texts about a document.
+ARTIFACT_TITLES = {"ips": "IPs", "domains": "Domains", "urls": "URLs", "emails": "Emails", "hashes": "Hashes", "cves": "CVEs", "mitre_techniques": "MITRE Techniques", "threat_actors": "Threat Actors"}
+ROLES = ("malicious", "benign", "victim", "analysis_environment", "remediation_reference", "unknown")
+
+
+def _line(title: str, parts: Column, between: str) -> Column:
+    return F.when(F.size(parts) > 0, F.concat(F.lit(f"{title} | "), F.array_join(parts, between))).otherwise("")
+
+
+def artifacts_line(found: Column, most: int = 20) -> Column:
+    """The indicator lists as one line, `most` of each; empty without any."""
+    part = lambda k, title: F.when(F.size(found[k]) > 0, F.concat(F.lit(f"{title}: "), F.array_join(F.slice(unique(found[k]), 1, most), ", ")))
+    return _line("Extracted CTI Artefacts", F.array_compact(F.array(*[part(k, t) for k, t in ARTIFACT_TITLES.items()])), " | ")
+
+
+def labels_line(labels: Column) -> Column:
+    return _line("CTI Context Labels", unique(labels), ", ")
+
+
+def tags_line(tags: Column) -> Column:
+    return _line("CTI Behavior Tags", unique(tags), ", ")
+
+
+def dispositions_line(roles: Column, most: int = 8) -> Column:
+    """array<struct<type, value, disposition>> as one line, by role, `most` of each."""
+
+    def part(role: str) -> Column:
+        of = F.filter(roles, lambda r: r["disposition"] == role)
+        return F.when(F.size(of) > 0, F.concat(F.lit(f"{role}: "), F.array_join(F.transform(F.slice(of, 1, most), lambda r: F.concat_ws(":", r["type"], r["value"])), ", ")))
+
+    return _line("CTI Artifact Disposition", F.array_compact(F.array(*[part(r) for r in ROLES])), " | ")

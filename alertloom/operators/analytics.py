@@ -61,18 +61,27 @@ def severity_by_country(alerts: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("src_country").alias("country")).agg(F.count("*").alias("total"), F.count_if(F.col("rule_level") >= 8).alias("high"))
 
 
-def geo_lookup(alerts: DataFrame, ranges: DataFrame, ip: str, out: str) -> DataFrame:
-    """Left range lookup of an address column in ranges(lo, hi, country); ranges don't overlap.
+#: What is known of a located address.
+GEO_FIELDS = ("country", "country_code", "city", "region", "region_code", "latitude", "longitude", "timezone", "postal_code", "accuracy_radius")
 
-    Ranges are cut at /8 borders, so the join is on equal first octets and not a nested loop; sources of
-    infrastructure or local context need not be passed in.
+
+def geo_lookup(alerts: DataFrame, ranges: DataFrame, ip: str, out: str, fields: tuple[str, ...] = ("country",), public_only: bool = False) -> DataFrame:
+    """Left range lookup of an address column in ranges(lo, hi, fields); ranges don't overlap.
+
+    One field becomes the column `out`, several become a struct of that name; an address without a range has NULL, and so
+    has one that is not public where only those are wanted. Ranges are cut at borders of 2^16 addresses, so the join is
+    on equal leading halves and not a nested loop, a row meets only the ranges of its own half, and cutting adds at most
+    65,536 rows to the ranges.
     """
     n = net.ip_number(F.col(ip))
-    cut = ranges.withColumn("octet", F.explode(F.sequence(F.shiftright("lo", 24), F.shiftright("hi", 24))))
-    cut = cut.select("octet", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("country").alias(out))
+    if public_only:
+        n = F.when(net.is_public(F.col(ip)), n)
+    cut = ranges.withColumn("half", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+    found = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
+    cut = cut.select("half", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), found.alias(out))
     left = alerts.withColumn("__n", n)
-    on = (F.shiftright(F.col("__n"), 24) == F.col("octet")) & F.col("__n").between(F.col("__lo"), F.col("__hi"))
-    return left.join(cut, on, "left").drop("__n", "__lo", "__hi", "octet")
+    on = (F.shiftright(F.col("__n"), 16) == F.col("half")) & F.col("__n").between(F.col("__lo"), F.col("__hi"))
+    return left.join(cut, on, "left").drop("__n", "__lo", "__hi", "half")
 
 
 def snapshots(alerts: DataFrame, every: str = "hour") -> DataFrame:
@@ -104,3 +113,8 @@ def last_rows(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The ring of the last n rows per key."""
     w = W.partitionBy(key).orderBy(*[F.desc(o) for o in order])
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
+
+
+def approvals(log: DataFrame) -> DataFrame:
+    """One row of a log of report approvals (approved_at): how many, and when the last one was."""
+    return log.agg(F.count("approved_at").alias("reports_approved"), F.max("approved_at").alias("last_approval_time"))

@@ -102,7 +102,7 @@ def chunk_rows(documents: DataFrame, now: Column | None = None, **sizes: int) ->
         return F.transform(F.slice(F.col(f"artifacts.{kind}"), 1, 30), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), X.section_default(X.disposition(body, v, kind), F.col("labels")).alias("disposition")))
 
     rows = rows.withColumn("dispositions", F.concat(*[role(k) for k in ("ips", "domains", "urls", "hashes")]))
-    header = F.concat_ws("\n", F.concat(F.lit("Document: "), F.col("filename")), F.when(F.col("section_path") != "", F.concat(F.lit("Section: "), F.col("section_path"))), F.when(F.size("labels") > 0, F.concat(F.lit("CTI Context Labels | "), F.array_join("labels", ", "))), F.when(F.size("tags") > 0, F.concat(F.lit("CTI Behavior Tags | "), F.array_join("tags", ", "))))
+    header = F.concat_ws("\n", F.concat(F.lit("Document: "), F.col("filename")), F.when(F.col("section_path") != "", F.concat(F.lit("Section: "), F.col("section_path"))), F.nullif(X.labels_line(F.col("labels")), F.lit("")), F.nullif(X.tags_line(F.col("tags")), F.lit("")))
     content = F.concat_ws("\n", header, body)
     meta = F.to_json(F.struct("chunk_index", "chunk_count", "section_path", "section_heading", "artifacts", "labels", "tags", "dispositions", "raw_hash"))
     return rows.select(F.sha2(F.concat_ws(":", "raw_hash", "chunk_index", body), 256).alias("doc_hash"), "filename", content.alias("content"), F.lit(None).cast("array<float>").alias("vector"), meta.alias("metadata"), "chunk_index", (now if now is not None else F.current_timestamp()).alias("created_at"))

@@ -185,6 +185,21 @@ def write_report(alerts: DataFrame, docs: DataFrame, generate: Callable[[str], s
         return f"# Report generation failed\n\n{type(e).__name__}: {e}\n"
 
 
+def chat_prompt(message: str, template: str = "", runtime_renders: bool = True) -> str:
+    """The message as the generator's input: through its Jinja chat template where the runtime does not render that itself.
+
+    Without a template, without the template library or with a template that fails, the message stays as it is.
+    """
+    if runtime_renders or not template:
+        return message
+    try:
+        from jinja2 import Template
+
+        return Template(template).render(messages=[{"role": "user", "content": message}], add_generation_prompt=True)
+    except Exception:  # a broken template must not keep a report from being written
+        return message
+
+
 def report_name(kind: str, stamp: str, critical: bool = False, batch: int | None = None) -> str:
     """File name of an automatic, approved, visual or manual report."""
     if kind == "automatic":

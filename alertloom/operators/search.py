@@ -92,7 +92,8 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...]
     def typed(texts: Column) -> Column:
         def of(kind: str) -> Column:
             # kinds without a pattern of their own (rule numbers, signatures) are compared as tokens
-            found = F.flatten(F.transform(texts, T.EXTRACTORS.get(kind, T.tokens)))
+            pick = T.EXTRACTORS.get(kind, T.tokens)
+            found = F.flatten(F.transform(texts, lambda t: pick(t)))  # an extractor may take more than the text
             return F.transform(F.array_distinct(F.transform(found, F.lower)), _typed(kind))
 
         return F.concat(*[of(kind) for kind in kinds])

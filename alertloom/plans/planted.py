@@ -248,3 +248,45 @@ def ndjson_scan(spark, sf_dir):
     documents(spark, sf_dir).select(line.alias("value")).write.text(path)
     rows = readers.read_ndjson(spark, path)
     return rows.select(F.get_json_object("json", "$.n").cast("long").alias("doc_id"), F.contains("archive_source", F.lit("lines_")).alias("object"))
+
+
+# --- addresses and lines -----------------------------------------------------------------------------------------
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'owned' WHEN 1 THEN 'internal' WHEN 2 THEN 'external' ELSE 'infrastructure' END AS context FROM documents""")
+def ipv6_context(spark, sf_dir):
+    i = F.col("doc_id")
+    low = F.lower(F.hex(i % 65536))
+    ip = F.when(i % 4 == 0, F.concat(F.lit("2001:DB8::"), low)).when(i % 4 == 1, F.concat(F.lit("fd00:0:0:1::192.0.2."), (i % 250).cast("string"))).when(i % 4 == 2, F.concat(F.lit("2001:db9:0:0:0:0:0:"), low)).otherwise("::1")
+    assets = net.Assets(infrastructure=("::1", "203.0.113.0/24"), owned=("2001:db8::/32", "192.0.2.0/24"), internal=("fd00::/8", "10.0.0.0/8"))
+    return documents(spark, sf_dir).select("doc_id", net.ip_context(ip, assets).alias("context"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'City ' || (doc_id % 40 // 2) END AS city, CASE WHEN doc_id % 3 = 0 THEN 'C' || (doc_id % 40 % 7) END AS country_code, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 40 // 2 AS DOUBLE) END AS latitude FROM documents""")
+def located_addresses(spark, sf_dir):
+    """Half-open city ranges of 32,768 addresses; private addresses and those without a range have no place."""
+    i = F.col("doc_id")
+    k = F.col("id")
+    lo = F.lit(45 << 24) + k * 32768
+    fields = {"country": F.lit("Land"), "country_code": _said("C", k % 7), "city": _said("City ", F.floor(k / 2)), "region": F.lit("R"), "region_code": F.lit("r"), "latitude": F.floor(k / 2).cast("double"), "longitude": F.lit(1.5), "timezone": F.lit("UTC"), "postal_code": F.lit("0"), "accuracy_radius": F.lit(5)}
+    ranges = spark.range(40).select(lo.alias("lo"), (lo + 32767).alias("hi"), *[v.alias(c) for c, v in fields.items()])
+    ranges = ranges.unionByName(ranges.withColumns({"lo": F.lit(10 << 24).cast("long"), "hi": F.lit((11 << 24) - 1).cast("long")}).limit(1))
+    number = i % 40 * 32768 + i % 32768
+    quad = F.concat_ws(".", F.lit("45"), F.shiftright(number, 16).cast("string"), (F.shiftright(number, 8) % 256).cast("string"), (number % 256).cast("string"))
+    d = documents(spark, sf_dir).select("doc_id", F.when(i % 3 == 0, quad).when(i % 3 == 1, "10.0.0.1").otherwise("46.0.0.1").alias("ip"))
+    found = N.geo_lookup(d, ranges, "ip", "place", N.GEO_FIELDS, public_only=True)
+    return found.select("doc_id", "place.city", "place.country_code", "place.latitude")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Extracted CTI Artefacts | IPs: 198.51.100.' || (doc_id % 250 + 1) || ' | CVEs: CVE-2024-1111, CVE-2024-2222' ELSE '' END AS found,
+  CASE WHEN doc_id % 2 = 0 THEN 'CTI Context Labels | b, A' ELSE '' END AS labels, 'CTI Behavior Tags | t' AS tags, 'CTI Artifact Disposition | malicious: ips:1, urls:u' || doc_id || ' | unknown: domains:d' AS roles FROM documents""")
+def context_lines(spark, sf_dir):
+    i = F.col("doc_id")
+    d = _planted(spark, sf_dir, "Seen {a} with CVE-2024-1111 and cve-2024-2222 here", "nothing")
+    labels = F.when(i % 2 == 0, F.array(F.lit("b"), F.lit("A"), F.lit("B"))).otherwise(F.expr("cast(array() as array<string>)"))
+    role = lambda kind, value, as_: F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(as_).alias("disposition"))
+    roles = F.array(role("domains", F.lit("d"), "unknown"), role("ips", F.lit("1"), "malicious"), role("urls", _said("u", i), "malicious"))
+    return d.select("doc_id", T.artifacts_line(T.artifacts(F.col("text"))).alias("found"), T.labels_line(labels).alias("labels"), T.tags_line(F.array(F.lit("t"))).alias("tags"), T.dispositions_line(roles).alias("roles"))
+
+
+@query("SELECT count(*) AS reports_approved, max(ts) AS last_approval_time FROM events WHERE event_type = 'purchase'")
+def approvals(spark, sf_dir):
+    return N.approvals(spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'purchase'").select(F.col("ts").alias("approved_at")))

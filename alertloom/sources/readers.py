@@ -93,6 +93,26 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return f.select(name.alias("name"), "path", "modificationTime", "length", "content", F.sha2("content", 256).alias("content_hash"), error.alias("error"))
 
 
+def processed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(filename, path, size, content_hash, modified) of the processed texts, newest first; the hash is in one of the first ten lines."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*_processed*.txt").load(folder)
+    head = F.slice(F.split(decode_text(F.col("content")), "\n"), 1, 10)
+    stamped = F.get(F.filter(head, lambda x: x.startswith("# Content Hash:")), F.lit(0))
+    given = F.trim(F.get(F.split(stamped, ":"), F.lit(1)))
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", F.col("length").alias("size"), given.alias("content_hash"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
+
+
+def remove_older(spark: SparkSession, folder: str, days: int = 7, now: Column | None = None) -> int:
+    """Delete processed texts last changed over `days` ago; the number of files deleted."""
+    limit = (now if now is not None else F.current_timestamp()) - F.make_dt_interval(days=F.lit(days))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*_processed*.txt").load(folder).select("path", "modificationTime")
+    conf, gone = spark._jsc.hadoopConfiguration(), 0
+    for row in listed.filter(F.col("modificationTime") < limit).toLocalIterator():
+        p = spark._jvm.org.apache.hadoop.fs.Path(row.path)
+        gone += bool(p.getFileSystem(conf).delete(p, False))
+    return gone
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 where it is valid, else Latin-1, which never fails."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 
 from alertloom.operators import alerts as A
 
@@ -100,10 +101,11 @@ class Monitor:
         rows = severe(dedupe(event_time(read_stream(spark, self.path, self.schema))), self.threshold)
 
         def body(batch: DataFrame, batch_id: int) -> None:
-            # a retried batch overwrites its own folder: written once per batch id
-            batch.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
+            # a retried batch overwrites its own folder: written once per batch id, and the record is made of what was written
+            path = f"{self.out}/batch={batch_id}"
+            batch.write.mode("overwrite").parquet(path)
             if self.on_trigger:
-                self.on_trigger(batch_id, trigger_record(batch, self.threshold))
+                self.on_trigger(batch_id, trigger_record(batch.sparkSession.read.schema(batch.schema).parquet(path), self.threshold))
 
         writer = rows.writeStream.foreachBatch(body).option("checkpointLocation", self.checkpoint)
         self.query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.interval)).start()
@@ -145,7 +147,20 @@ class Statistics(StreamingQueryListener):
 
 
 def run_to_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All available input through a streaming query into an in-memory table."""
-    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rows.sparkSession.table(name)
+    """All available input through a streaming query into Parquet beside its checkpoint, one folder for each batch.
+
+    A retried batch overwrites its own folder. In mode "complete" the last batch is the result.
+    """
+    out, spark = f"{checkpoint}-out", rows.sparkSession
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    rows.writeStream.queryName(name).foreachBatch(body).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    p = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], rows.schema)
+    written = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).option("basePath", out).parquet(out)
+    if mode == "complete":
+        written = written.filter(F.col("batch") == written.agg(F.max("batch")).first()[0])
+    return written.drop("batch")
