@@ -92,9 +92,9 @@ def archive_rows(cleaned: DataFrame, content: Column, now: Column | None = None)
 
 
 def chunk_rows(documents: DataFrame, now: Column | None = None, **sizes: int) -> DataFrame:
-    """Chunk rows of documents(doc_id, filename, text): section-aware chunks with artefacts, labels, tags, dispositions and header lines."""
-    chunks = chunk.chunk_documents(documents, "sections", **sizes).withColumnRenamed("text", "chunk")
-    named = chunks.join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.left("filename", F.lit(255)).alias("filename"), F.sha2("text", 256).alias("raw_hash")), "doc_id")
+    """Chunk rows of documents(filename, text): section-aware chunks with artefacts, labels, tags, dispositions and header lines."""
+    named = documents.select(F.lit(None).alias("doc_id"), F.left("filename", F.lit(255)).alias("filename"), F.sha2("text", 256).alias("raw_hash"), "text")
+    named = chunk.chunk_documents(named, "sections", keep=("filename", "raw_hash"), **sizes).withColumnRenamed("text", "chunk")
     body = F.col("chunk")
     rows = named.withColumn("artifacts", X.artifacts(body)).withColumn("labels", F.slice(F.array_union(X.context_labels(F.col("section_heading")), X.context_labels(body)), 1, 4)).withColumn("tags", X.behavior_tags(body))
 

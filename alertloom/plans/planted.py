@@ -290,3 +290,43 @@ def context_lines(spark, sf_dir):
 @query("SELECT count(*) AS reports_approved, max(ts) AS last_approval_time FROM events WHERE event_type = 'purchase'")
 def approvals(spark, sf_dir):
     return N.approvals(spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'purchase'").select(F.col("ts").alias("approved_at")))
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+@query("""SELECT 'f' || doc_id || '.md' AS filename, sha256(sha256('# Head ' || doc_id || E'\n\nBlock the malicious ip of host' || doc_id || '.badnet.org here.') || ':0:' || '# Head ' || doc_id || E'\n\nBlock the malicious ip of host' || doc_id || '.badnet.org here.') AS doc_hash,
+  'Document: f' || doc_id || E'.md\nSection: Head ' || doc_id || E'\nCTI Context Labels | ioc_listing, remediation\n# Head ' || doc_id || E'\n\nBlock the malicious ip of host' || doc_id || '.badnet.org here.' AS content, 0::INT AS chunk_index,
+  'host' || doc_id || '.badnet.org' AS domain, 'malicious' AS role FROM documents""")
+def planted_chunks(spark, sf_dir):
+    i = F.col("doc_id")
+    d = documents(spark, sf_dir).select(_said("f", i, ".md").alias("filename"), _said("# Head ", i, "\n\nBlock the malicious ip of host", i, ".badnet.org here.").alias("text"))
+    rows = C.chunk_rows(d)
+    return rows.select("filename", "doc_hash", "content", "chunk_index", F.get_json_object("metadata", "$.artifacts.domains[0]").alias("domain"), F.get_json_object("metadata", "$.dispositions[0].disposition").alias("role"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 500 = 2 THEN 2 WHEN doc_id % 500 = 3 THEN 3 WHEN doc_id % 500 = 4 THEN 4 WHEN doc_id % 25 = 1 THEN 1 END AS kind FROM documents),
+  f AS (SELECT * FROM (SELECT doc_id, 'exact' AS t, 1.15 AS s, row_number() OVER (ORDER BY doc_id) AS n FROM c WHERE kind IN (2, 4)
+  UNION ALL SELECT doc_id, 'semantic', 1 / sqrt(1.25), row_number() OVER (ORDER BY doc_id) FROM c WHERE kind = 3
+  UNION ALL SELECT doc_id, 'lexical', 0.3 + 0.2 / (1 + log2(CASE kind WHEN 1 THEN 3 ELSE 6 END)), row_number() OVER (ORDER BY kind, doc_id) FROM c WHERE kind IN (1, 4)) WHERE n <= 40)
+  SELECT 0::BIGINT AS query_id, row_number() OVER (ORDER BY s DESC, id) AS rank, id, round(s, 6) AS score, match_types FROM (SELECT doc_id AS id, max(s) AS s, list_sort(list(t)) AS match_types FROM f GROUP BY doc_id) ORDER BY rank LIMIT 10""")
+def planted_hybrid(spark, sf_dir):
+    i = F.col("doc_id")
+    text = F.when(i % 500 == 2, "saw 198[.]51[.]100[.]7 there").when(i % 500 == 4, "alpha beta 198.51.100.7").when((i % 25 == 1) & (i % 500 != 3), "word Beta ALPHA").otherwise("rest")
+    vector = F.when(i % 500 == 3, F.array(F.lit(1.0), F.lit(0.5))).cast("array<float>")
+    corpus = documents(spark, sf_dir).select(F.lit("custom_document").alias("source"), i.alias("id"), text.alias("content"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).alias("severity"), vector.alias("vector"))
+    asked = spark.createDataFrame([(0, "alpha beta", [1.0, 0.0], [("ips", "198.51.100.7")])], "query_id long, query string, vector array<float>, terms array<struct<type:string,term:string>>")
+    found = S.hybrid_search([corpus], asked, 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"), "match_types")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS evidence_strength, CASE WHEN doc_id % 4 < 2 THEN ['198.51.100.7'] ELSE [] END AS overlap, CASE WHEN doc_id % 4 = 3 THEN ['198.51.100.9'] ELSE [] END AS historical_only,
+  doc_id % 4 IN (0, 2) AS behavior_mismatch, CASE doc_id % 4 WHEN 0 THEN 'uploaded_cti_document' ELSE 'local_security_telemetry' END AS source_reliability, doc_id % 4 = 1 AS not_attacker FROM documents""")
+def planted_annotation(spark, sf_dir):
+    i = F.col("doc_id")
+    none = "cast(array() as array<string>)"
+    d = _planted(spark, sf_dir, "The C2 server 198.51.100.7 is malicious", "The victim 198.51.100.7 was reached", "Lateral movement over smb and rdp", "Nothing on 198.51.100.9 of note").withColumnRenamed("text", "content")
+    types = F.when(i % 4 == 1, F.array(F.lit("exact"))).otherwise(F.array(F.lit("semantic")))
+    d = d.withColumns({"source": F.when(i % 4 == 0, "custom_document").otherwise("archive"), "score": F.lit(0.5), "match_types": types, "match_evidence": F.expr(none), "severity": F.lit(0), "human_validated": F.lit(False)})
+    current = spark.range(1).select(F.array(F.lit("198.51.100.7")).alias("ips"), *[F.expr(none).alias(k) for k in ("domains", "urls", "hashes", "mitre_techniques")])
+    out = G.annotate(d, current, ["web_or_exploit_attempt"])
+    noted = F.array_contains("retrieval_cautions", "current overlap is marked benign, victim, or analysis-environment, not attacker infrastructure")
+    return out.select("doc_id", "evidence_strength", "overlap", "historical_only", "behavior_mismatch", "source_reliability", noted.alias("not_attacker"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions import net
 from alertloom.operators import analytics as N
+from alertloom.operators import corpus as C
 from alertloom.operators import reporting as G
 from alertloom.sources import readers
 from alertloom.streaming import service as V
@@ -154,3 +155,10 @@ def test_no_input_gives_an_empty_stream_table(spark, tmp_path):
     spark.createDataFrame([], "i long").write.parquet(src)
     live = M.read_stream(spark, src, spark.read.parquet(src).schema)
     assert M.run_to_table(live, "empty_test", str(tmp_path / "ck")).count() == 0
+
+
+def test_chunks_of_repeated_and_missing_ids(spark):
+    docs = [(1, "a.md", "# One\n\nalpha"), (1, "b.md", "# Two\n\nbeta"), (None, "c.md", "gamma"), (None, None, "delta"), (2, "e.md", None), (3, "f.md", "")]
+    rows = C.chunk_rows(spark.createDataFrame(docs, "doc_id long, filename string, text string")).collect()
+    assert sorted((r.filename or "", r.content.split("\n")[-1]) for r in rows) == [("", "delta"), ("a.md", "alpha"), ("b.md", "beta"), ("c.md", "gamma")]
+    assert len({r.doc_hash for r in rows}) == 4
