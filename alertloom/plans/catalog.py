@@ -172,7 +172,16 @@ def priority_reason(spark, sf_dir):
     return enriched(spark, sf_dir).select("event_id", A.priority_reason(F.col("threat_direction"), F.col("is_infrastructure_alert"), F.col("rule_level")).alias("reason"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN threat_direction = 'lateral' THEN ['internal_lateral_activity'] ELSE [] END AS tags,
+  [CASE WHEN is_infrastructure_alert THEN 'Suppress monitoring/noise infrastructure unless corroborated by destination compromise evidence.'
+    WHEN threat_direction = 'inbound' THEN 'Validate exposure and logs on destination ' || dest_ip || ' ' || proto || '.' WHEN threat_direction = 'outbound' THEN 'Investigate source asset ' || coalesce(src_ip, 'source') || ' as potentially compromised.'
+    WHEN threat_direction = 'lateral' THEN 'Investigate internal path ' || coalesce(src_ip, 'source') || ' -> ' || dest_ip || ' for lateral movement.' ELSE 'Prioritize current alert fields and asset inventory before applying generic CTI remediation.' END] AS focus,
+  CASE WHEN is_infrastructure_alert THEN 'Source ' || coalesce(src_ip, 'unknown source') || ' is monitoring/noise infrastructure; suppress as noise unless the destination or payload shows independent compromise evidence.'
+    WHEN threat_direction = 'inbound' THEN 'Prioritize external source ' || coalesce(src_ip, 'unknown source') || ' as attacker/infrastructure and destination ' || dest_ip || ' ' || proto || ' as the protected target.'
+    WHEN threat_direction = 'outbound' THEN 'Prioritize source ' || coalesce(src_ip, 'unknown source') || ' as the potentially compromised asset and destination ' || dest_ip || ' ' || proto || ' as possible C2, exfiltration, or malicious service.'
+    WHEN threat_direction = 'lateral' THEN 'Treat ' || coalesce(src_ip, 'unknown source') || ' -> ' || dest_ip || ' as internal lateral movement or policy violation; do not infer public threat actor attribution from private IPs alone.'
+    WHEN threat_direction = 'external' THEN 'Both endpoints appear outside configured protected inventory; keep relevance low unless the alert rule or payload explicitly ties it to owned assets.'
+    ELSE 'Use rule, signature, service, and explicit IoCs to decide whether source or destination is more important.' END AS aim FROM enriched""", True)
 def response_focus(spark, sf_dir):
     e = enriched(spark, sf_dir)
     service = A.service_text(F.lit(None), F.col("proto"), F.lit(None).cast("string"), "service")

@@ -117,6 +117,21 @@ def metadata_filtered(spark, sf_dir):
     return S.metadata_filter(a.withColumn("severity", F.col("rule_level")), since=F.to_timestamp_ntz(F.lit("2024-01-10 00:00:00")), **chosen).select("event_id")
 
 
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['reconnaissance_or_scanning', 'web_or_exploit_attempt', 'external_to_protected_asset'] WHEN 1 THEN ['possible_c2', 'compromised_asset_egress', 'dns_service_activity']
+    WHEN 2 THEN ['malware_or_destructive_activity', 'lateral_movement_candidate', 'internal_lateral_activity', 'smb_service_activity'] ELSE [] END AS tags,
+  CASE doc_id % 4 WHEN 0 THEN ['Validate exposure and logs on destination d' || doc_id || ' http/443.', 'Rate-limit or block repeated external scanner s if activity persists.', 'Review web/app logs and patch/harden affected service on d' || doc_id || '.']
+    WHEN 1 THEN ['Investigate source asset s as potentially compromised.', 'Contain s and review egress/DNS/TLS logs for C2.']
+    WHEN 2 THEN ['Investigate internal path s -> d' || doc_id || ' for lateral movement.', 'Audit SMB/admin-share access, credentials, and endpoint process activity.', 'Isolate affected endpoint(s) and preserve forensic evidence before remediation.']
+    ELSE ['Prioritize current alert fields and asset inventory before applying generic CTI remediation.'] END AS focus FROM documents""")
+def planted_focus(spark, sf_dir):
+    d = _planted(spark, sf_dir, "Nmap scan, then SQL injection", "a C2 beacon", "Ransomware over SMB", "quiet")
+    of = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % 4 + 1).cast("int"))
+    way, port = of("inbound", "outbound", "lateral", "unknown"), of("443", "53", "445", "9")
+    tags = A.behavior_tags(F.col("text"), port, F.lit(None).cast("string"), way)
+    service = A.service_text(F.lit("http"), F.lit("tcp"), port, "service")
+    return d.select("doc_id", tags.alias("tags"), A.response_focus(way, F.lit(False), tags, F.lit("s"), _said("d", F.col("doc_id")), service).alias("focus"))
+
+
 # --- texts -------------------------------------------------------------------------------------------------------
 @query("""SELECT doc_id, 'Head ' || doc_id || E'\nbold and link and code.' || E'\n' AS plain, '..' || '_' || doc_id || '_é.txt' AS ignored FROM documents""".replace(", '..' || '_' || doc_id || '_é.txt' AS ignored", ""))
 def markdown_stripped(spark, sf_dir):
