@@ -25,11 +25,14 @@ MOST_QUERIES, MOST_LEXEMES = 1000, 20_000
 STRONG = ("high", "medium")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays in double precision; NULL for a zero vector."""
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity of two arrays in double precision; NULL for a zero vector. Norms may be given where they are known."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return dot / F.nullif((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b), F.lit(0.0))
 
 
 def bounded(queries: DataFrame) -> DataFrame:
@@ -71,10 +74,12 @@ def semantic(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = T
     Every query meets every row in blocks (a stated query set against all rows): each block of queries is broadcast, and
     only the best k per task and query leave a task.
     """
-    there = corpus.filter(F.col("vector").isNotNull())
+    # norms are taken once a row and once a query, not once a pair; a generator keeps them from being moved into the join
+    there = corpus.filter(F.col("vector").isNotNull()).select("*", F.inline(F.array(F.struct(norm(F.col("vector")).alias("__n")))))
     found = None
     for block in blocks(queries.select("query_id", F.col("vector").alias("__q"))):
-        rows = there.join(F.broadcast(block)).withColumn("semantic_score", cosine(F.col("vector"), F.col("__q"))).filter(F.col("semantic_score") >= threshold)
+        block = block.withColumn("__qn", norm(F.col("__q")))
+        rows = there.join(F.broadcast(block)).withColumn("semantic_score", cosine(F.col("vector"), F.col("__q"), F.col("__n"), F.col("__qn"))).filter(F.col("semantic_score") >= threshold)
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         found = there.limit(0).withColumns({"query_id": F.lit(None).cast(queries.schema["query_id"].dataType), "semantic_score": F.lit(None).cast("double")})
