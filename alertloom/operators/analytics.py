@@ -90,7 +90,10 @@ def snapshots(alerts: DataFrame, every: str = "hour") -> DataFrame:
 
 
 def trend(snaps: DataFrame, hours: int) -> DataFrame:
-    """For each snapshot, over it and those of the `hours` before: how many, mean, sums, maximum and the latest count."""
+    """For each snapshot, over it and those of the `hours` before: how many, mean, sums, maximum and the latest count.
+
+    One window over all snapshots: they are one row an hour, some 8,800 a year, whatever the number of alerts.
+    """
     seconds = F.unix_timestamp("period")
     w = W.partitionBy(F.lit(0)).orderBy(seconds).rangeBetween(-(hours - 1) * 3600, 0)
     return snaps.select("period", F.count("*").over(w).alias("snapshots"), F.avg("n").over(w).alias("avg_n"), F.sum("high").over(w).alias("high"), F.sum("critical").over(w).alias("critical"), F.max("n").over(w).alias("max_n"), F.last("n").over(w).alias("latest"))

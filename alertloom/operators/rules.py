@@ -62,14 +62,19 @@ def classify(severity: Column, signature: Column, signature_id: Column) -> Colum
 def correlate(alerts: DataFrame, rules: tuple = CORRELATION, key: str = "src_ip", rule: str = "rule_id", ts: str = "ts") -> DataFrame:
     """Alerts at which a correlation fires: with the hits of its rules from the same source within the time before it.
 
-    One window pass for each rule over that rule's own alerts only; rows without a source don't correlate.
+    One window pass for each rule over that rule's own alerts only; rows without a source or a time don't correlate. Time is
+    cut into stretches as long as the rule's time, and an alert stands in its own and, to be looked back on, in the next
+    one, so a source that holds a large part of all alerts is spread over as many tasks as it has stretches.
     """
     out = None
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     for number, members, hits, seconds, level, what in rules:
-        rows = alerts.filter(F.col(key).isNotNull() & F.col(rule).isin(*members))
-        w = W.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-        rows = rows.withColumn("hits", F.count("*").over(w)).filter(F.col("hits") >= hits)
+        span = seconds * 1_000_000
+        rows = alerts.filter(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(rule).isin(*members))
+        own = F.floor(at / F.lit(span))
+        rows = rows.withColumn("__stretch", F.explode(F.array(own, own + 1))).withColumn("__own", F.col("__stretch") == own)
+        w = W.partitionBy(key, "__stretch").orderBy(at).rangeBetween(-span, 0)
+        rows = rows.withColumn("hits", F.count("*").over(w)).filter(F.col("__own") & (F.col("hits") >= hits)).drop("__stretch", "__own")
         rows = rows.withColumns({"correlation_id": F.lit(number), "correlation_level": F.lit(level), "correlation": F.lit(what)})
         out = rows if out is None else out.unionByName(rows)
     return out

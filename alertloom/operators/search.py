@@ -272,7 +272,10 @@ def cautions(source: Column, match_types: Column, overlaps: Column, labels: Colu
 
 
 def quality_cap(docs: DataFrame, limit: int, order: list[Column]) -> DataFrame:
-    """High and medium evidence first; with any of it at most one weak row, else weak rows fill the limit."""
+    """High and medium evidence first; with any of it at most one weak row, else weak rows fill the limit.
+
+    For the retrieved rows of one report, which a top-k has bounded before: its windows have no finer key than the strength.
+    """
     w = W.partitionBy(F.col("evidence_strength").isin(*STRONG)).orderBy(*order)
     ranked = docs.withColumn("__strong", F.col("evidence_strength").isin(*STRONG)).withColumn("__n", F.row_number().over(w))
     n_strong = F.sum(F.col("__strong").cast("int")).over(W.partitionBy(F.lit(0)))

@@ -572,6 +572,17 @@ def stream_snapshots(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "high", "critical")
 
 
+@query("""SELECT ts, src_ip, hits FROM (SELECT ts, src_ip, count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS hits
+  FROM (SELECT ts, '10.0.0.' || (user_id % 250 + 1) AS src_ip FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) < 300)) WHERE hits >= 2""")
+def stream_correlated(spark, sf_dir):
+    import uuid
+
+    name = f"correlated_{uuid.uuid4().hex[:12]}"
+    live = M.correlated(_stream(spark, sf_dir), tuple(range(100000, 100300)), 2, 3600)
+    out = M.run_to_table(live, name, shared_folder(spark, name), "complete")
+    return out.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "src_ip", "hits")
+
+
 # --- engine smoke: the reference has no star joins ---------------------------------------------------------------
 @query("SELECT n_name, CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def revenue_by_nation(spark, sf_dir):
