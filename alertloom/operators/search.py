@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions import text as T
+from alertloom.operators.text_index import TextIndex
+from alertloom.operators.vector_index import VectorIndex
 
 #: Branch scores by source.
 EXACT_SCORE = {"archive": 1.25, "custom_document": 1.15}
@@ -68,11 +70,10 @@ def metadata_filter(corpus: DataFrame, min_severity: int | None = None, since: C
     return corpus.filter(F.col("ts") >= since) if since is not None else corpus
 
 
-def semantic(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(query_id, source, id, content, score, semantic_score): the nearest rows of each query above the threshold.
+def similar(corpus: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """corpus's columns with query_id and semantic_score, for every query and row that are at least so similar.
 
-    Every query meets every row in blocks (a stated query set against all rows): each block of queries is broadcast, and
-    only the best k per task and query leave a task.
+    Every query meets every row in blocks (a stated query set against all rows), each block of queries broadcast.
     """
     # norms are taken once a row and once a query, not once a pair; a generator keeps them from being moved into the join
     there = corpus.filter(F.col("vector").isNotNull()).select("*", F.inline(F.array(F.struct(norm(F.col("vector")).alias("__n")))))
@@ -83,10 +84,22 @@ def semantic(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = T
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         found = there.limit(0).withColumns({"query_id": F.lit(None).cast(queries.schema["query_id"].dataType), "semantic_score": F.lit(None).cast("double")})
-    found = top_per_query(found, k, F.desc("semantic_score"), F.asc("id"))
+    return found
+
+
+def semantic(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(query_id, source, id, content, score, semantic_score): the nearest rows of each query above the threshold, by comparing all;
+    only the best k per task and query leave a task."""
+    found = top_per_query(similar(corpus, queries, threshold), k, F.desc("semantic_score"), F.asc("id"))
     return found.select("query_id", "source", "id", "content", F.col("semantic_score").alias("score"), "semantic_score")
 
 
+def semantic_indexed(corpus: DataFrame, index: VectorIndex, queries: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
+    """As semantic(), through an index of the corpus by id; a filtered corpus may leave fewer than k rows."""
+    near = index.search(queries.select("query_id", "vector"), k, threshold=threshold).select("query_id", "id", "score")
+    return near.join(corpus.select("source", "id", "content"), "id").select("query_id", "source", "id", "content", "score", F.col("score").alias("semantic_score"))
+
+
 def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...] = tuple(T.EXTRACTORS)) -> DataFrame:
     """Rows whose typed indicators hold a term of the query, newest first, with the matched terms as evidence.
 
@@ -150,8 +163,8 @@ def _lexical_block(corpus: DataFrame, block: list[Row], query_type: str) -> Data
     return rows.select("query_id", "source", "id", "content", (0.1 * hits / (1 + F.log2(F.greatest("n_words", F.lit(1))))).alias("lexical_score"))
 
 
-def lexical(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Rows that hold every lexeme of the query, best rank first; queries without a lexeme find nothing."""
+def matching(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, source, id, content, lexical_score) of all rows that hold every lexeme of a query; without a lexeme, none."""
     query_type = queries.schema["query_id"].dataType.simpleString()
     found = None
     for block in lexeme_blocks(queries):
@@ -159,7 +172,22 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         found = corpus.limit(0).select(F.lit(None).cast(query_type).alias("query_id"), "source", "id", "content", F.lit(None).cast("double").alias("lexical_score"))
-    rows = top_per_query(found, k, F.desc("lexical_score"), F.asc("id"))
+    return found
+
+
+def lexical(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best k of matching() for each query."""
+    return _lexical_scored(top_per_query(matching(corpus, queries), k, F.desc("lexical_score"), F.asc("id")))
+
+
+def lexical_indexed(corpus: DataFrame, index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
+    """As lexical(), from an index's postings and ranked by cover density; the metadata of the index counts as text."""
+    best = index.search(queries.select("query_id", "query"), k).select("query_id", "source", "id", "row", "lexical_score")
+    rows = corpus.withColumn("row", index.row_of(corpus)).select("source", "id", "row", "content").dropDuplicates(["source", "id", "row"])
+    return _lexical_scored(best.join(rows, ["source", "id", "row"]).drop("row"))
+
+
+def _lexical_scored(rows: DataFrame) -> DataFrame:
     a, c = LEXICAL_SCORE["archive"], LEXICAL_SCORE["custom_document"]
     score = F.when(F.col("source") == "archive", F.least(F.lit(a[1]), a[0] + F.col("lexical_score"))).otherwise(F.least(F.lit(c[1]), c[0] + F.col("lexical_score")))
     return rows.select("query_id", "source", "id", "content", score.alias("score"), "lexical_score")
@@ -188,13 +216,15 @@ def diversify(results: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("rank", n).filter(F.col("rank") <= k).drop("__late")
 
 
-def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse: bool = True) -> DataFrame:
-    """Three branches on each corpus, merged; k rows per query."""
+def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse: bool = True, indexes: list[tuple[VectorIndex | None, TextIndex | None]] | None = None) -> DataFrame:
+    """Three branches on each corpus, merged; k rows per query. `indexes` gives each corpus its vector and text index, or None."""
     take = max(k * MULTIPLIER, k)
     found, queries = None, bounded(queries)
     kinds = [r.type for r in queries.select(F.explode("terms.type").alias("type")).distinct().limit(100).collect() if r.type]  # the few kinds asked for
-    for corpus in corpora:
-        for name, rows in (("semantic", semantic(corpus, queries, take)), ("exact", exact(corpus, queries, take, tuple(kinds)) if kinds else None), ("lexical", lexical(corpus, queries, take))):
+    for corpus, (vectors, texts) in zip(corpora, indexes or [(None, None)] * len(corpora), strict=True):
+        near = semantic_indexed(corpus, vectors, queries, take) if vectors else semantic(corpus, queries, take)
+        worded = lexical_indexed(corpus, texts, queries, take) if texts else lexical(corpus, queries, take)
+        for name, rows in (("semantic", near), ("exact", exact(corpus, queries, take, tuple(kinds)) if kinds else None), ("lexical", worded)):
             if rows is None:
                 continue
             for c, kind in (("semantic_score", "double"), ("lexical_score", "double"), ("match_evidence", "array<string>")):

@@ -15,7 +15,7 @@ from alertloom.operators import reporting as G
 from alertloom.operators import reports as R
 from alertloom.operators import rules as D
 from alertloom.operators import search as S
-from alertloom.plans import planted  # noqa: F401  registers its queries
+from alertloom.plans import indexed, planted  # noqa: F401  register their queries
 from alertloom.plans.alert_view import alerts, enriched
 from alertloom.plans.registry import ORACLE_SQL, QUERIES, documents, query, shared_folder  # noqa: F401
 from alertloom.streaming import monitor as M
@@ -398,15 +398,15 @@ def vector_topk(spark, sf_dir):
 
 @query(f"SELECT query_id, count(*) AS n FROM ({VECTOR_SQL}) WHERE s >= 0.1 GROUP BY query_id")
 def vector_threshold(spark, sf_dir):
-    return S.semantic(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 1 << 30, 0.1).groupBy("query_id").agg(F.count("*").alias("n"))
+    return S.similar(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 0.1).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT query_id, label, id, round(s, 6) AS score FROM (SELECT v.query_id, e.label, v.id, v.s, row_number() OVER (PARTITION BY v.query_id, e.label ORDER BY v.s DESC, v.id) AS i FROM ({VECTOR_SQL}) v JOIN embeddings e ON e.vec_id = v.id) WHERE i <= 3")
 def topk_per_label(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label")
-    rows = S.semantic(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 1 << 30, -2.0).join(labels, "id")
-    n = F.row_number().over(W.partitionBy("query_id", "label").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("i", n).filter("i <= 3").select("query_id", "label", "id", F.round("score", 6).alias("score"))
+    rows = S.similar(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), -2.0).join(labels, "id")
+    n = F.row_number().over(W.partitionBy("query_id", "label").orderBy(F.desc("semantic_score"), "id"))
+    return rows.withColumn("i", n).filter("i <= 3").select("query_id", "label", "id", F.round("semantic_score", 6).alias("score"))
 
 
 LEX = ("of and the", "que de la", "der die und", "est les pour")
@@ -422,7 +422,7 @@ def _docs_corpus(spark, sf_dir):
 
 @query("SELECT q.query_id, count(*) AS n, min(doc_id) AS first_doc FROM (VALUES " + ", ".join(f"({i}, {q.split(' ')!r})" for i, q in enumerate(LEX)) + ") q(query_id, lex), documents d WHERE list_has_all(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]+'), q.lex) GROUP BY q.query_id")
 def lexical_all_terms(spark, sf_dir):
-    found = S.lexical(_docs_corpus(spark, sf_dir), _lexical_queries(spark), 1 << 30)
+    found = S.matching(_docs_corpus(spark, sf_dir), _lexical_queries(spark))
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("first_doc"))
 
 
@@ -457,8 +457,8 @@ def hybrid_merge(spark, sf_dir):
 @query(f"""SELECT query_id, id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, s DESC, source, id) AS rank FROM (SELECT *, CAST(row_number() OVER
   (PARTITION BY query_id, source ORDER BY s DESC, source, id) > 7 AS INT) AS late FROM (SELECT query_id, id, round(s, 6) AS s, CASE WHEN id % 7 = 0 THEN 'custom_document' ELSE 'archive' END AS source FROM ({VECTOR_SQL})))) WHERE rank <= 10""")
 def source_diversity(spark, sf_dir):
-    rows = S.semantic(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 1 << 30, -2.0)
-    rows = rows.withColumns({"source": F.when(F.col("id") % 7 == 0, "custom_document").otherwise("archive"), "score": F.round("score", 6)})
+    rows = S.similar(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), -2.0)
+    rows = rows.withColumns({"source": F.when(F.col("id") % 7 == 0, "custom_document").otherwise("archive"), "score": F.round("semantic_score", 6)})
     return S.diversify(rows, 10).select("query_id", "id", "source", F.col("rank").cast("long").alias("rank"))
 
 
