@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.operators import search as S
+from alertloom.operators import versioned
 from alertloom.operators.text_index import TextIndex, sequence
 from alertloom.operators.vector_index import VectorIndex
+from alertloom.operators.versioned import VersionedTable
 from alertloom.plans.registry import documents, query, shared_folder
 
 
@@ -107,3 +109,26 @@ def hybrid_indexed(spark, sf_dir):
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     has = lambda kind: F.array_contains("match_types", kind)
     return found.select("query_id", "id", rank.alias("rank"), F.round("score", 6).alias("score"), has("semantic").alias("near"), has("lexical").alias("worded"))
+
+
+# --- versions --------------------------------------------------------------------------------------------------
+@query("""WITH e AS (SELECT event_id AS id, CAST(ts AS DATE) AS event_date, event_type, value, event_id % 3 = 0 AS first, event_id % 5 = 0 AS filled FROM events),
+  r AS (SELECT 1 AS version, id, event_date, NULL AS filled FROM e WHERE first UNION ALL SELECT 2, id, event_date, NULL FROM e
+    UNION ALL SELECT 3, id, event_date, CASE WHEN filled THEN value END FROM e UNION ALL SELECT 4, id, event_date, CASE WHEN filled THEN value END FROM e WHERE event_date >= DATE '2024-01-11')
+  SELECT CAST(version AS INTEGER) AS version, event_date, count(*) AS n, count(filled) AS filled, round(coalesce(sum(filled), 0), 2) AS total FROM r GROUP BY ALL""")
+def versioned_store(spark, sf_dir):
+    """Events in a versioned table, all versions by date: a third inserted, all inserted (known ones ignored, and once more by a retry), every fifth
+    back-filled twice, 20 days retained."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.to_date("ts").alias("event_date"), "event_type", "value")
+    table = VersionedTable.create(spark, _folder(spark, "events"), "id long, event_date date, event_type string, filled double", "id", "event_date")
+    rows = events.select("id", "event_date", "event_type", F.lit(None).cast("double").alias("filled"))
+    for part in (rows.filter("id % 3 = 0"), rows, rows):
+        table.insert(part)
+    for _ in range(2):
+        table.update(events.filter("id % 5 = 0").select("id", F.col("value").alias("filled")), only_null=True)
+    versioned.retain(table, 20, "2024-01-31")
+    out = None
+    for n in table.numbers():
+        by = table.read(n).groupBy("event_date").agg(F.count("*").alias("n"), F.count("filled").alias("filled"), F.round(F.coalesce(F.sum("filled"), F.lit(0.0)), 2).alias("total")).withColumn("version", F.lit(n))
+        out = by if out is None else out.unionByName(by)
+    return out

@@ -139,10 +139,10 @@ def test_text_search_equals_brute_force(spark, corpus, tmp_path, monkeypatch):
     found = index.search(queries)
     assert sorted(((r.query_id, r.id, round(r.lexical_score, 6)) for r in found.collect()), key=repr) == sorted(want, key=repr)
     assert "content" not in plan_of(found) and "NestedLoop" not in plan_of(found)
-    best = index.search(queries, 1)
-    assert {r.query_id: (r.id, r.rank) for r in best.collect()} == {1: (5, 1), 2: (5, 1), 3: (2, 1), 6: (6, 1), 7: (1, 1)} or {r.query_id for r in best.collect()} == {q for q, *_ in want}
+    best = {r.query_id: (round(r.lexical_score, 6), r.rank) for r in index.search(queries, 1).collect()}
+    assert best == {q: (max(v for p, _, v in want if p == q), 1) for q, *_ in want}
     counts = {r.lexeme: (r.texts, r.occurrences) for r in index.lexemes(spark).collect()}
-    assert counts["alpha"] == (7, 3006) and counts["beta"] == (6, 6) and counts["alpha_1"] == (1, 1)
+    assert counts["alpha"] == (6, 3005) and counts["beta"] == (5, 5) and counts["alpha_1"] == (1, 1)
 
 
 def test_empty_text_index(spark, corpus, tmp_path):
@@ -161,4 +161,4 @@ def test_hybrid_search_through_indexes(spark, tmp_path):
     plain = search.hybrid_search([corpus], queries, 5).collect()
     kinds = lambda x: {(y.query_id, y.id) for y in x if "lexical" in y.match_types}
     assert {x.query_id for x in through} == {1, 2} and kinds(through) and len(through) == len(plain) == 10
-    assert text_index.WEIGHT + search.LEXICAL_SCORE["archive"][0] == pytest.approx(min(x.score for x in through if x.match_types == ["lexical"]))
+    assert {round(x.lexical_score, 6) for x in through if x.lexical_score is not None} == {text_index.WEIGHT}
