@@ -15,7 +15,7 @@ from alertloom.operators import reporting as G
 from alertloom.operators import reports as R
 from alertloom.operators import rules as D
 from alertloom.operators import search as S
-from alertloom.plans import indexed, planted  # noqa: F401  register their queries
+from alertloom.plans import indexed, live, planted  # noqa: F401  register their queries
 from alertloom.plans.alert_view import alerts, enriched
 from alertloom.plans.registry import ORACLE_SQL, QUERIES, documents, query, shared_folder  # noqa: F401
 from alertloom.streaming import monitor as M

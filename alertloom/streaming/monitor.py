@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
+from alertloom.functions import net
 from alertloom.operators import alerts as A
+from alertloom.sources.growing import GrowingLines
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 5) -> DataFrame:
@@ -24,6 +26,14 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def read_alerts(spark: SparkSession, path: str, assets: net.Assets, **options: str) -> DataFrame:
+    """Cleaned alerts of line files that grow (path is a pattern), with `ts`; lines that are no alert are left out."""
+    spark.dataSource.register(GrowingLines)
+    lines = spark.readStream.format("growing_lines").options(path=path, **options).load()
+    raw = lines.select(F.trim("value").alias("json"), F.col("path").alias("archive_source")).filter(F.coalesce(F.get_json_object("json", "$").startswith("{"), F.lit(False)))
+    return A.clean(raw, assets).withColumn("ts", F.col("timestamp").try_cast("timestamp")).drop("json")
+
+
 def event_time(rows: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
@@ -82,7 +92,10 @@ def trigger_record(batch: DataFrame, threshold: int = 8) -> DataFrame:
 
 @dataclass
 class Monitor:
-    """Start and stop of the monitoring query; `on_trigger(batch_id, record)` gets the trigger record of a batch."""
+    """Start and stop of the monitoring query; `on_trigger(batch_id, record)` gets the trigger record of a batch.
+
+    `source(spark, path)` gives the stream of alerts; without one, Parquet files of `schema` are read.
+    """
 
     path: str
     schema: object
@@ -92,13 +105,15 @@ class Monitor:
     interval: str = "10 seconds"
     on_trigger: Callable[[int, DataFrame], None] | None = None
     query: StreamingQuery | None = None
+    source: Callable[[SparkSession, str], DataFrame] | None = None
 
     def start(self, spark: SparkSession, ready: bool = True, once: bool = False) -> StreamingQuery:
         if not ready:
             raise RuntimeError("the corpus has no embedded rows yet")
         if self.query is not None and self.query.isActive:
             raise RuntimeError("monitoring is running")
-        rows = severe(dedupe(event_time(read_stream(spark, self.path, self.schema))), self.threshold)
+        alerts = self.source(spark, self.path) if self.source else read_stream(spark, self.path, self.schema)
+        rows = severe(dedupe(event_time(alerts)), self.threshold)
 
         def body(batch: DataFrame, batch_id: int) -> None:
             # a retried batch overwrites its own folder: written once per batch id, and the record is made of what was written
