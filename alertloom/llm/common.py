@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Records and bytes of an Arrow batch handed to Python; texts are long, so batches stay small.
 ARROW_RECORDS, ARROW_BYTES = 1000, 64 << 20
+#: Files a core writes of a compact table.
+FILES_PER_CORE = 4
 #: A key with over one in HOT_SHARES rows of a table is hot; a table has fewer than HOT_SHARES such keys.
 HOT_SHARES = 1000
 
@@ -37,7 +39,10 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compact: bool = False) -> DataFrame:
+        """df as written; compact for what is small beside its tasks, which are then many: a few files a core."""
+        if compact:
+            df = df.repartition(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism)
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)

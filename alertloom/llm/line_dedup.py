@@ -1,7 +1,7 @@
 """Lines that many documents share are dropped, by range-partitioned line hashes and bitmaps.
 
 Every line's key (white space stripped at both ends, A-Z lower-cased) is hashed to 128 bits, and (hash, document,
-position) rows are written down. They are range-partitioned by hash and document and sorted by position too, so that one
+position) rows are range-partitioned by hash and document and sorted by position too, so that one
 task streams a stretch of them in order and a key that many documents hold is cut over several stretches. A stream counts the documents of each
 key. It holds back rows of the key at hand only until that many documents are seen (fewer than `min_docs` documents' rows), then passes
 them on. Only the first and the last key of a stretch may go on in another one: those are settled by adding up their counts, at most
@@ -137,10 +137,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     fields = [("h1", T.LongType()), ("h2", T.LongType()), ("doc_id", kind), ("mark", T.LongType()), ("pos", T.IntegerType())]
     more = [("state", T.ByteType()), ("first", T.BooleanType()), ("docs", T.LongType()), ("part", T.IntegerType())]
     schema = lambda x: T.StructType([T.StructField(n, t) for n, t in x])
-    lines = scratch.save(rows.mapInArrow(_hashed, schema(fields)))
+    lines = rows.mapInArrow(_hashed, schema(fields))  # hashed twice: once more for the samples that cut the ranges
     ordered = lines.repartitionByRange("h1", "h2", "doc_id", "mark").sortWithinPartitions("h1", "h2", "doc_id", "mark", "pos")
-    found = scratch.save(ordered.mapInArrow(_streamed(min_docs), schema(fields + more)))
-    scratch.drop(lines)
+    found = scratch.save(ordered.mapInArrow(_streamed(min_docs), schema(fields + more)), compact=True)
     edges = found.filter(F.col("state") != WITHIN)
     totals = edges.groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.min("part").alias("first_part"))
     open_ = edges.filter((F.col("state") == OPEN)).join(totals.filter(F.col("all_docs") >= min_docs), ["h1", "h2"])

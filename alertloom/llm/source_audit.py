@@ -156,7 +156,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, ranks: int = 200, te
     filled = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     rows = docs.select(filled(lang_col, "lang"), filled(source_col, "source"), filled(text_col, "text"))
     counted = rows.mapInArrow(_counted, COUNTED)
-    kept = scratch.save(counted.repartition("lang", "term").mapInArrow(_merged(least_docs), KEPT))
+    kept = scratch.save(counted.repartition("lang", "term").mapInArrow(_merged(least_docs), KEPT), compact=True)
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count_if("leads").alias("terms"))
     groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").na.fill(0, ["n", "terms"])
     whole = Window.partitionBy("lang")
