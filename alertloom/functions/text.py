@@ -283,7 +283,7 @@ def extraction_quality(text: Column, pages: Column) -> Column:
 def _graded(t: Column, n: Column, f: Column) -> Column:
     word, chars, per, images, tables, total = (f[k] for k in ("words", "characters", "chars_per_page", "image_marker_count", "table_marker_count", "artifact_total"))
     warnings = F.array_compact(F.array(F.when((n > 0) & (per < 250), "low_text_density"), F.when((n > 0) & (images >= F.greatest(F.lit(1), F.floor(n / 2))), "image_heavy_pdf_no_ocr"), F.when((n > 0) & (word < F.greatest(F.lit(80), n * 35)), "few_extracted_words"), F.when((n >= 3) & (total == 0), "no_cti_artifacts_extracted")))
-    grade = F.when(F.trim(t) == "", "empty").when(F.size(warnings) >= 2, "low").when(F.size(warnings) == 1, "medium").otherwise("high")
+    grade = F.when(F.btrim(t, F.lit(BLANK)) == "", "empty").when(F.size(warnings) >= 2, "low").when(F.size(warnings) == 1, "medium").otherwise("high")
     return F.struct(grade.alias("quality"), warnings.alias("warnings"), word.alias("words"), chars.alias("characters"), per.alias("chars_per_page"), images.alias("image_marker_count"), tables.alias("table_marker_count"), total.alias("artifact_total"))
 
 

@@ -13,6 +13,7 @@ from alertloom.functions import text as T
 from alertloom.operators import alerts as A
 from alertloom.operators import analytics as N
 from alertloom.operators import audit
+from alertloom.operators import reports
 from alertloom.operators import search as S
 
 #: Observed kind -> the columns and context fields of a cleaned alert that hold it.
@@ -29,6 +30,19 @@ OBSERVED = {
 }
 #: Fields that are text of the alert for tags, queries and the embedded text.
 TEXT = ("rule_description", "alert_signature", "alert_category", "proto", "app_proto", "event_type", "direction")
+#: Fields of contexts whose tokens are search terms.
+TERM_CONTEXTS = {
+    "http": ("hostname", "url", "method"),
+    "dns": ("query",),
+    "tls": ("sni", "issuer", "subject"),
+    "email": ("from", "to", "subject", "attachment", "mail_from_domain", "url"),
+    "ioc": ("domain", "ip", "url", "hash"),
+    "process": ("name", "parent_process", "file", "path", "command_line"),
+    "file": ("filename", "md5", "sha1", "sha256"),
+    "smb": ("command", "share", "filename", "disposition"),
+    "modbus": ("function", "unit_id", "address", "quantity"),
+    "threat": ("actor", "campaign"),
+}
 DEFAULT_QUERY = "network security alert threat intelligence"
 
 
@@ -116,10 +130,21 @@ def selected(alerts: DataFrame, ids: DataFrame, key: str = "uuid", order: str =
     return last.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def annotate(docs: DataFrame, current: DataFrame, tags: list[str]) -> DataFrame:
+def alert_terms(alerts: DataFrame, representatives: int = 12, order: str = "event_id") -> DataFrame:
+    """One row (terms): the lower-case tokens of the representative alerts' fields and contexts."""
+    rows = A.representatives(alerts, representatives, order)
+    fields = [*TEXT, "rule_id", "signature_id", "src_ip", "dest_ip"]
+    parts = [c for c in (_there(rows, p) for p in fields) if c is not None]
+    for name, kept in TERM_CONTEXTS.items():
+        parts += [c for c in (_there(rows, f"{name}_context.{f}") for f in kept) if c is not None]
+    return rows.select(F.explode(T.tokens(F.concat_ws(" ", *parts))).alias("t")).agg(F.array_sort(F.collect_set("t")).alias("terms"))
+
+
+def annotate(docs: DataFrame, current: DataFrame, tags: list[str], terms: DataFrame | None = None) -> DataFrame:
     """Candidates (source, content, score, match_types, match_evidence, severity, human_validated) with their rank and evidence.
 
-    current: one row of current_artifacts().
+    current: one row of current_artifacts(). terms: one row of alert_terms(), sought in the content and, if a column, the
+    metadata; without it the current artifacts are the terms.
     """
     kinds = ("ips", "domains", "urls", "hashes", "mitre_techniques")
     now = current.select(F.struct(*[F.col(k) for k in kinds]).alias("__now"))
@@ -136,12 +161,18 @@ def annotate(docs: DataFrame, current: DataFrame, tags: list[str]) -> DataFrame:
     n = F.size("overlap")
     other = F.exists("roles", lambda r: r.isin("victim", "analysis_environment", "benign"))
     strength = S.evidence_strength(F.col("match_types"), n, F.array_contains("roles", "malicious"), other)
-    hits = F.size(F.array_intersect(T.tokens(F.col("content")), F.transform(F.concat(*[F.col(f"__now.{k}") for k in kinds]), F.lower)))
-    rank = S.context_rank(F.col("match_types"), hits, F.col("score"), F.size("match_evidence"), F.coalesce("severity", F.lit(0)), F.col("source"), F.size("behavior_overlap"), F.col("behavior_mismatch"))
-    d = d.withColumns({"evidence_strength": strength, "source_reliability": S.reliability(F.col("source"), F.col("human_validated")), "context_rank_score": rank})
+    if terms is None:
+        hits = F.size(F.array_intersect(T.tokens(F.col("content")), F.transform(F.concat(*[F.col(f"__now.{k}") for k in kinds]), F.lower)))
+    else:
+        d = d.join(F.broadcast(terms.select(F.col("terms").alias("__terms"))))  # one row
+        within = F.concat_ws(" ", "content", "metadata") if "metadata" in docs.columns else F.col("content")
+        hits = F.size(F.filter("__terms", lambda t: T.contains_term(within, t, "")))
+    d = d.withColumn("lexical_hits", hits)
+    score = S.context_score(F.col("match_types"), F.col("lexical_hits"), F.col("score"), F.size("match_evidence"), F.coalesce("severity", F.lit(0)), F.col("source"), F.size("behavior_overlap"), F.col("behavior_mismatch"))
+    d = d.withColumns({"evidence_strength": strength, "source_reliability": S.reliability(F.col("source"), F.col("human_validated")), "context_score": score, "context_rank_score": F.round(score, 3)})
     quality = T.extraction_quality(F.col("content"), F.lit(0))
     notes = S.cautions(F.col("source"), F.col("match_types"), n, F.col("labels"), other, F.col("behavior_mismatch"), quality["quality"], quality["warnings"], F.col("evidence_strength"))
-    return d.withColumn("retrieval_cautions", notes).drop("__now", "__a")
+    return d.withColumn("retrieval_cautions", notes).drop("__now", "__a", "__terms")
 
 
 def _role(kind: str):
@@ -157,12 +188,25 @@ def context(corpora: list[DataFrame], alerts: DataFrame, vectors: Callable[[Data
     terms = exact_terms(alerts, order=order).agg(F.collect_list(F.struct("type", "term")).alias("terms"))  # of at most 12 alerts
     queries = queries.join(F.broadcast(terms))
     found = S.merge_queries(S.hybrid_search(corpora, queries, 2 * limit))
-    found = found.withColumns({"severity": F.lit(0), "human_validated": F.lit(False)})
-    ranked = annotate(found, current_artifacts(alerts, order=order), tags or [])
-    order_by = [F.desc("context_rank_score"), F.desc("score"), F.asc("source"), F.asc("id")]
+    ranked = annotate(stored(found, corpora), current_artifacts(alerts, order=order), tags or [], alert_terms(alerts, order=order))
+    order_by = [F.desc("context_score"), F.desc("lexical_hits"), F.desc("score"), F.asc("source"), F.asc("id")]
     return S.quality_cap(ranked.orderBy(*order_by).limit(limit), limit, order_by)
 
 
+def stored(found: DataFrame, corpora: list[DataFrame]) -> DataFrame:
+    """Retrieved rows, a top-k of each query, with what their corpus stores of them: severity, human_validated and metadata."""
+    key, kept = ("source", "id", "content_hash"), {"severity": "int", "human_validated": "boolean", "metadata": "string"}
+    rows = None
+    for corpus in corpora:
+        have = [F.col(c).cast(t).alias(c) if c in corpus.columns else F.lit(None).cast(t).alias(c) for c, t in kept.items()]
+        part = corpus.select("source", "id", F.sha2("content", 256).alias("content_hash"), *have)
+        rows = part if rows is None else rows.unionByName(part)
+    # the corpora are filtered by the few retrieved rows before anything is grouped
+    rows = rows.join(F.broadcast(found.select(*key).distinct()), list(key), "left_semi")
+    best = rows.groupBy(*key).agg(F.max("severity").alias("severity"), F.bool_or("human_validated").alias("human_validated"), F.max("metadata").alias("metadata"))
+    return found.join(best, list(key), "left").withColumns({"severity": F.coalesce("severity", F.lit(0)), "human_validated": F.coalesce("human_validated", F.lit(False))})
+
+
 def report_mode(alerts: DataFrame, automatic: bool, threshold: int = 8) -> str:
     """"urgent" for an automatic report with a level at the threshold, else "standard"."""
     top = alerts.agg(F.max("rule_level")).first()[0] or 0
@@ -178,9 +222,9 @@ def write_report(alerts: DataFrame, docs: DataFrame, generate: Callable[[str], s
     lines = [r[0] for r in A.representatives(alerts).select(compact(alerts)).collect()]
     blocks = [r.block for r in audit.context_blocks(docs, [F.desc("context_rank_score"), F.asc("id")]).orderBy("n").limit(20).collect()]
     prompt = "\n".join([str(totals), *lines, *blocks])
-    room = most_tokens * 3
+    fitted = alerts.sparkSession.range(1).select(reports.fit_prompt(F.lit(prompt), most_tokens)).first()[0]
     try:
-        return generate(prompt if len(prompt) <= room else prompt[: int(room * 0.72)] + "\n[...]\n" + prompt[-int(room * 0.25) :])
+        return generate(fitted)
     except Exception as e:  # a report that says so is wanted, not a crash
         return f"# Report generation failed\n\n{type(e).__name__}: {e}\n"
 

@@ -245,9 +245,10 @@ def merge_queries(found: DataFrame) -> DataFrame:
 
 
 # --- re-ranking and evidence -------------------------------------------------------------------------------------
-def context_rank(match_types: Column, lexical_hits: Column, similarity: Column, evidence: Column, severity: Column, source: Column, overlap: Column, disjoint: Column) -> Column:
+def context_score(match_types: Column, lexical_hits: Column, similarity: Column, evidence: Column, severity: Column, source: Column, overlap: Column, disjoint: Column) -> Column:
+    """What a retrieved row is ranked by."""
     is_exact = F.array_contains(match_types, "exact")
-    return F.round(
+    return (
         F.when(is_exact, 2.0).otherwise(0.0)
         + 0.18 * F.least(lexical_hits, F.lit(10))
         + 1.2 * F.least(F.greatest(F.coalesce(similarity, F.lit(0.0)), F.lit(0.0)), F.lit(1.5))
@@ -255,11 +256,15 @@ def context_rank(match_types: Column, lexical_hits: Column, similarity: Column,
         + F.when(severity >= 12, 0.5).when(severity >= 8, 0.25).otherwise(0.0)
         + F.when(source == "custom_document", 0.25).otherwise(0.1)
         + 0.35 * F.least(overlap, F.lit(3))
-        - F.when(disjoint & ~is_exact, 0.45).otherwise(0.0),
-        3,
+        - F.when(disjoint & ~is_exact, 0.45).otherwise(0.0)
     )
 
 
+def context_rank(*parts: Column) -> Column:
+    """context_score() as it is shown."""
+    return F.round(context_score(*parts), 3)
+
+
 def overlap(current: Column, document: Column, cap: int = 8) -> Column:
     """Document values that the current alerts hold too, refanged and case-folded."""
     fold = lambda v: F.lower(T.refang(v))

@@ -496,7 +496,7 @@ def report_round_trip(spark, sf_dir):
     return parsed.select("report_id", "threat_level", F.size("key_findings").alias("findings"), F.size(R.errors_of()).alias("errors"), F.length(R.serialise()).alias("length"))
 
 
-@query("SELECT doc_id, CAST(floor(length(text) / 3) AS INT) AS tokens FROM documents")
+@query("SELECT doc_id, CAST(greatest(1, floor(length(coalesce(text, '')) / 3)) AS INT) AS tokens FROM documents")
 def token_estimates(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", R.token_estimate(F.col("text")).alias("tokens"))
 

@@ -345,3 +345,39 @@ def planted_annotation(spark, sf_dir):
     out = G.annotate(d, current, ["web_or_exploit_attempt"])
     noted = F.array_contains("retrieval_cautions", "current overlap is marked benign, victim, or analysis-environment, not attacker infrastructure")
     return out.select("doc_id", "evidence_strength", "overlap", "historical_only", "behavior_mismatch", "source_reliability", noted.alias("not_attacker"))
+
+
+# --- levels, quality and prompts of whole texts; ranking by what the stores hold --------------------------------------
+@query("SELECT CAST(doc_id AS VARCHAR) AS report_id, CASE doc_id % 6 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'LOW' WHEN 2 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 4 THEN 'MEDIUM' ELSE 'LOW' END AS threat_level FROM documents")
+def planted_levels(spark, sf_dir):
+    """Two stated levels in different forms after each whole text: the highest of the forms' first ones."""
+    i = F.col("doc_id")
+    stated = F.element_at(F.array(*[F.lit(x) for x in ("Response Priority: LOW\nThreat Level: CRITICAL", "Threat Level: LOW\nThreat Level: HIGH", "**Threat Level:** MEDIUM\nResponse Priority: IMMEDIATE", "Threat level: HIGH\n**Threat Level:** LOW", "no level", "Response Priority: LOW")]), (i % 6 + 1).cast("int"))
+    text = F.concat(F.lit("line\n" * 12), F.coalesce("text", F.lit("")), F.lit("\n"), stated)
+    return R.parse_reports(documents(spark, sf_dir).select(i.cast("string").alias("report_id"), text.alias("markdown"))).select("report_id", "threat_level")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'high' ELSE 'empty' END AS quality FROM documents")
+def blank_quality(spark, sf_dir):
+    blank = F.element_at(F.array(F.lit(None).cast("string"), F.lit(" \n\t"), F.lit("\r\n\r\n"), F.lit("word")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", T.extraction_quality(blank, F.lit(0))["quality"].alias("quality"))
+
+
+@query("""WITH p AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (SELECT chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) AS blank)
+  SELECT doc_id, sha256(CASE WHEN greatest(1, length(t) // 3) <= 1535 THEN t ELSE rtrim(t[1:3315], blank) || chr(10) || chr(10) || '[Prompt shortened: about ' || greatest(0, length(t) - 4115)
+  || ' characters are left out.]' || chr(10) || chr(10) || ltrim(right(t, 800), blank) END) AS prompt_sha256 FROM p, b""")
+def fitted_prompts(spark, sf_dir):
+    """Every whole text as a prompt for a context of 2,048 tokens."""
+    return documents(spark, sf_dir).select("doc_id", F.sha2(R.fit_prompt(F.coalesce("text", F.lit("")), 2048), 256).alias("prompt_sha256"))
+
+
+@query("""SELECT doc_id AS id, round(1.0 + CASE doc_id // 100 % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.25 ELSE 0.5 END, 3)::DOUBLE AS rank_score, CASE WHEN doc_id // 100 % 2 = 0 THEN 'analyst_approved_historical_report'
+  ELSE 'local_security_telemetry' END AS source_reliability FROM (SELECT doc_id FROM documents WHERE doc_id % 100 = 1 ORDER BY doc_id LIMIT 10) ORDER BY CASE doc_id // 100 % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END DESC, doc_id LIMIT 5""")
+def ranked_context(spark, sf_dir):
+    """Rows alike in text, of which stored severity and validation decide rank and reliability."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    age = F.floor(i / 100)
+    d = documents(spark, sf_dir).select(F.lit("archive").alias("source"), i.alias("id"), F.when(i % 100 == 1, "alpha beta").otherwise("rest").alias("content"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("array<float>").alias("vector"), F.when(age % 3 == 0, 0).when(age % 3 == 1, 8).otherwise(12).alias("severity"), (age % 2 == 0).alias("human_validated"))
+    a = alerts(spark, sf_dir).withColumns({"rule_description": F.lit("alpha beta"), "rule_id": F.lit(7), "src_ip": none, "dest_ip": none, "proto": none})
+    out = G.context([d], a, lambda q: q.withColumn("vector", F.lit(None).cast("array<float>")), 5)
+    return out.select("id", F.col("context_rank_score").alias("rank_score"), "source_reliability")

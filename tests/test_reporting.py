@@ -81,7 +81,12 @@ def test_small_helpers(one, spark, tmp_path):
     assert one(readers.strip_markdown(F.lit("## Head\n**bold** [link](http://x) `code`"))) == ("Head\nbold link code",)
     assert one(readers.safe_name(F.lit("../a b/" + "x" * 100 + ".md")))[0] == "x" * 80 + ".md"
     assert one(readers.looks_tabular(F.lit("Indicator table\na   b   c\nd   e   f")), readers.looks_tabular(F.lit("plain prose"))) == (True, False)
-    assert one(reports.fit_prompt(F.lit("a" * 100), 100), F.length(reports.fit_prompt(F.lit("a" * 1000), 100))) == ("a" * 100, 300)
+    # a context of 2,048 tokens leaves 1,535 or 4,605 characters: 3,315 of the head, 800 of the tail
+    long = "h" * 4000 + " t" * 1000
+    (cut, whole) = one(reports.fit_prompt(F.lit(long), 2048), reports.fit_prompt(F.lit("a" * 4605), 2048))
+    assert whole == "a" * 4605 and cut.startswith("h" * 3315 + "\n\n[") and " 1885 characters" in cut and cut.endswith("]\n\n" + (" t" * 400)[1:])
+    assert one(F.length(reports.fit_prompt(F.lit("b" * 5000), 2048, "s" * 3000)))[0] < 3000 and reports.prompt_room(100) == 3 * 768
+    assert one(reports.token_estimate(F.lit("")), reports.token_estimate(F.lit(None)), reports.token_estimate(F.lit("abcdefg"))) == (1, 1, 2)
     assert one(net.is_public(F.lit("1.1.1.1"))) == (True,)
     p = tmp_path / "c.json"
     p.write_text('[{"id": "T1", "name": "Name One", "tactic": "x", "deprecated": true}, {"id": "T2", "name": "Two", "tactic": "y"}]')
