@@ -1,10 +1,13 @@
-"""Secret scan with structural confirmation.
+r"""Secret scan with structural confirmation.
 
 Lexical kinds (kept as found): assignments, access-key ids and long hex runs. Confirmed kinds are added only when
 the decoded bytes are a private key or a signed token: DER whose nested lengths fill the value exactly and whose fields
 are those of a private key (PKCS#1, PKCS#8 plain or encrypted, SEC1, DSA), OpenSSH private blobs read field by field,
 PEM blocks of these (or of the older encrypted form, by its cipher and block length), and tokens whose header is JSON that
-names an algorithm. Certificates and public keys are no secrets: DER ones are not reported, and a length-prefixed
+names an algorithm. A key may be wrapped: base64 on one line or on lines of one length (line breaks also as the two characters \n), hex in either
+case with separators between bytes, PEM with escaped line breaks, and any of these inside another, DEPTH times. Each wrapping is
+decoded and the same parsers run on what comes out; the span is that of the outermost form in the text. Encrypted tokens (five parts)
+and tokens whose payload is not JSON are not confirmed. Certificates and public keys are no secrets: DER ones are not reported, and a length-prefixed
 public SSH key is reported as not confirmed, which redaction and the query's spans leave out.
 
 Spans are code points, end exclusive, sorted by start and then by the order of KINDS. Null or empty texts have no
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BASE_KINDS = ("assign", "access", "hex")
-ADDED_KINDS = ("pem", "der", "ssh", "jwt", "hexkey")
+ADDED_KINDS = ("pem", "der", "ssh", "jwt", "hexkey", "nested")
 KINDS = BASE_KINDS + ADDED_KINDS
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -37,6 +40,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The same matches as [0-9a-f]+ with at least 32 characters.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: How a line of wrapped base64 or hex goes on; hex of 32 bytes or more in either case, and with one separator between all bytes.
+_BREAK = r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*"
+_NEXT_64 = re.compile(_BREAK + r"([A-Za-z0-9+/_-]+={0,2})")
+_NEXT_HEX = re.compile(_BREAK + r"([0-9A-Fa-f]+)")
+_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}")
+_PAIRS = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{2}}([:\x20-])[0-9A-Fa-f]{{2}}(?:(?:\1(?:{_BREAK})?|{_BREAK})[0-9A-Fa-f]{{2}}(?![0-9A-Fa-f])){{30,}}+")
+#: How many wrappings around a key are taken off.
+DEPTH = 4
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM_HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 
@@ -188,35 +199,102 @@ def signed_header(token: str) -> bool:
     return True
 
 
+def _held(raw: bytes | None, depth: int) -> str | None:
+    """The kind of private key that bytes are, or hold in text: "nested"."""
+    if not raw:
+        return None
+    if der_key(raw):
+        return "der"
+    if ssh_private(raw):
+        return "ssh"
+    # text is ASCII here: every wrapping is
+    return "nested" if depth and len(raw) >= 40 and raw.isascii() and any(yes for *_, yes in wrapped_keys(raw.decode("ascii"), depth - 1)) else None
+
+
+def _lines(text: str, start: int, end: int, following: re.Pattern) -> list[int]:
+    """Ends of the lines that go on from the run [start, end): lines of its length, and a shorter last one."""
+    ends, length = [end], end - start
+    while text[ends[-1] - 1] != "=" and (m := following.match(text, ends[-1])) and m.end(1) - m.start(1) <= length:
+        ends.append(m.end())
+        if m.end(1) - m.start(1) < length:
+            break
+    return ends
+
+
+def _spans(text: str, first: re.Pattern, following: re.Pattern) -> Iterator[tuple[int, list[int]]]:
+    """(start, ends to try) of the runs of a form and their lines, disjoint: one line alone, all lines, all but a shorter last
+    one, which may be a word that follows."""
+    done = 0
+    for m in first.finditer(text):
+        if m.start() >= done:
+            ends = _lines(text, *m.span(), following)
+            done = ends[-1]
+            yield m.start(), list(dict.fromkeys((ends[0], ends[-1], ends[-2] if len(ends) > 1 else ends[-1])))
+
+
+def _unbroken(run: str) -> str:
+    return re.sub(r"\\r|\\n|\s", "", run)
+
+
+def _whole_der(b: bytes) -> bytes:
+    """Bytes up to where the DER value that they begin with says it ends."""
+    if len(b) < 4 or b[0] != SEQUENCE or b[1] & 0x7F > 4 and b[1] & 0x80:
+        return b
+    at = der_start(b)
+    return b[: at + (int.from_bytes(b[2:at], "big") if b[1] & 0x80 else b[1])]
+
+
+def wrapped_keys(text: str, depth: int = DEPTH) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, confirmed) of keys and tokens in a text, plain or wrapped; public SSH keys are not confirmed.
+
+    Each form's candidates are disjoint and a decoding is shorter than what it decodes, so the time is linear in the text.
+    """
+    out = []
+    heads = list(_PEM_HEAD.finditer(text))
+    for k, m in enumerate(heads):
+        tail = f"-----END {m.group(1)}-----"
+        end = text.find(tail, m.end(), heads[k + 1].start() if k + 1 < len(heads) else len(text))
+        if end >= 0 and pem_key(m.group(1), text[m.end() : end].replace("\\r", "").replace("\\n", "\n")):
+            out.append(("pem", m.start(), end + len(tail), True))
+    out += [("jwt", *m.span(), True) for m in _TOKEN.finditer(text) if signed_header(m.group())]
+    for start, ends in _spans(text, _ANY_HEX, _NEXT_HEX):
+        for end in ends:
+            digits = _unbroken(text[start:end])
+            kind = _held(bytes.fromhex(digits), depth) if len(digits) % 2 == 0 else None
+            if kind:
+                out.append(("nested" if kind == "nested" else "hexkey", start, end, True))
+                break
+    for m in _PAIRS.finditer(text):
+        raw = bytes.fromhex(re.sub(r"\\r|\\n|[^0-9A-Fa-f]", "", m.group()))
+        key = _whole_der(raw)  # a word of two hex letters may follow
+        kind = _held(key, depth)
+        if kind:
+            pairs = re.compile(r"[0-9A-Fa-f]{2}(?![0-9A-Fa-f])").finditer(text, m.start(), m.end())
+            end = next(x.end() for i, x in enumerate(pairs, 1) if i == len(key))
+            out.append(("nested" if kind == "nested" else "hexkey", m.start(), end, True))
+    for start, ends in _spans(text, _BASE64, _NEXT_64):
+        for end in ends:
+            raw = decode64(_unbroken(text[start:end]))
+            kind = _held(raw, depth)
+            if kind:
+                out.append((kind, start, end, True))
+                break
+            if raw and end == ends[0] and ssh_public(raw):
+                out.append(("ssh", start, end, False))
+                break
+    return out
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int, bool]]:
     """All spans (kind, start, end, confirmed) of a text."""
     if not text:
         return []
     out = [("assign", *m.span(), False) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     out += [("access", *m.span(), False) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    for m in _HEX.finditer(text):
-        h = m.group()
-        raw = bytes.fromhex(h) if len(h) % 2 == 0 else b""
-        key = der_key(raw) or ssh_private(raw)
-        out.append(("hex", *m.span(), key))
-        if key:
-            out.append(("hexkey", *m.span(), True))
-    heads = list(_PEM_HEAD.finditer(text))
-    for k, m in enumerate(heads):
-        tail = f"-----END {m.group(1)}-----"
-        end = text.find(tail, m.end(), heads[k + 1].start() if k + 1 < len(heads) else len(text))
-        if end >= 0 and pem_key(m.group(1), text[m.end() : end]):
-            out.append(("pem", m.start(), end + len(tail), True))
-    for m in _TOKEN.finditer(text):
-        if signed_header(m.group()):
-            out.append(("jwt", *m.span(), True))
-    for m in _BASE64.finditer(text):
-        raw = decode64(m.group())
-        if raw:
-            if der_key(raw):
-                out.append(("der", *m.span(), True))
-            elif ssh_private(raw) or ssh_public(raw):
-                out.append(("ssh", *m.span(), ssh_private(raw)))
+    keys = wrapped_keys(text)
+    sure = {(a, b) for kind, a, b, yes in keys if yes and kind in ("hexkey", "nested")}
+    out += [("hex", *m.span(), m.span() in sure) for m in _HEX.finditer(text)]
+    out += keys
     return sorted(out, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 
