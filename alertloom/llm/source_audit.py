@@ -89,11 +89,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang, source, text in zip(langs, sources, batch.column(2).cast(pa.large_binary()), strict=True):
-            found = Counter(TERM.findall(text.as_py().lower()))
+            terms = TERM.findall(text.as_py().lower())
             words, docs = counts[lang, source]
             held -= len(words)
-            words.update(found)
-            docs.update(found.keys())
+            words.update(terms)
+            docs.update(set(terms))
             held += len(words)
             if held >= COUNT_ENTRIES:
                 yield rows(counts)
