@@ -77,7 +77,7 @@ def _personal(r: random.Random) -> tuple[str, str, float]:
     if kind < 0.88:
         return "account", r.choice(("DE", "FR", "ES", "GB", "NL", "AT")) + d(2) + r.choice(["", " "]) + d(4, 4, 4, 4, sep=r.choice(["", " "])), 0.5
     gap, (at, dot) = r.choice(("", " ")), r.choice((("[at]", "[dot]"), ("(at)", "(dot)")))
-    return "spelled", gap.join((f"name{d(1)}", at, "host", dot, "org")), 0.4
+    return "spelled", gap.join((f"{'n' * r.randint(2, 9)}{r.choice(['', d(1)])}", at, "host", dot, "org")), 0.4
 
 
 def _other(r: random.Random) -> tuple[str, str, float, str]:
