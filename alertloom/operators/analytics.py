@@ -99,6 +99,32 @@ def trend(snaps: DataFrame, hours: int) -> DataFrame:
     return snaps.select("period", F.count("*").over(w).alias("snapshots"), F.avg("n").over(w).alias("avg_n"), F.sum("high").over(w).alias("high"), F.sum("critical").over(w).alias("critical"), F.max("n").over(w).alias("max_n"), F.last("n").over(w).alias("latest"))
 
 
+#: Registers of the distinct-count sketches (2 to this power) and the bound that follows: four standard errors of 1.04 / sqrt(2**LOG_K).
+LOG_K = 14
+DISTINCT_ERROR = 4 * 1.04 / 2 ** (LOG_K / 2)
+
+
+def distinct_sketches(alerts: DataFrame, value: Column, every: str = "hour") -> DataFrame:
+    """(period, n, sketch): a mergeable sketch of the distinct values of each period, some kilobytes whatever their number.
+
+    Also of a stream, with F.window for the period: sketches add up, so late periods may be written as further rows.
+    """
+    return alerts.groupBy(F.date_trunc(every, F.col("ts").cast("timestamp")).alias("period")).agg(F.count("*").alias("n"), F.hll_sketch_agg(value, F.lit(LOG_K)).alias("sketch"))
+
+
+def sliding_distinct(sketches: DataFrame, hours: int = 24) -> DataFrame:
+    """(period, periods, n, distinct) over each hour that has a row and the hours - 1 before it, from hourly sketches and no alerts.
+
+    A row goes to the `hours` windows it belongs to, so a window merges that many rows; windows without an own row are left out. The
+    estimate is within DISTINCT_ERROR of the exact number; small numbers are exact.
+    """
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("ahead")
+    spread = sketches.select("period", "n", "sketch", ahead)
+    spread = spread.withColumn("window", F.timestamp_seconds(F.unix_timestamp("period") + F.col("ahead") * 3600))
+    by = spread.groupBy("window").agg(F.count_if(F.col("ahead") == 0).alias("own"), F.count("*").alias("periods"), F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+    return by.filter("own > 0").select(F.col("window").alias("period"), "periods", "n", "distinct")
+
+
 def running(runs: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Running minimum, maximum and mean per key."""
     w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)

@@ -6,6 +6,8 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from alertloom.operators import analytics as N
+from alertloom.plans.alert_view import alerts
 from alertloom.plans.registry import query, shared_folder
 from alertloom.sources.growing import GrowingLines
 from alertloom.streaming import correlation
@@ -55,3 +57,20 @@ def tailed_events(spark, sf_dir):
         out = M.run_to_table(lines, f"{name}_{i}", shared_folder(spark, name))
     rows = out.select(F.from_json("value", events.schema).alias("e")).select("e.*")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.count_distinct("event_id").alias("ids"))
+
+
+# --- distinct alerts of sliding windows --------------------------------------------------------------------------
+HASH_SQL = "concat_ws('|', rule_id, coalesce(src_ip, ''), coalesce(dest_ip, ''))"
+
+
+@query(f"""SELECT h.period, count(DISTINCT date_trunc('hour', a.ts)) AS periods, count(*) AS n, count(DISTINCT {HASH_SQL}) AS exact, true AS within
+  FROM (SELECT DISTINCT date_trunc('hour', ts) AS period FROM alerts) h JOIN alerts a ON a.ts >= h.period - INTERVAL 23 HOURS AND a.ts < h.period + INTERVAL 1 HOUR GROUP BY h.period""", True)
+def distinct_24h(spark, sf_dir):
+    """Distinct alerts of 24 hours from 24 hourly sketches, beside the exact number; `within`: the estimate keeps its error bound."""
+    a = alerts(spark, sf_dir).withColumn("k", F.concat_ws("|", "rule_id", F.coalesce("src_ip", F.lit("")), F.coalesce("dest_ip", F.lit(""))))
+    slid = N.sliding_distinct(N.distinct_sketches(a, F.col("k")), 24)
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    every = a.select("k", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"), hour.alias("h")).select("k", F.timestamp_seconds(F.unix_timestamp("h") + F.col("i") * 3600).alias("period"))
+    exact = every.groupBy("period").agg(F.count_distinct("k").alias("exact"))
+    within = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * N.DISTINCT_ERROR)
+    return slid.join(exact, "period").select(F.col("period").cast("timestamp_ntz").alias("period"), "periods", "n", "exact", within.alias("within"))

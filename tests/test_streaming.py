@@ -53,3 +53,22 @@ def test_stream_correlation_equals_batch(spark, tmp_path):
     live = M.correlated(M.event_time(M.read_stream(spark, path, df.schema)), (100010, 100011), 3, 300)
     out = M.run_to_table(live, "correlated_test", str(tmp_path / "ck"), "complete")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want))
+
+
+def test_sketches_merge_within_their_bound(spark):
+    from alertloom.operators import analytics as N
+
+    r = random.Random(4)
+    rows = [(1704067200.0 + r.randrange(48) * 3600 + r.randrange(3600), f"k{r.randrange(40_000)}") for _ in range(120_000)]
+    df = spark.createDataFrame(rows, "ts double, k string").withColumn("ts", F.col("ts").cast("timestamp"))
+    hourly = N.distinct_sketches(df, F.col("k"))
+    assert hourly.count() == 48 and max(len(x.sketch) for x in hourly.collect()) < 40_000
+    for x in N.sliding_distinct(hourly, 24).collect():
+        end = x.period.timestamp() + 3600
+        inside = [k for t, k in rows if end - 86400 <= t < end]
+        assert x.n == len(inside) and abs(x.distinct - len(set(inside))) <= N.DISTINCT_ERROR * len(set(inside))
+    # sketches of parts of an hour add up
+    halves = N.distinct_sketches(df.filter("k < 'k2'"), F.col("k")).unionByName(N.distinct_sketches(df.filter("k >= 'k2'"), F.col("k")))
+    whole, parts = ({x.period: x.distinct for x in N.sliding_distinct(y, 1).collect()} for y in (hourly, halves))
+    assert all(abs(whole[p] - parts[p]) <= N.DISTINCT_ERROR * whole[p] for p in whole) and len(whole) == 48
+    assert N.sliding_distinct(hourly.limit(0)).count() == 0
