@@ -18,7 +18,7 @@ def real(spark):
 
 @pytest.fixture(scope="module")
 def fitted(real):
-    return pii.model(pii.context_words(real, "text"))
+    return pii.model(pii.context_words(real, "doc_id", "text"))
 
 
 def sides(r, words):
