@@ -8,9 +8,11 @@ from functools import reduce
 from ipaddress import IPv4Network, IPv6Network, ip_network
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.functions.prefixes import Prefixes
+
 #: IPv4 blocks that are not globally reachable, with the exceptions inside 192.0.0.0/24.
 NON_PUBLIC = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
 PUBLIC_INSIDE = ("192.0.0.9/32", "192.0.0.10/32")
@@ -126,6 +128,18 @@ def ip_context(ip: Column, assets: Assets, number: Column | None = None) -> Colu
     )
 
 
+def blocks_of(assets: Assets) -> list[tuple[str, str, int]]:
+    """(block, context, precedence) of an inventory, blocks that don't parse left out."""
+    kinds = ((assets.infrastructure, "infrastructure"), (assets.owned, "owned"), (assets.internal, "internal"))
+    return [(b, kind, rank) for rank, (blocks, kind) in enumerate(kinds) for b in blocks if _network(b)]
+
+
+def large_context(spark: SparkSession, ip: Column, assets: Assets) -> Column:
+    """As ip_context(), for inventories of many blocks: a bisection instead of a CASE as long as the inventory."""
+    label = Prefixes.of(blocks_of(assets)).label(spark, ip, "external")
+    return F.when(F.coalesce(ip, F.lit("")) == "", "unknown").otherwise(label)
+
+
 def _local(context: Column) -> Column:
     return context.isin("internal", "owned")
 

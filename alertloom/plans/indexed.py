@@ -8,11 +8,13 @@ from uuid import uuid4
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alertloom.functions import net
 from alertloom.operators import search as S
 from alertloom.operators import versioned
 from alertloom.operators.text_index import TextIndex, sequence
 from alertloom.operators.vector_index import VectorIndex
 from alertloom.operators.versioned import VersionedTable
+from alertloom.plans.alert_view import alerts
 from alertloom.plans.registry import documents, query, shared_folder
 
 
@@ -132,3 +134,20 @@ def versioned_store(spark, sf_dir):
         by = table.read(n).groupBy("event_date").agg(F.count("*").alias("n"), F.count("filled").alias("filled"), F.round(F.coalesce(F.sum("filled"), F.lit(0.0)), 2).alias("total")).withColumn("version", F.lit(n))
         out = by if out is None else out.unionByName(by)
     return out
+
+
+# --- large inventories -------------------------------------------------------------------------------------------
+KINDS = ("internal", "owned", "infrastructure")
+
+
+@query("""SELECT context, count(*) AS n, min(event_id) AS first_event FROM (SELECT event_id, CASE WHEN src_ip IS NULL THEN 'unknown' ELSE ['internal', 'owned', 'infrastructure'][(CAST(split_part(src_ip, '.', 3) AS INT) * 16
+  + CAST(split_part(src_ip, '.', 4) AS INT) // 16) % 3 + 1] END AS context FROM alerts) GROUP BY context""", True)
+def large_inventory(spark, sf_dir):
+    """Source addresses in an inventory of 16,384 blocks of 16 addresses."""
+    blocks = {k: [] for k in KINDS}
+    for start in ("10.0", "192.0", "198.51", "203.0"):
+        for i in range(4096):
+            blocks[KINDS[i % 3]].append(f"{start}.{i // 16}.{i % 16 * 16}/28")
+    assets = net.Assets(tuple(blocks["infrastructure"]), tuple(blocks["owned"]), tuple(blocks["internal"]))
+    rows = alerts(spark, sf_dir)
+    return rows.withColumn("context", net.large_context(spark, F.col("src_ip"), assets)).groupBy("context").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
