@@ -184,13 +184,37 @@ def context(corpora: list[DataFrame], alerts: DataFrame, vectors: Callable[[Data
 
     vectors: adds a `vector` column to (query_id, query).
     """
+    return S.quality_cap(retrieved(corpora, alerts, vectors, limit, tags, order), limit, context_order())
+
+
+def context_order() -> list[Column]:
+    """Best first: the rank before rounding, then hits, similarity and a fixed order."""
+    return [F.desc("context_score"), F.desc("lexical_hits"), F.desc("score"), F.asc("source"), F.asc("id")]
+
+
+def retrieved(corpora: list[DataFrame], alerts: DataFrame, vectors: Callable[[DataFrame], DataFrame], limit: int, tags: list[str] | None = None, order: str = "event_id") -> DataFrame:
+    """The best `limit` rows for the alerts, annotated, before weak evidence is capped."""
     queries = vectors(focused_queries(alerts, order=order))
     terms = exact_terms(alerts, order=order).agg(F.collect_list(F.struct("type", "term")).alias("terms"))  # of at most 12 alerts
     queries = queries.join(F.broadcast(terms))
     found = S.merge_queries(S.hybrid_search(corpora, queries, 2 * limit))
     ranked = annotate(stored(found, corpora), current_artifacts(alerts, order=order), tags or [], alert_terms(alerts, order=order))
-    order_by = [F.desc("context_score"), F.desc("lexical_hits"), F.desc("score"), F.asc("source"), F.asc("id")]
-    return S.quality_cap(ranked.orderBy(*order_by).limit(limit), limit, order_by)
+    return ranked.orderBy(*context_order()).limit(limit)
+
+
+def urgent_context(documents: DataFrame, archive: DataFrame, alerts: DataFrame, vectors: Callable[[DataFrame], DataFrame], threshold: int = 8, limit: int = 4, tags: list[str] | None = None, order: str = "event_id") -> DataFrame:
+    """Retrieval of an urgent report: `limit` rows of each corpus for the alerts at the threshold, the archive's own severity at
+    the threshold too, ranked together and cut to `limit`, weak evidence capped. Without any row, documents by keyword."""
+    severe = alerts.filter(F.col("rule_level") >= threshold)
+    sides = (documents, S.metadata_filter(archive, min_severity=threshold))
+    both = [retrieved([c], severe, vectors, limit, tags, order) for c in sides]
+    ranked = S.quality_cap(both[0].unionByName(both[1]).orderBy(*context_order()).limit(limit), limit, context_order())
+    rows = ranked.collect()  # `limit` rows of one report; the plan is long, so it runs once
+    if rows:
+        return ranked.sparkSession.createDataFrame(rows, ranked.schema)
+    words = [t for r in alert_terms(severe, order=order).collect() for t in r.terms or ()]  # one row
+    spare = S.keyword_fallback(documents, " ".join(words) or DEFAULT_QUERY, limit)
+    return ranked.unionByName(spare.select(*[c for c in ranked.columns if c in spare.columns]), allowMissingColumns=True)
 
 
 def stored(found: DataFrame, corpora: list[DataFrame]) -> DataFrame:

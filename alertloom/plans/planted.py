@@ -381,3 +381,21 @@ def ranked_context(spark, sf_dir):
     a = alerts(spark, sf_dir).withColumns({"rule_description": F.lit("alpha beta"), "rule_id": F.lit(7), "src_ip": none, "dest_ip": none, "proto": none})
     out = G.context([d], a, lambda q: q.withColumn("vector", F.lit(None).cast("array<float>")), 5)
     return out.select("id", F.col("context_rank_score").alias("rank_score"), "source_reliability")
+
+
+@query("""WITH a AS (SELECT doc_id AS id, 'archive' AS source, CASE doc_id // 100 % 3 WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 12 END AS severity FROM documents WHERE doc_id % 200 = 1),
+  f AS (SELECT id, source, 1.0 + CASE severity WHEN 8 THEN 0.25 ELSE 0.5 END AS score FROM (SELECT * FROM a WHERE severity >= 8 ORDER BY id LIMIT 8)),
+  d AS (SELECT doc_id AS id, 'custom_document' AS source, 1.09 AS score FROM documents WHERE doc_id % 100 = 2 ORDER BY doc_id LIMIT 8)
+  SELECT id, source, score::DOUBLE AS rank_score FROM (SELECT * FROM f UNION ALL SELECT * FROM d) ORDER BY score DESC, id LIMIT 4""")
+def urgent_ranked(spark, sf_dir):
+    """Two corpora alike in text, retrieved apart and ranked together: the archive's severe rows, then documents."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    age = F.floor(i / 100)
+
+    def corpus(source: str, chosen: Column, severity: Column):
+        return documents(spark, sf_dir).select(F.lit(source).alias("source"), i.alias("id"), F.when(chosen, "alpha beta").otherwise("rest").alias("content"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("array<float>").alias("vector"), severity.alias("severity"))
+
+    archive = corpus("archive", i % 200 == 1, F.when(age % 3 == 0, 0).when(age % 3 == 1, 8).otherwise(12))
+    a = alerts(spark, sf_dir).withColumns({"rule_description": F.lit("alpha beta"), "rule_id": F.lit(7), "src_ip": none, "dest_ip": none, "proto": none})
+    out = G.urgent_context(corpus("custom_document", i % 100 == 2, F.lit(0)), archive, a, lambda q: q.withColumn("vector", F.lit(None).cast("array<float>")))
+    return out.select("id", "source", F.col("context_rank_score").alias("rank_score"))
