@@ -8,7 +8,8 @@
    in both homes. A label stays in one shard if its shards would cost more. Oversized shards are dealt into parts by
    hash, and every two parts meet in one task.
 3. In each shard, near neighbours are pruned robustly (a neighbour is dropped if a kept one is nearer to it than
-   the vertex by factor `alpha`); edges count both ways, and the lists of a vertex are united over its shards.
+   the vertex by factor `alpha`); the lists of a vertex are united over its shards, the nearest `degree` staying, and
+   edges count both ways.
 4. Range-expanding greedy search on the united graph: from the shard's medoid a beam walks to each vertex's own
    neighbourhood, then the frontier of vertices in range expands until no neighbour in range is new.
    Every hit is verified by the double-precision cosine. A pair is decided in one task, that of the smaller home (and
@@ -19,7 +20,8 @@
    to `sample_rows` classes; the audited recall is null if none is among them. Below `recall` the search is run again with
    a wider beam and longer lists, and an error says so if that does not help.
 
-A shard task returns counts and a spanning forest, never all pairs. Null, zero and non-finite vectors, null labels
+Vectors are stored and shuffled in their own type, once for each shard they are in to build the lists and once to search; only
+lists of ids go between. A shard task returns counts and a spanning forest, never all pairs. Null, zero and non-finite vectors, null labels
 and vectors of other lengths link with nothing. Repeated vec_ids are one vertex for components, and rows of their own
 for counts. An empty table gives an empty result; other columns are never read, whatever their names.
 """
@@ -206,34 +208,34 @@ def groups_of(pairs: np.ndarray) -> np.ndarray:
     return roots
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
+def _units(pdf: pd.DataFrame) -> np.ndarray:
+    """Unit rows in double precision of columns v and norm."""
+    return np.stack([np.asarray(v, np.float64) for v in pdf.v]) / pdf.norm.to_numpy()[:, None] if len(pdf) else np.zeros((0, 1))
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int = 1500, sample_rows: int = 20_000, degree: int = 32, pool: int = 64, alpha: float = 1.2, beam: int = 16, audit_rows: int = 200, recall: float = 0.97, exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int = 3000, sample_rows: int = 20_000, degree: int = 32, pool: int = 64, alpha: float = 1.2, beam: int = 16, audit_rows: int = 200, recall: float = 0.97, exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall): one row per input row; see the module's text."""
     spark = vectors.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "embed")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = rows.withColumn("norm", F.when(fine, norm)).withColumn("fine", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
-    rows = rows.withColumn("class", F.when(F.col("fine"), F.concat_ws(":", "label", F.size("v"), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))))
-    rows = scratch.save(rows)
+    rows = rows.withColumn("class", F.when(F.col("fine"), F.unhex(F.sha2(F.concat_ws(":", "label", F.size("v"), F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string")))), 256))))
     fit = rows.filter("fine")
-    unit = F.transform(F.first("v"), lambda x: x / F.first("norm"))
-    classes = fit.groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), unit.alias("u"))
-    classes = scratch.save(classes.withColumn("label", F.concat_ws(":", "label", F.size("u"))))
+    classes = fit.groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"), F.first("norm").alias("norm"))
+    classes = scratch.save(classes.withColumn("label", F.concat_ws(":", "label", F.size("v"))))
     # labels that need centroids are those above shard_rows; their sample is bounded
     big = classes.groupBy("label").count().filter(f"count > {shard_rows}")
-    sample = classes.join(big, "label", "left_semi").orderBy(F.xxhash64("node", F.lit(5))).limit(sample_rows).select("label", "u")
+    sample = classes.join(big, "label", "left_semi").orderBy(F.xxhash64("node", F.lit(5))).limit(sample_rows).select("label", "v", "norm")
     named = F.broadcast(sample.select("label").distinct())  # at most sample_rows labels
     counted = {r["label"]: r["count"] for r in big.join(named, "label", "left_semi").collect()}
     centres = {}
     for name, part in sample.toPandas().groupby("label") if counted else ():
         if name in counted:
-            x, n = _matrix(part.u), counted[name]
+            x, n = _units(part), counted[name]
             c = kmeans(x, -(-n * 2 // shard_rows))
             shard = leaders(c, threshold)
             if work(members(x, c, shard, threshold)[1].mean(0) * n, shard_rows) < work([n], shard_rows):
@@ -277,8 +279,8 @@ def audited(truth: dict[int, int], got: dict[int, int]) -> float:
 
 def _true_links(classes: DataFrame, size: int, threshold: float) -> dict[int, int]:
     """Of the `size` classes of the smallest hash, those with links to other classes and their number, by brute force."""
-    audit = classes.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(size).select("node", "label", "u").toPandas()
-    questions = {name: (part.node.to_numpy(), _matrix(part.u)) for name, part in audit.groupby("label")}
+    audit = classes.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(size).select("node", "label", "v", "norm").toPandas()
+    questions = {name: (part.node.to_numpy(), _units(part)) for name, part in audit.groupby("label")}
 
     def brute(batches):
         total: dict[int, int] = {}
@@ -286,13 +288,13 @@ def _true_links(classes: DataFrame, size: int, threshold: float) -> dict[int, in
             for name, part in pdf.groupby("label"):
                 if name in questions:
                     ids, q = questions[name]
-                    hits = (q @ _matrix(part.u).T >= threshold) & (ids[:, None] != part.node.to_numpy())
+                    hits = (q @ _units(part).T >= threshold) & (ids[:, None] != part.node.to_numpy())
                     counts = (hits * part.copies.to_numpy()).sum(1)
                     for i in np.flatnonzero(counts).tolist():
                         total[int(ids[i])] = total.get(int(ids[i]), 0) + int(counts[i])
         yield pd.DataFrame({"node": list(total), "n": list(total.values())}, dtype="int64")
 
-    found = classes.select("node", "label", "u", "copies").mapInPandas(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    found = classes.select("node", "label", "v", "norm", "copies").mapInPandas(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     true = {r["node"]: r["n"] for r in found.collect()}  # at most `size` rows
     return {i: true[i] for i in audit.node.tolist() if i in true}
 
@@ -300,68 +302,81 @@ def _true_links(classes: DataFrame, size: int, threshold: float) -> dict[int, in
 def _search(classes: DataFrame, centres: dict, scratch: Scratch, threshold: float, shard_rows: int, degree: int, pool: int, alpha: float, beam: int, exact: bool = False) -> DataFrame:
     """(node, links, other): count rows (other null) and forest edges of every class."""
 
+    def inside(pdf: pd.DataFrame):
+        """(label, its rows, shard and home of each), a row once for each shard it is in."""
+        for name, part in pdf.groupby("label"):
+            if name not in centres:
+                yield name, part, np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+                continue
+            home, held = members(_units(part), *centres[name], threshold)
+            row, shard = np.nonzero(held)
+            yield name, part.iloc[row], shard, home[row]
+
+    def count(batches):
+        for pdf in batches:
+            total = [(name, int(k), int(n)) for name, _, shard, _ in inside(pdf) for k, n in zip(*np.unique(shard, return_counts=True), strict=True)]
+            yield pd.DataFrame(total, columns=["label", "shard", "n"])
+
+    # a shard beyond four times the aim is dealt into parts, and every two of them meet; these shards are few
+    sizes = classes.select("label", "v", "norm").mapInPandas(count, "label string, shard long, n long").groupBy("label", "shard").agg(F.sum("n").alias("n")).filter(F.col("n") > 4 * shard_rows)
+    split = {(r["label"], r["shard"]): -(-r["n"] // (2 * shard_rows)) for r in sizes.collect()}
+
     def deal(batches):
         for pdf in batches:
-            out = []
-            for name, part in pdf.groupby("label"):
-                if name not in centres:
-                    out.append(part.assign(shard=0, home=0))
-                    continue
-                home, inside = members(_matrix(part.u), *centres[name], threshold)
-                row, shard = np.nonzero(inside)
-                out.append(part.iloc[row].assign(shard=shard, home=home[row]))
-            out = pd.concat(out) if out else pdf.assign(shard=0, home=0)
-            yield out[["label", "shard", "home", "node", "copies", "u"]]
-
-    dealt = scratch.save(classes.select("label", "node", "copies", "u").mapInPandas(deal, "label string, shard long, home long, node long, copies long, u array<double>"))
-    # a shard beyond four times the aim is dealt into parts, and every two of them meet
-    sizes = dealt.groupBy("label", "shard").count().select("label", "shard", F.when(F.col("count") > 4 * shard_rows, F.ceil(F.col("count") / (2 * shard_rows))).otherwise(1).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-    dealt = dealt.join(sizes, ["label", "shard"]).withColumn("part", part)
-    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part")))
-    dealt = dealt.withColumn("other", F.explode(other)).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    keys = ["label", "shard", "low", "high"]
+            out = [pdf.iloc[:0].assign(shard=0, home=0, part=0, low=0, high=0)]
+            for name, rows, shard, home in inside(pdf):
+                rows = rows.assign(shard=shard, home=home)
+                for k, block in rows.groupby("shard"):
+                    parts = split.get((name, k), 1)
+                    own = (block.node.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+                    for other in range(parts):
+                        here = (own != other) | (parts == 1)
+                        out.append(block[here].assign(part=own[here], low=np.minimum(own[here], other), high=np.maximum(own[here], other)))
+            yield pd.concat(out)[columns]
+
+    keys, kind = ["label", "shard", "low", "high"], classes.schema["v"].dataType.simpleString()
+    columns, schema = [*keys, "home", "part", "node", "copies", "v", "norm"], f"label string, shard long, low long, high long, home long, part long, node long, copies long, v {kind}, norm double"
+    wanted = classes.select("label", "node", "copies", "v", "norm")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = robust_prune(_matrix(pdf.u), degree, pool, alpha)
-        ids = pdf.node.to_numpy()
-        return pd.DataFrame({"node": ids, "near": [ids[a].tolist() for a in lists], "back": [ids[a].tolist() for a in reversed_lists(lists)]})
-
-    none = F.expr("cast(array() as array<long>)")
-    if exact:
-        joined = dealt.withColumns({"near": none, "back": none})
-    else:
-        lists = dealt.groupBy(*keys).applyInPandas(build, "node long, near array<long>, back array<long>")
-        unite = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-        united = scratch.save(lists.groupBy("node").agg(unite("near"), unite("back")))  # bounded by the sizes of a vertex's shards
-        joined = dealt.join(united, "node")
+        x, ids = _units(pdf), pdf.node.to_numpy()
+        lists = robust_prune(x, degree, pool, alpha)
+        return pd.DataFrame({"node": ids, "far": [(1 - x[a] @ x[i]).astype(np.float32) for i, a in enumerate(lists)], "near": [ids[a] for a in lists]})
+
+    if not exact:
+        lists = wanted.mapInPandas(deal, schema).groupBy(*keys).applyInPandas(build, "node long, far array<float>, near array<long>")
+        nearest = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("far", "near"))))  # a vertex's lists, as many as its shards
+        united = lists.groupBy("node").agg(F.slice(F.array_distinct(F.transform(nearest, lambda e: e["near"])), 1, degree).alias("near"))
+        wanted, columns, schema = wanted.join(scratch.save(united), "node"), [*columns, "near"], f"{schema}, near array<long>"
+    joined = wanted.mapInPandas(deal, schema)
 
     def found(pdf: pd.DataFrame, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Pairs of rows in range, both ways; at least one of each pair is a query."""
-        x = _matrix(pdf.u)
+        x = _units(pdf)
         pairs = np.zeros((len(ids), len(ids)), bool)  # a task holds at most 4 * shard_rows rows
         if exact:
             for at in range(0, len(queries), 512):
                 pairs[queries[at : at + 512]] = x[queries[at : at + 512]] @ x.T >= threshold
         else:
             at = {v: i for i, v in enumerate(ids.tolist())}
-            local = lambda column: [np.array([at[j] for j in near if j in at], np.int64) for near in column]
-            for q, hits in zip(queries.tolist(), range_search(x, local(pdf.near), local(pdf.back), queries, threshold, beam), strict=True):
+            lists = [np.array([at[j] for j in near if j in at], np.int64) for near in pdf.near]
+            for q, hits in zip(queries.tolist(), range_search(x, lists, reversed_lists(lists), queries, threshold, beam), strict=True):
                 pairs[q, hits] = True
         pairs |= pairs.T
         np.fill_diagonal(pairs, False)
         return pairs
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, home, own = pdf.node.to_numpy(), pdf.home.to_numpy(), pdf.part.to_numpy()
+        ids, home, own, copies = (pdf[c].to_numpy() for c in ("node", "home", "part", "copies"))
         shard, low, high = pdf["shard"].iloc[0], pdf.low.iloc[0], pdf.high.iloc[0]
         pairs = found(pdf, ids, np.flatnonzero(home == shard))
         roots = groups_of(pairs)
         # a pair counts in the smaller of its homes, and one inside a part in one of the part's tasks
-        pairs &= np.minimum(home[:, None], home) == shard
         once = np.array([low == high or (p == high and low == high - 1) or (p == low == 0 and high == 1) for p in own])
-        pairs &= (own[:, None] != own) | once[:, None]
-        links = pairs @ pdf.copies.to_numpy()
+        links = np.zeros(len(ids), np.int64)
+        for at in range(0, len(ids), 512):
+            b = slice(at, at + 512)
+            links[b] = (pairs[b] & (np.minimum(home[b, None], home) == shard) & ((own[b, None] != own) | once[b, None])) @ copies
         linked, joined = np.flatnonzero(links), np.flatnonzero(roots != np.arange(len(ids)))
         other = pd.array([None] * len(linked) + ids[roots[joined]].tolist(), "Int64")
         return pd.DataFrame({"node": np.concatenate([ids[linked], ids[joined]]), "links": np.concatenate([links[linked], np.zeros(len(joined), np.int64)]), "other": other})

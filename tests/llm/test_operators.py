@@ -666,3 +666,16 @@ def test_materialise_with_clashing_names(spark):
         df = df.withColumn(c, F.lit("x"))
     out = mixing.materialise(df, mixing.mix(df))
     assert out.columns == df.columns and out.count() >= 4
+
+
+def test_embedding_search_stores_vectors_once(spark):
+    import os
+
+    n, d = 2000, 64
+    x = np.random.default_rng(5).normal(size=(n, d)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    root = spark.conf.get("spark.checkpoint.dir")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(root) for f in files if "embed-" in at)
+    before = size()
+    assert embed_dedup.embedding_duplicates(df, shard_rows=300, audit_rows=0).count() == n
+    assert size() - before < 3 * n * d * 4
