@@ -1,10 +1,13 @@
 """Positional inverted index over texts and their metadata, and ranking by cover density.
 
 A posting is (lexeme, source, id, positions, n_words), written in BUCKETS partitions by a hash of the lexeme and sorted by it, so that a
-query reads the buckets of its lexemes and skips row groups of others. A text is tokenised once, at build time. Queries
-meet postings in an equi-join on bucket and lexeme; a text matches if it holds every lexeme of a query. Its rank sums over the minimal
-covers (stretches that hold every lexeme and no smaller such stretch) WEIGHT / (1 + noise), noise being the positions in
-the stretch without a lexeme of the query.
+query reads the buckets of its lexemes and skips row groups of others. A text is tokenised once, at build time. A text matches if it
+holds every lexeme of a query. Its rank sums over the minimal covers (stretches that hold every lexeme and no smaller such stretch)
+WEIGHT / (1 + noise), noise being the positions in the stretch without a lexeme of the query.
+
+The best k are found by parts of the texts: the postings of asked lexemes are dealt once by a hash of the text, each part meets the
+distinct sets of lexemes that are asked for, and only the k best of a part and set leave a task. Pairs of queries and texts are thus
+never stored, only compared.
 
 Rows without a source or an id are not indexed. Texts and metadata may be null; metadata follows the content in one sequence of positions. Rows that share source and id are told apart by
 `row`, which the index numbers by a hash of the text; rows alike in all three are one. Queries without a lexeme find nothing. Positions of a
@@ -24,11 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from alertloom.functions import text as X
 
 #: Partitions of the postings; files a bucket is written in; the weight of a lexeme.
 BUCKETS, FILES, WEIGHT = 64, 4, 0.1
+#: Postings of a part of the texts when queries are answered.
+PART_POSTINGS = 2_000_000
 
 
 def sequence(text: Column) -> Column:
@@ -91,6 +97,70 @@ def _ranks(lists: pd.Series) -> pd.Series:
     return pd.Series([cover_density([np.asarray(p) for p in row]) for row in lists], dtype=float)
 
 
+def _covers(lists: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """cover_density() of n texts at once, from (text, position) arrays of each lexeme."""
+    of, at = (np.concatenate(x) for x in zip(*lists, strict=True))
+    lexeme = np.repeat(np.arange(len(lists)), [len(x) for x, _ in lists])
+    order = np.lexsort((at, of))
+    of, at, lexeme, line = of[order], at[order].astype(np.int64), lexeme[order], np.arange(len(of))
+    start = np.searchsorted(of, of)  # where each row's text begins
+    begin, full = line, np.ones(len(of), bool)
+    for j in range(len(lists)):
+        latest = np.maximum.accumulate(np.where(lexeme == j, line, -1))
+        begin, full = np.minimum(begin, latest), full & (latest >= start)
+    new = np.append(True, (begin[1:] != begin[:-1]) | (of[1:] != of[:-1]) | ~full[:-1]) & full
+    line, begin = line[new], begin[new]
+    return np.bincount(of[new], WEIGHT / (1 + (at[line] - at[begin]) - (line - begin)), n)
+
+
+def _best(k: int, schema: pa.Schema):
+    """The k best texts of a part for each set of lexemes."""
+
+    def run(postings: pa.Table, sets: pa.Table) -> pa.Table:
+        if not postings.num_rows or not sets.num_rows:
+            return schema.empty_table()
+        texts = postings.select(["source", "id", "row"]).to_pandas().groupby(["source", "id", "row"])
+        text, ids = texts.ngroup().to_numpy(), texts.head(1).index.to_numpy()  # numbered in the order that breaks ties
+        first = np.empty(len(ids), np.int64)
+        first[text[ids]] = ids
+        coded = postings.column("lexeme").combine_chunks().dictionary_encode()
+        lexeme = coded.indices.to_numpy(zero_copy_only=False)
+        number = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+        order = np.lexsort((text, lexeme))
+        bounds = np.searchsorted(lexeme[order], np.arange(len(number) + 1))
+        positions = postings.column("positions").combine_chunks()
+        flat, ends = positions.values.to_numpy(zero_copy_only=False), positions.offsets.to_numpy()
+        sizes = np.diff(ends)
+        chosen, of, scores = [], [], []
+        for i, asked in enumerate(sets.column("lexemes").to_pylist()):
+            codes = [number.get(w) for w in asked]
+            if None in codes:
+                continue
+            rows = sorted((order[bounds[c] : bounds[c + 1]] for c in codes), key=len)  # each by text; the rarest lexeme first
+            held = text[rows[0]]
+            for r in rows[1:]:
+                held = held[np.isin(held, text[r], assume_unique=True)]
+            if not len(held):
+                continue
+            lists = []
+            for r in rows:
+                r = r[np.searchsorted(text[r], held)]
+                n = sizes[r]
+                lists.append((np.repeat(np.arange(len(held)), n), flat[np.repeat(ends[r] - np.cumsum(n) + n, n) + np.arange(n.sum())]))
+            score = _covers(lists, len(held))
+            top = np.lexsort((held, -np.round(score, 9)))[:k]
+            chosen.append(first[held[top]])
+            of.append(np.full(len(top), i))
+            scores.append(score[top])
+        if not chosen:
+            return schema.empty_table()
+        at, of = pa.array(np.concatenate(chosen)), pa.array(np.concatenate(of))
+        found = [sets.column("lexemes").take(of), *[postings.column(c).take(at) for c in ("source", "id", "row")], pa.array(np.concatenate(scores))]
+        return pa.Table.from_arrays(found, schema.names).cast(schema)
+
+    return run
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """Postings in <path>/postings, and in <path>/lexemes how many texts hold each lexeme."""
@@ -150,8 +220,20 @@ class TextIndex:
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, source, id, row, lexical_score, rank): matching texts of queries (query_id, query), best first; k or all."""
-        scored = self.matches(queries).select("query_id", "source", "id", "row", F.pandas_udf(_ranks, T.DoubleType())("lists").alias("lexical_score"))
         if k is None:
+            scored = self.matches(queries).select("query_id", "source", "id", "row", F.pandas_udf(_ranks, T.DoubleType())("lists").alias("lexical_score"))
             return scored.withColumn("rank", F.lit(None).cast("int"))
-        order = W.partitionBy("query_id").orderBy(F.desc(F.round("lexical_score", 9)), "source", "id", "row")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        spark = queries.sparkSession
+        asked = queries.select("query_id", F.explode(X.words(F.col("query"))).alias("lexeme")).groupBy("query_id").agg(F.array_sort(F.collect_set("lexeme")).alias("lexemes"))
+        sets = asked.select("lexemes").distinct()
+        wanted = sets.select(F.explode("lexemes").alias("lexeme")).distinct().withColumn("bucket", bucket(F.col("lexeme")))
+        total = self.lexemes(spark).join(wanted, ["bucket", "lexeme"], "left_semi").agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+        parts = max(1, -(-total // PART_POSTINGS))
+        postings = self.postings(spark).join(wanted, ["bucket", "lexeme"], "left_semi")
+        dealt = postings.select(F.pmod(F.xxhash64("source", "id", "row"), F.lit(parts)).cast("int").alias("part"), "lexeme", "source", "id", "row", "positions")
+        met = sets.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "lexemes")
+        kinds = T.StructType([T.StructField("lexemes", T.ArrayType(T.StringType())), *[postings.schema[c] for c in ("source", "id", "row")], T.StructField("lexical_score", T.DoubleType())])
+        found = dealt.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_best(k, to_arrow_schema(kinds)), kinds)
+        order = W.partitionBy("lexemes").orderBy(F.desc(F.round("lexical_score", 9)), "source", "id", "row")
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return asked.join(ranked, "lexemes").select("query_id", "source", "id", "row", "lexical_score", "rank")

@@ -162,3 +162,18 @@ def test_hybrid_search_through_indexes(spark, tmp_path):
     kinds = lambda x: {(y.query_id, y.id) for y in x if "lexical" in y.match_types}
     assert {x.query_id for x in through} == {1, 2} and kinds(through) and len(through) == len(plain) == 10
     assert {round(x.lexical_score, 6) for x in through if x.lexical_score is not None} == {text_index.WEIGHT}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_covers_of_many_texts_equal_one_by_one(n):
+    r = np.random.default_rng(n)
+    texts = [np.array_split(r.permutation(60)[: 8 * n], n) for _ in range(40)]
+    lists = [(np.repeat(np.arange(40), [len(t[j]) for t in texts]), np.concatenate([t[j] for t in texts])) for j in range(n)]
+    assert text_index._covers(lists, 40).tolist() == [cover_density([np.sort(x) for x in t]) for t in texts]
+
+
+def test_best_texts_are_found_without_pairs(spark, corpus, tmp_path, monkeypatch):
+    index = TextIndex.build(corpus, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(i, "alpha beta") for i in range(50)], "query_id long, query string")
+    monkeypatch.setattr(TextIndex, "matches", lambda self, queries: pytest.fail("every query meets every posting"))
+    assert index.search(asked, 3).count() % 50 == 0
