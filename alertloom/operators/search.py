@@ -236,7 +236,8 @@ def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse:
     merged = merge(found)
     if diverse:
         return diversify(merged, k)
-    return top_per_query(merged, k, F.desc("score"), F.asc("source"), F.asc("id"))
+    # sums of the same terms in another order differ in their last digits
+    return top_per_query(merged, k, F.desc(F.round("score", 9)), F.asc("source"), F.asc("id"))
 
 
 def merge_queries(found: DataFrame) -> DataFrame:

@@ -177,3 +177,29 @@ def test_best_texts_are_found_without_pairs(spark, corpus, tmp_path, monkeypatch
     asked = spark.createDataFrame([(i, "alpha beta") for i in range(50)], "query_id long, query string")
     monkeypatch.setattr(TextIndex, "matches", lambda self, queries: pytest.fail("every query meets every posting"))
     assert index.search(asked, 3).count() % 50 == 0
+
+
+def test_hybrid_scores_alike_go_by_id(spark, tmp_path):
+    def text(gaps):
+        return " ".join(f"a {'x ' * g}b" + " y" * 40 for g in gaps)
+
+    def score(gaps):
+        words = text(gaps).split()
+        return 0.3 + cover_density([np.array([i for i, w in enumerate(words) if w == x]) for x in "ab"])
+
+    r, seen = random.Random(1), {}
+    while True:  # the same terms in two orders whose sums differ in the last digits
+        gaps = [r.randint(0, 9) for _ in range(6)]
+        first, other = seen.setdefault(tuple(sorted(gaps)), gaps), gaps
+        if score(first) != score(other) and round(score(first), 9) == round(score(other), 9):
+            break
+        gaps = sorted(gaps)
+        first, other = gaps, r.sample(gaps, 6)
+        if score(first) != score(other) and round(score(first), 9) == round(score(other), 9):
+            break
+    low, high = sorted((first, other), key=score)
+    rows = [(1, text(low)), (2, text(high))]
+    docs = spark.createDataFrame(rows, "id long, content string").select(F.lit("custom_document").alias("source"), "id", "content", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("array<float>").alias("vector"))
+    asked = spark.createDataFrame([(0, "a b", None, [])], "query_id long, query string, vector array<float>, terms array<struct<type:string,term:string>>")
+    texts = TextIndex.build(docs, str(tmp_path / "i"))
+    assert [x.id for x in search.hybrid_search([docs], asked, 1, diverse=False, indexes=[(None, texts)]).collect()] == [1]
