@@ -47,15 +47,16 @@ class Correlator(StatefulProcessor):
         _, _, stretch = key
         span = self.rules[int(key[0])][1]
         end = (int(stretch) + 1) * span
-        due = set()
+        due = []
         for batch in rows:
             at = batch["at"].to_numpy(np.int64)
             self.alerts.appendList([(int(t), None if pd.isna(i) else int(i)) for t, i in zip(at, batch["event_id"], strict=True)])
             own = at[at >= int(stretch) * span]
             if len(own):
-                due.add(int(own.max()) // 1000 + 1)
-        # decided when the watermark is past the newest alert of this call, and whatever is left at the stretch's end
-        for ms in due | {end // 1000 + 1}:
+                due.append(int(own.min()) // 1000)
+        # the oldest alert of this call is decided when the watermark is past it, with all that are passed by then; each decision
+        # sets a timer for the next alert. The stretch's end clears the state
+        for ms in {*sorted(due)[:1], end // 1000 + 1}:
             self.handle.registerTimer(ms)
         yield pd.DataFrame()
 
@@ -79,6 +80,9 @@ class Correlator(StatefulProcessor):
             self.decided.clear()
         elif passed > before:
             self.decided.update((passed,))
+            left = found["at"][found["at"] >= passed]
+            if len(left):
+                self.handle.registerTimer(int(left.min()) // 1000)
         yield pd.DataFrame()
 
 

@@ -56,3 +56,11 @@ def test_state_ends_with_the_stretch(spark, rocks, tmp_path):
         state = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
         kept.append(state[-1])
     assert kept[-1] <= kept[0] + 5, kept
+
+
+def test_alerts_before_the_watermark_are_decided_beside_newer_ones(spark, rocks, tmp_path):
+    src, t = str(tmp_path / "in"), 1704067200.0
+    frame(spark, [(0, t + 1, 11, "a"), (1, t + 2, 11, "a"), (2, t + 100, 11, "a"), (3, t + 101, 11, "a"), (4, t + 150, 99, "z")]).coalesce(1).write.parquet(src)
+    live = M.event_time(M.read_stream(spark, src, frame(spark, [(0, 0.0, 0, "")]).schema, 1), delay="1 minute")
+    found = M.run_to_table(C.correlate_stream(live, TABLE[1:]), "beside", str(tmp_path / "ck"))
+    assert sorted(x.event_id for x in found.collect()) == [1]
