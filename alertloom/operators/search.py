@@ -11,9 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from alertloom.functions import text as T
 from alertloom.operators.text_index import TextIndex
@@ -24,6 +29,8 @@ EXACT_SCORE = {"archive": 1.25, "custom_document": 1.15}
 LEXICAL_SCORE = {"archive": (0.35, 1.1), "custom_document": (0.30, 1.05)}
 MULTIPLIER, THRESHOLD = 4, 0.2
 MOST_QUERIES, MOST_LEXEMES = 1000, 20_000
+#: Queries of a block that is sent to every task; pairs compared at once; how far a matrix product may be from the cosine.
+BLOCK_QUERIES, PAIRS, NEAR = 20_000, 4_000_000, 1e-9
 STRONG = ("high", "medium")
 
 
@@ -52,6 +59,128 @@ def blocks(queries: DataFrame) -> Iterator[DataFrame]:
         yield queries.sparkSession.createDataFrame(block, queries.schema)
 
 
+def vector_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, vectors, norms) of the queries in blocks of one width and bounded size; queries without a direction find nothing."""
+    of: dict[int, tuple[list, list]] = {}
+    for row in queries.select("query_id", "vector").toLocalIterator():
+        v = np.array([np.nan if x is None else x for x in row.vector or ()], np.float64)
+        if np.isfinite(v).all() and v.any():
+            ids, vectors = of.setdefault(len(v), ([], []))
+            ids.append(row.query_id)
+            vectors.append(v)
+            if len(ids) == BLOCK_QUERIES:
+                yield ids, np.stack(vectors), norms(np.stack(vectors))
+                del of[len(v)]
+    for ids, vectors in of.values():
+        yield ids, np.stack(vectors), norms(np.stack(vectors))
+
+
+def norms(m: np.ndarray) -> np.ndarray:
+    """norm() of each row: the terms are added in the same order, so the result is the same to the last digit."""
+    total = np.zeros(len(m))
+    for j in range(m.shape[1]):
+        total += m[:, j] * m[:, j]
+    return np.sqrt(total)
+
+
+def cosines(a: np.ndarray, b: np.ndarray, norm_a: np.ndarray, norm_b: np.ndarray) -> np.ndarray:
+    """cosine() of each row of a with that of b, the same to the last digit."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total / (norm_a * norm_b)
+
+
+def _directed(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a batch whose vector has the width and a direction, their vectors, their norms)."""
+    column = batch.column("vector")
+    fits = np.flatnonzero(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == width)
+    m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), width)
+    good = np.isfinite(m).all(1) & m.any(1)
+    return fits[good], m[good], norms(m[good])
+
+
+def _compared(corpus: DataFrame, queries: DataFrame, schema: K.StructType, task) -> DataFrame:
+    """The results of task(ids, vectors, norms of a block, batches) for each block of queries."""
+    found = corpus.sparkSession.createDataFrame([], schema)
+    for block in vector_blocks(queries):
+        found = found.unionByName(corpus.mapInArrow(lambda batches, block=block: task(*block, batches), schema))
+    return found
+
+
+def count_similar(corpus: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, n): how many rows are at least so similar, for queries with any; a task sends one number for each query."""
+    schema = K.StructType([K.StructField("query_id", queries.schema["query_id"].dataType), K.StructField("n", K.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def task(ids, asked, asked_norms, batches):
+        n = np.zeros(len(ids), np.int64)
+        units = asked / asked_norms[:, None]
+        for batch in batches:
+            _, there, there_norms = _directed(batch, asked.shape[1])
+            step = max(1, PAIRS // max(1, len(there)))
+            for a in range(0, len(ids), step):
+                s = units[a : a + step] @ (there / there_norms[:, None]).T
+                n[a : a + step] += (s >= threshold + NEAR).sum(1)
+                q, r = np.nonzero(np.abs(s - threshold) < NEAR)
+                exact = cosines(there[r], asked[q + a], there_norms[r], asked_norms[q + a]) >= threshold
+                np.add.at(n, q[exact] + a, 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], arrow.field(0).type), pa.array(n[some])], schema=arrow)
+
+    return _compared(corpus.select("vector"), queries, schema, task).groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, group: str | None = None, digits: int | None = None) -> DataFrame:
+    """(query_id, [group,] id, semantic_score): the k nearest rows of each query, and of each group of rows if one is named, by
+    comparing all. Scores count to `digits` digits, equal ones go by id; only the best k leave a task."""
+    group_kind = [K.StructField("group", corpus.schema[group].dataType)] if group else []
+    schema = K.StructType([K.StructField("query_id", queries.schema["query_id"].dataType), *group_kind, K.StructField("id", corpus.schema["id"].dataType), K.StructField("semantic_score", K.DoubleType())])
+    arrow, near = to_arrow_schema(schema), NEAR + (10.0**-digits if digits is not None else 0)
+    shown = lambda s: np.round(s, digits) if digits is not None else s
+
+    def best(q: np.ndarray, g: np.ndarray, at: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Of pairs, the first k of each query and group; `at` is their order by id."""
+        order = np.lexsort((at, -shown(score), g, q))
+        new = np.append(True, (np.diff(q[order]) != 0) | (np.diff(g[order]) != 0))[: len(order)]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        return order[place < k]
+
+    def task(ids, asked, asked_norms, batches):
+        units, names, kept = asked / asked_norms[:, None], {}, None
+        for batch in batches:
+            fits, there, there_norms = _directed(batch, asked.shape[1])
+            if not len(fits):
+                continue
+            of = batch.column("group").take(pa.array(fits)).to_pylist() if group else [None] * len(fits)
+            g = np.array([names.setdefault(x, len(names)) for x in of])
+            row_ids = batch.column("id").take(pa.array(fits)).to_pandas()
+            step, found = max(1, PAIRS // len(fits)), []
+            for a in range(0, len(ids), step):
+                s = units[a : a + step] @ (there / there_norms[:, None]).T
+                for x in np.unique(g):
+                    inside = np.flatnonzero(g == x)
+                    part = s[:, inside]
+                    least = np.partition(part, -k, axis=1)[:, -k] - 2 * near if len(inside) > k else np.full(len(part), -np.inf)
+                    q, r = np.nonzero(part >= (least if threshold is None else np.maximum(least, threshold - NEAR))[:, None])
+                    r = inside[r]
+                    score = cosines(there[r], asked[q + a], there_norms[r], asked_norms[q + a])
+                    fine = np.ones(len(q), bool) if threshold is None else score >= threshold
+                    found.append(pd.DataFrame({"q": q[fine] + a, "g": g[r[fine]], "id": row_ids.to_numpy()[r[fine]], "score": score[fine]}))
+            both = pd.concat(found if kept is None else [kept, *found], ignore_index=True)
+            kept = both.iloc[best(both.q.to_numpy(), both.g.to_numpy(), both.id.rank(method="first").to_numpy(), both.score.to_numpy())]
+        if kept is not None and len(kept):
+            values = list(names)
+            columns = [[ids[i] for i in kept.q], *([[values[i] for i in kept.g]] if group else []), kept.id, kept.score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    rows = _compared(corpus.filter(F.col("vector").isNotNull()).select("id", "vector", *([F.col(group).alias("group")] if group else [])), queries, schema, task)
+    score = F.col("semantic_score") if digits is None else F.round("semantic_score", digits)
+    rank = F.row_number().over(W.partitionBy("query_id", *(["group"] if group else [])).orderBy(F.desc(score), "id"))
+    rows = rows.withColumn("__n", rank).filter(F.col("__n") <= k).drop("__n")
+    return rows.withColumnRenamed("group", group) if group else rows
+
+
 def small(queries: DataFrame) -> DataFrame:
     """A query batch marked for broadcast after its size was checked."""
     return F.broadcast(bounded(queries))

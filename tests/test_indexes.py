@@ -203,3 +203,30 @@ def test_hybrid_scores_alike_go_by_id(spark, tmp_path):
     asked = spark.createDataFrame([(0, "a b", None, [])], "query_id long, query string, vector array<float>, terms array<struct<type:string,term:string>>")
     texts = TextIndex.build(docs, str(tmp_path / "i"))
     assert [x.id for x in search.hybrid_search([docs], asked, 1, diverse=False, indexes=[(None, texts)]).collect()] == [1]
+
+
+def test_compared_vectors_keep_no_pairs_and_break_ties_by_id(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=8).tolist(), i % 2) for i in range(300)]
+    rows += [(300 + i, rows[i % 3][1], 1) for i in range(90)] + [(400, None, 0), (401, [0.0] * 8, 0), (402, [1.0] * 7, 1), (403, [math.nan] * 8, 1)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<float>, label int").repartition(5)
+    asked = corpus.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    corpus_rows, asked_rows = corpus.filter("id < 400"), asked.filter("query_id < 400")
+    pairs = [tuple(x) for x in search.similar(corpus_rows, asked_rows, -2.0).select("query_id", "label", "id", "semantic_score").collect()]
+
+    def best(group, k, least):
+        kept = {}
+        for x in sorted((x for x in pairs if x[3] >= least), key=lambda x: (-x[3], x[2])):
+            kept.setdefault((x[0], group(x)), []).append(x)
+        return sorted(x for g in kept.values() for x in g[:k])
+
+    got = search.nearest(corpus, asked, 4, group="label").select("query_id", "label", "id", "semantic_score")
+    assert sorted(map(tuple, got.collect())) == best(lambda x: x[1], 4, -2)
+    got = search.nearest(corpus, asked, 7, 0.3).select("query_id", "id", "semantic_score")
+    assert sorted(map(tuple, got.collect())) == sorted((x[0], x[2], x[3]) for x in best(lambda x: 0, 7, 0.3))
+    n = {}
+    for x in pairs:
+        n[x[0]] = n.get(x[0], 0) + (x[3] >= 0.25)
+    counted = search.count_similar(corpus, asked, 0.25)
+    assert {x.query_id: x.n for x in counted.collect()} == n and "NestedLoop" not in plan_of(counted)
+    assert search.nearest(corpus, asked.limit(0), 4).count() == 0
