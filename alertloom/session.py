@@ -17,6 +17,19 @@ SCALE = {
 }
 
 
+#: Records and bytes of an Arrow batch handed to Python; texts and reports are long.
+ARROW_RECORDS, ARROW_BYTES = 500, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds on Arrow batches; they count when a plan runs, so they stay."""
+    for key, most in (("maxRecordsPerBatch", ARROW_RECORDS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).upper().rstrip("B")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def session(name: str = "alertloom", **conf: str) -> SparkSession:
     """A session with these settings; keyword values win (write dots as double underscores)."""
     builder = SparkSession.builder.appName(name)

@@ -124,3 +124,22 @@ def test_chunk_table(spark):
     docs = spark.createDataFrame([(1, "One. Two."), (2, None), (3, " ")], "doc_id long, text string")
     rows = chunk.chunk_documents(docs, "sentences").collect()
     assert [(r.doc_id, r.chunk_index, r.text) for r in rows] == [(1, 0, "One. Two.")]
+
+
+def test_long_texts_reach_python_in_small_batches(spark, tmp_path):
+    from alertloom.functions import chunk
+    from alertloom.operators import reports
+    from alertloom.operators.text_index import TextIndex
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    uses = {
+        "chunks": lambda: chunk.chunk_documents(docs),
+        "reports": lambda: reports.parse_reports(docs.selectExpr("doc_id AS report_id", "text AS markdown")),
+        "postings": lambda: TextIndex.build(docs.selectExpr("'s' AS source", "doc_id AS id", "text AS content"), str(tmp_path)),
+    }
+    for name, use in uses.items():
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        use()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20, name
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500, name
