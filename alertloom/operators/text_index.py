@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from alertloom.functions import text as X
+from alertloom.session import small_batches
 
 #: Partitions of the postings; files a bucket is written in; the weight of a lexeme.
 BUCKETS, FILES, WEIGHT = 64, 4, 0.1
@@ -170,6 +171,7 @@ class TextIndex:
     @classmethod
     def build(cls, corpus: DataFrame, path: str) -> TextIndex:
         """Index (source, id, content) and, if a column, metadata."""
+        small_batches(corpus.sparkSession)
         text = indexed_text(corpus)
         rows = corpus.filter(F.col("source").isNotNull() & F.col("id").isNotNull()).select("source", "id", F.xxhash64(text).alias("row"), sequence(text).alias("words")).dropDuplicates(["source", "id", "row"])
         kind = lambda c: T.StructField(c, rows.schema[c].dataType)
