@@ -299,13 +299,13 @@ ROLES = ("malicious", "benign", "victim", "analysis_environment", "remediation_r
 
 
 def _line(title: str, parts: Column, between: str) -> Column:
-    return F.when(F.size(parts) > 0, F.concat(F.lit(f"{title} | "), F.array_join(parts, between))).otherwise("")
+    return let(parts, lambda p: F.when(F.size(p) > 0, F.concat(F.lit(f"{title} | "), F.array_join(p, between))).otherwise(""))
 
 
 def artifacts_line(found: Column, most: int = 20) -> Column:
     """The indicator lists as one line, `most` of each; empty without any."""
-    part = lambda k, title: F.when(F.size(found[k]) > 0, F.concat(F.lit(f"{title}: "), F.array_join(F.slice(unique(found[k]), 1, most), ", ")))
-    return _line("Extracted CTI Artefacts", F.array_compact(F.array(*[part(k, t) for k, t in ARTIFACT_TITLES.items()])), " | ")
+    part = lambda values, title: F.when(F.size(values) > 0, F.concat(F.lit(f"{title}: "), F.array_join(F.slice(unique(values), 1, most), ", ")))
+    return let(found, lambda f: _line("Extracted CTI Artefacts", F.array_compact(F.array(*[part(f[k], t) for k, t in ARTIFACT_TITLES.items()])), " | "))
 
 
 def labels_line(labels: Column) -> Column:

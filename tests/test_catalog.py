@@ -80,3 +80,9 @@ def test_long_line_of_a_report_is_read_in_linear_time():
     began = time.process_time()
     assert reports.section_of("word " * 20_000) == ("", "") and reports.section_of("word " * 20_000 + "mitre attack")[0] == "mitre"
     assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("name,mark,most", [("context_lines", "CVE-", 2), ("remediation_targets", "CVE-", 2), ("distinct_24h", "explode(sequence(0, 23", 1)])
+def test_work_is_not_repeated_in_the_plan(spark, name, mark, most):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(mark) <= most, plan.count(mark)
