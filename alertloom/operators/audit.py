@@ -30,12 +30,11 @@ def action_labels(context: Column) -> Column:
 
 def remediation_targets(markdown: Column) -> Column:
     """array<struct<type, value, actions>>: indicators with an action verb in the same sentence."""
-    found = T.artifacts(markdown)
+    def of(found: Column, kind: str) -> Column:
+        return F.transform(F.slice(found[kind], 1, 40), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), T.let(F.array_join(T.contexts(markdown, v, kind, 120), "\n"), action_labels).alias("actions")))
 
-    def of(kind: str) -> Column:
-        return F.transform(F.slice(found[kind], 1, 40), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), action_labels(F.array_join(T.contexts(markdown, v, kind, 120), "\n")).alias("actions")))
-
-    return F.filter(F.concat(*[of(k) for k in ("ips", "domains", "urls", "hashes")]), lambda t: F.size(t["actions"]) > 0)
+    every = T.let(T.artifacts(markdown), lambda found: F.concat(*[of(found, k) for k in ("ips", "domains", "urls", "hashes")]))
+    return F.filter(every, lambda t: F.size(t["actions"]) > 0)
 
 
 def support(evidence: DataFrame) -> DataFrame:
