@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.operators import analytics as N
@@ -70,7 +71,11 @@ def distinct_24h(spark, sf_dir):
     a = alerts(spark, sf_dir).withColumn("k", F.concat_ws("|", "rule_id", F.coalesce("src_ip", F.lit("")), F.coalesce("dest_ip", F.lit(""))))
     slid = N.sliding_distinct(N.distinct_sketches(a, F.col("k")), 24)
     hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    every = a.select("k", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"), hour.alias("h")).select("k", F.timestamp_seconds(F.unix_timestamp("h") + F.col("i") * 3600).alias("period"))
-    exact = every.groupBy("period").agg(F.count_distinct("k").alias("exact"))
+    # an alert's hour adds it to 24 windows, or to those before its next hour; the sum of what comes and goes is the number there
+    hours = a.select("k", F.unix_timestamp(hour).alias("h")).distinct()
+    until = F.least(F.col("h") + 24 * 3600, F.coalesce(F.lead("h").over(W.partitionBy("k").orderBy("h")), F.col("h") + 24 * 3600))
+    steps = hours.withColumn("until", until).select(F.inline(F.array(F.struct(F.col("h").alias("at"), F.lit(1).alias("n")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("n")))))
+    steps = steps.groupBy("at").agg(F.sum("n").alias("n"))  # a row for each hour, so the running sum is short
+    exact = steps.select(F.timestamp_seconds("at").alias("period"), F.sum("n").over(W.orderBy("at")).alias("exact"))
     within = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * N.DISTINCT_ERROR)
     return slid.join(exact, "period").select(F.col("period").cast("timestamp_ntz").alias("period"), "periods", "n", "exact", within.alias("within"))
