@@ -175,12 +175,16 @@ def planted_reports(spark, sf_dir):
     i = F.col("doc_id")
     text = _said("# Report\n**Threat Level:** HIGH | **Total Alerts:** ", i % 90, "\n\n---\n\n## Executive Summary\n\nSummary ", i, ".\n\n## Key Findings\n\n- first ", i, "\n- second\n\n## Top Priority Threats\n\n| IP Address | Type | Severity | Count |\n|---|---|---|---|\n| 198.51.100.", i % 250 + 1, " | External | LOW | 3 |\n\n## MITRE ATT&CK Mapping\n\n- **T1059.001** - a\n- **T1003** - b\n\n## Immediate Actions Required\n\n1. Block it\n\n---\n\n**Analysis Complete**\n\n## Visual Threat Analysis\nchart ", i, "\n")
     first = R.parse_reports(documents(spark, sf_dir).select(i.cast("string").alias("report_id"), text.alias("markdown")))
-    again = R.parse_reports(first.select("report_id", R.serialise().alias("markdown"))).select("report_id", *[F.col(c).alias(f"again_{c}") for c in ("executive_summary", "key_findings", "threat_level", "mitre_techniques", "appendix")])
+    compared = ("executive_summary", "key_findings", "threat_level", "mitre_techniques", "appendix")
+    # the record stays beside its own markdown, so nothing is joined or parsed once more for it
+    written = first.select("report_id", R.serialise().alias("markdown"), F.size(R.errors_of()).alias("errors"), F.struct("total_alerts", "threats", "recommendations", *compared).alias("first"))
+    again = R.parse_reports(written, keep=("errors", "first"))
     same = F.lit(True)
-    for c in ("executive_summary", "key_findings", "threat_level", "mitre_techniques", "appendix"):
-        same = same & (F.col(c) == F.col(f"again_{c}"))
-    t = F.get("threats", F.lit(0))
-    return first.join(again, "report_id").select("report_id", "threat_level", "total_alerts", "executive_summary", "key_findings", t["ip"].alias("ip"), t["severity"].alias("severity"), F.col("mitre_techniques").alias("techniques"), "recommendations", F.size(R.errors_of()).alias("errors"), F.contains("appendix", F.concat(F.lit("chart "), "report_id")).alias("kept_appendix"), same.alias("same_again"))
+    for c in compared:
+        same = same & (F.col(f"first.{c}") == F.col(c))
+    t = F.get("first.threats", F.lit(0))
+    kept = [F.col(f"first.{c}").alias(c) for c in ("threat_level", "total_alerts", "executive_summary", "key_findings")]
+    return again.select("report_id", *kept, t["ip"].alias("ip"), t["severity"].alias("severity"), F.col("first.mitre_techniques").alias("techniques"), F.col("first.recommendations").alias("recommendations"), "errors", F.contains("first.appendix", F.concat(F.lit("chart "), "report_id")).alias("kept_appendix"), same.alias("same_again"))
 
 
 @query("""SELECT doc_id, E'# Head\ntext ' || doc_id || E'\n\n---\n**Analysis Complete**\nReport generated: 2024-01-02 03:04:05\nThreat level: CRITICAL\nPriority actions: 5 identified' AS cleaned, '# Head ' || doc_id || E'\nbody' AS stripped FROM documents""")

@@ -91,3 +91,46 @@ def test_work_is_not_repeated_in_the_plan(spark, name, mark, most):
 def test_labels_are_matched_once_for_filter_and_output(spark):
     plan = catalog.QUERIES["context_labels"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sandbox") == 1
+
+
+def test_planted_reports_are_parsed_once_and_once_again_without_a_join(spark):
+    plan = catalog.QUERIES["planted_reports"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") + plan.count("MapInPandas") == 2
+
+
+def test_planted_reports_of_repeated_ids(spark, tmp_path):
+    spark.createDataFrame([(7, "a"), (7, "b"), (8, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.QUERIES["planted_reports"](spark, str(tmp_path)).collect()
+    assert sorted(r.report_id for r in rows) == ["7", "7", "8"] and all(r.same_again and r.kept_appendix and r.errors == 0 for r in rows)
+
+
+def test_parsed_reports_keep_columns_and_null_texts(spark):
+    from alertloom.operators import reports
+
+    src = spark.createDataFrame([(1, None, ["x"], (2, "y")), (None, "Threat Level: LOW", None, None)], "report_id long, markdown string, a array<string>, s struct<n:int,t:string>")
+    got = {r.report_id: (r.threat_level, r.appendix, r.a, r.s) for r in reports.parse_reports(src, keep=("a", "s")).collect()}
+    assert got == {"1": ("MEDIUM", "", ["x"], (2, "y")), None: ("LOW", "", None, None)}
+
+
+def test_every_section_pattern_holds_a_section_word():
+    from alertloom.functions import patterns as P
+    from alertloom.operators import reports
+
+    lines = {"stop": "## **Analysis Complete**", "appendix": "RAG SOURCES USED", "executive_summary": "1. Executive Summary", "key_findings": "Key Findings:", "mitre": "MITRE ATT&CK", "recommendations": "Action required", "technical_summary": "Technical Summary", "threats": "Network threats"}
+    assert set(lines) == set(P.REPORT_SECTIONS)
+    assert {n: reports.section_of(line)[0] for n, line in lines.items()} == {n: n for n in lines}
+
+
+def test_rule_before_an_appendix_is_found_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from alertloom.operators import reports
+
+    long = "x\n" * 20_000
+    src = spark.createDataFrame([(1, f"{long}--- \n\n## RAG Sources Used\n- y"), (2, f"{long}a ---\n\n## RAG Sources Used\n- y"), (3, "---\n## RAG Sources Used")], "i int, t string")
+    began = time.time()
+    got = [r[0] for r in src.orderBy("i").select(reports.appendix(F.col("t"))).collect()]
+    assert got == ["---\n\n## RAG Sources Used\n- y", "## RAG Sources Used\n- y", "---\n\n## RAG Sources Used"]
+    assert time.time() - began < 10
