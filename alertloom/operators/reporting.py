@@ -55,9 +55,15 @@ def _there(alerts: DataFrame, path: str) -> Column | None:
     return F.col(path).cast("string")
 
 
-def _values(alerts: DataFrame, kind: str) -> Column:
+def _given(alerts: DataFrame, kind: str) -> Column | None:
+    """What the columns of a kind hold, as it stands; None without such a column."""
     cols = [c for c in (_there(alerts, p) for p in OBSERVED[kind]) if c is not None]
-    return T.unique(F.array_compact(F.array(*cols))) if cols else F.expr("cast(array() as array<string>)")
+    return F.array_compact(F.array(*cols)) if cols else None
+
+
+def _values(alerts: DataFrame, kind: str) -> Column:
+    given = _given(alerts, kind)
+    return F.expr("cast(array() as array<string>)") if given is None else T.unique(given)
 
 
 def observed(alerts: DataFrame) -> Column:
@@ -67,8 +73,12 @@ def observed(alerts: DataFrame) -> Column:
 
 def current_artifacts(alerts: DataFrame, cap: int = 50, order: str = "event_id") -> DataFrame:
     """One row: what all current alerts observed, by kind, first seen first, at most `cap` shown of each."""
-    seen = F.array(*[F.struct(F.lit(k).alias("kind"), _values(alerts, k).alias("values")) for k in OBSERVED])
-    rows = alerts.select(F.col(order).alias("at"), F.explode(seen).alias("o")).select("at", "o.kind", F.posexplode("o.values").alias("p", "value"))
+    given = {k: v for k in OBSERVED if (v := _given(alerts, k)) is not None}
+    seen = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("given")) for k, v in (given or {"ips": F.expr("cast(array() as array<string>)")}).items()])
+    # alerts alike are one row before their values are taken apart; a minimum of numbers is hashed, one of structs would be sorted
+    earliest = F.when(~F.bool_or(F.col("at").isNull()), F.min("at")).alias("at")
+    rows = alerts.select(F.col(order).alias("at"), F.inline(seen)).filter(F.size("given") > 0).groupBy("kind", "given").agg(earliest)
+    rows = rows.select("at", "kind", F.posexplode(T.unique(F.col("given"))).alias("p", "value")).groupBy("kind", "p", "value").agg(earliest)
     first = F.min(F.struct("at", "p", "value"))
     rows = rows.groupBy("kind", F.lower("value").alias("key")).agg(first.alias("first"))
     w = W.partitionBy("kind").orderBy("first.at", "first.p", "key")
@@ -194,14 +204,20 @@ def context_order() -> list[Column]:
 
 def retrieved(corpora: list[DataFrame], alerts: DataFrame, vectors: Callable[[DataFrame], DataFrame], limit: int, tags: list[str] | None = None, order: str = "event_id") -> DataFrame:
     """The best `limit` rows for the alerts, annotated, before weak evidence is capped."""
-    queries = vectors(focused_queries(alerts, order=order))
-    terms = exact_terms(alerts, order=order).agg(F.collect_list(F.struct("type", "term")).alias("terms"))  # of at most 12 alerts
+    few = _once(A.representatives(alerts, order=order))  # at most 12 alerts, which are their own representatives
+    queries = vectors(focused_queries(few, order=order))
+    terms = exact_terms(few, order=order).agg(F.collect_list(F.struct("type", "term")).alias("terms"))
     queries = queries.join(F.broadcast(terms))
-    found = S.merge_queries(S.hybrid_search(corpora, queries, 2 * limit))
-    ranked = annotate(stored(found, corpora), current_artifacts(alerts, order=order), tags or [], alert_terms(alerts, order=order))
+    found = _once(S.merge_queries(S.hybrid_search(corpora, queries, 2 * limit)))  # twice the limit for each of at most 5 queries
+    ranked = annotate(stored(found, corpora), current_artifacts(alerts, order=order), tags or [], alert_terms(few, order=order))
     return ranked.orderBy(*context_order()).limit(limit)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """A bounded few rows as a local relation: what they come from runs once, however often they are used."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
+
+
 def urgent_context(documents: DataFrame, archive: DataFrame, alerts: DataFrame, vectors: Callable[[DataFrame], DataFrame], threshold: int = 8, limit: int = 4, tags: list[str] | None = None, order: str = "event_id") -> DataFrame:
     """Retrieval of an urgent report: `limit` rows of each corpus for the alerts at the threshold, the archive's own severity at
     the threshold too, ranked together and cut to `limit`, weak evidence capped. Without any row, documents by keyword."""
@@ -223,9 +239,10 @@ def stored(found: DataFrame, corpora: list[DataFrame]) -> DataFrame:
     rows = None
     for corpus in corpora:
         have = [F.col(c).cast(t).alias(c) if c in corpus.columns else F.lit(None).cast(t).alias(c) for c, t in kept.items()]
-        part = corpus.select("source", "id", F.sha2("content", 256).alias("content_hash"), *have)
+        near = corpus.join(F.broadcast(found.select("source", "id").distinct()), ["source", "id"], "left_semi")
+        part = near.select("source", "id", F.sha2("content", 256).alias("content_hash"), *have)
         rows = part if rows is None else rows.unionByName(part)
-    # the corpora are filtered by the few retrieved rows before anything is grouped
+    # the corpora are filtered by the few retrieved rows before anything is hashed or grouped
     rows = rows.join(F.broadcast(found.select(*key).distinct()), list(key), "left_semi")
     best = rows.groupBy(*key).agg(F.max("severity").alias("severity"), F.bool_or("human_validated").alias("human_validated"), F.max("metadata").alias("metadata"))
     return found.join(best, list(key), "left").withColumns({"severity": F.coalesce("severity", F.lit(0)), "human_validated": F.coalesce("human_validated", F.lit(False))})

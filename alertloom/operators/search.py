@@ -235,19 +235,22 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...]
     Indicators are extracted once per row and exploded, so the match is an equi-join on (type, value). The refanged
     text is searched only where it differs.
     """
+    terms = bounded(queries.select("query_id", "terms")).select("query_id", F.explode("terms").alias("t")).select("query_id", F.col("t.type").alias("type"), F.lower(F.trim(T.refang(F.col("t.term")))).alias("value"), F.col("t.term").alias("term")).distinct()
+    asked = [r.value for r in terms.filter("value is not null").select("value").distinct().limit(MOST_QUERIES + 1).collect()]
 
     def typed(texts: Column) -> Column:
         def of(kind: str) -> Column:
             # kinds without a pattern of their own (rule numbers, signatures) are compared as tokens
             pick = T.EXTRACTORS.get(kind, T.tokens)
-            found = F.flatten(F.transform(texts, lambda t: pick(t)))  # an extractor may take more than the text
-            return F.transform(F.array_distinct(F.transform(found, F.lower)), _typed(kind))
+            found = F.transform(F.flatten(F.transform(texts, lambda t: pick(t))), F.lower)  # an extractor may take more than the text
+            if len(asked) <= MOST_QUERIES:  # what no query asks for is left out before the rows are made
+                found = F.filter(found, lambda v: v.isin(asked))
+            return F.transform(F.array_distinct(found), _typed(kind))
 
         return F.concat(*[of(kind) for kind in kinds])
 
     texts = F.array_distinct(F.array(F.col("content"), T.refang(F.col("content"))))
     left = corpus.withColumn("__a", F.explode(T.let(texts, typed))).select("source", "id", "content", "ts", F.col("__a.type").alias("type"), F.col("__a.value").alias("value"))
-    terms = bounded(queries.select("query_id", "terms")).select("query_id", F.explode("terms").alias("t")).select("query_id", F.col("t.type").alias("type"), F.lower(F.trim(T.refang(F.col("t.term")))).alias("value"), F.col("t.term").alias("term")).distinct()
     hits = left.join(F.broadcast(terms), ["type", "value"]).groupBy("query_id", "source", "id").agg(F.first("content").alias("content"), F.first("ts").alias("ts"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "type", "term"))), 1, 6).alias("match_evidence"))
     hits = top_per_query(hits, k, F.desc_nulls_last("ts"), F.asc("id"))
     score = F.when(F.col("source") == "archive", EXACT_SCORE["archive"]).otherwise(EXACT_SCORE["custom_document"])

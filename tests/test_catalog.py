@@ -134,3 +134,8 @@ def test_rule_before_an_appendix_is_found_in_linear_time(spark):
     got = [r[0] for r in src.orderBy("i").select(reports.appendix(F.col("t"))).collect()]
     assert got == ["---\n\n## RAG Sources Used\n- y", "## RAG Sources Used\n- y", "---\n\n## RAG Sources Used"]
     assert time.time() - began < 10
+
+
+def test_context_reads_alerts_and_documents_once_more_after_retrieval(spark):
+    plan = catalog.QUERIES["annotated_context"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2, plan.count("Relation [")

@@ -108,3 +108,13 @@ def test_store_is_dropped_only_when_confirmed(spark, tmp_path):
     corpus.create_store(spark, path, corpus.ARCHIVE)
     corpus.append_new(rows, path, "alert_hash")
     assert spark.read.parquet(path).filter("event_date = date'2024-05-01'").count() == 1
+
+
+def test_artifacts_of_alerts_alike_are_counted_before_they_are_taken_apart(spark):
+    rows = [(3, " B.x ", "a.x"), (1, "c.x", "C.X"), (2, "b.x", None), (3, " B.x ", "a.x"), (None, "z.x", ""), (4, "z.x", "d.x")]
+    a = spark.createDataFrame(rows, "event_id long, src_ip string, dest_ip string")
+    now = reporting.current_artifacts(a).first()
+    assert now.ips == ["z.x", "c.x", "b.x", "a.x", "d.x"] and now.domains == []
+    assert reporting.current_artifacts(a.select("event_id")).first().ips == []
+    plan = reporting.current_artifacts(a)._jdf.queryExecution().optimizedPlan().toString()
+    assert "kind#" in plan and "given#" in plan.split("Aggregate", 1)[1]
