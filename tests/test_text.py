@@ -158,3 +158,31 @@ def test_chunks_under_a_long_heading_leave_in_small_frames(spark, monkeypatch):
     assert max(int(f[c].str.len().sum()) for f in frames for c in texts) <= 16 << 20
     cs = chunk.section_chunks(text)
     assert pd.concat(frames).values.tolist() == [[i, k, len(cs), *c] for i in range(5) for k, c in enumerate(cs)]
+
+
+@pytest.mark.parametrize("rows,each", [(1200, 100), (90, 400_000)])
+def test_batches_in_python_keep_both_bounds(spark, rows, each):
+    """Both kinds of step: chunks pass whole rows, reports a column."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from alertloom.session import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)], "width": [int(b.text.str.len().sum())]})
+
+    def size(batches):
+        for b in batches:
+            yield pd.Series([f"{len(b)} {int(b.str.len().sum())}"] * len(b))
+
+    size.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    small_batches(spark)
+    texts = spark.range(0, rows, 1, 1).select(F.repeat(F.lit("x"), each).alias("text"))
+    whole = [(r.n, r.width) for r in texts.mapInPandas(sizes, "n long, width long").collect()]
+    column = [tuple(map(int, r[0].split())) for r in texts.select(F.pandas_udf(size, "string")("text")).collect()]
+    assert sum(n for n, _ in whole) == len(column) == rows
+    assert all(n <= 500 and width <= (16 << 20) + each for n, width in whole + column)
