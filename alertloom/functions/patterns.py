@@ -117,6 +117,7 @@ STATED_LEVELS = (
     r"(?i)\bThreat\s+Level\s*:\s*(CRITICAL|HIGH|MEDIUM|LOW)\b",
     r"(?i)\bResponse\s+Priority\s*:\s*(IMMEDIATE|CRITICAL|HIGH|MEDIUM|LOW)\b",
 )
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TITLE_LINES, TITLE_LEVELS = 12, {"CRITICAL": r"(?i)\bCRITICAL\b", "HIGH": r"(?i)\bHIGH[-\s]+SEVERITY\b"}
 ALERT_TOTALS = (r"(?i)(?:total\s+alerts\s+analyzed|alerts\s+analyzed|current\s+alerts\s+analyzed|total\s+alerts)\s*:?\s*(?:\*\*)?\s*(\d+)", r"(?i)(\d+)\s+(?:current\s+)?alerts\s+analyzed", r"(?i)(\d+)\s+alerts")
 REPORT_TECHNIQUES = (r"(?m)[-*]\s*\*\*(T\d{4}(?:\.\d{3})?)[:\s-]", r"(?m)[-*]\s*(T\d{4}(?:\.\d{3})?)\s*[-]", r"(?m)^[-*\s]*(T\d{4}(?:\.\d{3})?)\b", r"(?m)\|\s*(?:[^|\n]*\|\s*)?(T\d{4}(?:\.\d{3})?)\s*\|")
