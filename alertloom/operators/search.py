@@ -2,8 +2,8 @@
 and evidence annotation, for all queries of a batch in one job.
 
 Corpora have (id, source, content, vector, ts, severity) and may have metadata columns. Queries have (query_id, query,
-vector, terms array<struct<type, term>>). A query batch is small (the representatives of one report), and its size
-is checked before it is broadcast.
+vector, terms array<struct<type, term>>). A query batch is mostly small (the representatives of one report) and then held
+as a local relation; a larger one stays a table, is sent to tasks in blocks only, and meets indexes by joins.
 """
 
 from __future__ import annotations
@@ -44,12 +44,10 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return dot / F.nullif((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b), F.lit(0.0))
 
 
-def bounded(queries: DataFrame) -> DataFrame:
-    """The query batch as a local relation: computed once, its size checked."""
+def held(queries: DataFrame) -> DataFrame:
+    """A small query batch as a local relation, computed once; a larger one as it is, so none of its queries is left out."""
     rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in a batch; split it")
-    return queries.sparkSession.createDataFrame(rows, queries.schema)
+    return queries if len(rows) > MOST_QUERIES else queries.sparkSession.createDataFrame(rows, queries.schema)
 
 
 def blocks(queries: DataFrame) -> Iterator[DataFrame]:
@@ -181,11 +179,6 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | No
     return rows.withColumnRenamed("group", group) if group else rows
 
 
-def small(queries: DataFrame) -> DataFrame:
-    """A query batch marked for broadcast after its size was checked."""
-    return F.broadcast(bounded(queries))
-
-
 def top_per_query(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("__n") <= k).drop("__n")
 
@@ -226,7 +219,7 @@ def semantic(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = T
 def semantic_indexed(corpus: DataFrame, index: VectorIndex, queries: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
     """As semantic(), through an index of the corpus by id; a filtered corpus may leave fewer than k rows."""
     near = index.search(queries.select("query_id", "vector"), k, threshold=threshold).select("query_id", "id", "score")
-    return near.join(corpus.select("source", "id", "content"), "id").select("query_id", "source", "id", "content", "score", F.col("score").alias("semantic_score"))
+    return near.join(hashed(corpus).select("source", "id", "content", "content_hash"), "id").select("query_id", "source", "id", "content", "content_hash", "score", F.col("score").alias("semantic_score"))
 
 
 def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...] = tuple(T.EXTRACTORS)) -> DataFrame:
@@ -235,7 +228,7 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...]
     Indicators are extracted once per row and exploded, so the match is an equi-join on (type, value). The refanged
     text is searched only where it differs.
     """
-    terms = bounded(queries.select("query_id", "terms")).select("query_id", F.explode("terms").alias("t")).select("query_id", F.col("t.type").alias("type"), F.lower(F.trim(T.refang(F.col("t.term")))).alias("value"), F.col("t.term").alias("term")).distinct()
+    terms = held(queries.select("query_id", "terms")).select("query_id", F.explode("terms").alias("t")).select("query_id", F.col("t.type").alias("type"), F.lower(F.trim(T.refang(F.col("t.term")))).alias("value"), F.col("t.term").alias("term")).distinct()
     asked = [r.value for r in terms.filter("value is not null").select("value").distinct().limit(MOST_QUERIES + 1).collect()]
 
     def typed(texts: Column) -> Column:
@@ -250,8 +243,9 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...]
         return F.concat(*[of(kind) for kind in kinds])
 
     texts = F.array_distinct(F.array(F.col("content"), T.refang(F.col("content"))))
+    few = terms.limit(MOST_LEXEMES + 1).count() <= MOST_LEXEMES
     left = corpus.withColumn("__a", F.explode(T.let(texts, typed))).select("source", "id", "content", "ts", F.col("__a.type").alias("type"), F.col("__a.value").alias("value"))
-    hits = left.join(F.broadcast(terms), ["type", "value"]).groupBy("query_id", "source", "id").agg(F.first("content").alias("content"), F.first("ts").alias("ts"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "type", "term"))), 1, 6).alias("match_evidence"))
+    hits = left.join(F.broadcast(terms) if few else terms, ["type", "value"]).groupBy("query_id", "source", "id").agg(F.first("content").alias("content"), F.first("ts").alias("ts"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "type", "term"))), 1, 6).alias("match_evidence"))
     hits = top_per_query(hits, k, F.desc_nulls_last("ts"), F.asc("id"))
     score = F.when(F.col("source") == "archive", EXACT_SCORE["archive"]).otherwise(EXACT_SCORE["custom_document"])
     return hits.select("query_id", "source", "id", "content", score.alias("score"), "match_evidence")
@@ -315,20 +309,24 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def lexical_indexed(corpus: DataFrame, index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """As lexical(), from an index's postings and ranked by cover density; the metadata of the index counts as text."""
     best = index.search(queries.select("query_id", "query"), k).select("query_id", "source", "id", "row", "lexical_score")
-    rows = corpus.withColumn("row", index.row_of(corpus)).select("source", "id", "row", "content").dropDuplicates(["source", "id", "row"])
-    return _lexical_scored(best.join(rows, ["source", "id", "row"]).drop("row"))
+    rows = hashed(corpus).withColumn("row", index.row_of(corpus)).select("source", "id", "row", "content", "content_hash").dropDuplicates(["source", "id", "row"])
+    return _lexical_scored(best.join(rows, ["source", "id", "row"]).drop("row"), "content_hash")
 
 
-def _lexical_scored(rows: DataFrame) -> DataFrame:
+def _lexical_scored(rows: DataFrame, *more: str) -> DataFrame:
     a, c = LEXICAL_SCORE["archive"], LEXICAL_SCORE["custom_document"]
     score = F.when(F.col("source") == "archive", F.least(F.lit(a[1]), a[0] + F.col("lexical_score"))).otherwise(F.least(F.lit(c[1]), c[0] + F.col("lexical_score")))
-    return rows.select("query_id", "source", "id", "content", score.alias("score"), "lexical_score")
+    return rows.select("query_id", "source", "id", "content", *more, score.alias("score"), "lexical_score")
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """Rows with content_hash; taken before a join, it stands for the content where only that is compared."""
+    return rows if "content_hash" in rows.columns else rows.withColumn("content_hash", F.sha2("content", 256))
 
 
 def merge(candidates: DataFrame) -> DataFrame:
     """One row per (query, source, id, content): best scores, sorted match types, distinct evidence (the first 8 in order)."""
-    key = ["query_id", "source", "id", F.sha2("content", 256).alias("content_hash")]
-    return candidates.groupBy(*key).agg(
+    return hashed(candidates).groupBy("query_id", "source", "id", "content_hash").agg(
         F.first("content").alias("content"),
         F.max("score").alias("score"),
         F.max("semantic_score").alias("semantic_score"),
@@ -349,9 +347,10 @@ def diversify(results: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse: bool = True, indexes: list[tuple[VectorIndex | None, TextIndex | None]] | None = None) -> DataFrame:
-    """Three branches on each corpus, merged; k rows per query. `indexes` gives each corpus its vector and text index, or None."""
+    """Three branches on each corpus, merged; k rows per query, of which there may be any number. `indexes` gives each corpus its
+    vector and text index, or None."""
     take = max(k * MULTIPLIER, k)
-    found, queries = None, bounded(queries)
+    found, queries = None, held(queries)
     kinds = [r.type for r in queries.select(F.explode("terms.type").alias("type")).distinct().limit(100).collect() if r.type]  # the few kinds asked for
     for corpus, (vectors, texts) in zip(corpora, indexes or [(None, None)] * len(corpora), strict=True):
         near = semantic_indexed(corpus, vectors, queries, take) if vectors else semantic(corpus, queries, take)
@@ -364,6 +363,7 @@ def hybrid_search(corpora: list[DataFrame], queries: DataFrame, k: int, diverse:
                     rows = rows.withColumn(c, F.lit(None).cast(kind))
             evidence = F.when(F.lit(name) == "semantic", F.array(F.format_string("semantic similarity %.3f", F.col("semantic_score")))).otherwise(F.coalesce("match_evidence", F.array().cast("array<string>")))
             rows = rows.withColumn("match_evidence", evidence).withColumn("match_types", F.array(F.lit(name)))
+            rows = hashed(rows)
             found = rows if found is None else found.unionByName(rows)
     merged = merge(found)
     if diverse:

@@ -4,8 +4,9 @@ The quantiser (spherical k-means) is fitted on the rows with the smallest id has
 numbers; every row is then put into the list of its nearest centroid. A query is sent to its `probes` nearest lists and
 meets their rows in a cogroup on (list, part, block): lists are cut into parts of about PART_ROWS rows and queries into blocks of
 about BLOCK_QUERIES, so neither a large list nor many queries meet in one task. Only the best k of a part leave it.
-Probing all lists is exact search. How many probes reach a recall is read off the sample, where neighbours
-are further apart than among all rows, so the number errs on the high side; `recall` measures it against exact search.
+Probing all lists is exact search; there a query is sent to parts of at most about WHOLE_ROWS rows of any list, not to each list.
+How many probes reach a recall is read off the sample, where neighbours are further apart than among all rows, so the number
+errs on the high side; `recall` measures it against exact search.
 
 Vectors that are null, zero, of another width than most of the sample or not finite are in no list and are found by no query; such
 queries find nothing. Rows without an id are not indexed. Repeated rows are found each. Equal scores go by id.
@@ -30,6 +31,8 @@ from alertloom.sources.files import remove
 
 SAMPLE_ROWS, SAMPLE_FLOATS, MOST_LISTS, ROUNDS = 20_000, 8_000_000, 1024, 12
 PART_ROWS, BLOCK_QUERIES = 20_000, 5_000
+#: Where every list is probed: rows and numbers of a part at most; parts and their rows where there are fewer rows than that.
+WHOLE_ROWS, WHOLE_FLOATS, LEAST_PARTS, LEAST_ROWS = 100_000, 8_000_000, 16, 5_000
 CALIBRATION_QUERIES, TARGET = 200, 0.97
 
 
@@ -190,19 +193,33 @@ class VectorIndex:
         if not self.lists:
             return spark.createDataFrame([], T.StructType([*kinds, T.StructField("rank", T.IntegerType())]))
         blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-        sizes = F.broadcast(spark.read.parquet(f"{self.path}/sizes").select("list", "parts"))  # MOST_LISTS rows at most
-        sent = asked.select("query_id", "vector", F.explode(_nearest(self.centroids, probes)("vector")).alias("list")).join(sizes, "list")
-        sent = sent.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "vector")
-        # only lists that some query probes are read: their numbers, MOST_LISTS at most, prune the partitions
-        probed = [r[0] for r in sent.select("list").distinct().collect()]
-        there = self.rows(spark).filter(F.col("list").isin(probed)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sizes = spark.read.parquet(f"{self.path}/sizes")
         names = pa.schema([(f.name, t) for f, t in zip(kinds, (_arrow(f.dataType) for f in kinds), strict=True)])
-        found = there.groupBy("list", "part", "block").cogroup(sent.groupBy("list", "part", "block")).applyInArrow(_best(k, names), T.StructType(kinds))
+        if probes == self.lists:
+            n = sizes.agg(F.sum("n_rows")).first()[0]
+            parts = max(-(-n // max(1, min(WHOLE_ROWS, WHOLE_FLOATS // self.width))), min(LEAST_PARTS, -(-n // LEAST_ROWS)))
+            there = self.rows(spark).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+            sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", "vector")
+            key = ["part", "block"]
+        else:
+            there, sent, key = self._probed(asked, probes, sizes)
+        there = there.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sent = sent.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        found = there.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_best(k, names), T.StructType(kinds))
         if threshold is not None:
             found = found.filter(F.col("score") >= threshold)
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
         return ranked.filter(F.col("rank") <= k)
 
+    def _probed(self, asked: DataFrame, probes: int, sizes: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Rows of the probed lists, queries for each part of the lists they probe, and what they meet on."""
+        sizes = F.broadcast(sizes.select("list", "parts"))  # MOST_LISTS rows at most
+        sent = asked.select("query_id", "vector", F.explode(_nearest(self.centroids, probes)("vector")).alias("list")).join(sizes, "list")
+        sent = sent.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vector")
+        # only lists that some query probes are read: their numbers, MOST_LISTS at most, prune the partitions
+        probed = [r[0] for r in sent.select("list").distinct().collect()]
+        return self.rows(asked.sparkSession).filter(F.col("list").isin(probed)), sent, ["list", "part", "block"]
+
     def recall(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """One row (queries, k, lists, probes, recall): the share of the exact k nearest that probing finds."""
         probes = min(self.lists, probes or self.probes)

@@ -100,13 +100,15 @@ COVERS_SQL = f"""t AS (SELECT doc_id, unnest(w) AS lex, generate_subscripts(w, 1
     (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM m) WHERE rank <= 10""")
 def hybrid_indexed(spark, sf_dir):
     """Hybrid search of every hundredth text, its first two words and its vector, over all texts: both branches through indexes, every list probed."""
-    vectors = _vectors(spark, sf_dir)
-    corpus = documents(spark, sf_dir).select(F.lit("custom_document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).alias("severity")).join(vectors, "id", "left")
-    index = VectorIndex.build(corpus, _folder(spark, "vector-index"))
+    vectors, folder = _vectors(spark, sf_dir), _folder(spark, "asked")
+    corpus = documents(spark, sf_dir).select(F.lit("custom_document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).alias("severity"))
+    index = VectorIndex.build(corpus.select("id").join(vectors, "id"), _folder(spark, "vector-index"))
     index = replace(index, probes=max(1, index.lists))
     texts = TextIndex.build(corpus, _folder(spark, "text-index"))
     terms = F.expr("cast(array() as array<struct<type:string,term:string>>)")
-    asked = corpus.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(sequence(F.col("content")), 1, 2), " ").alias("query"), "vector", terms.alias("terms"))
+    asked = corpus.filter("id % 100 = 0").join(vectors, "id", "left").select(F.col("id").alias("query_id"), F.array_join(F.slice(sequence(F.col("content")), 1, 2), " ").alias("query"), "vector", terms.alias("terms"))
+    asked.write.parquet(folder)  # both branches use the queries several times
+    asked = spark.read.parquet(folder)
     found = S.hybrid_search([corpus], asked, 40 // S.MULTIPLIER, diverse=False, indexes=[(index, texts)])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     has = lambda kind: F.array_contains("match_types", kind)

@@ -230,3 +230,38 @@ def test_compared_vectors_keep_no_pairs_and_break_ties_by_id(spark):
     counted = search.count_similar(corpus, asked, 0.25)
     assert {x.query_id: x.n for x in counted.collect()} == n and "NestedLoop" not in plan_of(counted)
     assert search.nearest(corpus, asked.limit(0), 4).count() == 0
+
+
+def test_hybrid_search_takes_more_queries_than_a_local_relation(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [("archive", i, f"word{i % 5} common seen at 198.51.100.{i}", None, 0, r.normal(size=8).tolist()) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "source string, id long, content string, ts timestamp, severity int, vector array<float>")
+    index, texts = VectorIndex.build(corpus, f"{tmp_path}/v"), TextIndex.build(corpus, f"{tmp_path}/t")
+    asked = [(i, f"word{i % 5} common", rows[i][5], [("ips", f"198.51.100.{i}")]) for i in range(8)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, vector array<float>, terms array<struct<type:string,term:string>>")
+
+    def found(indexes):
+        got = search.hybrid_search([corpus], queries, 5, indexes=indexes).collect()
+        return sorted((x.query_id, x.id, x.content, x.score, x.match_types, x.match_evidence, x.rank) for x in got)
+
+    want = [found(x) for x in ([(index, texts)], None)]
+    for name in ("MOST_QUERIES", "MOST_LEXEMES"):
+        monkeypatch.setattr(search, name, 3)
+    assert [found(x) for x in ([(index, texts)], None)] == want and len(want[0]) == len(want[1]) == 40
+
+
+def test_hybrid_indexed_of_more_than_a_thousand_queries(spark, tmp_path):
+    from alertloom.plans import catalog
+
+    folder = str(tmp_path)
+    spark.range(100_100).selectExpr("id AS doc_id", "concat('w', id % 5000, ' v', id % 5) AS text").write.parquet(f"{folder}/d")
+    spark.range(300).selectExpr("id * 100 AS vec_id", "transform(sequence(0, 7), i -> cast(sin(id * (i + 1)) AS float)) AS embedding").write.parquet(f"{folder}/e")
+    tables = tmp_path / "in"
+    tables.mkdir()
+    for name, at in (("documents", "d"), ("embeddings", "e")):
+        spark.read.parquet(f"{folder}/{at}").coalesce(1).write.parquet(f"{tables}/{name}")
+        (part,) = (tables / name).glob("*.parquet")
+        (tables / f"{name}.parquet").hardlink_to(part)
+    got = {r.query_id: r for r in catalog.QUERIES["hybrid_indexed"](spark, str(tables)).groupBy("query_id").agg(F.max("rank").alias("most"), F.max("near").alias("near"), F.max("worded").alias("worded")).collect()}
+    assert set(got) == set(range(0, 100_100, 100)) and all(r.most == 10 and r.worded for r in got.values())
+    assert {q for q, r in got.items() if r.near} <= set(range(0, 30_000, 100))
