@@ -103,8 +103,8 @@ def domains(text: Column, found_urls: Column | None = None, found_emails: Column
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {"ips": ips, "domains": domains, "urls": urls, "emails": emails, "hashes": hashes, "cves": cves, "mitre_techniques": techniques, "threat_actors": actors}
 
 
-def artifacts(text: Column, cap: int = 100) -> Column:
-    """struct of the indicator lists, public and other addresses apart; at most `cap` of each, as the reports show."""
+def artifacts(text: Column, cap: int | None = 100) -> Column:
+    """struct of the indicator lists, public and other addresses apart; at most `cap` of each, as the reports show, or all."""
     def every(t: Column) -> Column:
         first = F.struct(*[f(t).alias(k) for k, f in EXTRACTORS.items() if f is not domains])
         return let(first, lambda e: F.struct(e.alias("e"), domains(t, e["urls"], e["emails"]).alias("domains")))
@@ -112,7 +112,7 @@ def artifacts(text: Column, cap: int = 100) -> Column:
     def split(h: Column) -> Column:
         e = h["e"]
         lists = {k: h[k] if k == "domains" else e[k] for k in EXTRACTORS} | {"public_ips": F.filter(e["ips"], net.is_public), "non_public_ips": F.filter(e["ips"], lambda x: ~net.is_public(x))}
-        return F.struct(*[F.slice(v, 1, cap).alias(k) for k, v in lists.items()])
+        return F.struct(*[(v if cap is None else F.slice(v, 1, cap)).alias(k) for k, v in lists.items()])
 
     return let(let(text, every), split)
 
@@ -244,13 +244,35 @@ def contexts(text: Column, value: Column, kind: str, radius: int = 90) -> Column
         hit = F.substring_index(F.get(marked, i), "\u0002", 1)
         after = F.replace(F.array_join(F.slice(marked, i + 1, F.size(marked)), ""), F.lit("\u0002"), F.lit(""))
         rest = F.substring(after, F.length(hit) + 1, F.length(after))
-        cut_before = F.when(before.rlike("[.;\n]"), F.regexp_extract(before, r"([^.;\n]*)$", 1)).otherwise(F.right(before, F.lit(radius)))
+        cut_before = F.when(before.rlike("[.;\n]"), F.regexp_extract(before, r"([^.;\n]*)\z", 1)).otherwise(F.right(before, F.lit(radius)))
         cut_after = F.when(rest.rlike("[.;\n]"), F.regexp_extract(rest, r"^([^.;\n]*)", 1)).otherwise(F.left(rest, F.lit(radius)))
         return F.concat(cut_before, hit, cut_after)
 
     return F.when(F.size(marked) > 1, F.transform(F.sequence(F.lit(1), F.size(marked) - 1), stretch)).otherwise(F.array().cast("array<string>"))
 
 
+def _plain(text: Column) -> Column:
+    """The letters that case folding leaves among themselves, in lower case: values alike but for case are alike here too."""
+    return F.lower(F.regexp_replace(text, r"[^\x00-\x7f]|[kKsSiI]", ""))
+
+
+def pieces(text: Column) -> Column:
+    """array<struct<i, piece, plain, last>>: the text cut at line breaks and after stops; no mention of a value without blanks spans a cut."""
+    parts = F.split(text, r"\n|(?<=[.;])(?=[ \t])")
+    return let(parts, lambda p: F.transform(p, lambda x, i: F.struct(i.alias("i"), x.alias("piece"), _plain(x).alias("plain"), (i == F.size(p) - 1).alias("last"))))
+
+
+def near(cut: Column, value: Column) -> Column:
+    """The pieces that may mention the value, as one text; contexts() finds in it what it finds in the whole text."""
+    own = let(_plain(value), lambda v: F.filter(cut, lambda c: F.contains(c["plain"], v)))
+
+    def joined(o: Column) -> Column:
+        text = F.array_join(F.transform(o, lambda c: c["piece"]), "\n")
+        return F.concat(F.when(F.get(o, F.lit(0))["i"] > 0, "\n").otherwise(""), text, F.when(F.get(o, F.size(o) - 1)["last"], "").otherwise("\n"))
+
+    return let(own, joined)
+
+
 def disposition(text: Column, value: Column, kind: str, radius: int = 90) -> Column:
     """Role with most matches near the mentions, the order of the table breaking ties; unknown without any."""
     joined = F.array_join(contexts(text, value, kind, radius), " ")

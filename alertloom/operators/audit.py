@@ -21,6 +21,8 @@ ACTIONS = {
 }
 ATTRIBUTION = r"(?i)\b(?:attributed to|associated with|linked to|ties to|campaign|threat actor|malware family|operator|nation[- ]state)\b"
 NOT_ACTIONABLE = ("benign", "analysis_environment", "remediation_reference")
+#: Indicators of a type whose containment a claim audit looks at.
+AUDITED = 40
 EMPTY = "cast(array() as array<string>)"
 
 
@@ -28,12 +30,14 @@ def action_labels(context: Column) -> Column:
     return F.array_compact(F.array(*[F.when(context.rlike(p), k) for k, p in ACTIONS.items()]))
 
 
-def remediation_targets(markdown: Column) -> Column:
-    """array<struct<type, value, actions>>: indicators with an action verb in the same sentence."""
-    def of(found: Column, kind: str) -> Column:
-        return F.transform(F.slice(found[kind], 1, 40), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), T.let(F.array_join(T.contexts(markdown, v, kind, 120), "\n"), action_labels).alias("actions")))
+def remediation_targets(markdown: Column, most: int | None = None) -> Column:
+    """array<struct<type, value, actions>>: indicators with an action verb in the same sentence, all or the first `most` of a type."""
+    def of(b: Column, kind: str) -> Column:
+        said = lambda v: T.let(T.near(b["cut"], v), lambda text: F.array_join(T.contexts(text, v, kind, 120), "\n"))
+        return F.transform(b["found"][kind], lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), T.let(said(v), action_labels).alias("actions")))
 
-    every = T.let(T.artifacts(markdown), lambda found: F.concat(*[of(found, k) for k in ("ips", "domains", "urls", "hashes")]))
+    both = F.struct(T.artifacts(markdown, most).alias("found"), T.pieces(markdown).alias("cut"))
+    every = T.let(both, lambda b: F.concat(*[of(b, k) for k in ("ips", "domains", "urls", "hashes")]))
     return F.filter(every, lambda t: F.size(t["actions"]) > 0)
 
 
@@ -65,7 +69,7 @@ def claim_findings(reports: DataFrame, evidence: DataFrame, current: DataFrame,
     cols = {c: F.coalesce(c, none) for c in ("supported_actors", "supported_techniques", "weak_only", "cur_ips", "cur_domains", "cur_urls", "cur_hashes", "cur_techniques", "cur_actors")}
     r = r.withColumns(cols | {"any_strong": F.coalesce("any_strong", F.lit(False)), "attribution_supported": F.coalesce("attribution_supported", F.lit(False))})
     m = F.col("markdown")
-    r = r.withColumns({"said_actors": T.actors(m), "said_techniques": T.techniques(m), "targets": remediation_targets(m)})
+    r = r.withColumns({"said_actors": T.actors(m), "said_techniques": T.techniques(m), "targets": remediation_targets(m, AUDITED)})
     if catalogue is not None:
         # the catalogue is joined by id; only the ids that reports mention are looked up
         told = r.select("report_id", F.explode("said_techniques").alias("id"))

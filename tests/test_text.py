@@ -227,3 +227,31 @@ def test_the_title_ends_where_its_lines_do(text):
     title = "\n".join(text.splitlines()[: P.TITLE_LINES])
     said = "CRITICAL" if "CRITICAL" in title else "HIGH" if "SEVERITY" in title else "MEDIUM"
     assert reports.threat_level(text) == said
+
+
+def test_remediation_targets_of_a_long_listing_are_all_found(spark):
+    from alertloom.operators import audit
+
+    said = "\n".join(f"Block 203.0.{i // 200}.{i % 200} here\nIsolate host{i}.badnet.org\nSeen idle{i}.badnet.org" for i in range(150))
+    rows = spark.createDataFrame([(said,)], "t string").select(F.inline(audit.remediation_targets(t))).collect()
+    want = [("ips", f"203.0.{i // 200}.{i % 200}", ["block"]) for i in range(150)] + [("domains", f"host{i}.badnet.org", ["isolate"]) for i in range(150)]
+    assert sorted(map(tuple, rows)) == sorted(want)
+    first = spark.createDataFrame([(said,)], "t string").select(F.inline(audit.remediation_targets(t, 40))).collect()
+    assert [r.value for r in first if r.type == "ips"] == [v for k, v, _ in want if k == "ips"][:40]
+
+
+def test_contexts_of_the_pieces_that_mention_a_value_equal_those_of_the_text(spark):
+    import random
+
+    r = random.Random(4)
+    values = {"ips": "8.8.4.4", "domains": "kiss.badnet.org", "urls": "https://kiss.badnet.org/\u00df?k=1", "hashes": "a" * 32}
+    words = [*values.values(), "\u212ai\u017fs.badnet.org", "https://KISS.badnet.org/\u1e9e?k=1", "18.8.4.4", "block", "x" * 130, ".", ";", "\n", ". ", "; ", ".\n", " ", " ", "\n "]
+    texts = [("".join(r.choice(words) for _ in range(r.randint(1, 25))),) for _ in range(400)]
+    for kind, value in values.items():
+        v = F.lit(value)
+        got = spark.createDataFrame(texts, "t string").select(T.contexts(t, v, kind, 20).alias("whole"), T.contexts(T.near(T.pieces(t), v), v, kind, 20).alias("near")).collect()
+        assert [x.whole for x in got] == [x.near for x in got] and sum(len(x.whole) for x in got) > 20
+
+
+def test_a_mention_at_the_start_of_a_line_has_nothing_of_the_line_before(one):
+    assert one(T.contexts(F.lit("Block it\n8.8.4.4 was seen"), F.lit("8.8.4.4"), "ips"))[0] == ["8.8.4.4 was seen"]
