@@ -1,7 +1,8 @@
 """Positional inverted index over texts and their metadata, and ranking by cover density.
 
 A posting is (lexeme, source, id, positions, n_words), written in BUCKETS partitions by a hash of the lexeme and sorted by it, so that a
-query reads the buckets of its lexemes and skips row groups of others. A text is tokenised once, at build time. A text matches if it
+query reads the buckets of its lexemes and skips row groups of others. A text is tokenised once, at build time; its postings are
+shuffled in packed blocks (gaps of positions, each text and lexeme once a block), not one by one. A text matches if it
 holds every lexeme of a query. Its rank sums over the minimal covers (stretches that hold every lexeme and no smaller such stretch)
 WEIGHT / (1 + noise), noise being the positions in the stretch without a lexeme of the query.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ from alertloom.session import small_batches
 
 #: Partitions of the postings; files a bucket is written in; the weight of a lexeme.
 BUCKETS, FILES, WEIGHT = 64, 4, 0.1
+#: Words whose postings are packed together; characters of text whose postings one task writes; keys that are broadcast at most.
+BLOCK_WORDS, TASK_CHARS, MOST_KEYS = 1_000_000, 8_000_000, 200_000
 #: Postings of a part of the texts when queries are answered.
 PART_POSTINGS = 2_000_000
 
@@ -50,27 +54,83 @@ def indexed_text(corpus: DataFrame) -> Column:
 
 
 def bucket(lexeme: Column) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(lexeme.cast("binary")) % BUCKETS).cast("int")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, id, row, lexeme, positions, n_words) of (source, id, row, words)."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(deal, block) of (source, id, row, part, words): the postings of about BLOCK_WORDS words, packed for each bucket and part of the texts."""
+    held, n = [], 0
     for batch in batches:
-        words = batch.column(3)
-        sizes = np.diff(words.offsets.to_numpy())
-        if not sizes.sum():
-            continue
-        coded = words.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(len(words)), sizes)
-        at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.lexsort((at, codes, rows))
-        rows, codes, at = rows[order], codes[order], at[order]
-        first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])))
-        of = pa.array(rows[first])
-        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
-        lexemes = coded.dictionary.take(pa.array(codes[first]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), lexemes, positions, pa.array(sizes[rows[first]], pa.int32())], ["source", "id", "row", "lexeme", "positions", "n_words"])
+        held.append(batch)
+        n += len(batch.column(4).flatten())
+        if n >= BLOCK_WORDS:
+            yield from _packed(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield from _packed(pa.Table.from_batches(held))
+
+
+def _packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    rows = rows.combine_chunks().to_batches()[0]
+    words, part = rows.column(4), rows.column(3).to_numpy()
+    sizes = np.diff(words.offsets.to_numpy())
+    coded = words.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lexemes = coded.dictionary
+    buckets = np.array([crc32(w) % BUCKETS for w in lexemes.cast(pa.binary()).to_pylist()], np.int64)
+    texts = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = (buckets[codes] * FILES + part[texts]) * len(lexemes) + codes
+    order = np.argsort(key, kind="stable")  # within a lexeme by text and position, as they came
+    key, texts, at = key[order], texts[order], at[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (texts[1:] != texts[:-1])))
+    gaps = np.diff(at, prepend=0)
+    gaps[first] = at[first]
+    n, key, texts = np.diff(np.append(first, len(at))), key[first], texts[first]
+    deal, ends = key // len(lexemes), np.append(first, len(at))
+    about = pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(sizes, pa.int32())], ["source", "id", "row", "n_words"])
+    cuts = np.append(np.flatnonzero(np.append(True, deal[1:] != deal[:-1])), len(deal))
+    blocks = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        new = np.flatnonzero(np.append(True, key[a + 1 : b] != key[a : b - 1]))
+        used, of = np.unique(texts[a:b], return_inverse=True)
+        columns = {"lexeme": lexemes.take(pa.array(key[a:b][new] % len(lexemes))), "held": _small(np.diff(np.append(new, b - a))), "text": _small(of), "n": _small(n[a:b]), "gap": _small(gaps[ends[a] : ends[b]])}
+        columns |= {c: about.column(c).take(pa.array(used)) for c in about.schema.names}
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()]
+        sink = pa.BufferOutputStream()
+        one = pa.RecordBatch.from_arrays(lists, list(columns))
+        with pa.ipc.new_stream(sink, one.schema) as out:
+            out.write_batch(one)
+        raw = sink.getvalue()
+        blocks.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+    yield pa.RecordBatch.from_arrays([pa.array(deal[cuts[:-1]], pa.int32()), pa.array(blocks, pa.binary())], ["deal", "block"])
+
+
+def _small(numbers: np.ndarray) -> pa.Array:
+    """In the narrowest type that holds them."""
+    return pa.array(numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))))
+
+
+def _opened(schema: pa.Schema):
+    """The postings of blocks, with their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for deal, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd")
+                one = pa.ipc.open_stream(raw).read_all().to_batches()[0]
+                c = {name: one.column(name).flatten() for name in one.schema.names}
+                number = lambda name, c=c: c[name].to_numpy().astype(np.int64)
+                n, of = number("n"), pa.array(number("text"))
+                ends = np.append(0, np.cumsum(n))
+                total = np.append(0, np.cumsum(number("gap")))
+                at = total[1:] - np.repeat(total[ends[:-1]], n)
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
+                lexemes = c["lexeme"].take(pa.array(np.repeat(np.arange(len(c["lexeme"])), number("held"))))
+                bucket = pa.array(np.full(len(n), deal // FILES), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c[x].take(of) for x in ("source", "id", "row")), lexemes, positions, c["n_words"].take(of), bucket], schema=schema)
+
+    return run
 
 
 def cover_density(lists: list[np.ndarray]) -> float:
@@ -164,7 +224,7 @@ def _best(k: int, schema: pa.Schema):
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings in <path>/postings, and in <path>/lexemes how many texts hold each lexeme."""
+    """Postings in <path>/postings, in <path>/lexemes how many texts hold each lexeme, in <path>/texts the texts by source, id and row."""
 
     path: str
 
@@ -173,17 +233,27 @@ class TextIndex:
         """Index (source, id, content) and, if a column, metadata."""
         small_batches(corpus.sparkSession)
         text = indexed_text(corpus)
-        rows = corpus.filter(F.col("source").isNotNull() & F.col("id").isNotNull()).select("source", "id", F.xxhash64(text).alias("row"), sequence(text).alias("words")).dropDuplicates(["source", "id", "row"])
+        spark, key = corpus.sparkSession, ["source", "id", "row"]
+        texts = corpus.filter(F.col("source").isNotNull() & F.col("id").isNotNull()).select("source", "id", F.xxhash64(text).alias("row"), text.alias("text"))
+        # keys go through a shuffle, not texts; only texts that have copies are compared whole
+        texts.groupBy(*key).agg(F.count("*").alias("copies"), F.sum(F.length("text")).alias("chars")).write.mode("overwrite").parquet(f"{path}/texts")
+        known = spark.read.parquet(f"{path}/texts")
+        copied, chars = known.agg(F.count_if(F.col("copies") > 1), F.coalesce(F.sum("chars"), F.lit(0))).first()
+        if copied > MOST_KEYS:
+            texts = texts.dropDuplicates(key)
+        elif copied:
+            again = F.broadcast(known.filter("copies > 1").select(*key))
+            texts = texts.join(again, key, "left_anti").unionByName(texts.join(again, key, "left_semi").dropDuplicates(key))
+        # a lexeme that most texts hold is written by FILES tasks
+        rows = texts.select(*key, F.pmod(F.xxhash64("id"), F.lit(FILES)).cast("int").alias("part"), sequence(F.col("text")).alias("words"))
         kind = lambda c: T.StructField(c, rows.schema[c].dataType)
         schema = T.StructType([kind("source"), kind("id"), kind("row"), T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("n_words", T.IntegerType())])
-        found = rows.mapInArrow(_postings, schema).withColumn("bucket", bucket(F.col("lexeme")))
-        # a lexeme that most texts hold is written by FILES tasks
-        dealt = found.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(FILES))).sortWithinPartitions("bucket", "lexeme")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        stored = T.StructType([*schema, T.StructField("bucket", T.IntegerType())])
+        tasks = max(1, min(BUCKETS * FILES, -(-chars // TASK_CHARS)))
+        dealt = rows.mapInArrow(_blocks, "deal int, block binary").repartition(tasks, "deal").mapInArrow(_opened(to_arrow_schema(stored)), stored)
+        dealt.sortWithinPartitions("bucket", "lexeme", "id").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         index = cls(path)
-        kinds = T.StructType([*schema, T.StructField("bucket", T.IntegerType())]).json()
-        spark = corpus.sparkSession
-        spark.createDataFrame([(kinds,)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+        spark.createDataFrame([(stored.json(),)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
         index.postings(spark).groupBy("bucket", "lexeme").agg(F.count("*").alias("texts"), F.sum(F.size("positions")).alias("occurrences")).write.mode("overwrite").parquet(f"{path}/lexemes")
         return index
 
@@ -198,6 +268,20 @@ class TextIndex:
         schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{self.path}/schema").first()[0]))
         return spark.read.schema(schema).parquet(f"{self.path}/postings")
 
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """(lexeme, texts, occurrences), from postings; texts with the same id count once."""
+        postings, occurrences = self.postings(spark), F.sum(F.size("positions")).alias("occurrences")
+        # a posting is another id's, but for the few ids that have several texts
+        several = spark.read.parquet(f"{self.path}/texts").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+        n = several.limit(MOST_KEYS + 1).count()
+        if n > MOST_KEYS:
+            return postings.groupBy("lexeme").agg(F.count_distinct("id").alias("texts"), occurrences)
+        found = postings.groupBy("lexeme").agg(F.count("*").alias("texts"), occurrences)
+        if n:
+            more = postings.join(F.broadcast(several), "id", "left_semi").groupBy("lexeme", "id").agg((F.count("*") - 1).alias("more")).groupBy("lexeme").agg(F.sum("more").alias("more"))
+            found = found.join(more, "lexeme", "left").withColumn("texts", F.col("texts") - F.coalesce("more", F.lit(0))).drop("more")
+        return found
+
     def lexemes(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/lexemes")
 

@@ -77,7 +77,7 @@ def cover_rank(spark, sf_dir):
 @query(f"SELECT lexeme, count(DISTINCT doc_id) AS texts, count(*) AS occurrences FROM (SELECT doc_id, unnest({WORDS_SQL}) AS lexeme FROM documents) GROUP BY lexeme")
 def posting_counts(spark, sf_dir):
     """Texts and occurrences of every lexeme, read from postings and not from texts."""
-    return _text_index(spark, sf_dir).postings(spark).groupBy("lexeme").agg(F.count_distinct("id").alias("texts"), F.sum(F.size("positions")).alias("occurrences"))
+    return _text_index(spark, sf_dir).counts(spark)
 
 
 COVERS_SQL = f"""t AS (SELECT doc_id, unnest(w) AS lex, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)),

@@ -265,3 +265,40 @@ def test_hybrid_indexed_of_more_than_a_thousand_queries(spark, tmp_path):
     got = {r.query_id: r for r in catalog.QUERIES["hybrid_indexed"](spark, str(tables)).groupBy("query_id").agg(F.max("rank").alias("most"), F.max("near").alias("near"), F.max("worded").alias("worded")).collect()}
     assert set(got) == set(range(0, 100_100, 100)) and all(r.most == 10 and r.worded for r in got.values())
     assert {q for q, r in got.items() if r.near} <= set(range(0, 30_000, 100))
+
+
+def test_postings_are_shuffled_packed_and_copies_are_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK_WORDS", 50)
+    r = random.Random(6)
+    rows = [("s", i, " ".join(r.choice(["alpha", "Beta", "école", f"w{i}"]) for _ in range(r.randint(0, 30)))) for i in range(60)]
+    rows += [rows[3], rows[3], ("s", 4, "beta other"), ("t", *rows[5][1:]), ("s", None, "lost"), ("s", 90, None)]
+    corpus = spark.createDataFrame(rows, "source string, id long, content string").repartition(3)
+    index = TextIndex.build(corpus, str(tmp_path))
+    want = {}
+    for s, i, c in {x for x in rows if x[1] is not None}:
+        for p, w in enumerate(words := re.findall(r"\w+", (c or "").lower())):
+            want.setdefault((s, i, w, len(words)), []).append(p)
+    got = index.postings(spark)
+    assert sorted((x.source, x.id, x.lexeme, x.n_words, list(x.positions)) for x in got.collect()) == sorted((*k, v) for k, v in want.items())
+    assert got.filter(F.col("bucket") != text_index.bucket(F.col("lexeme"))).count() == 0
+    texts, n = {}, {}
+    for (_, i, w, _), at in want.items():
+        texts.setdefault(w, set()).add(i)
+        n[w] = n.get(w, 0) + len(at)
+    for most in (200_000, 0):
+        monkeypatch.setattr(text_index, "MOST_KEYS", most)
+        assert {x.lexeme: (x.texts, x.occurrences) for x in index.counts(spark).collect()} == {w: (len(t), n[w]) for w, t in texts.items()}
+    TextIndex.build(corpus, str(tmp_path / "all"))  # more copies than are broadcast
+    assert TextIndex(str(tmp_path / "all")).postings(spark).exceptAll(got).count() == 0 == got.exceptAll(TextIndex(str(tmp_path / "all")).postings(spark)).count()
+
+
+def test_packed_postings_are_far_smaller_than_words(spark):
+    import pyarrow as pa
+
+    r = random.Random(7)
+    texts = [[f"w{int(r.paretovariate(0.6))}" for _ in range(300)] for _ in range(4000)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+    columns = [["custom_document"] * 4000, range(4000), [r.getrandbits(62) for _ in range(4000)], [i % 4 for i in range(4000)], texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["source", "id", "row", "part", "words"])
+    packed = sum(len(b) for x in text_index._blocks(iter([batch])) for b in x.column(1).to_pylist())
+    assert packed < sum(len(w) for t in texts for w in t) * 1.5
